@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import winnow
+from . import parity_join, winnow
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_winnowing": op4_winnowing,
+    "op10_parity_join": op10_parity_join,
 }

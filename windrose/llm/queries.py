@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parity_join, winnow
-from .common import table
+from . import parity_join, poisson_mix, warc_zstd, winnow
+from .common import shared_folder, table
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,19 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    manifest = warc_zstd.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc_zstd.read_archives(spark, folder, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.mixed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_winnowing": op4_winnowing,
+    "op6_warc_zstd": op6_warc_zstd,
+    "op9_poisson_mix": op9_poisson_mix,
     "op10_parity_join": op10_parity_join,
 }

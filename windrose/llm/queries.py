@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parity_join, poisson_mix, warc_zstd, winnow
+from . import chat_tree, parity_join, poisson_mix, warc_zstd, winnow
 from .common import shared_folder, table
 
 
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    found = chat_tree.formatted_branches(chat_tree.chains(rows))
+    read = found.withColumns({"turns": chat_tree.parsed(F.col("formatted")), "loss": chat_tree.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,6 +52,7 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_chat_tree": op3_chat_tree,
     "op4_winnowing": op4_winnowing,
     "op6_warc_zstd": op6_warc_zstd,
     "op9_poisson_mix": op9_poisson_mix,

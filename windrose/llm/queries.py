@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, parity_join, poisson_mix, warc_zstd, winnow
+from . import chat_tree, parity_join, poisson_mix, surrogate, warc_zstd, winnow
 from .common import shared_folder, table
 
 
@@ -47,6 +47,14 @@ def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(spark, folder, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: A key for tests; production passes its own secret.
+SURROGATE_KEY = "not a secret"
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate.with_surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mixed(table(spark, sf_dir, "documents"))
 
@@ -55,6 +63,7 @@ QUERIES = {
     "op3_chat_tree": op3_chat_tree,
     "op4_winnowing": op4_winnowing,
     "op6_warc_zstd": op6_warc_zstd,
+    "op8_surrogates": op8_surrogates,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_parity_join": op10_parity_join,
 }

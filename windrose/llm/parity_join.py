@@ -9,11 +9,14 @@ Sizes are banded; a set is keyed by the chunks of its own band and, if it is lar
 Chunks without shingles say nothing. A scheme has z chunks more than needed, so that z + 1 chunks of a linked pair
 agree, and a set with at most z empty chunks need not be keyed by those; one with more is.
 
-Equal sets are one node. Within a bucket of equal keys not all pairs are made: in each round one member, the hub, is
-paired with those of other components, and links found merge components; when few pairs of different components are
-left, all of those are made. So each pair of different components that shares a key is tested, and no link between
-components is lost, while groups of thousands of near copies cost a few comparisons a member. Candidates pass the
-Hamming bound, then the exact intersection of their sets.
+Equal sets are one node. Of small buckets of equal keys all pairs are made. In larger ones one member, the hub, is
+paired in each round with those of other components, and links found merge components; when few pairs of different
+components are left, all of those are made. So each pair of different components that shares a key is tested, and no
+link between components is lost, while groups of thousands of near copies cost a few comparisons a member.
+
+Candidates pass the Hamming bound first. Nearly all that do are linked, so their sets are compared in an order that
+merges components early: each node with its least neighbour, then one pair for each two components, then all pairs whose
+components still differ.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ from .textvec import NONSPACE_BYTES, U64, grams, mix, words
 BAND_GROWTH = 1.5
 #: Bits of a sketch for each element that linked sets may differ by.
 SKETCH_BITS = 4
-#: All left pairs of different components are made once they are this many times the bucket rows at most...
+#: All pairs are made of buckets with so many members at most; larger ones go by hubs...
+SMALL_BUCKET = 48
+#: ...until the pairs of different components left in them are this many times the bucket rows at most...
 EXPAND_TIMES = 2
-#: ...or after so many rounds of hubs.
-MAX_ROUNDS = 10
+#: ...or for so many rounds.
+MAX_ROUNDS = 8
 
 _HASH_BITS = U64(52)
 
@@ -187,22 +192,24 @@ class _Verifier:
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
         self.nodes, self.sets, self.percent = nodes, sets, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those with 100 * intersection >= percent * union."""
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b), those that their sketches don't rule out, with the share by which these differ."""
         p = self.percent
         side = lambda x: self.nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "own", "following")], F.col("fp").alias(x))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         total = F.col("n_a") + F.col("n_b")
-        near = (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & (
-            (100 + p) * F.when(F.col("band_a") == F.col("band_b"), _hamming(F.col("own_a"), F.col("own_b")))
+        distance = (
+            F.when(F.col("band_a") == F.col("band_b"), _hamming(F.col("own_a"), F.col("own_b")))
             .when(F.col("band_a") + 1 == F.col("band_b"), _hamming(F.col("following_a"), F.col("own_b")))
             .when(F.col("band_b") + 1 == F.col("band_a"), _hamming(F.col("own_a"), F.col("following_b")))
-            <= (100 - p) * total
         )
-        close = both.where(near).select("a", "b")
+        return both.select("a", "b", total.alias("total"), distance.alias("distance")).where((100 + p) * F.col("distance") <= (100 - p) * F.col("total")).select("a", "b", (F.col("distance") / F.col("total")).alias("differ"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those with 100 * intersection >= percent * union."""
         whole = lambda x: self.sets.select(F.col("fp").alias(x), F.col("elements").alias(f"set_{x}"))
-        met = close.join(whole("a"), "a").join(whole("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        return met.where(100 * F.col("common") >= p * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
+        met = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", (F.size("set_a") + F.size("set_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
+        return met.where(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
 def _pairs(left: Column, right: Column) -> list[Column]:
@@ -236,11 +243,63 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(key, fp) of the keys that two different sets have, each set once."""
-    keys = signed.select("fp", F.explode("keys").alias("key"))
+    """(key, fp, n, many) of the keys that two different sets have, each set once; many: the sets that have the key."""
+    keys = signed.select("fp", "n", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
-    ranked = keys.select("key", "fp", F.lag("fp").over(by_key.orderBy("fp")).alias("before"), F.max("fp").over(by_key).alias("top"))
-    return ranked.where("CASE WHEN before IS NULL THEN fp <> top ELSE before <> fp END").select("key", "fp")
+    ranked = keys.select("key", "fp", "n", F.lag("fp").over(by_key.orderBy("fp")).alias("before"), F.dense_rank().over(by_key.orderBy("fp")).alias("rank"))
+    counted = ranked.withColumn("many", F.max("rank").over(by_key))
+    return counted.where("many > 1 AND (before IS NULL OR before <> fp)").select("key", "fp", "n", "many")
+
+
+class _Groups:
+    """Components of the links found so far."""
+
+    def __init__(self, verifier: _Verifier):
+        self.verifier, self.links, self.roots, self.folders = verifier, [], None, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = common.saved(df, name)
+        self.folders.append(path)
+        return df
+
+    def root(self, df: DataFrame, node: str, name: str) -> DataFrame:
+        """Adds the component that a node is in."""
+        if self.roots is None:
+            return df.withColumn(name, F.col(node))
+        there = self.roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+        return df.join(there, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
+
+    def compare(self, pairs: DataFrame) -> bool:
+        """Compares sets; whether any are linked."""
+        links = self.keep(self.verifier.linked(pairs), "parity-links")
+        if links.isEmpty():
+            return False
+        self.links.append(links)
+        every = self.links[0]
+        for more in self.links[1:]:
+            every = every.unionByName(more)
+        self.roots, path = components(every)
+        self.folders.append(path)
+        return True
+
+    def merge(self, pairs: DataFrame) -> None:
+        """Tests distinct pairs as far as their components differ."""
+        near = self.keep(self.verifier.near(pairs), "parity-near")
+        tested = near.limit(0).select("a", "b")
+        for turn in ("node", "roots", "roots", "rest"):
+            cross = self.root(self.root(near, "a", "root_a"), "b", "root_b").where("root_a <> root_b").join(tested, ["a", "b"], "left_anti")
+            cross = self.keep(cross.select("a", "b", "differ", F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")), "parity-cross")
+            if cross.isEmpty():
+                return
+            if turn == "node":
+                pick = cross.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            elif turn == "roots":
+                pick = cross.groupBy("x", "y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b")
+            else:
+                pick = cross.select("a", "b")
+            pick = self.keep(pick, "parity-pick")
+            self.compare(pick)
+            tested = tested.unionByName(pick)
 
 
 def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[str]]:
@@ -251,53 +310,38 @@ def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, perce
     rows = kept.count()
     wanted = common.maybe_broadcast(kept.select("doc_id").distinct(), rows, 16)
     sets, sets_path = common.saved(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(kept.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"]), "parity-sets")
-    verifier = _Verifier(kept, sets, percent)
+    groups = _Groups(_Verifier(kept, sets, percent))
+    groups.folders += [kept_path, sets_path]
+    small = buckets.where(F.col("many") <= SMALL_BUCKET)
+    one, two = (small.select("key", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    groups.merge(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
+    large = groups.keep(buckets.where(F.col("many") > SMALL_BUCKET).select("key", "fp", "n"), "parity-large")
+    if large.isEmpty():
+        return _roots(spark, groups)
     size = buckets.count()
-    tested: list[DataFrame] = []
-    found: list[DataFrame] = []
-    done = [kept_path, sets_path]
-    roots = None
     for turn in range(MAX_ROUNDS + 1):
-        members = buckets if roots is None else buckets.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        members = members.select("key", "fp", (F.lit(None).cast("long") if roots is None else F.col("root")).alias("r")).select("key", "fp", F.coalesce("r", "fp").alias("root"))
-        groups = members.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp"))).alias("first"))
-        if turn:
-            groups, path = common.saved(groups, "parity-groups")
-            done.append(path)
-        mixed = groups.groupBy("key").agg(F.count("*").alias("roots"), F.sum("size").alias("total"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.min(F.struct("size", "first.h", "first.fp", "root")).alias("hub")).where("roots > 1")
-        left = mixed.agg(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2)).first()[0] or 0 if turn else math.inf
+        members = groups.keep(groups.root(large, "fp", "root"), "parity-members")
+        parts = members.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp"), F.col("n"))).alias("first"))
+        mixed = groups.keep(parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("size").alias("total"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.min(F.struct("size", "first.h", "first.fp", "first.n", "root")).alias("hub")).where("roots > 1"), "parity-mixed")
+        left = mixed.agg(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2)).first()[0] or 0
         if not left:
             break
-        last = left <= EXPAND_TIMES * size or turn == MAX_ROUNDS
+        last = turn == MAX_ROUNDS or turn and left <= EXPAND_TIMES * size
         if last:
-            some = groups.join(mixed.select("key"), "key", "left_semi").select("key", "root")
-            cross = some.select("key", F.col("root").alias("left_root")).join(some.select("key", F.col("root").alias("right_root")), "key").where("left_root < right_root")
-            one = members.select("key", F.col("root").alias("left_root"), F.col("fp").alias("x"))
-            two = members.select("key", F.col("root").alias("right_root"), F.col("fp").alias("y"))
-            pairs = cross.join(one, ["key", "left_root"]).join(two, ["key", "right_root"]).select(*_pairs(F.col("x"), F.col("y")))
+            some = members.join(mixed.select("key"), "key", "left_semi")
+            sides = [some.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n")], F.col("fp").alias(x)) for x in ("x", "y")]
+            roots = [side.select("key", f"root_{x}").distinct() for side, x in zip(sides, "xy", strict=True)]
+            cross = roots[0].join(roots[1], "key").where("root_x < root_y")
+            both = cross.join(sides[0], ["key", "root_x"]).join(sides[1], ["key", "root_y"])
         else:
-            hubs = mixed.select("key", F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root"))
-            pairs = members.join(hubs, "key").where("root <> hub_root").select(*_pairs(F.col("fp"), F.col("hub")))
-        pairs = pairs.distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs, path = common.saved(pairs, "parity-pairs")
-        tested.append(pairs)
-        done.append(path)
-        links, path = common.saved(verifier.links(pairs), "parity-links")
-        found.append(links)
-        done.append(path)
-        if links.isEmpty():
-            if last:
-                break
-            continue
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        roots, path = components(every)
-        done.append(path)
+            both = members.select("key", "root", F.col("fp").alias("x"), F.col("n").alias("n_x")).join(mixed.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.fp").alias("y"), F.col("hub.n").alias("n_y")), "key").where("root <> hub_root")
+        fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+        groups.merge(both.where(fits).select(*_pairs(F.col("x"), F.col("y"))).distinct())
         if last:
             break
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
-    return roots, done
+    return _roots(spark, groups)
+
+
+def _roots(spark, groups: _Groups) -> tuple[DataFrame, list[str]]:
+    return groups.roots if groups.roots is not None else spark.createDataFrame([], "node long, root long"), groups.folders

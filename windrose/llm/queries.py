@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, parity_join, poisson_mix, surrogate, warc_zstd, winnow
+from . import chat_tree, parity_join, poisson_mix, sorted_projection, surrogate, warc_zstd, winnow
 from .common import shared_folder, table
 
 
@@ -47,6 +47,10 @@ def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(spark, folder, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projection.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 #: A key for tests; production passes its own secret.
 SURROGATE_KEY = "not a secret"
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_chat_tree": op3_chat_tree,
     "op4_winnowing": op4_winnowing,
     "op6_warc_zstd": op6_warc_zstd,
+    "op7_sorted_projection": op7_sorted_projection,
     "op8_surrogates": op8_surrogates,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_parity_join": op10_parity_join,

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, parity_join, poisson_mix, sorted_projection, surrogate, warc_zstd, winnow
+from . import chat_tree, mil_quality, parity_join, poisson_mix, sorted_projection, surrogate, toxicity, warc_zstd, winnow
 from .common import shared_folder, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -41,6 +46,11 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil_quality.quality(docs, mil_quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     manifest = warc_zstd.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -64,8 +74,10 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_chat_tree": op3_chat_tree,
     "op4_winnowing": op4_winnowing,
+    "op5_mil_quality": op5_mil_quality,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_sorted_projection": op7_sorted_projection,
     "op8_surrogates": op8_surrogates,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, mil_quality, parity_join, poisson_mix, sorted_projection, surrogate, toxicity, warc_zstd, winnow
+from . import chat_tree, mil_quality, parity_join, poisson_mix, sorted_projection, surrogate, token_rollup, toxicity, warc_zstd, winnow
 from .common import shared_folder, table
 
 
@@ -14,6 +14,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+#: Where the public vocabularies stand on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = token_rollup.Rollup(spark, shared_folder(spark, "tokens"))
+    counts = token_rollup.counted(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")
+    rollup.apply("load", token_rollup.inserts(counts))
+    rollup.apply("load", token_rollup.inserts(counts))  # sent twice, counted once
+    return rollup.totals()
+
+
 def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -75,6 +87,7 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_rollup": op2_token_rollup,
     "op3_chat_tree": op3_chat_tree,
     "op4_winnowing": op4_winnowing,
     "op5_mil_quality": op5_mil_quality,

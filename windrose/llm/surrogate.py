@@ -27,10 +27,11 @@ SECRET_WORDS = ["password", "passwd", "passwort", "pwd", "secret", "token", "api
 
 _NAME = r"\p{Lu}[\p{Ll}'’-]+"
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+_SECRET_HEAD = r"(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: In this order where two could begin at the same place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}(?![\p{L}\p{N}])",
-    "secret": r"(?<=(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{6,}|(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "secret": _SECRET_HEAD + r"[A-Za-z0-9+/_-]{6,}|(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[0-9])",
@@ -39,6 +40,8 @@ PATTERNS = {
     "name": r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.?\s{1,3}" + _NAME + r"(?: " + _NAME + r")?",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: A quick test that all texts with entities pass.
+_GATE = "[0-9@=:]|" + PATTERNS["name"]
 
 _ONSETS = {"latin": "b d f g k l m n p r s t v z".split(), "cyrillic": "б д ф г к л м н п р с т в з".split()}
 _VOWELS = {"latin": "a e i o".split(), "cyrillic": "а е и о".split()}
@@ -51,7 +54,8 @@ MAX_ATTEMPTS = 40
 def kind_of(m: Column) -> Column:
     """The type of a match, from its form."""
     return (
-        F.when(m.contains("@"), "email")
+        F.when(m.rlike("^" + _SECRET_HEAD), "secret")
+        .when(m.contains("@"), "email")
         .when(m.rlike("^(?:" + PATTERNS["iban"] + ")$"), "iban")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
@@ -80,13 +84,22 @@ def _base(x: Column, kind: Column) -> Column:
     )
 
 
+def _head(m: Column) -> Column:
+    """What stands before the entity in a match and stays: a title, or the word that names a secret."""
+    return F.when(kind_of(m) == "name", F.regexp_extract(m, r"^\S+\s+", 0)).when(kind_of(m) == "secret", F.regexp_extract(m, "^(?:" + _SECRET_HEAD + ")?", 0)).otherwise("")
+
+
+def _form(m: Column) -> Column:
+    return F.when(kind_of(m) == "secret", F.regexp_replace(m, "^" + _SECRET_HEAD, "")).otherwise(m)
+
+
 def entities(m: Column) -> Column:
     """Array of (kind, base, form) of a match: one, or of a name one for each of its words."""
     one = lambda kind, base, form: F.struct(kind.alias("kind"), base.alias("base"), form.alias("form"))
     words, gender = _name_words(m), _gender(m)
     surname = one(F.lit("surname"), F.lower(F.element_at(words, -1)), F.concat(F.element_at(words, -1), F.lit("|"), gender))
     given = one(F.lit("given"), F.lower(words[0]), F.concat(words[0], F.lit("|"), gender))
-    return F.when(kind_of(m) == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(one(kind_of(m), _base(m, kind_of(m)), m)))
+    return F.when(kind_of(m) == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(one(kind_of(m), _base(_form(m), kind_of(m)), _form(m))))
 
 
 def _stream(key: str, kind: Column, base: Column, attempt: Column) -> Column:
@@ -229,9 +242,10 @@ def with_surrogates(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text:
     depend on ``key``, which must be kept secret, and on the entity alone but for collisions, which depend on the corpus.
     A column named n_entities is replaced. An empty table gives an empty one.
     """
-    own = [c for c in docs.columns if c != "n_entities"]
-    matches = lambda t: F.when(t.rlike(ENTITY), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    hits = docs.where(F.col(text).rlike(ENTITY)).select(F.col(doc_id).alias("doc"), F.explode(matches(F.col(text))).alias("m"))
+    own = [c for c in docs.columns if c not in ("n_entities", "_matches", "_attempts")]
+    t = F.col(text)
+    matched = docs.select(*own).withColumn("_matches", F.when(t.rlike(_GATE) & t.rlike(ENTITY), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))))
+    hits = matched.where("_matches IS NOT NULL").select(F.col(doc_id).alias("doc"), F.explode("_matches").alias("m"))
     found, path = common.saved(hits.select("doc", F.explode(entities(F.col("m"))).alias("e")).select("doc", "e.*").distinct(), "pii-found")
     again, done = exceptions(found.select("kind", "base", "form"), key)
     own_again, again_path = common.saved(found.select("doc", "kind", "base").join(again, ["kind", "base"]).groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "base"), "attempt"))).alias("_attempts")), "pii-exceptions")
@@ -239,19 +253,17 @@ def with_surrogates(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text:
     rows = own_again.count()
     if rows:
         there = common.maybe_broadcast(own_again.withColumnRenamed("doc", "_doc"), rows, 500)
-        joined = docs.select(*own).join(there, F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
+        joined = matched.join(there, F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
         attempts = lambda e: F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws(":", e["kind"], e["base"])), F.lit(0))
     else:
-        joined = docs.select(*own)
+        joined = matched
         attempts = lambda e: F.lit(0)
 
     def one(m: Column) -> Column:
         made = F.transform(entities(m), lambda e: surrogate(e, attempts(e), key))
-        title = F.regexp_extract(m, r"^\S+\s+", 0)
-        return F.concat(F.when(kind_of(m) == "name", title).otherwise(""), F.array_join(made, " "))
+        return F.concat(_head(m), F.array_join(made, " "))
 
-    t = F.col(text)
     pieces = F.split(t, ENTITY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform(matches(t), one), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    new = {text: F.when(t.rlike(ENTITY), whole).otherwise(t), "n_entities": F.when(t.rlike(ENTITY), F.size(matches(t))).otherwise(0).cast("long")}
-    return joined.select(*own, *([] if "_attempts" not in joined.columns else ["_attempts"])).withColumns(new).select(*own, "n_entities")
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("_matches", one), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    new = {text: F.when(F.col("_matches").isNotNull(), whole).otherwise(t), "n_entities": F.when(F.col("_matches").isNotNull(), F.size("_matches")).otherwise(0).cast("long")}
+    return joined.withColumns(new).select(*own, "n_entities")

@@ -9,14 +9,12 @@ Sizes are banded; a set is keyed by the chunks of its own band and, if it is lar
 Chunks without shingles say nothing. A scheme has z chunks more than needed, so that z + 1 chunks of a linked pair
 agree, and a set with at most z empty chunks need not be keyed by those; one with more is.
 
-Equal sets are one node. Of small buckets of equal keys all pairs are made. In larger ones one member, the hub, is
-paired in each round with those of other components, and links found merge components; when few pairs of different
-components are left, all of those are made. So each pair of different components that shares a key is tested, and no
-link between components is lost, while groups of thousands of near copies cost a few comparisons a member.
-
-Candidates pass the Hamming bound first. Nearly all that do are linked, so their sets are compared in an order that
-merges components early: each node with its least neighbour, then one pair for each two components, then all pairs whose
-components still differ.
+Equal sets are one node. Pairs that share a small bucket (equal keys) are joined. Sets that larger buckets tie together
+form clusters, which are dealt into blocks of bounded size; every block meets every block of its cluster in a group that
+compares sketches by bits and gives out, of the pairs within the Hamming bound, those that join the group's components:
+groups of thousands of near copies cost their bits, not their pairs. The exact intersections of these are then taken,
+and links found make components. A second time over, all pairs within the bound whose components still differ are given
+out and compared. So each pair of different components that shares a key is tested, and no component stays apart.
 """
 
 from __future__ import annotations
@@ -36,13 +34,9 @@ from .textvec import NONSPACE_BYTES, U64, grams, mix, words
 #: The largest size of a band over its smallest.
 BAND_GROWTH = 1.5
 #: Bits of a sketch for each element that linked sets may differ by.
-SKETCH_BITS = 4
-#: All pairs are made of buckets with so many members at most; larger ones go by hubs...
-SMALL_BUCKET = 48
-#: ...until the pairs of different components left in them are this many times the bucket rows at most...
-EXPAND_TIMES = 2
-#: ...or for so many rounds.
-MAX_ROUNDS = 8
+SKETCH_BITS = 16
+#: All pairs are made of buckets with so many members at most; members of larger ones are compared in blocks of BLOCK.
+SMALL_BUCKET, BLOCK = 48, 2048
 
 _HASH_BITS = U64(52)
 
@@ -189,11 +183,11 @@ def _hamming(a: Column, b: Column) -> Column:
 class _Verifier:
     """Tests pairs of sets: the bound of the sketches first, then the sets themselves."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
-        self.nodes, self.sets, self.percent = nodes, sets, percent
+    def __init__(self, nodes: DataFrame, percent: int):
+        self.nodes, self.percent = nodes, percent
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those that their sketches don't rule out, with the share by which these differ."""
+        """Of distinct pairs (a, b), those that their sketches don't rule out."""
         p = self.percent
         side = lambda x: self.nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "own", "following")], F.col("fp").alias(x))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -203,19 +197,15 @@ class _Verifier:
             .when(F.col("band_a") + 1 == F.col("band_b"), _hamming(F.col("following_a"), F.col("own_b")))
             .when(F.col("band_b") + 1 == F.col("band_a"), _hamming(F.col("own_a"), F.col("following_b")))
         )
-        return both.select("a", "b", total.alias("total"), distance.alias("distance")).where((100 + p) * F.col("distance") <= (100 - p) * F.col("total")).select("a", "b", (F.col("distance") / F.col("total")).alias("differ"))
+        return both.select("a", "b", total.alias("total"), distance.alias("distance")).where((100 + p) * F.col("distance") <= (100 - p) * F.col("total")).select("a", "b")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of pairs (a, b), those with 100 * intersection >= percent * union."""
-        whole = lambda x: self.sets.select(F.col("fp").alias(x), F.col("elements").alias(f"set_{x}"))
+        whole = lambda x: sets.select(F.col("fp").alias(x), F.col("elements").alias(f"set_{x}"))
         met = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", (F.size("set_a") + F.size("set_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
         return met.where(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _pairs(left: Column, right: Column) -> list[Column]:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
-
-
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles (size of its set) and component_id (least doc_id reachable).
 
@@ -242,6 +232,59 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return result
 
 
+def _close_pairs(percent: int, forest: bool):
+    """For a group of one or two blocks: pairs within the Hamming bound of one cluster and different roots; as a forest,
+    only those that join what no pair before has joined."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n, band, fp = (group[c].to_numpy() for c in ("n", "band", "fp"))
+        cluster, root, side = (group[c].to_numpy() for c in ("cluster", "root", "side"))
+        across = group["i"][0].as_py() != group["j"][0].as_py()
+        lists = {c: group[c].combine_chunks() for c in ("own", "following")}
+        parent: dict[int, int] = {}
+
+        def find(i):
+            while (up := parent.get(i, i)) != i:
+                parent[i] = up = parent.get(up, up)
+                i = up
+            return i
+
+        def matrix(name, rows):
+            return lists[name].take(pa.array(rows)).flatten().to_numpy().view(U64).reshape(len(rows), -1)
+
+        found = []
+        for v in np.unique(band):
+            own = np.flatnonzero(band == v)
+            mine = matrix("own", own)
+            for other, theirs in ((own, mine), (below := np.flatnonzero(band == v - 1), matrix("following", below) if len(below) else None)):
+                if not len(other):
+                    continue
+                step = max(1, (1 << 21) // (len(other) * mine.shape[1]))
+                for at in range(0, len(own), step):
+                    part = own[at : at + step]
+                    total = n[part][:, None] + n[other][None, :]
+                    fits = (100 * np.minimum(n[part][:, None], n[other][None, :]) >= percent * np.maximum(n[part][:, None], n[other][None, :])) & (cluster[part][:, None] == cluster[other][None, :]) & (root[part][:, None] != root[other][None, :])
+                    fits &= side[part][:, None] != side[other][None, :] if across else part[:, None] != other[None, :]
+                    if other is own:
+                        fits &= part[:, None] < other[None, :]
+                    if not fits.any():
+                        continue
+                    apart = np.bitwise_count(mine[at : at + step][:, None, :] ^ theirs[None, :, :]).sum(2, dtype=np.int64)
+                    x, y = np.nonzero(fits & ((100 + percent) * apart <= (100 - percent) * total))
+                    for i, j in zip(part[x].tolist(), other[y].tolist(), strict=True):
+                        if forest:
+                            a, b = find(i), find(j)
+                            if a == b:
+                                continue
+                            parent[b] = a
+                        found.append((i, j))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        ends = np.sort(fp[at], 1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return run
+
+
 def _buckets(signed: DataFrame) -> DataFrame:
     """(key, fp, n, many) of the keys that two different sets have, each set once; many: the sets that have the key."""
     keys = signed.select("fp", "n", F.explode("keys").alias("key"))
@@ -251,97 +294,75 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return counted.where("many > 1 AND (before IS NULL OR before <> fp)").select("key", "fp", "n", "many")
 
 
-class _Groups:
-    """Components of the links found so far."""
-
-    def __init__(self, verifier: _Verifier):
-        self.verifier, self.links, self.roots, self.folders = verifier, [], None, []
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df, path = common.saved(df, name)
-        self.folders.append(path)
-        return df
-
-    def root(self, df: DataFrame, node: str, name: str) -> DataFrame:
-        """Adds the component that a node is in."""
-        if self.roots is None:
-            return df.withColumn(name, F.col(node))
-        there = self.roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
-        return df.join(there, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
-
-    def compare(self, pairs: DataFrame) -> bool:
-        """Compares sets; whether any are linked."""
-        links = self.keep(self.verifier.linked(pairs), "parity-links")
-        if links.isEmpty():
-            return False
-        self.links.append(links)
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.unionByName(more)
-        self.roots, path = components(every)
-        self.folders.append(path)
-        return True
-
-    def merge(self, pairs: DataFrame) -> None:
-        """Tests distinct pairs as far as their components differ."""
-        near = self.keep(self.verifier.near(pairs), "parity-near")
-        tested = near.limit(0).select("a", "b")
-        for turn in ("node", "roots", "roots", "rest"):
-            cross = self.root(self.root(near, "a", "root_a"), "b", "root_b").where("root_a <> root_b").join(tested, ["a", "b"], "left_anti")
-            cross = self.keep(cross.select("a", "b", "differ", F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")), "parity-cross")
-            if cross.isEmpty():
-                return
-            if turn == "node":
-                pick = cross.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            elif turn == "roots":
-                pick = cross.groupBy("x", "y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b")
-            else:
-                pick = cross.select("a", "b")
-            pick = self.keep(pick, "parity-pick")
-            self.compare(pick)
-            tested = tested.unionByName(pick)
+def _clustered(buckets: DataFrame, keep) -> DataFrame | None:
+    """(fp, cluster, size) of the sets that large buckets tie together, or None."""
+    large = keep(buckets.where(F.col("many") > SMALL_BUCKET).select("key", "fp"), "parity-large")
+    if large.isEmpty():
+        return None
+    hubs = large.groupBy("key").agg(F.min("fp").alias("hub"))
+    roots, path = components(large.join(hubs, "key").select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
+    clusters = roots.select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+    sized = keep(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster"), "parity-clusters")
+    common.remove(buckets.sparkSession, path)
+    return sized
+
+
+def _block_pairs(clusters: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of _close_pairs from all blocks; ``nodes`` has a root for each set."""
+    rows = clusters.join(nodes, "fp")
+    bins = max(1, clusters.count() * 2 // BLOCK)
+    sketch = ["fp", "n", "band", "own", "following", "cluster", "root"]
+    zero = F.lit(0).cast("long")
+    small = rows.where(F.col("size") <= BLOCK).select(F.lit(-1).cast("long").alias("whole"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("i"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("j"), F.lit(0).alias("side"), *sketch)
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = rows.where(F.col("size") > BLOCK).withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("fp"), blocks)}).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    large = dealt.select(F.col("cluster").alias("whole"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *sketch)
+    return small.unionByName(large).groupBy("whole", "i", "j").applyInArrow(_close_pairs(percent, forest), "a long, b long")
+
+
+def _rooted(df: DataFrame, roots: DataFrame | None, node: str, name: str) -> DataFrame:
+    """Adds the component that a node is in."""
+    if roots is None:
+        return df.withColumn(name, F.col(node))
+    there = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return df.join(there, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
 def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[str]]:
     """(node, root) of the linked sets, and the folders to remove once it has been used."""
     spark = plain.sparkSession
-    nodes = buckets.select("fp").distinct()
-    kept, kept_path = common.saved(signed.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "band", "own", "following")).alias("x")).select("fp", "x.*"), "parity-nodes")
-    rows = kept.count()
-    wanted = common.maybe_broadcast(kept.select("doc_id").distinct(), rows, 16)
-    sets, sets_path = common.saved(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(kept.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"]), "parity-sets")
-    groups = _Groups(_Verifier(kept, sets, percent))
-    groups.folders += [kept_path, sets_path]
+    folders: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df, path = common.saved(df, name)
+        folders.append(path)
+        return df
+
+    own = signed.join(buckets.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "band", "own", "following")).alias("x"))
+    nodes = keep(own.select("fp", "x.*"), "parity-nodes")
+    verifier = _Verifier(nodes, percent)
     small = buckets.where(F.col("many") <= SMALL_BUCKET)
     one, two = (small.select("key", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    groups.merge(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
-    large = groups.keep(buckets.where(F.col("many") > SMALL_BUCKET).select("key", "fp", "n"), "parity-large")
-    if large.isEmpty():
-        return _roots(spark, groups)
-    size = buckets.count()
-    for turn in range(MAX_ROUNDS + 1):
-        members = groups.keep(groups.root(large, "fp", "root"), "parity-members")
-        parts = members.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp"), F.col("n"))).alias("first"))
-        mixed = groups.keep(parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("size").alias("total"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.min(F.struct("size", "first.h", "first.fp", "first.n", "root")).alias("hub")).where("roots > 1"), "parity-mixed")
-        left = mixed.agg(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = turn == MAX_ROUNDS or turn and left <= EXPAND_TIMES * size
-        if last:
-            some = members.join(mixed.select("key"), "key", "left_semi")
-            sides = [some.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "n")], F.col("fp").alias(x)) for x in ("x", "y")]
-            roots = [side.select("key", f"root_{x}").distinct() for side, x in zip(sides, "xy", strict=True)]
-            cross = roots[0].join(roots[1], "key").where("root_x < root_y")
-            both = cross.join(sides[0], ["key", "root_x"]).join(sides[1], ["key", "root_y"])
-        else:
-            both = members.select("key", "root", F.col("fp").alias("x"), F.col("n").alias("n_x")).join(mixed.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.fp").alias("y"), F.col("hub.n").alias("n_y")), "key").where("root <> hub_root")
-        fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-        groups.merge(both.where(fits).select(*_pairs(F.col("x"), F.col("y"))).distinct())
-        if last:
-            break
-    return _roots(spark, groups)
-
-
-def _roots(spark, groups: _Groups) -> tuple[DataFrame, list[str]]:
-    return groups.roots if groups.roots is not None else spark.createDataFrame([], "node long, root long"), groups.folders
+    near = keep(verifier.near(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()), "parity-near")
+    clusters = _clustered(buckets, keep)
+    pick = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    if clusters is not None:
+        pick = pick.unionByName(_block_pairs(clusters, nodes.withColumn("root", F.col("fp")), percent, True))
+    pick = keep(pick.distinct(), "parity-pick")
+    wanted = keep(nodes.join(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp") if clusters is not None else near.select(F.col("a").alias("fp")).limit(0)).distinct(), "fp", "left_semi").select("doc_id", "fp"), "parity-wanted")
+    rows = wanted.count()
+    docs = plain.join(common.maybe_broadcast(wanted.select("doc_id").distinct(), rows, 16), "doc_id", "left_semi")
+    sets = keep(docs.mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(wanted.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"]), "parity-sets")
+    links = keep(verifier.linked(pick, sets), "parity-links")
+    roots, path = components(links)
+    folders.append(path)
+    rest = _rooted(_rooted(near.select("a", "b"), roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
+    if clusters is not None:
+        rest = rest.unionByName(_block_pairs(clusters, _rooted(nodes, roots, "fp", "root"), percent, False))
+    rest = keep(rest.distinct().join(pick, ["a", "b"], "left_anti"), "parity-rest")
+    more = keep(verifier.linked(rest, sets), "parity-more")
+    if not more.isEmpty():
+        roots, path = components(links.unionByName(more))
+        folders.append(path)
+    return roots, folders

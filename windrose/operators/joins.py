@@ -89,17 +89,27 @@ def box_exclusion(patches: DataFrame, fixes: DataFrame, *, time: str, fix_time:
     return patches.join(f, (F.col(time) == F.col("_t")) & (F.abs(F.col("_lat") - F.col(lat)) <= half) & (off <= half), "left_anti")
 
 
-def nearest_with_age(left: DataFrame, systems: DataFrame, *, key: str, left_at: tuple[str, str], left_time: Column, system_key: str, system_at: tuple[str, str], system_time: Column, km_per_hour: float = 5.0, on: list[str] | None = None) -> DataFrame:
-    """For each left row the system that is least in distance + ``km_per_hour`` * age (ties: least key).
+def nearest_with_age(left: DataFrame, systems: DataFrame, *, left_at: tuple[str, str], left_time: str, key: str, system_at: tuple[str, str], system_time: str, km_per_hour: float = 5.0, on: list[str] | None = None, most: int = 20_000) -> DataFrame:
+    """Left rows with the system that is least in distance + ``km_per_hour`` * age (ties: least ``key``): its key,
+    distance_km and age_hours, null without systems.
 
-    Every system counts for every row: the systems are a cycle's active storms, a table of known small size, and are
-    broadcast; ``on`` narrows them to a key. Rows without a system have nulls.
+    All systems (of the same ``on``) count for a row, so they travel as one array: a cycle's active storms are a few
+    dozen. ValueError where they are over ``most`` in one array.
     """
-    distance = geo.haversine_km(F.col(left_at[0]), F.col(left_at[1]), F.col(system_at[0]), F.col(system_at[1]))
-    age = F.abs(when.hours_between(left_time, system_time))
-    pairs = left.join(F.broadcast(systems), on if on else F.lit(True), "left")
-    best = F.min(F.struct((distance + km_per_hour * age).alias("score"), F.col(system_key).alias("id"), distance.alias("km"), age.alias("h")))
-    return pairs.groupBy(key).agg(best.alias("b")).select(key, F.col("b.id").alias(system_key), F.col("b.km").alias("distance_km"), F.col("b.h").alias("age_hours"), F.col("b.score").alias("score"))
+    item = F.struct(F.col(key).alias("key"), F.col(system_at[0]).alias("lat"), F.col(system_at[1]).alias("lon"), F.col(system_time).alias("time"))
+    arrays = systems.groupBy(*(on or [F.lit(0).alias("_all")])).agg(F.count("*").alias("_n"), F.collect_list(item).alias("_systems"))
+    largest = systems.groupBy(*(on or [])).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"{largest} systems in one group; {most} at most")
+    met = left.join(arrays, on, "left") if on else left.withColumn("_all", F.lit(0)).join(F.broadcast(arrays), "_all", "left").drop("_all")
+    rated = F.transform("_systems", lambda s: F.struct(*_rating(s, left_at, left_time, km_per_hour)))
+    return met.withColumn("_b", F.array_min(rated)).withColumns({key: F.col("_b.key"), "distance_km": F.col("_b.km"), "age_hours": F.col("_b.hours")}).drop("_n", "_systems", "_b")
+
+
+def _rating(s: Column, left_at: tuple[str, str], left_time: str, km_per_hour: float) -> list[Column]:
+    km = geo.haversine_km(F.col(left_at[0]), F.col(left_at[1]), s["lat"], s["lon"])
+    hours = F.abs(when.hours_between(F.col(left_time), s["time"]))
+    return [(km + km_per_hour * hours).alias("score"), s["key"].alias("key"), km.alias("km"), hours.alias("hours")]
 
 
 def greedy_match(pairs: DataFrame, *, group: list[str], left: str, right: str, distance: str) -> DataFrame:

@@ -52,7 +52,7 @@ IDENTITY_GROUPS = [
 PREFIXES = range(3, 9)
 #: A feature is kept if its likelihood ratio against the label is at least this, and it speaks for toxicity.
 LEAST_RATIO = 22.0
-MAX_FEATURES = 4000
+MAX_FEATURES = 2000
 #: Weights of the L2 penalty, and of the squared change of score under swaps.
 RIDGE, COUNTERFACTUAL = 2e-4, 1.0
 MEMO_WORDS = 300_000
@@ -129,23 +129,26 @@ def fit(rows: list[tuple[str, int, float]], *, counterfactual: float = COUNTERFA
         share = total[1] / (total[0] + total[1]) if rows else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(math.log(share / (1 - share)), {})
-    counts = [Counter(), Counter()]
-    said = []
+    k1s: Counter = Counter()
     for text, y, _ in rows:
-        own = features(text_words(text))
-        said.append(own)
-        counts[y].update(own)
+        if y:
+            k1s.update(features(text_words(text)))
+    k1s = Counter({f: k for f, k in k1s.items() if k >= 3})
+    k0s: Counter = Counter()
+    for text, y, _ in rows:
+        if not y:
+            k0s.update(features(text_words(text)) & k1s.keys())
     rated = []
-    for f, k1 in counts[1].items():
-        k0 = counts[0].get(f, 0)
-        if k1 >= 3 and k1 * n[0] > 2 * k0 * n[1] and (r := _ratio(k1, n[1], k0, n[0])) >= LEAST_RATIO:
+    for f, k1 in k1s.items():
+        k0 = k0s.get(f, 0)
+        if k1 * n[0] > 2 * k0 * n[1] and (r := _ratio(k1, n[1], k0, n[0])) >= LEAST_RATIO:
             rated.append((-r, f))
     names = [f for _, f in sorted(rated)[:MAX_FEATURES]]
+    del k1s, k0s, rated
     index = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
-    for i, own in enumerate(said):
-        x[i, [index[f] for f in own if f in index]] = 1
-    said.clear()
+    for i, (text, _, _) in enumerate(rows):
+        x[i, [index[f] for f in features(text_words(text)) & index.keys()]] = 1
     y = np.array([r[1] for r in rows], np.float32)
     weight = np.array([r[2] for r in rows], np.float32)
     weight /= weight.sum()

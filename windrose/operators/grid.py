@@ -180,7 +180,7 @@ def scored(patch: DataFrame, scorer, columns: list[str], batch: int = 256) -> Da
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType(patch.schema.fields)
+    schema = StructType(list(patch.schema.fields))
     for c in columns:
         schema = schema.add(c, DoubleType())
     return patch.mapInPandas(run, schema)

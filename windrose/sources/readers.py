@@ -65,7 +65,7 @@ def thresholds(spark: SparkSession, path: str) -> dict[str, float]:
 def channel_statistics(spark: SparkSession, path: str, channels: int = 137) -> DataFrame:
     """idx, mean, std > 0; where the land mask's row is missing it is added as it stands (0, 1)."""
     stats = spark.read.schema("idx int, mean double, std double").parquet(path)
-    r = stats.agg(F.count("*").alias("n"), F.count_if("std <= 0 OR isnan(mean) OR isnan(std)").alias("bad")).first()
+    r = stats.agg(F.count("*").alias("n"), F.count_if(F.expr("std <= 0 OR isnan(mean) OR isnan(std)")).alias("bad")).first()
     if r["bad"] or r["n"] not in (channels - 1, channels):
         raise ValueError(f"{r['n']} rows, {r['bad']} unusable")
     return stats if r["n"] == channels else stats.unionByName(spark.createDataFrame([(channels - 1, 0.0, 1.0)], "idx int, mean double, std double"))

@@ -87,8 +87,10 @@ def _ancestry(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
         if len(steps) > limit:
             roots = going.select("tree_id", F.col("up").alias("node_id")).distinct().join(now, ["tree_id", "node_id"]).groupBy("tree_id", "least").agg(F.count("*").alias("n")).select("tree_id", F.col("least").alias("node_id"), F.lit(True).alias("cut"))
             opened = nodes.join(roots, ["tree_id", "node_id"], "left").withColumn("parent_id", F.when(F.col("cut"), None).otherwise(F.col("parent_id"))).drop("cut")
+            opened, path = common.saved(opened, "chat-opened")
             common.remove(spark, *folders)
-            return _ancestry(opened)
+            steps, depths, folders = _ancestry(opened)
+            return steps, depths, [path, *folders]
         steps.append(going.select("tree_id", "node_id", "up"))
         # what stands further up: of nodes already settled in an earlier round too
         above = now if len(settled) == 1 else now.select("tree_id", "node_id", "up", "total", "depth", "least").unionByName(_all(settled[:-1]).withColumns({"up": F.lit(None).cast("long"), "least": F.col("node_id")}))

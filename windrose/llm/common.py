@@ -67,6 +67,11 @@ def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """At most four partitions for each core of the cluster: tables much smaller than their input need no more tasks."""
+    return df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hints a broadcast if the counted rows fit BROADCAST_BYTES; else Spark shuffles, and splits skew at run time."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -190,7 +190,7 @@ class _Verifier:
         """Of distinct pairs (a, b), those that their sketches don't rule out."""
         p = self.percent
         side = lambda x: self.nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "own", "following")], F.col("fp").alias(x))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = common.narrow(common.narrow(pairs.join(side("a"), "a")).join(side("b"), "b"))
         total = F.col("n_a") + F.col("n_b")
         distance = (
             F.when(F.col("band_a") == F.col("band_b"), _hamming(F.col("own_a"), F.col("own_b")))
@@ -202,7 +202,7 @@ class _Verifier:
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of pairs (a, b), those with 100 * intersection >= percent * union."""
         whole = lambda x: sets.select(F.col("fp").alias(x), F.col("elements").alias(f"set_{x}"))
-        met = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", (F.size("set_a") + F.size("set_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
+        met = common.narrow(common.narrow(pairs.join(whole("a"), "a")).join(whole("b"), "b")).select("a", "b", (F.size("set_a") + F.size("set_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
         return met.where(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
@@ -221,10 +221,11 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     signed, signed_path = common.saved(plain.mapInArrow(_sign(k, bands), _SIGNED), "parity-signed")
     buckets, buckets_path = common.saved(_buckets(signed), "parity-buckets")
     labels, done = _link(plain, signed, buckets, k, percent)
-    classes = signed.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
+    classes = common.narrow(signed.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep")))
     labelled = classes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("n", "fp", "fp2", "rep", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "root").select("n", "fp", "fp2", "component_id")
+    labelled = common.narrow(labelled)
+    least = common.narrow(labelled.groupBy("root").agg(F.min("rep").alias("component_id")))
+    named = common.narrow(labelled.join(least, "root").select("n", "fp", "fp2", "component_id"))
     whole = signed.select("doc_id", "n", "fp", "fp2")
     out = whole.where("n > 0").join(named, ["n", "fp", "fp2"]).select("doc_id", "n", "component_id").unionByName(whole.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     result, _ = common.saved(out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), "component_id"), "parity-result")
@@ -300,16 +301,16 @@ def _clustered(buckets: DataFrame, keep) -> DataFrame | None:
     if large.isEmpty():
         return None
     hubs = large.groupBy("key").agg(F.min("fp").alias("hub"))
-    roots, path = components(large.join(hubs, "key").select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
+    roots, path = components(common.narrow(large.join(common.narrow(hubs), "key")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a <> b"))
     clusters = roots.select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
-    sized = keep(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster"), "parity-clusters")
+    sized = keep(common.narrow(clusters.join(common.narrow(clusters.groupBy("cluster").agg(F.count("*").alias("size"))), "cluster")), "parity-clusters")
     common.remove(buckets.sparkSession, path)
     return sized
 
 
 def _block_pairs(clusters: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of _close_pairs from all blocks; ``nodes`` has a root for each set."""
-    rows = clusters.join(nodes, "fp")
+    rows = common.narrow(clusters.join(nodes, "fp"))
     bins = max(1, clusters.count() * 2 // BLOCK)
     sketch = ["fp", "n", "band", "own", "following", "cluster", "root"]
     zero = F.lit(0).cast("long")
@@ -317,7 +318,7 @@ def _block_pairs(clusters: DataFrame, nodes: DataFrame, percent: int, forest: bo
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = rows.where(F.col("size") > BLOCK).withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("fp"), blocks)}).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     large = dealt.select(F.col("cluster").alias("whole"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *sketch)
-    return small.unionByName(large).groupBy("whole", "i", "j").applyInArrow(_close_pairs(percent, forest), "a long, b long")
+    return common.narrow(small.unionByName(large).groupBy("whole", "i", "j").applyInArrow(_close_pairs(percent, forest), "a long, b long"))
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, node: str, name: str) -> DataFrame:
@@ -325,7 +326,7 @@ def _rooted(df: DataFrame, roots: DataFrame | None, node: str, name: str) -> Dat
     if roots is None:
         return df.withColumn(name, F.col(node))
     there = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
-    return df.join(there, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
+    return common.narrow(df.join(there, node, "left")).withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
 def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[str]]:
@@ -338,29 +339,30 @@ def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, perce
         folders.append(path)
         return df
 
-    own = signed.join(buckets.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "band", "own", "following")).alias("x"))
-    nodes = keep(own.select("fp", "x.*"), "parity-nodes")
+    own = signed.join(common.narrow(buckets.select("fp").distinct()), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "band", "own", "following")).alias("x"))
+    nodes = keep(common.narrow(own.select("fp", "x.*")), "parity-nodes")
     verifier = _Verifier(nodes, percent)
     small = buckets.where(F.col("many") <= SMALL_BUCKET)
     one, two = (small.select("key", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    near = keep(verifier.near(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()), "parity-near")
+    small_pairs = common.narrow(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b"))
+    near = keep(verifier.near(common.narrow(small_pairs.distinct())), "parity-near")
     clusters = _clustered(buckets, keep)
-    pick = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pick = common.narrow(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     if clusters is not None:
         pick = pick.unionByName(_block_pairs(clusters, nodes.withColumn("root", F.col("fp")), percent, True))
-    pick = keep(pick.distinct(), "parity-pick")
-    wanted = keep(nodes.join(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp") if clusters is not None else near.select(F.col("a").alias("fp")).limit(0)).distinct(), "fp", "left_semi").select("doc_id", "fp"), "parity-wanted")
+    pick = keep(common.narrow(pick.distinct()), "parity-pick")
+    wanted = keep(common.narrow(nodes.join(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp") if clusters is not None else near.select(F.col("a").alias("fp")).limit(0)).distinct(), "fp", "left_semi").select("doc_id", "fp")), "parity-wanted")
     rows = wanted.count()
     docs = plain.join(common.maybe_broadcast(wanted.select("doc_id").distinct(), rows, 16), "doc_id", "left_semi")
-    sets = keep(docs.mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(wanted.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"]), "parity-sets")
+    sets = keep(common.narrow(docs.mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(wanted.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"])), "parity-sets")
     links = keep(verifier.linked(pick, sets), "parity-links")
     roots, path = components(links)
     folders.append(path)
     rest = _rooted(_rooted(near.select("a", "b"), roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
     if clusters is not None:
         rest = rest.unionByName(_block_pairs(clusters, _rooted(nodes, roots, "fp", "root"), percent, False))
-    rest = keep(rest.distinct().join(pick, ["a", "b"], "left_anti"), "parity-rest")
+    rest = keep(common.narrow(rest.distinct().join(pick, ["a", "b"], "left_anti")), "parity-rest")
     more = keep(verifier.linked(rest, sets), "parity-more")
     if not more.isEmpty():
         roots, path = components(links.unionByName(more))

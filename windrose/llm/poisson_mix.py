@@ -47,10 +47,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, source: s
         for name, value in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
         weighed = counts.withColumn("weight", weight)
-    totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_rows"))
-    goal = F.col("all_rows") if target_rows is None else F.lit(target_rows)
-    rate = F.when(F.col("all_weight") > 0, goal * F.col("weight") / F.col("all_weight") / F.col("n")).otherwise(F.lit(0.0))
-    rated = weighed.join(F.broadcast(totals)).withColumn("rate", rate).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE).cast("int")))
+    all_weight, all_rows = weighed.agg(F.sum("weight"), F.sum("n")).first()
+    goal = (all_rows or 0) if target_rows is None else target_rows
+    rate = goal * F.col("weight") / (all_weight or 1.0) / F.col("n")
+    rated = weighed.withColumn("rate", rate.cast("double")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE).cast("int")))
     return rated.select("source", "n", "rate", "parts", _cumulative(F.col("rate") / F.col("parts")).alias("cdf"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import metrics
+from .lineage import cut
 
 
 def shares(df: DataFrame, *, by: list[str], variable: str, value: str) -> DataFrame:
@@ -34,7 +35,7 @@ def permuted(df: DataFrame, column: str, *, key: str, seed: int = 0) -> DataFram
     from pyspark.sql import types as T
 
     def ranked(frame: DataFrame, order: Column, name: str) -> DataFrame:
-        part = frame.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).checkpoint()
+        part = cut(frame.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
         sizes = part.groupBy("_p").agg(F.count("*").alias("n")).collect()  # one row per partition
         base, total = {}, 0
         for r in sorted(sizes, key=lambda r: r["_p"]):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, physics
+from .lineage import cut
 
 
 def score_gate(ensemble: Column, cnn: Column, vit: Column, at: float, least_expert: float) -> Column:
@@ -45,14 +46,14 @@ def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat:
     share a cluster, named by its least core; other points near a core join the least cluster near them; the rest is
     left out. Labels travel a doubling distance per round, each checkpointed."""
     on = on or []
-    near = _pairs(points, km, on, key, lat, lon).checkpoint()
+    near = cut(_pairs(points, km, on, key, lat, lon))
     cores = near.groupBy(*on, key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*on, key)
-    links = near.join(cores, [*on, key]).join(cores.withColumnRenamed(key, "_key"), [*on, "_key"]).checkpoint()
-    label = cores.withColumn("cluster", F.col(key)).checkpoint()
+    links = cut(near.join(cores, [*on, key]).join(cores.withColumnRenamed(key, "_key"), [*on, "_key"]))
+    label = cut(cores.withColumn("cluster", F.col(key)))
     for _ in range(rounds):
         around = links.join(label.withColumnRenamed(key, "_key"), [*on, "_key"]).groupBy(*on, key).agg(F.min("cluster").alias("cluster"))
         jump = around.join(label.select(*on, F.col(key).alias("cluster"), F.col("cluster").alias("_next")), [*on, "cluster"], "left")
-        new = jump.select(*on, key, F.least("cluster", "_next").alias("cluster")).checkpoint()
+        new = cut(jump.select(*on, key, F.least("cluster", "_next").alias("cluster")))
         changed = new.join(label.withColumnRenamed("cluster", "_old"), [*on, key]).where("cluster <> _old").isEmpty()
         label = new
         if changed:

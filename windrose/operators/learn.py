@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import physics
 from . import metrics
+from .lineage import cut
 
 
 def hit_label(status: Column) -> Column:
@@ -72,7 +73,7 @@ def probability(model, df: DataFrame, columns: list[str], name: str) -> DataFram
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, key: str, *, k: int = 5, name: str = "oof", **options) -> DataFrame:
     """Each row with the probability of a model that hasn't seen its fold."""
-    dealt = folds(df, label, key, k).checkpoint()
+    dealt = cut(folds(df, label, key, k))
     parts = []
     for i in range(k):
         train = dealt.where(F.col("fold") != i)
@@ -88,7 +89,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, key: str, *, k: i
 
 def post_classifier(df: DataFrame, columns: list[str], label: str, key: str, *, rules: Column, c: float = 0.35) -> dict:
     """The JSON document of a fitted post-classifier: coefficients, scaling, and validation against the rules."""
-    oof = out_of_fold(df, columns, label, key, c=c).checkpoint()
+    oof = cut(out_of_fold(df, columns, label, key, c=c))
     best = metrics.sweep(oof, F.col(label), F.col("oof")).first()
     rule = metrics.confusion(df.withColumn("_r", rules.cast("double")), F.col(label), F.col("_r"), 0.5, epsilon=0.0 + 1e-12).first()
     ready, how = imputed_scaled(df, columns)

@@ -51,6 +51,11 @@ _SURNAMES = {("latin", "m"): "sten", ("latin", "f"): "sten", ("latin", "x"): "st
 MAX_ATTEMPTS = 40
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often (and in whatever loops) the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_of(m: Column) -> Column:
     """The type of a match, from its form."""
     return (
@@ -84,22 +89,22 @@ def _base(x: Column, kind: Column) -> Column:
     )
 
 
-def _head(m: Column) -> Column:
+def _head(m: Column, kind: Column) -> Column:
     """What stands before the entity in a match and stays: a title, or the word that names a secret."""
-    return F.when(kind_of(m) == "name", F.regexp_extract(m, r"^\S+\s+", 0)).when(kind_of(m) == "secret", F.regexp_extract(m, "^(?:" + _SECRET_HEAD + ")?", 0)).otherwise("")
+    return F.when(kind == "name", F.regexp_extract(m, r"^\S+\s+", 0)).when(kind == "secret", F.regexp_extract(m, "^(?:" + _SECRET_HEAD + ")?", 0)).otherwise("")
 
 
-def _form(m: Column) -> Column:
-    return F.when(kind_of(m) == "secret", F.regexp_replace(m, "^" + _SECRET_HEAD, "")).otherwise(m)
+def _form(m: Column, kind: Column) -> Column:
+    return F.when(kind == "secret", F.regexp_replace(m, "^" + _SECRET_HEAD, "")).otherwise(m)
 
 
-def entities(m: Column) -> Column:
-    """Array of (kind, base, form) of a match: one, or of a name one for each of its words."""
+def entities(m: Column, kind: Column) -> Column:
+    """Array of (kind, base, form) of a match of a kind: one, or of a name one for each of its words."""
     one = lambda kind, base, form: F.struct(kind.alias("kind"), base.alias("base"), form.alias("form"))
     words, gender = _name_words(m), _gender(m)
     surname = one(F.lit("surname"), F.lower(F.element_at(words, -1)), F.concat(F.element_at(words, -1), F.lit("|"), gender))
     given = one(F.lit("given"), F.lower(words[0]), F.concat(words[0], F.lit("|"), gender))
-    return F.when(kind_of(m) == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(one(kind_of(m), _base(_form(m), kind_of(m)), _form(m))))
+    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(_let(_form(m, kind), lambda form: one(kind, _base(form, kind), form))))
 
 
 def _stream(key: str, kind: Column, base: Column, attempt: Column) -> Column:
@@ -117,29 +122,31 @@ def _chars(x: Column) -> Column:
     return F.split(x, "(?!^)(?!$)")
 
 
-def _digits_before(chars: Column, i: Column) -> Column:
-    return F.size(F.filter(F.slice(chars, F.lit(1), i), lambda c: c.rlike("[0-9]")))
+def _is_digit(c: Column) -> Column:
+    return c.between("0", "9")
 
 
 def _redigit(form: Column, stream: Column, keep: Column) -> Column:
     """Digits after the first ``keep`` ones replaced, by their place among the digits."""
-    chars = _chars(form)
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]") & (_digits_before(chars, i) >= keep), F.pmod(_number(stream, _digits_before(chars, i)), F.lit(10)).cast("string")).otherwise(c)), "")
+    state = lambda n, made: F.struct(n.alias("n"), made.alias("made"))
+    digit = lambda acc: F.when(acc["n"] >= keep, F.pmod(_number(stream, acc["n"]), F.lit(10)).cast("string"))
+    step = lambda acc, c: F.when(_is_digit(c), state(acc["n"] + 1, F.concat(acc["made"], F.coalesce(digit(acc), c)))).otherwise(state(acc["n"], F.concat(acc["made"], c)))
+    return F.aggregate(_chars(form), state(F.lit(0), F.lit("")), step, lambda acc: acc["made"])
 
 
 def _reshape(form: Column, stream: Column) -> Column:
     """Every letter and digit replaced by one of its class and case."""
     letter = lambda alphabet, i: F.substring(F.lit(alphabet), (F.pmod(_number(stream, i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
     return F.array_join(
-        F.transform(_chars(form), lambda c, i: F.when(c.rlike("[0-9]"), letter("0123456789", i)).when(c.rlike("\\p{Lu}"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).when(c.rlike("\\p{L}"), letter("abcdefghijklmnopqrstuvwxyz", i)).otherwise(c)),
+        F.transform(_chars(form), lambda c, i: F.when(_is_digit(c), letter("0123456789", i)).when(c.rlike("\\p{Lu}"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).when(c.rlike("\\p{L}"), letter("abcdefghijklmnopqrstuvwxyz", i)).otherwise(c)),
         "",
     )
 
 
 def _rehex(form: Column, stream: Column) -> Column:
     pick = lambda alphabet, i: F.substring(F.lit(alphabet), (F.pmod(_number(stream, i), F.lit(16)) + 1).cast("int"), F.lit(1))
-    upper = form.rlike("[A-F]")
-    return F.array_join(F.transform(_chars(form), lambda c, i: F.when(c.rlike("[0-9A-Fa-f]"), F.when(upper, pick("0123456789ABCDEF", i)).otherwise(pick("0123456789abcdef", i))).otherwise(c)), "")
+    every = lambda alphabet: F.array_join(F.transform(_chars(form), lambda c, i: pick(alphabet, i)), "")
+    return F.when(form.rlike("[A-F]"), every("0123456789ABCDEF")).otherwise(every("0123456789abcdef"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -152,20 +159,25 @@ def _luhn(digits: Column) -> Column:
 
 def _card(form: Column, stream: Column) -> Column:
     """All digits but the first replaced; the last makes the number as valid as it was."""
-    made = _redigit(form, stream, F.lit(1))
     plain = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    zeroed = F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.lit("0"))
-    right = F.pmod(F.lit(10) - _luhn(plain(zeroed)), F.lit(10))
-    valid = F.concat(F.substring(made, F.lit(1), F.length(made) - 1), right.cast("string"))
-    return F.when(_luhn(plain(form)) == 0, valid).otherwise(made)
+
+    def checked(made: Column) -> Column:
+        start = F.substring(made, F.lit(1), F.length(made) - 1)
+        right = F.pmod(F.lit(10) - _luhn(plain(F.concat(start, F.lit("0")))), F.lit(10))
+        return F.when(_luhn(plain(form)) == 0, F.concat(start, right.cast("string"))).otherwise(made)
+
+    return _let(_redigit(form, stream, F.lit(1)), checked)
 
 
 def _iban(form: Column, stream: Column) -> Column:
     """Country kept, the account replaced, check digits made right."""
-    body = _reshape(F.substring(form, F.lit(5), F.length(form)), stream)
-    ring = F.concat(F.regexp_replace(body, " ", ""), F.substring(form, 1, 2), F.lit("00"))
-    left = F.aggregate(_chars(ring), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), F.pmod(acc * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 55, F.lit(97))))
-    return F.concat(F.substring(form, 1, 2), F.lpad((98 - left).cast("string"), 2, "0"), body)
+
+    def checked(body: Column) -> Column:
+        ring = F.concat(F.regexp_replace(body, " ", ""), F.substring(form, 1, 2), F.lit("00"))
+        left = F.aggregate(_chars(ring), F.lit(0), lambda acc, c: F.when(_is_digit(c), F.pmod(acc * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 55, F.lit(97))))
+        return F.concat(F.substring(form, 1, 2), F.lpad((98 - left).cast("string"), 2, "0"), body)
+
+    return _let(_reshape(F.substring(form, F.lit(5), F.length(form)), stream), checked)
 
 
 def _ip(form: Column, stream: Column) -> Column:
@@ -199,8 +211,10 @@ def _country(form: Column) -> Column:
 
 def surrogate(e: Column, attempt: Column, key: str) -> Column:
     """What stands for an entity (kind, base, form)."""
-    kind, form = e["kind"], e["form"]
-    stream = _stream(key, kind, e["base"], attempt)
+    return _let(_stream(key, e["kind"], e["base"], attempt), lambda stream: _from_stream(e["kind"], e["form"], attempt, stream))
+
+
+def _from_stream(kind: Column, form: Column, attempt: Column, stream: Column) -> Column:
     return (
         F.when(kind == "email", _email(form, stream))
         .when(kind == "card", _card(form, stream))
@@ -218,19 +232,22 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
 def exceptions(found: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
     """(kind, base, attempt) of the entities (kind, base, form) whose first surrogate collides; folders to remove."""
     spark = found.sparkSession
-    real = found.groupBy("kind", "base").agg(F.min("form").alias("form"))
-    now, path = common.saved(real.withColumn("attempt", F.lit(0)), "pii-entities")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    made = lambda attempt: _base(surrogate(F.struct("kind", "base", "form"), attempt, key), F.col("kind"))
+    # the table is small in bytes but dear to compute: dealt to all cores, and each surrogate is made once
+    real = found.groupBy("kind", "base").agg(F.min("form").alias("form")).repartition(parts, "kind", "base")
+    now, path = common.saved(real.select("kind", "base", "form", F.lit(0).alias("attempt"), made(F.lit(0)).alias("made")), "pii-entities")
     done = [path]
     for _ in range(MAX_ATTEMPTS):
-        made = now.withColumn("made", _base(surrogate(F.struct("kind", "base", "form"), F.col("attempt"), key), F.col("kind")))
-        firsts = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "base")).alias("first"), F.count("*").alias("n"))
+        firsts = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "base")).alias("first"), F.count("*").alias("n"))
         taken = now.select("kind", F.col("base").alias("made"), F.lit(True).alias("taken"))
         clash = firsts.join(taken, ["kind", "made"], "left").where("n > 1 OR taken").select("kind", "made", F.when(F.col("taken"), None).otherwise(F.col("first.base")).alias("winner"))
-        losers, path = common.saved(made.join(clash, ["kind", "made"]).where("winner IS NULL OR winner <> base").select("kind", "base", F.lit(1).alias("again")), "pii-clashes")
+        losers, path = common.saved(now.join(clash, ["kind", "made"]).where("winner IS NULL OR winner <> base").select("kind", "base", F.lit(1).alias("again")), "pii-clashes")
         done.append(path)
         if losers.isEmpty():
             return now.where("attempt > 0").select("kind", "base", "attempt"), done
-        now, path = common.saved(now.join(losers, ["kind", "base"], "left").select("kind", "base", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-entities")
+        both = now.join(losers, ["kind", "base"], "left")
+        now, path = common.saved(both.select("kind", "base", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), F.when(F.col("again").isNull(), F.col("made")).otherwise(made(F.col("attempt") + 1)).alias("made")), "pii-entities")
         done.append(path)
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
@@ -244,9 +261,12 @@ def with_surrogates(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text:
     """
     own = [c for c in docs.columns if c not in ("n_entities", "_matches", "_attempts")]
     t = F.col(text)
-    matched = docs.select(*own).withColumn("_matches", F.when(t.rlike(_GATE) & t.rlike(ENTITY), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))))
-    hits = matched.where("_matches IS NOT NULL").select(F.col(doc_id).alias("doc"), F.explode("_matches").alias("m"))
-    found, path = common.saved(hits.select("doc", F.explode(entities(F.col("m"))).alias("e")).select("doc", "e.*").distinct(), "pii-found")
+    matches = F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
+    # explode_outer, as a filter of empty arrays would be pushed down and match everything twice
+    hits = docs.where(t.rlike(_GATE)).select(F.col(doc_id).alias("doc"), F.explode_outer(matches).alias("m")).where("m IS NOT NULL")
+    split = _let(kind_of(F.col("m")), lambda kind: entities(F.col("m"), kind))
+    found, path = common.saved(hits.select("doc", F.explode_outer(split).alias("e")).select("doc", "e.*").distinct(), "pii-found")
+    matched = docs.select(*own).withColumn("_matches", F.when(t.rlike(_GATE), matches))
     again, done = exceptions(found.select("kind", "base", "form"), key)
     own_again, again_path = common.saved(found.select("doc", "kind", "base").join(again, ["kind", "base"]).groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "base"), "attempt"))).alias("_attempts")), "pii-exceptions")
     common.remove(docs.sparkSession, path, *done)
@@ -259,11 +279,11 @@ def with_surrogates(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text:
         joined = matched
         attempts = lambda e: F.lit(0)
 
-    def one(m: Column) -> Column:
-        made = F.transform(entities(m), lambda e: surrogate(e, attempts(e), key))
-        return F.concat(_head(m), F.array_join(made, " "))
+    def one(m: Column, kind: Column) -> Column:
+        made = F.transform(entities(m, kind), lambda e: surrogate(e, attempts(e), key))
+        return F.concat(_head(m, kind), F.array_join(made, " "))
 
     pieces = F.split(t, ENTITY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("_matches", one), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    new = {text: F.when(F.col("_matches").isNotNull(), whole).otherwise(t), "n_entities": F.when(F.col("_matches").isNotNull(), F.size("_matches")).otherwise(0).cast("long")}
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("_matches", lambda m: _let(kind_of(m), lambda kind: one(m, kind))), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    new = {text: F.when(F.size("_matches") > 0, whole).otherwise(t), "n_entities": F.coalesce(F.size("_matches"), F.lit(0)).cast("long")}
     return joined.withColumns(new).select(*own, "n_entities")

@@ -86,7 +86,9 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     """
     common.ship(links.sparkSession)
     plain = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(True).alias("moved")).where("a <> b")
-    now, path = common.saved(common.narrow(plain).mapInArrow(_contract, _TREES), "links")
+    # a task's trees hold a node once at most; dealt by node, what all tasks know of one meets, and is contracted again
+    trees = common.narrow(plain).mapInArrow(_contract, _TREES).repartition("a")
+    now, path = common.saved(common.narrow(trees).mapInArrow(_contract, _TREES), "links")
     spark = links.sparkSession
     while True:
         following, new = common.saved(_round(now), "star")

@@ -286,5 +286,5 @@ def with_surrogates(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text:
 
     pieces = F.split(t, ENTITY, -1)
     whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("_matches", lambda m: _let(kind_of(m), lambda kind: one(m, kind))), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    new = {text: F.when(F.size("_matches") > 0, whole).otherwise(t), "n_entities": F.coalesce(F.size("_matches"), F.lit(0)).cast("long")}
+    new = {text: F.when(F.size("_matches") > 0, whole).otherwise(t), "n_entities": F.when(F.col("_matches").isNotNull(), F.size("_matches")).otherwise(0).cast("long")}
     return joined.withColumns(new).select(*own, "n_entities")

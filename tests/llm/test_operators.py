@@ -155,6 +155,18 @@ def test_blocks_count_exactly(spark, monkeypatch):
     assert {r["n_links"] for r in sorted_projection.similar_vectors(df).collect()} == {99}
 
 
+def test_small_components_count_in_every_bin(spark, monkeypatch):
+    monkeypatch.setattr(sorted_projection, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    rows = [(c + 0.05 * rng.standard_normal(24)).tolist() for c in rng.standard_normal((300, 24)) for _ in range(3)]
+    rows += rows[:50]
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in sorted_projection.similar_vectors(df).collect()} == dict(enumerate(want.tolist()))
+
+
 # --- 3: chats ----------------------------------------------------------------------------------------------------------
 
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double"

@@ -165,7 +165,7 @@ def similar_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
     bins = max(1, grouped.count() // BLOCK)
     sized = grouped.join(sizes, "root")
-    small = sized.where(F.col("size") <= BLOCK).select(F.lit(-1).cast("long").alias("whole"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "id", "root", "copies", "vector")
+    small = sized.where(F.col("size") <= BLOCK).select(F.lit(-1).cast("long").alias("whole"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("i"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("j"), F.lit(0).alias("side"), "id", "root", "copies", "vector")
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = sized.where(F.col("size") > BLOCK).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     large = dealt.select(F.col("root").alias("whole"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "root", "copies", "vector")

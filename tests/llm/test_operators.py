@@ -167,6 +167,22 @@ def test_small_components_count_in_every_bin(spark, monkeypatch):
     assert {r["vec_id"]: r["n_links"] for r in sorted_projection.similar_vectors(df).collect()} == dict(enumerate(want.tolist()))
 
 
+def test_passes_grow_with_the_table(spark):
+    """Isolated pairs just above the threshold over an even background, and few places to meet in."""
+    least = [sorted_projection.passes_for(n, 0.9, 48) for n in (0, 10_000, 1_000_000, 10_000_000)]
+    assert least[0] == 10 and least == sorted(least) and least[3] > least[2] > least[1]
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((400, 32))
+    y -= (y * x[:400]).sum(1)[:, None] * x[:400]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    rows = np.concatenate([x, 0.9001 * x[:400] + (1 - 0.9001**2) ** 0.5 * y]).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in sorted_projection.similar_vectors(df, width=2).collect()}
+    assert sum(got[3000 + i] == i for i in range(400)) >= 0.94 * 400
+
+
 # --- 3: chats ----------------------------------------------------------------------------------------------------------
 
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double"

@@ -12,6 +12,8 @@ as many times as it occurs, so copies are not compared with one another.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -24,6 +26,20 @@ from .components import components
 CODE_BITS = 62
 #: Members of a block: two blocks of 64 float32 numbers are half a MB, and their products 2 MB.
 BLOCK = 512
+#: Share of isolated pairs at a cosine of exactly ``least`` that the passes are to find, however many vectors there are.
+RECALL = 0.97
+LEAST_PASSES = 10
+
+
+def passes_for(n_rows: int, least: float, width: int) -> int:
+    """Passes that find such a pair among evenly spread vectors with a chance of RECALL.
+
+    A pass brings two vectors within ``width`` places if about log2(n_rows / width) leading signs agree, and each agrees
+    with a chance of 1 - angle / pi.
+    """
+    agree = 1 - math.acos(max(0.0, min(1.0, least))) / math.pi
+    once = agree ** math.log2(max(2.0, n_rows / width))
+    return LEAST_PASSES if once >= 1 else max(LEAST_PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-once)))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -52,8 +68,10 @@ def _codes(passes: int, seed: int):
                 if d not in planes:
                     planes[d] = np.random.Generator(np.random.PCG64([seed, int(d)])).standard_normal((d, passes * CODE_BITS))
                 x = values[start[rows][:, None] + np.arange(d)]
-                bits = (_unit(x) @ planes[d] > 0).reshape(len(rows), passes, CODE_BITS)
-                codes = (bits.astype(np.int64) << np.arange(CODE_BITS - 1, -1, -1)).sum(2)
+                unit, codes = _unit(x), np.empty((len(rows), passes), np.int64)
+                for p in range(passes):  # one at a time: a batch's memory doesn't grow with the passes
+                    bits = unit @ planes[d][:, p * CODE_BITS : (p + 1) * CODE_BITS] > 0
+                    codes[:, p] = (bits.astype(np.int64) << np.arange(CODE_BITS - 1, -1, -1)).sum(1)
                 raw = x.astype("<f8").tobytes()
                 step = 8 * int(d)
                 yield pa.RecordBatch.from_arrays(
@@ -136,28 +154,32 @@ def _counts(least: float):
     return run
 
 
-def similar_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int = 10, width: int = 48, seed: int = 11) -> DataFrame:
+def similar_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int | None = None, width: int = 48, seed: int = 11) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id (least id reachable by links) and kept.
 
     Vectors link when their cosine in double precision is at least ``least``. Those that are null, empty, zero, or hold a
     null or non-finite number link with nothing, nor do vectors of different lengths. Rows that repeat an id each get
     a row. Ids are integers; other columns are ignored. An empty table gives an empty one. No link found is below
-    ``least``; a component that no pass joins stays apart (see the README for the recall measured).
+    ``least``; a component that no pass joins stays apart (see the README for the recall measured). Without ``passes``,
+    their number follows from the counted rows (passes_for).
     """
     spark = vectors.sparkSession
     common.ship(spark)
     plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    if passes is None:
+        passes = passes_for(vectors.count(), least, width)
     coded, coded_path = common.saved(plain.mapInArrow(_codes(passes, seed), "id long, dim int, vector binary, codes array<long>"), "projection-codes")
     classed = coded.withColumn("same", F.sha2("vector", 256))
     classes, classes_path = common.saved(classed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "projection-classes")
     members, members_path = common.saved(classed.join(classes.select("same", "rep", "copies"), "same").where("id = rep").dropDuplicates(["rep", "same"]).select("id", "dim", "vector", "codes", "copies", "same"), "projection-members")
     done = [coded_path, classes_path, members_path]
-    links = None
+    found = []
     for p in range(passes):
         ordered = members.select("id", "vector", "dim", F.col("codes")[p].alias("code")).repartitionByRange("dim", "code").sortWithinPartitions("dim", "code").select("id", "vector")
-        some, path = common.saved(ordered.mapInArrow(_neighbours(width, least), "a long, b long"), "projection-links")
-        done.append(path)
-        links = some if links is None else links.unionByName(some)
+        _, path = common.saved(ordered.mapInArrow(_neighbours(width, least), "a long, b long"), "projection-links")
+        found.append(path)
+    done += found
+    links = spark.read.schema("a long, b long").parquet(*found)
     roots, roots_path = components(links.distinct())
     done.append(roots_path)
     grouped, path = common.saved(members.join(roots.select(F.col("node").alias("id"), "root"), "id").select("id", "root", "vector", "copies"), "projection-grouped")

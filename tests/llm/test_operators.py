@@ -95,6 +95,17 @@ def test_similar_groups_edges(spark):
     assert parity_join.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_similar_groups_null_ids(spark):
+    rng = random.Random(14)
+    base, bridge = words(rng, 200).split(), words(rng, 200).split()
+    near = lambda w, at, n: " ".join(w[:at] + [f"y{i}" for i in range(n)] + w[at + n :])
+    rows = [(None, " ".join(base)), (5, " ".join(base)), (6, near(base, 50, 3)), (None, near(base, 90, 3))]
+    rows += [(10, near(bridge, 20, 10)), (None, " ".join(bridge)), (11, near(bridge, 150, 10)), (None, words(rng, 50)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in parity_join.similar_groups(docs).collect()), key=str)
+    assert got == sorted([(None, 5), (5, 5), (6, 5), (None, 5), (10, 10), (None, 10), (11, 10), (None, None), (None, None)], key=str)
+
+
 def test_bands_never_miss():
     for percent in (80, 85):
         bands = parity_join.Bands(percent, 1 << 20)

@@ -131,7 +131,7 @@ def _chunk_keys(hashes: np.ndarray, cut: np.ndarray, scheme: np.ndarray, bands:
     return row[keep], mix(value ^ label)[keep]
 
 
-_SIGNED = "doc_id long, n int, band int, fp long, fp2 long, own array<long>, following array<long>, keys array<long>"
+_SIGNED = "doc_id long, text_hash long, n int, band int, fp long, fp2 long, own array<long>, following array<long>, keys array<long>"
 
 
 def _sign(k: int, bands: Bands):
@@ -152,6 +152,7 @@ def _sign(k: int, bands: Bands):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row0, n_rows),
+                        batch.column(2).slice(row0, n_rows),
                         pa.array(size.astype(np.int32)),
                         pa.array(band.astype(np.int32)),
                         pa.array(fp.view(np.int64)),
@@ -212,12 +213,13 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct runs of k words, or the whole
     sequence if it has fewer. Texts link when 100 * intersection >= percent * union. Null, empty and blank texts have an
     empty set, link with nothing and are their own component. Rows that repeat an id each get a row. Ids are integers;
-    other columns are ignored. An empty table gives an empty one. Sets are told apart by 64-bit hashes.
+    a row with a null id links like any other, and a component without any id has a null component_id; other columns are
+    ignored. An empty table gives an empty one. Sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     common.ship(spark)
     bands = Bands(percent)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("text_hash"))
     signed, signed_path = common.saved(plain.mapInArrow(_sign(k, bands), _SIGNED), "parity-signed")
     buckets, buckets_path = common.saved(_buckets(signed), "parity-buckets")
     labels, done = _link(plain, signed, buckets, k, percent)
@@ -339,7 +341,7 @@ def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, perce
         folders.append(path)
         return df
 
-    own = signed.join(common.narrow(buckets.select("fp").distinct()), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "band", "own", "following")).alias("x"))
+    own = signed.join(common.narrow(buckets.select("fp").distinct()), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "n", "band", "own", "following")).alias("x"))
     nodes = keep(common.narrow(own.select("fp", "x.*")), "parity-nodes")
     verifier = _Verifier(nodes, percent)
     small = buckets.where(F.col("many") <= SMALL_BUCKET)
@@ -352,9 +354,10 @@ def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, perce
     if clusters is not None:
         pick = pick.unionByName(_block_pairs(clusters, nodes.withColumn("root", F.col("fp")), percent, True))
     pick = keep(common.narrow(pick.distinct()), "parity-pick")
-    wanted = keep(common.narrow(nodes.join(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp") if clusters is not None else near.select(F.col("a").alias("fp")).limit(0)).distinct(), "fp", "left_semi").select("doc_id", "fp")), "parity-wanted")
+    wanted = keep(common.narrow(nodes.join(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp") if clusters is not None else near.select(F.col("a").alias("fp")).limit(0)).distinct(), "fp", "left_semi").select("text_hash", "fp")), "parity-wanted")
     rows = wanted.count()
-    docs = plain.join(common.maybe_broadcast(wanted.select("doc_id").distinct(), rows, 16), "doc_id", "left_semi")
+    # a node's text is found by its hash: ids may be null or repeat
+    docs = plain.join(common.maybe_broadcast(wanted.select("text_hash").distinct(), rows, 16), "text_hash", "left_semi").select("text_hash", "t")
     sets = keep(common.narrow(docs.mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(wanted.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"])), "parity-sets")
     links = keep(verifier.linked(pick, sets), "parity-links")
     roots, path = components(links)

@@ -24,13 +24,23 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 keeps the one with the least id (null ids stay)."""
-    groups = parity_join.similar_groups(docs, k=SHINGLE, percent=SIMILAR)
-    counted = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
-    copies = counted.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    left = docs.join(common.maybe_broadcast(copies, copies.count(), 16), F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
-    repeated = counted.where("rows > 1 AND doc_id = component_id").isEmpty()
-    return left if repeated else left.dropDuplicates(["doc_id"])
+    """Of each group of documents linked by five-word shingles at 0.8 keeps the one with the least id (null ids stay).
+
+    Rows are told apart by id and text. Of rows that repeat both one stays; of linked texts of one id, the one with the
+    least hash; texts that share an id but aren't linked are documents of their own.
+    """
+    groups = parity_join.grouped_rows(docs, k=SHINGLE, percent=SIMILAR).where("doc_id IS NOT NULL")
+    rows = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"), F.min("root").alias("root"))
+    least = rows.where("root IS NOT NULL AND doc_id = component_id")
+    shared = least.groupBy("root", "doc_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first <> last")
+    others = least.join(shared, ["root", "doc_id"]).where("text_hash <> first")
+    copies = rows.where("doc_id <> component_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
+    copies = copies.select(F.col("doc_id").alias("_copy"), F.col("text_hash").alias("_copy_hash"))
+    left = docs.join(common.maybe_broadcast(copies, copies.count(), 24), (F.col("doc_id").cast("long") == F.col("_copy")) & (F.xxhash64("text") == F.col("_copy_hash")), "left_anti")
+    if rows.where("rows > 1 AND doc_id = component_id").isEmpty():
+        return left
+    once = left.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return once.unionByName(left.where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

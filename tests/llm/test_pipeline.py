@@ -68,3 +68,20 @@ def test_repeated_rows_and_empty_tables(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert toxicity.fitted(docs.limit(0), spark.read.parquet(f"{folder}/labels.parquet")).weights == {}
+
+
+def test_null_and_shared_ids(spark, folder):
+    rng = random.Random(15)
+    words = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    a, b, c, d, e, f, g = (words(60) for _ in range(7))
+    rows = [(None, a), (None, b), (None, None), (3, c), (7, c + " z"), (7, d), (8, e), (8, e), (9, f), (9, f + " z"), (9, g), (12, ""), (12, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()]
+    nines = [x for x in got if x[0] == 9]
+    assert len(nines) == 2 and (9, g) in nines and set(nines) <= {(9, f), (9, f + " z"), (9, g)}
+    assert sorted((x for x in got if x[0] != 9), key=str) == sorted([(None, a), (None, b), (None, None), (3, c), (7, d), (8, e), (12, ""), (12, None)], key=str)
+    rows = [(None, item), (None, a), (None, None), (4, item + " z"), (4, b), (5, item), (5, item), (6, c), (6, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, folder).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, None), (4, b), (6, c), (6, c)], key=str)

@@ -216,6 +216,12 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     a row with a null id links like any other, and a component without any id has a null component_id; other columns are
     ignored. An empty table gives an empty one. Sets are told apart by 64-bit hashes.
     """
+    return grouped_rows(docs, doc_id=doc_id, text=text, k=k, percent=percent).select(doc_id, "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of similar_groups with text_hash (xxhash64 of the text) and root, which tells components apart whose
+    least ids are equal (null for an empty set)."""
     spark = docs.sparkSession
     common.ship(spark)
     bands = Bands(percent)
@@ -227,10 +233,10 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     labelled = classes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("n", "fp", "fp2", "rep", F.coalesce("root", "fp").alias("root"))
     labelled = common.narrow(labelled)
     least = common.narrow(labelled.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = common.narrow(labelled.join(least, "root").select("n", "fp", "fp2", "component_id"))
-    whole = signed.select("doc_id", "n", "fp", "fp2")
-    out = whole.where("n > 0").join(named, ["n", "fp", "fp2"]).select("doc_id", "n", "component_id").unionByName(whole.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    result, _ = common.saved(out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), "component_id"), "parity-result")
+    named = common.narrow(labelled.join(least, "root").select("n", "fp", "fp2", "root", "component_id"))
+    whole = signed.select("doc_id", "text_hash", "n", "fp", "fp2")
+    out = whole.where("n > 0").join(named, ["n", "fp", "fp2"]).select("doc_id", "text_hash", "n", "root", "component_id").unionByName(whole.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+    result, _ = common.saved(out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), "component_id", "text_hash", "root"), "parity-result")
     common.remove(spark, signed_path, buckets_path, *done)
     return result
 

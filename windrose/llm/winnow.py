@@ -161,8 +161,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     A window is ``window`` consecutive words of an item; an item with fewer, but not none, is one window. A word of a
     document inside any occurrence of a window is hit. Ids are integers. Columns other than the named ones are ignored.
     A null or empty text has no words and no hits; an empty benchmark hits nothing; equal items are all reported. Rows
-    that repeat id and text give one row; an id with two texts gives a row for each.
+    that repeat id and text give one row; an id with two texts gives a row for each. Rows with a null id are treated alike.
     """
+    return _contamination(docs, benchmark, doc_id, text, item_id, item_text, window, k).drop("key_hash")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, k: int = 7) -> DataFrame:
+    """The rows of contamination with key_hash, the xxhash64 of the text."""
     spark = docs.sparkSession
     common.ship(spark)
     side = lambda df, i, t: df.select(F.col(i).cast("long").alias("i"), F.col(t).alias("t"), F.xxhash64(t).alias("h"))
@@ -193,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
             F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("hits"),
             F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
         )
-        .select(F.col("key_id").alias(doc_id), "n_words", covered.alias("n_hit"), "items", F.array_sort("hits").alias("hits"))
+        .select(F.col("key_id").alias(doc_id), "key_hash", "n_words", covered.alias("n_hit"), "items", F.array_sort("hits").alias("hits"))
     )
 
 
@@ -203,7 +208,7 @@ def is_contaminated(share: int = 20) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    doc_id = options.get("doc_id", "doc_id")
-    found = contamination(docs, benchmark, **options).where(is_contaminated()).select(F.col(doc_id).alias("_tainted")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long") == F.col("_tainted"), "left_anti")
+    """The documents that are not contaminated, with all their columns; rows are told apart by id and text, and ids may be null."""
+    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    found = _contamination(docs, benchmark, **options).where(is_contaminated()).select(F.col(doc_id).alias("_tainted"), F.col("key_hash").alias("_hash"))
+    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_tainted")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

@@ -214,6 +214,17 @@ def test_branches(spark):
     assert chat_tree.formatted_branches(df.limit(0)).count() == 0
 
 
+def test_null_trees_and_nodes(spark):
+    rows = [(i, 0, "user", f"q{i}") for i in (None, 1)] + [(i, 1, "assistant", f"a{i}") for i in (None, 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["tree_id"]: [t["text"] for t in r["turns"]] for r in chat_tree.formatted_branches(chat_tree.chains(turns)).withColumn("turns", chat_tree.parsed(F.col("formatted"))).collect()}
+    assert got == {None: ["qNone", "aNone"], 1: ["q1", "a1"]}
+    rows = [(1, 1, None, "user", "hi", 0.0), (1, None, 1, "assistant", "a", 1.0), (1, None, 1, "assistant", "b", 2.0), (1, 2, 1, "assistant", "c", 3.0), (None, None, None, "user", "d", 0.0)]
+    branches = chat_tree.formatted_branches(spark.createDataFrame(rows, MESSAGES), best=None).withColumn("turns", chat_tree.parsed(F.col("formatted")))
+    got = sorted(((r["tree_id"], r["leaf_id"], r["branch_rank"], [t["text"] for t in r["turns"]]) for r in branches.collect()), key=str)
+    assert got == sorted([(1, 2, 1, ["hi", "c"]), (1, None, 2, ["hi", "b"]), (1, None, 3, ["hi", "a"]), (None, None, 1, ["d"])], key=str)
+
+
 def test_long_chain_and_escapes(spark):
     rng = random.Random(6)
     bits = ["<|im_sep|>", "<|im_start|>", "<|im_end|>", "\\", "<", "[INST]", "</s>", "é", "\n", "<<SYS>>", "$1", "x"]
@@ -252,6 +263,14 @@ def test_archives(spark):
     assert warc_zstd.read_archives(spark, folder, warc_zstd.write_archives(df.limit(0), folder)).count() == 0
 
 
+def test_null_page_ids(spark):
+    df = spark.createDataFrame([(None, "http://x", "same"), (None, None, "same"), (1, "u", "same"), (2, "u", "same"), (None, "u", None)], "page_id long, url string, html string")
+    folder = common.shared_folder(spark, "warc-null")
+    rows = warc_zstd.read_archives(spark, folder, warc_zstd.write_archives(df, folder)).collect()
+    got = sorted(((r["page_id"], r["target_uri"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in rows), key=str)
+    assert got == sorted([(None, "http://x", "response", None, b"same"), (None, None, "response", None, b"same"), (1, "u", "revisit", 2, None), (2, "u", "response", None, b"same"), (None, "u", "response", None, b"")], key=str)
+
+
 def test_broken_archives():
     records = [warc_zstd._record(i, "http://x", b"payload %d" % i, None, "1970-01-01T00:00:00Z") for i in range(9)]
     whole = warc_zstd.archive_bytes(records)

@@ -56,7 +56,7 @@ def unescaped(text: Column) -> Column:
 def chains(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations of numbered turns as trees of one branch: tree_id, node_id, parent_id, role, text, score.
 
-    Turns are ordered by number (null first), role and text; repeated rows are turns of their own.
+    Turns are ordered by number (null first), role and text; repeated rows are turns of their own. Turns with a null conv_id are one conversation.
     """
     order = Window.partitionBy("tree_id").orderBy("turn", "role", "text")
     rows = conversations.select(F.col(conv_id).alias("tree_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
@@ -93,7 +93,7 @@ def _ancestry(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
             return steps, depths, [path, *folders]
         steps.append(going.select("tree_id", "node_id", "up"))
         # what stands further up: of nodes already settled in an earlier round too
-        above = now if len(settled) == 1 else now.select("tree_id", "node_id", "up", "total", "depth", "least").unionByName(_all(settled[:-1]).withColumns({"up": F.lit(None).cast("long"), "least": F.col("node_id")}))
+        above = now if len(settled) == 1 else now.select("tree_id", "node_id", "up", "total", "depth", "least").unionByName(_all(settled[:-1]).withColumns({"up": F.lit(None).cast(now.schema["up"].dataType), "least": F.col("node_id")}))
         above = above.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"), F.col("least").alias("lesser"))
         joined = going.join(above, ["tree_id", "up"]).select("tree_id", "node_id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"), F.least("least", "lesser").alias("least"))
         now, path = common.saved(joined, "chat-steps")
@@ -116,11 +116,17 @@ def formatted_branches(messages: DataFrame, *, best: int | None = 1, loss_roles:
     formatted, and loss_spans: the code point ranges (start, length) of the texts of ``loss_roles`` in ``formatted``.
 
     A null text or role is empty, a null score 0. Of rows that repeat tree and node, the least (parent, role, text) stays.
-    A parent that is missing makes a root, and so does the least node of a cycle. Empty tables give empty ones.
+    A parent that is missing makes a root, and so does the least node of a cycle. Messages with a null tree_id are one tree;
+    one with a null node_id is a leaf of its own, as nothing can answer it. Empty tables give empty ones.
     """
     spark = messages.sparkSession
-    rows = messages.select("tree_id", "node_id", F.struct("parent_id", "role", "text", "score").alias("m")).groupBy("tree_id", "node_id").agg(F.min("m").alias("m"))
-    whole = rows.select("tree_id", "node_id", "m.*")
+    message = F.struct("parent_id", "role", "text", "score")
+    # keys are structs: those never are null, and null fields in them are equal, so every join matches them
+    own = F.when(F.col("node_id").isNull(), F.sha2(F.to_json(message), 256))
+    keyed = messages.select(F.struct(F.col("tree_id").alias("id")).alias("tree_id"), F.struct(F.col("node_id").alias("id"), own.alias("own")).alias("node_id"), message.alias("m"))
+    rows = keyed.groupBy("tree_id", "node_id").agg(F.min("m").alias("m"))
+    parent = F.when(F.col("m.parent_id").isNotNull(), F.struct(F.col("m.parent_id").alias("id"), F.lit(None).cast("string").alias("own")))
+    whole = rows.select("tree_id", "node_id", parent.alias("parent_id"), "m.role", "m.text", "m.score")
     steps, depths, folders = _ancestry(whole.select("tree_id", "node_id", "parent_id", "score"))
     answered = steps[0].select("tree_id", F.col("up").alias("node_id")).distinct() if steps else depths.select("tree_id", "node_id").limit(0)
     leaves = depths.join(answered, ["tree_id", "node_id"], "left_anti").withColumn("branch_score", F.col("total") / (F.col("depth") + 1))
@@ -139,7 +145,7 @@ def formatted_branches(messages: DataFrame, *, best: int | None = 1, loss_roles:
     placed = pieces.withColumn("upto", F.sum(F.char_length("piece")).over(branch)).withColumn("start", F.col("upto") - len(END) - F.char_length("body"))
     span = F.when(F.coalesce("role", F.lit("")).isin(*loss_roles), F.struct(F.col("start").cast("long").alias("start"), F.char_length("body").cast("long").alias("length")))
     gathered = placed.groupBy("tree_id", "leaf_id").agg(F.min("branch_rank").alias("branch_rank"), F.min("branch_score").alias("branch_score"), F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "piece", span.alias("span")))).alias("turns"))
-    out = gathered.select("tree_id", "leaf_id", "branch_rank", "branch_score", F.size("turns").cast("long").alias("n_turns"), F.array_join("turns.piece", "").alias("formatted"), F.filter("turns.span", lambda x: x.isNotNull()).alias("loss_spans"))
+    out = gathered.select(F.col("tree_id.id").alias("tree_id"), F.col("leaf_id.id").alias("leaf_id"), "branch_rank", "branch_score", F.size("turns").cast("long").alias("n_turns"), F.array_join("turns.piece", "").alias("formatted"), F.filter("turns.span", lambda x: x.isNotNull()).alias("loss_spans"))
     result, _ = common.saved(out, "chat-formatted")
     common.remove(spark, *folders)
     return result

@@ -42,11 +42,12 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     kind = "response" if refers_to is None else "revisit"
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    name = f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}>"
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~-._"))
     if refers_to is not None:
@@ -148,7 +149,7 @@ def parse(record: bytes) -> dict:
     size, digest = int(http.get("content-length", len(payload))), h.get("warc-payload-digest", "").removeprefix("sha1:")
     if h["warc-type"] == "response" and (len(payload) != size or sha1(payload) != digest):
         raise ValueError("a response's payload differs from its length or digest")
-    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x else None
+    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x and not x.startswith("<urn:uuid:") else None
     return {
         "page_id": page(h["warc-record-id"]),
         "record_type": h["warc-type"],
@@ -190,8 +191,8 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
 
     Of rows with equal payloads of at least ``revisit_bytes`` bytes, those with the largest id are responses and the
     others revisits of it; all other rows are responses. A null html is an empty payload, a null url has no target URI.
-    Ids are integers and not null (ValueError in the task otherwise). Rows that repeat an id each get a record. Other
-    columns are ignored; an empty table writes no archive.
+    Ids are integers. A row with a null id is a response without a page number, which is read as null, and no revisit
+    refers to it. Rows that repeat an id each get a record. Other columns are ignored; an empty table writes no archive.
     """
     spark = pages.sparkSession
     common.ship(spark)

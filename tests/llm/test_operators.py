@@ -8,6 +8,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,59 @@ def test_similar_groups(spark, k, percent):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("k,percent,bucket,block", [(4, 85, 4, 3000), (5, 80, 6, 20000), (5, 80, 3, 500)])
+def test_similar_groups_hot(spark, monkeypatch, k, percent, bucket, block):
+    """Large buckets, clusters of many blocks, copies of one text in all tasks and a passage that most texts share."""
+    monkeypatch.setattr(parity_join, "SMALL_BUCKET", bucket)
+    monkeypatch.setattr(parity_join, "BLOCK_SHINGLES", block)
+    rng = random.Random(21)
+    passage = words(rng, 40)
+    texts = similar_texts() + [passage + " " + words(rng, rng.randrange(5, 120)) for _ in range(250)]
+    texts += near_copies(rng, passage + " " + words(rng, 110), 120, 16) + near_copies(rng, passage, 60, 5) + [passage] * 90
+    rng.shuffle(texts)
+    _, links = brute.jaccard_links(list(enumerate(texts)), k, percent)
+    want = brute.components(range(len(texts)), links)
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.similar_groups(documents(spark, texts).repartition(7), k=k, percent=percent).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [30, 50, 66, 100])
+def test_similar_groups_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    texts = [words(rng, rng.randrange(1, 30)) for _ in range(20)]
+    for n in (5, 10, 14, 40):
+        whole = words(rng, n + 3)
+        texts += [" ".join(whole.split()[: 3 + m]) for m in range(1, n + 1, max(1, n // 10))]
+    _, links = brute.jaccard_links(list(enumerate(texts)), 4, percent)
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.similar_groups(documents(spark, texts), percent=percent).collect()}
+    assert got == brute.components(range(len(texts)), links)
+
+
+def test_similar_groups_refuses(spark):
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            parity_join.similar_groups(documents(spark, ["a"]), percent=percent)
+
+
+@pytest.mark.parametrize("cut", [1, 3, 10, 1000])
+def test_met_streams_buckets(monkeypatch, cut):
+    """Pairs, large buckets and edges of sorted keys, however the rows are cut into batches."""
+    monkeypatch.setattr(parity_join, "SMALL_BUCKET", 4)
+    rng = random.Random(cut)
+    for sizes in ([1, 2, 9, 4, 1, 3, 12], [7], [3], [2, 20], [20, 2, 30]):
+        rows = sorted({(key, rng.randrange(1000), 200) for key, n in enumerate(sizes) for _ in range(n)})
+        rows = sorted(rows + rng.sample(rows, len(rows) // 3))
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + cut]], pa.int64()) for i in range(3)], names=["key", "fp", "n2"]) for at in range(0, len(rows), cut)]
+        out = [tuple(x.values()) for b in parity_join._met(80)(iter(batches)) for x in b.to_pylist()]
+        by_key = {key: sorted({f for k, f, _ in rows if k == key}) for key, *_ in rows}
+        ends = {min(by_key), max(by_key)}
+        large = {k for k, f in by_key.items() if len(f) > 4}
+        assert sorted((a, b) for kind, a, b, _ in out if kind == parity_join._HOT) == [(k, f) for k in sorted(large) for f in by_key[k]]
+        assert {(a, b) for kind, a, b, _ in out if kind == parity_join._PAIR} == {(f[i], f[j]) for k, f in by_key.items() if k not in large | ends for i in range(len(f)) for j in range(i + 1, len(f))}
+        assert sorted((a, b) for kind, a, b, n2 in out if kind == parity_join._EDGE and n2 >= 0) == [(k, f) for k in sorted(ends - large) for f in by_key[k]]
+        assert sorted(a for kind, a, _, n2 in out if kind == parity_join._EDGE and n2 < 0) == sorted(ends & large)
+
+
 def test_similar_groups_edges(spark):
     docs = documents(spark, ["one two three four five"])
     assert [tuple(r) for r in parity_join.similar_groups(docs.unionByName(docs)).collect()] == [(0, 2, 0)] * 2

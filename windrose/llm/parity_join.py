@@ -9,12 +9,15 @@ Sizes are banded; a set is keyed by the chunks of its own band and, if it is lar
 Chunks without shingles say nothing. A scheme has z chunks more than needed, so that z + 1 chunks of a linked pair
 agree, and a set with at most z empty chunks need not be keyed by those; one with more is.
 
-Equal sets are one node. Pairs that share a small bucket (equal keys) are joined. Sets that larger buckets tie together
-form clusters, which are dealt into blocks of bounded size; every block meets every block of its cluster in a group that
-compares sketches by bits and gives out, of the pairs within the Hamming bound, those that join the group's components:
-groups of thousands of near copies cost their bits, not their pairs. The exact intersections of these are then taken,
-and links found make components. A second time over, all pairs within the bound whose components still differ are given
-out and compared. So each pair of different components that shares a key is tested, and no component stays apart.
+Equal sets are one node. Keys are range-partitioned together with the sets that have them, so a common key spans tasks.
+Pairs that share a small bucket (equal keys) are tested by sketch and set. A set whose chunks under a scheme include at
+most z that are empty or have large buckets meets all its partners of that scheme in small ones too: a passage that
+many texts share costs nothing more. What is left is near copies in great numbers. Sets that large buckets tie together
+are a cluster, dealt into blocks of bounded bytes; a block is compared within itself and with a few hubs of its cluster,
+sketches first, sets where they leave a doubt and the two aren't joined already. In clusters of several blocks that are
+still several components, all members outside the largest component then meet all members of the cluster, block by
+block. So each pair of different components that shares a key is tested, and work grows with what a hot group holds
+besides its largest component, not with the square of the group.
 """
 
 from __future__ import annotations
@@ -23,20 +26,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .components import components
 from .textvec import NONSPACE_BYTES, U64, grams, mix, words
 
-#: The largest size of a band over its smallest.
+#: The largest size of a band over its smallest, or more if linked sets may differ by more.
 BAND_GROWTH = 1.5
 #: Bits of a sketch for each element that linked sets may differ by.
 SKETCH_BITS = 16
-#: All pairs are made of buckets with so many members at most; members of larger ones are compared in blocks of BLOCK.
-SMALL_BUCKET, BLOCK = 48, 2048
+#: All pairs are made of buckets with so many members at most.
+SMALL_BUCKET = 48
+#: Shingles of a block (8 bytes each), and the sets of a cluster that all its blocks hold.
+BLOCK_SHINGLES, HUBS = 1 << 20, 4
 
 _HASH_BITS = U64(52)
 
@@ -45,10 +50,13 @@ class Bands:
     """Size bands with their numbers of chunks, spare chunks and sketch words, from a threshold in percent."""
 
     def __init__(self, percent: int, largest: int = 1 << 31):
+        if not 1 <= percent <= 100:
+            raise ValueError(f"percent must be from 1 to 100, not {percent}")
         self.percent = percent
+        growth = max(BAND_GROWTH, 100 / percent)  # linked sets are of one band or of two next to one another
         low, bounds = 1, [1]
         while low <= largest:
-            low = max(low + 1, math.floor(low * BAND_GROWTH))
+            low = max(low + 1, math.floor(low * growth))
             bounds.append(low)
         self.low = np.array(bounds[:-1], np.int64)
         self.high = np.array(bounds[1:], np.int64)
@@ -102,16 +110,21 @@ def fingerprints(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _sketches(hashes: np.ndarray, cut: np.ndarray, n_words: np.ndarray) -> pa.Array:
     """One parity bit sketch of 64 * n_words bits for each set, as lists of longs."""
+    size = np.where(n_words > 0, np.diff(cut), 0)
+    if len(hashes) != size.sum():
+        hashes = hashes[np.repeat(n_words > 0, np.diff(cut))]
     base = np.concatenate([[0], np.cumsum(n_words * 64)])
-    bits = np.repeat(n_words.astype(U64) * U64(64), np.diff(cut))
+    bits = np.repeat(n_words.astype(U64) * U64(64), size)
     at = ((mix(hashes + U64(0x5EED)) >> U64(32)) * bits) >> U64(32)
-    parity = np.bincount(np.repeat(base[:-1], np.diff(cut)) + at.astype(np.int64), minlength=int(base[-1])) & 1
+    parity = np.bincount(np.repeat(base[:-1], size) + at.astype(np.int64), minlength=int(base[-1])) & 1
     data = np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
     return pa.ListArray.from_arrays(pa.array((base // 64).astype(np.int32)), pa.array(data))
 
 
-def _chunk_keys(hashes: np.ndarray, cut: np.ndarray, scheme: np.ndarray, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every chunk that a set is keyed by, under the scheme of a band for each row in ``use``."""
+def _chunk_keys(hashes: np.ndarray, cut: np.ndarray, scheme: np.ndarray, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and key of every chunk that a set is keyed by, under the scheme of a band for each row in ``use``; and of
+    each row, how many of its chunks may have large buckets (less than 0: none) and it still shares a small one with
+    every set it links to under that scheme."""
     chunks = np.where(use, bands.chunks[scheme], 0)
     size = np.diff(cut)
     keyed = np.repeat(chunks > 0, size)
@@ -128,38 +141,49 @@ def _chunk_keys(hashes: np.ndarray, cut: np.ndarray, scheme: np.ndarray, bands:
     keep = ~empty | (holes > bands.spare[scheme])[row]
     place = np.arange(len(row)) - base[row]
     label = mix(scheme[row].astype(U64) * U64(1 << 32) + place.astype(U64) + U64(1))
-    return row[keep], mix(value ^ label)[keep]
+    return row[keep], mix(value ^ label)[keep], np.where(use, bands.spare[scheme] - holes, 0)
 
 
-_SIGNED = "doc_id long, text_hash long, n int, band int, fp long, fp2 long, own array<long>, following array<long>, keys array<long>"
+_SIGNED = "doc_id long, text_hash long, n int, fp long, fp2 long, leads boolean, band int, own array<long>, following array<long>, room int, next_room int, keys array<long>, next_keys array<long>"
+
+
+def _listed(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def _sign(k: int, bands: Bands):
+    """Signs each row; sketches and keys only where ``leads``: at a task's first row of a set that isn't empty."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for row0, n_rows, hashes, cut in shingle_sets(batch.column(1), k):
                 size = np.diff(cut)
                 band = bands.of(np.maximum(size, 1))
                 fp, fp2 = fingerprints(hashes, cut)
-                rows, keys = zip(
-                    _chunk_keys(hashes, cut, band, bands, size > 0),
-                    _chunk_keys(hashes, cut, band + 1, bands, (size > 0) & (100 * size >= bands.percent * bands.low[band + 1])),
-                    strict=True,
-                )
-                rows, keys = np.concatenate(rows), np.concatenate(keys)
-                order = np.argsort(rows, kind="stable")
-                at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))])
+                leads = np.zeros(n_rows, bool)
+                for i, x in enumerate(fp.tolist()):
+                    if size[i] and x not in seen:
+                        seen.add(x)
+                        leads[i] = True
+                row, key, room = _chunk_keys(hashes, cut, band, bands, leads)
+                next_row, next_key, next_room = _chunk_keys(hashes, cut, band + 1, bands, leads & (100 * size >= bands.percent * bands.low[band + 1]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row0, n_rows),
                         batch.column(2).slice(row0, n_rows),
                         pa.array(size.astype(np.int32)),
-                        pa.array(band.astype(np.int32)),
                         pa.array(fp.view(np.int64)),
                         pa.array(fp2.view(np.int64)),
-                        _sketches(hashes, cut, np.where(size > 0, bands.sketch_words[band], 0)),
-                        _sketches(hashes, cut, np.where(size > 0, bands.sketch_words[band + 1], 0)),
-                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys[order].view(np.int64))),
+                        pa.array(leads),
+                        pa.array(band.astype(np.int32)),
+                        _sketches(hashes, cut, np.where(leads, bands.sketch_words[band], 0)),
+                        _sketches(hashes, cut, np.where(leads, bands.sketch_words[band + 1], 0)),
+                        pa.array(room.astype(np.int32)),
+                        pa.array(next_room.astype(np.int32)),
+                        _listed(row, key, n_rows),
+                        _listed(next_row, next_key, n_rows),
                     ],
                     names=[x.split()[0] for x in _SIGNED.split(", ")],
                 )
@@ -227,8 +251,7 @@ def grouped_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bands = Bands(percent)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("text_hash"))
     signed, signed_path = common.saved(plain.mapInArrow(_sign(k, bands), _SIGNED), "parity-signed")
-    buckets, buckets_path = common.saved(_buckets(signed), "parity-buckets")
-    labels, done = _link(plain, signed, buckets, k, percent)
+    labels, done = _link(plain, signed, k, bands)
     classes = common.narrow(signed.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep")))
     labelled = classes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("n", "fp", "fp2", "rep", F.coalesce("root", "fp").alias("root"))
     labelled = common.narrow(labelled)
@@ -237,96 +260,214 @@ def grouped_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     whole = signed.select("doc_id", "text_hash", "n", "fp", "fp2")
     out = whole.where("n > 0").join(named, ["n", "fp", "fp2"]).select("doc_id", "text_hash", "n", "root", "component_id").unionByName(whole.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
     result, _ = common.saved(out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), "component_id", "text_hash", "root"), "parity-result")
-    common.remove(spark, signed_path, buckets_path, *done)
+    common.remove(spark, signed_path, *done)
     return result
 
 
-def _close_pairs(percent: int, forest: bool):
-    """For a group of one or two blocks: pairs within the Hamming bound of one cluster and different roots; as a forest,
-    only those that join what no pair before has joined."""
+# What _met says: two sets that share a small bucket; a set of a large one; a set at the edge of a partition.
+_PAIR, _HOT, _EDGE = range(3)
+
+
+def _met(percent: int):
+    """Of rows (key, fp, n2) sorted by key and fp, with n2 twice a set's size and 1 more under the next scheme: pairs
+    (a, b) of small buckets whose sizes fit, and rows (key, fp, n2) of large ones.
+
+    A partition's first and last bucket may go on in another one: their rows are given out as edges, with one of n2 = -1
+    if the bucket is large. Of a bucket no more rows are held than a small one has.
+    """
+
+    def rows(kind, key, fp, n2):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(fp), pa.array(n2.astype(np.int32))], names=["kind", "a", "b", "n2"])
+
+    def mark(key):
+        return rows(_EDGE, np.array([key]), np.array([0]), np.array([-1]))
+
+    def pairs(fp, n, first, count):
+        for c in np.unique(count):
+            at = first[count == c][:, None] + np.arange(c)
+            i, j = np.triu_indices(c, 1)
+            x, y = at[:, i].ravel(), at[:, j].ravel()
+            fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            yield fp[x[fits]], fp[y[fits]]
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        begun = hot = last = None  # the first key; the large bucket whose rows pass by, and its last set so far
+        for batch in batches:
+            key, fp, n2 = (np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held))
+            if not len(key):
+                continue
+            begun = key[0] if begun is None else begun
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            if hot is not None:
+                new &= (key != hot) | (fp != last)
+            key, fp, n2 = key[new], fp[new], n2[new]
+            if hot is not None:
+                more = int(np.searchsorted(key, hot, "right"))
+                if more:
+                    yield rows(_HOT, key[:more], fp[:more], n2[:more])
+                    last = fp[more - 1]
+                    key, fp, n2 = key[more:], fp[more:], n2[more:]
+                if len(key):
+                    hot = None
+            held = [key, fp, n2]
+            if not len(key):
+                continue
+            at = int(np.searchsorted(key, key[-1]))
+            held = [key[at:], fp[at:], n2[at:]]
+            if len(key) - at > SMALL_BUCKET:
+                yield rows(_HOT, *held)
+                hot, last, held = key[-1], fp[-1], [x[:0] for x in held]
+                if hot == begun:
+                    yield mark(begun)
+            key, fp, n2 = key[:at], fp[:at], n2[:at]
+            if not at:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(first, at))
+            edge = key[first] == begun
+            if edge[0]:
+                if count[0] > SMALL_BUCKET:
+                    yield mark(begun)
+                else:
+                    yield rows(_EDGE, key[: count[0]], fp[: count[0]], n2[: count[0]])
+            large = np.repeat(count > SMALL_BUCKET, count)
+            if large.any():
+                yield rows(_HOT, key[large], fp[large], n2[large])
+            small = (count > 1) & (count <= SMALL_BUCKET) & ~edge
+            found = list(pairs(fp, n2 >> 1, first[small], count[small]))
+            if found:
+                both = np.unique(np.stack([np.concatenate([x[i] for x in found]) for i in (0, 1)], 1), axis=0) if len(found) > 1 or len(found[0][0]) > 1 else np.stack(found[0], 1)
+                yield rows(_PAIR, both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
+        if len(held[0]):
+            yield rows(_EDGE, *held)
+        elif hot is not None and hot != begun:
+            yield mark(hot)
+
+    return run
+
+
+def _group_links(bands: Bands):
+    """For a group of sets: links (a, b) that join components, of all pairs within a cluster whose roots differ; if
+    there are rows of side 1, of those between the two sides only."""
+    percent = bands.percent
 
     def run(group: pa.Table) -> pa.Table:
-        n, band, fp = (group[c].to_numpy() for c in ("n", "band", "fp"))
-        cluster, root, side = (group[c].to_numpy() for c in ("cluster", "root", "side"))
-        across = group["i"][0].as_py() != group["j"][0].as_py()
-        lists = {c: group[c].combine_chunks() for c in ("own", "following")}
-        parent: dict[int, int] = {}
-
-        def find(i):
-            while (up := parent.get(i, i)) != i:
-                parent[i] = up = parent.get(up, up)
-                i = up
-            return i
-
-        def matrix(name, rows):
-            return lists[name].take(pa.array(rows)).flatten().to_numpy().view(U64).reshape(len(rows), -1)
-
-        found = []
-        for v in np.unique(band):
-            own = np.flatnonzero(band == v)
-            mine = matrix("own", own)
-            for other, theirs in ((own, mine), (below := np.flatnonzero(band == v - 1), matrix("following", below) if len(below) else None)):
-                if not len(other):
-                    continue
-                step = max(1, (1 << 21) // (len(other) * mine.shape[1]))
-                for at in range(0, len(own), step):
-                    part = own[at : at + step]
-                    total = n[part][:, None] + n[other][None, :]
-                    fits = (100 * np.minimum(n[part][:, None], n[other][None, :]) >= percent * np.maximum(n[part][:, None], n[other][None, :])) & (cluster[part][:, None] == cluster[other][None, :]) & (root[part][:, None] != root[other][None, :])
-                    fits &= side[part][:, None] != side[other][None, :] if across else part[:, None] != other[None, :]
-                    if other is own:
-                        fits &= part[:, None] < other[None, :]
-                    if not fits.any():
+        size = pa.compute.list_value_length(group["elements"].combine_chunks()).to_numpy()
+        order = np.lexsort((size, group["cluster"].to_numpy()))
+        fp, cluster, side = (group[c].to_numpy()[order] for c in ("fp", "cluster", "side"))
+        label = np.unique(group["root"].to_numpy()[order], return_inverse=True)[1]
+        size = size[order].astype(np.int64)
+        lists = group["elements"].combine_chunks().take(pa.array(order))
+        flat = lists.flatten().to_numpy().view(U64)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        band = bands.of(size)
+        links: list[tuple[int, int]] = []
+
+        def gathered(pos):
+            n = size[pos]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            return flat[np.repeat(cut[pos] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+        def sketch(pos, scheme):
+            h, ends = gathered(pos)
+            return _sketches(h, ends, np.full(len(pos), bands.sketch_words[scheme])).values.to_numpy().view(U64).reshape(len(pos), -1)
+
+        def test(i, cand):
+            """Links i to the candidates whose sets are close enough, joining labels."""
+            mine = flat[cut[i] : cut[i + 1]]
+            while len(cand):
+                part = cand[: max(1, int(np.searchsorted(np.cumsum(size[cand]), 1 << 18)))]
+                cand = cand[len(part) :]
+                theirs, ends = gathered(part)
+                there = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                common_n = np.diff(np.concatenate([[0], np.cumsum(mine[there] == theirs)])[ends])
+                good = part[100 * common_n >= percent * (size[i] + size[part] - common_n)]
+                if len(good):
+                    gone, at = np.unique(label[good], return_index=True)
+                    links.extend((i, j) for j in good[at].tolist())
+                    label[np.isin(label, gone)] = label[i]
+                    cand = cand[label[cand] != label[i]]
+
+        two = bool(side.any())
+        edges = np.append(np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]])), len(fp))
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            whole = np.arange(start, end)
+            rows, columns = (whole[side[start:end] == 0], whole[side[start:end] == 1]) if two else (whole, whole)
+            for v in np.unique(band[rows]).tolist():
+                r = rows[band[rows] == v]
+                for u in (v - 1, v, v + 1) if two else (v, v + 1):
+                    c = columns[band[columns] == u]
+                    if not len(c) or (len(r) == len(c) == 1 and r[0] == c[0]):
                         continue
-                    apart = np.bitwise_count(mine[at : at + step][:, None, :] ^ theirs[None, :, :]).sum(2, dtype=np.int64)
-                    x, y = np.nonzero(fits & ((100 + percent) * apart <= (100 - percent) * total))
-                    for i, j in zip(part[x].tolist(), other[y].tolist(), strict=True):
-                        if forest:
-                            a, b = find(i), find(j)
-                            if a == b:
-                                continue
-                            parent[b] = a
-                        found.append((i, j))
-        at = np.array(found, np.int64).reshape(-1, 2)
+                    x, y = sketch(r, max(u, v)), sketch(c, max(u, v))
+                    low = np.searchsorted(100 * size[c], percent * size[r], "left")
+                    high = np.searchsorted(percent * size[c], 100 * size[r], "right")
+                    for at, i in enumerate(r.tolist()):
+                        first = max(int(low[at]), at + 1) if u == v and not two else int(low[at])
+                        near = first + np.flatnonzero(label[c[first : high[at]]] != label[i])
+                        if len(near):
+                            apart = np.bitwise_count(y[near] ^ x[at]).sum(1, dtype=np.int64)
+                            near = c[near[(100 + percent) * apart <= (100 - percent) * (size[i] + size[c[near]])]]
+                            test(i, near)
+        at = np.array(links, np.int64).reshape(-1, 2)
         ends = np.sort(fp[at], 1)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return run
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
-    """(key, fp, n, many) of the keys that two different sets have, each set once; many: the sets that have the key."""
-    keys = signed.select("fp", "n", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    ranked = keys.select("key", "fp", "n", F.lag("fp").over(by_key.orderBy("fp")).alias("before"), F.dense_rank().over(by_key.orderBy("fp")).alias("rank"))
-    counted = ranked.withColumn("many", F.max("rank").over(by_key))
-    return counted.where("many > 1 AND (before IS NULL OR before <> fp)").select("key", "fp", "n", "many")
-
-
-def _clustered(buckets: DataFrame, keep) -> DataFrame | None:
-    """(fp, cluster, size) of the sets that large buckets tie together, or None."""
-    large = keep(buckets.where(F.col("many") > SMALL_BUCKET).select("key", "fp"), "parity-large")
-    if large.isEmpty():
-        return None
-    hubs = large.groupBy("key").agg(F.min("fp").alias("hub"))
-    roots, path = components(common.narrow(large.join(common.narrow(hubs), "key")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a <> b"))
-    clusters = roots.select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
-    sized = keep(common.narrow(clusters.join(common.narrow(clusters.groupBy("cluster").agg(F.count("*").alias("size"))), "cluster")), "parity-clusters")
-    common.remove(buckets.sparkSession, path)
-    return sized
-
-
-def _block_pairs(clusters: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of _close_pairs from all blocks; ``nodes`` has a root for each set."""
-    rows = common.narrow(clusters.join(nodes, "fp"))
-    bins = max(1, clusters.count() * 2 // BLOCK)
-    sketch = ["fp", "n", "band", "own", "following", "cluster", "root"]
-    zero = F.lit(0).cast("long")
-    small = rows.where(F.col("size") <= BLOCK).select(F.lit(-1).cast("long").alias("whole"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("i"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("j"), F.lit(0).alias("side"), *sketch)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = rows.where(F.col("size") > BLOCK).withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("fp"), blocks)}).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    large = dealt.select(F.col("cluster").alias("whole"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *sketch)
-    return common.narrow(small.unionByName(large).groupBy("whole", "i", "j").applyInArrow(_close_pairs(percent, forest), "a long, b long"))
+class _Clusters:
+    """Clusters of sets that large buckets tie together, with their shingles."""
+
+    def __init__(self, tied: DataFrame, sets: DataFrame, bands: Bands, keep):
+        """``tied``: (key, fp) of the large buckets that count."""
+        self.bands, self.keep = bands, keep
+        hubs = common.narrow(tied.groupBy("key").agg(F.min("fp").alias("hub")))
+        roots, path = components(common.narrow(tied.join(hubs, "key")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a <> b"))
+        named = common.narrow(roots.select(F.col("node").alias("fp"), F.col("root").alias("cluster")))
+        self.members = keep(common.narrow(sets.join(named, "fp")).select("fp", "cluster", F.size("elements").alias("n"), "elements"), "parity-members")
+        common.remove(tied.sparkSession, path)
+        self.weights = keep(common.narrow(self.members.groupBy("cluster").agg(F.sum("n").alias("weight"), *[F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp"))["fp"].alias(f"hub_{i}") for i in range(HUBS)])), "parity-weights")
+
+    def _compared(self, rows: DataFrame) -> DataFrame:
+        return common.narrow(rows.groupBy("whole", "i", "j").applyInArrow(_group_links(self.bands), "a long, b long"))
+
+    def within(self) -> DataFrame:
+        """Links found within blocks, and between their members and the hubs."""
+        total = self.weights.agg(F.sum("weight")).first()[0] or 0
+        bins = F.lit(max(1, 2 * total // BLOCK_SHINGLES))
+        rows = common.narrow(self.members.join(self.weights.select("cluster", "weight"), "cluster"))
+        columns = ("fp", F.col("fp").alias("root"), "cluster", F.lit(0).alias("side"), "elements")
+        small = rows.where(F.col("weight") <= BLOCK_SHINGLES).select(F.lit(-1).cast("long").alias("whole"), F.pmod(F.xxhash64("cluster"), bins).alias("i"), F.lit(0).alias("j"), *columns)
+        blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES)
+        own = F.pmod(F.xxhash64("fp"), blocks)
+        large = rows.where(F.col("weight") > BLOCK_SHINGLES)
+        dealt = large.select(F.col("cluster").alias("whole"), own.alias("i"), F.lit(0).alias("j"), *columns)
+        hubs = self.weights.where(F.col("weight") > BLOCK_SHINGLES).select("weight", F.explode(F.array_distinct(F.array(*[f"hub_{i}" for i in range(HUBS)]))).alias("fp"))
+        lent = common.narrow(hubs.join(self.members, "fp")).withColumns({"own": own, "i": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}).where("own <> i")
+        return self._compared(small.unionByName(dealt).unionByName(lent.select(F.col("cluster").alias("whole"), "i", F.lit(0).alias("j"), *columns)))
+
+    def across(self, roots: DataFrame | None) -> DataFrame | None:
+        """Links between components of clusters of several blocks; None if each of these is one component."""
+        several = self.weights.where(F.col("weight") > BLOCK_SHINGLES)
+        if several.isEmpty():
+            return None
+        rooted = _rooted(self.members.join(several.select("cluster"), "cluster").select("fp", "cluster", "n"), roots, "fp", "root")
+        shares = common.narrow(rooted.groupBy("cluster", "root").agg(F.sum("n").alias("share")))
+        sums = shares.groupBy("cluster").agg(F.max(F.struct("share", "root"))["root"].alias("main"), F.sum("share").alias("weight"), (F.sum("share") - F.max("share")).alias("apart"))
+        split = self.keep(common.narrow(sums.where("apart > 0")), "parity-split")
+        if split.isEmpty():
+            return None
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES)
+        of = lambda salt, c: F.pmod(F.xxhash64("fp", F.lit(salt)), blocks(c))
+        dealt = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
+        rows = common.narrow(common.narrow(rooted.select("fp", "root")).join(self.members, "fp").join(split, "cluster"))
+        columns = ("fp", "root", "cluster", "side", "elements")
+        others = rows.withColumns({"whole": F.col("cluster"), "i": dealt("apart"), "j": of(5, "weight"), "side": F.lit(1)})
+        apart = rows.where("root <> main").withColumns({"whole": F.col("cluster"), "i": of(6, "apart"), "j": dealt("weight"), "side": F.lit(0)})
+        return self._compared(others.select("whole", "i", "j", *columns).unionByName(apart.select("whole", "i", "j", *columns)))
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, node: str, name: str) -> DataFrame:
@@ -337,7 +478,23 @@ def _rooted(df: DataFrame, roots: DataFrame | None, node: str, name: str) -> Dat
     return common.narrow(df.join(there, node, "left")).withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
-def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[str]]:
+def _meetings(signed: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of sets that share a small bucket, and (key, fp, half) of the sets in large ones."""
+    keyed = lambda keys, half: signed.where("leads").select(F.explode(keys).alias("key"), "fp", (2 * F.col("n") + half).alias("n2"))
+    ordered = keyed("keys", 0).unionByName(keyed("next_keys", 1)).repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
+    met = keep(ordered.mapInArrow(_met(percent), "kind int, a long, b long, n2 int"), "parity-met")
+    # at most two buckets of a partition: of each, no more rows than a small one has
+    edges = met.where(F.col("kind") == _EDGE).select(F.col("a").alias("key"), F.col("b").alias("fp"), "n2")
+    totals = edges.groupBy("key").agg(F.count_if(F.col("n2") >= 0).alias("many"), F.max(F.col("n2") < 0).alias("large"))
+    cut = keep(common.narrow(edges.where("n2 >= 0").join(common.narrow(totals), "key")).select("key", "fp", "n2", (F.col("large") | (F.col("many") > SMALL_BUCKET)).alias("large")), "parity-edges")
+    one, two = (cut.where("NOT large").select("key", F.col("fp").alias(x), F.shiftright("n2", 1).alias(f"n_{x}")) for x in ("a", "b"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = met.where(F.col("kind") == _PAIR).select("a", "b").unionByName(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b"))
+    hot = met.where(F.col("kind") == _HOT).select(F.col("a").alias("key"), F.col("b").alias("fp"), "n2").unionByName(cut.where("large").select("key", "fp", "n2"))
+    return common.narrow(pairs.distinct()), hot.select("key", "fp", F.col("n2").bitwiseAND(F.lit(1)).alias("half"))
+
+
+def _link(plain: DataFrame, signed: DataFrame, k: int, bands: Bands) -> tuple[DataFrame, list[str]]:
     """(node, root) of the linked sets, and the folders to remove once it has been used."""
     spark = plain.sparkSession
     folders: list[str] = []
@@ -347,32 +504,32 @@ def _link(plain: DataFrame, signed: DataFrame, buckets: DataFrame, k: int, perce
         folders.append(path)
         return df
 
-    own = signed.join(common.narrow(buckets.select("fp").distinct()), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "n", "band", "own", "following")).alias("x"))
+    pairs, hot = _meetings(signed, bands.percent, keep)
+    pairs = keep(pairs, "parity-pairs")
+    ends = lambda p: p.select(F.col("a").alias("fp")).unionByName(p.select(F.col("b").alias("fp")))
+    met = common.narrow(ends(pairs).unionByName(hot.select("fp")).distinct())
+    own = signed.where("leads").join(met, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "n", "band", "own", "following", "room", "next_room")).alias("x"))
     nodes = keep(common.narrow(own.select("fp", "x.*")), "parity-nodes")
-    verifier = _Verifier(nodes, percent)
-    small = buckets.where(F.col("many") <= SMALL_BUCKET)
-    one, two = (small.select("key", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    small_pairs = common.narrow(one.join(two, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b"))
-    near = keep(verifier.near(common.narrow(small_pairs.distinct())), "parity-near")
-    clusters = _clustered(buckets, keep)
-    pick = common.narrow(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    if clusters is not None:
-        pick = pick.unionByName(_block_pairs(clusters, nodes.withColumn("root", F.col("fp")), percent, True))
-    pick = keep(common.narrow(pick.distinct()), "parity-pick")
-    wanted = keep(common.narrow(nodes.join(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp") if clusters is not None else near.select(F.col("a").alias("fp")).limit(0)).distinct(), "fp", "left_semi").select("text_hash", "fp")), "parity-wanted")
+    room = nodes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("room").alias("room")), F.struct(F.lit(1).alias("half"), F.col("next_room").alias("room")))).alias("x")).select("fp", "x.*")
+    bound = common.narrow(common.narrow(hot.groupBy("fp", "half").agg(F.count("*").alias("hot"))).join(room, ["fp", "half"]).where("hot > room").select("fp", "half"))
+    tied = keep(common.narrow(hot.join(bound, ["fp", "half"], "left_semi")).select("key", "fp"), "parity-tied")
+    verifier = _Verifier(nodes, bands.percent)
+    near = keep(verifier.near(pairs), "parity-near")
+    wanted = keep(common.narrow(nodes.join(common.narrow(ends(near).unionByName(tied.select("fp")).distinct()), "fp", "left_semi").select("text_hash", "fp")), "parity-wanted")
     rows = wanted.count()
     # a node's text is found by its hash: ids may be null or repeat
     docs = plain.join(common.maybe_broadcast(wanted.select("text_hash").distinct(), rows, 16), "text_hash", "left_semi").select("text_hash", "t")
     sets = keep(common.narrow(docs.mapInArrow(_sets(k), "fp long, elements array<long>").join(common.maybe_broadcast(wanted.select("fp"), rows, 16), "fp", "left_semi").dropDuplicates(["fp"])), "parity-sets")
-    links = keep(verifier.linked(pick, sets), "parity-links")
+    clusters = None if tied.isEmpty() else _Clusters(tied, sets, bands, keep)
+    pick = keep(common.narrow(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "parity-pick")
+    found = verifier.linked(pick, sets)
+    links = keep(found if clusters is None else found.unionByName(clusters.within()), "parity-links")
     roots, path = components(links)
     folders.append(path)
     rest = _rooted(_rooted(near.select("a", "b"), roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
-    if clusters is not None:
-        rest = rest.unionByName(_block_pairs(clusters, _rooted(nodes, roots, "fp", "root"), percent, False))
-    rest = keep(common.narrow(rest.distinct().join(pick, ["a", "b"], "left_anti")), "parity-rest")
-    more = keep(verifier.linked(rest, sets), "parity-more")
+    more = verifier.linked(keep(common.narrow(rest.join(pick, ["a", "b"], "left_anti")), "parity-rest"), sets)
+    across = None if clusters is None else clusters.across(roots)
+    more = keep(more if across is None else more.unionByName(across), "parity-more")
     if not more.isEmpty():
         roots, path = components(links.unionByName(more))
         folders.append(path)

@@ -5,6 +5,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 
 import brute
 import numpy as np
@@ -40,13 +41,13 @@ def test_contamination(spark):
     docs = documents(spark, texts).withColumns({"n_hit": F.lit(7), "items": F.lit("clash")})
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = brute.contamination(list(enumerate(texts)), list(enumerate(items)))
-    for rows in (None, 0):
-        old = winnow.FILTER_ROWS
-        winnow.FILTER_ROWS = old if rows is None else rows  # with and without the bitmap
+    for bits in (None, 64):
+        old = winnow.FILTER_BITS
+        winnow.FILTER_BITS = old if bits is None else bits  # a bitmap that rules out much, and one that is full
         try:
             got = winnow.contamination(docs, bench).select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), winnow.is_contaminated().alias("contaminated")).collect()
         finally:
-            winnow.FILTER_ROWS = old
+            winnow.FILTER_BITS = old
         assert {r["doc_id"]: r.asDict() for r in got} == want
     assert sum(w["contaminated"] for w in want.values()) == 5
     assert winnow.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -181,6 +182,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
 
 
+def test_contamination_rows(spark):
+    """Repeated rows and null ids each get a row; an item without an id is a hit all the same."""
+    rng = random.Random(19)
+    item, other = words(rng, 30), words(rng, 30)
+    bench = spark.createDataFrame([(1, item), (None, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, item), (5, item), (None, other + " x"), (None, None), (6, words(rng, 20))], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_hit"], r["items"]) for r in winnow.contamination(docs, bench).collect()), key=repr)
+    assert got == sorted([(5, 30, ["1"]), (5, 30, ["1"]), (None, 30, []), (None, 0, []), (6, 0, [])], key=repr)
+
+
 # --- 7: projections ----------------------------------------------------------------------------------------------------
 
 
@@ -213,7 +224,8 @@ def test_similar_vectors(spark):
 
 
 def test_blocks_count_exactly(spark, monkeypatch):
-    monkeypatch.setattr(sorted_projection, "BLOCK", 16)
+    monkeypatch.setattr(sorted_projection, "BLOCK_BYTES", 1024)
+    monkeypatch.setattr(sorted_projection, "STRIP", 7)
     rng = np.random.default_rng(5)
     rows = (np.ones((100, 8)) + 0.05 * rng.standard_normal((100, 8))).tolist()
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
@@ -221,7 +233,8 @@ def test_blocks_count_exactly(spark, monkeypatch):
 
 
 def test_small_components_count_in_every_bin(spark, monkeypatch):
-    monkeypatch.setattr(sorted_projection, "BLOCK", 16)
+    monkeypatch.setattr(sorted_projection, "BLOCK_BYTES", 1024)
+    monkeypatch.setattr(sorted_projection, "STRIP", 7)
     rng = np.random.default_rng(12)
     rows = [(c + 0.05 * rng.standard_normal(24)).tolist() for c in rng.standard_normal((300, 24)) for _ in range(3)]
     rows += rows[:50]
@@ -232,6 +245,13 @@ def test_small_components_count_in_every_bin(spark, monkeypatch):
     assert {r["vec_id"]: r["n_links"] for r in sorted_projection.similar_vectors(df).collect()} == dict(enumerate(want.tolist()))
 
 
+def test_repeated_and_null_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.02]), (None, [5.0, -5.0]), (None, None), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit(1))
+    got = sorted((tuple(r) for r in sorted_projection.similar_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (None, 0, None, True), (3, 1, 1, False)], key=repr)
+
+
 def test_passes_grow_with_the_table(spark):
     """Isolated pairs just above the threshold over an even background, and few places to meet in."""
     least = [sorted_projection.passes_for(n, 0.9, 48) for n in (0, 10_000, 1_000_000, 10_000_000)]
@@ -392,6 +412,64 @@ def test_collisions_are_resolved(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_one_surrogate_for_an_entity(spark):
+    """Coreference, distinctness, script, gender and form over many entities, by plain bookkeeping."""
+    rng = random.Random(41)
+    stems = {"latin": "bcdfghklmnprst", "cyrillic": "бвгджзклмнпрст", "greek": "βγδζκλμνπρσ"}
+    vowels = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιο"}
+    name = lambda s: "".join(rng.choice(stems[s]) + rng.choice(vowels[s]) for _ in range(3)).capitalize()
+    people = [(s, name(s), name(s), rng.choice("mf")) for s in stems for _ in range(60)]
+    titles = {"m": ["Mr.", "Herr", "г-н", "Dr."], "f": ["Mrs.", "Frau", "г-жа", "Prof."]}
+    texts, said = [], []
+    for s, given, last, g in people:
+        for title in titles[g]:
+            texts.append(f"then {title} {given} {last} left")
+            said.append((s, given, last))
+    phones = [f"{rng.randrange(200, 999)}{rng.randrange(200, 999)}{rng.randrange(1000, 9999)}" for _ in range(80)]
+    for p in phones:
+        texts += [f"call {p[:3]}-{p[3:6]}-{p[6:]} now", f"call +1 {p[:3]} {p[3:6]} {p[6:]} now", f"call ({p[:3]}) {p[3:6]}-{p[6:]} now"]
+    mails = [f"{name(s).lower()}.{i}@host.example.org" for s in stems for i in range(20)]
+    texts += [f"mail {m} now" for m in mails] + [f"mail {m.upper()} now" for m in mails]
+    docs = spark.createDataFrame([(None if i % 4 == 0 else i // 2, t, i) for i, t in enumerate(texts)], "doc_id long, text string, found int").withColumn("row", F.lit("clash"))
+    out = surrogate.with_surrogates(docs, "SECRETKEY")
+    assert "SECRETKEY" not in out._jdf.queryExecution().toString() and out.columns == [*docs.columns, "n_entities"]
+    got = {r["found"]: r["text"] for r in out.collect()}
+    assert len(got) == len(texts)
+    made, script = {}, {"latin": "[A-Za-z]+", "cyrillic": "[А-Яа-я]+", "greek": "[Α-Ωα-ωάέήίόύώ]+"}
+    for i, (s, given, last) in enumerate(said):
+        words_ = got[i].split()
+        assert words_[:2] == texts[i].split()[:2] and words_[-1] == "left"
+        made.setdefault(("given", given.lower()), set()).add(words_[2])
+        made.setdefault(("last", last.lower()), set()).add(words_[3])
+        assert all(re.fullmatch(script[s], w) for w in words_[2:4]), got[i]
+    at = len(said)
+    for p in phones:
+        digits = {re.sub("[^0-9]", "", got[at + k])[-10:] for k in range(3)}
+        assert got[at + 1].startswith("call +1 ") and re.fullmatch(r"call \(\d{3}\) \d{3}-\d{4} now", got[at + 2])
+        made["phone", p] = digits
+        at += 3
+    for k, m in enumerate(mails):
+        pair = [got[at + k], got[at + len(mails) + k]]
+        made["mail", m] = {x.split()[1].lower() for x in pair}
+        local = pair[0].split()[1].split(".")[0]
+        assert re.fullmatch(script["latin" if re.match("[a-z]", m) else "cyrillic" if re.match("[а-я]", m) else "greek"], local), pair
+    assert all(len(v) == 1 for v in made.values())
+    for kind in ("given", "last", "phone", "mail"):
+        found = [next(iter(v)) for (k, _), v in made.items() if k == kind]
+        real = {b for k, b in made if k == kind}
+        assert len(set(found)) == len(found) and not {f.lower() for f in found} & real
+    by_gender = {g: {next(iter(made["given", given.lower()]))[-4:] for s, given, _, h in people if h == g and s == "latin"} for g in "mf"}
+    assert not by_gender["m"] & by_gender["f"] or len({p[1] for p in people}) < len(people)
+
+
+def test_hmac_blocks(spark):
+    import hmac
+
+    for key in ("k", "x" * 200):
+        row = surrogate.Key(spark, key).beside(spark.range(1)).select(surrogate._mac(F.lit("message é"))).first()
+        assert row[0] == hmac.new(key.encode(), "message é".encode(), hashlib.sha256).hexdigest()
+
+
 # --- 9: mixing ---------------------------------------------------------------------------------------------------------
 
 
@@ -411,6 +489,14 @@ def test_mixing(spark):
         poisson_mix.mixed(docs, {"big": -1})
 
 
+def test_mixing_edges(spark):
+    rows = [(1, None, "a", 1, "x", "y", 0.5), (1, None, "a", 1, "x", "y", 0.5), (None, "t", None, 2, "x", "y", 0.5), (7, "", "b", 3, "x", "y", 0.5)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _rate int, _source string, `key` string, cdf double")
+    out = poisson_mix.mixed(docs, target_rows=200)
+    assert out.columns == [*docs.columns, "n_copies", "copy", "place"] and 100 < out.count() < 320
+    assert {r["_rate"]: (r["_source"], r["key"], r["cdf"]) for r in out.collect()} == {i: ("x", "y", 0.5) for i in (1, 2, 3)}
+
+
 def test_poisson_distribution(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
     for rate in (0.7, 40.0):
@@ -468,6 +554,16 @@ def test_sample_weights(spark):
     assert abs(total[0] / total[1] - 8) < 2
 
 
+def test_sample_is_bounded(spark):
+    """By rows, however often an id repeats, and by bytes; long texts are taken whole where they fit."""
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1)], "doc_id long, toxic int")
+    assert len(labelled.sample(docs, labels, "toxic")) <= 3
+    long = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 60_000).alias("text"))
+    rows = labelled.sample(long, labels, "toxic", size=3_000_000)
+    assert len(rows) == 10 and all(len(t) == 300_000 for t, _, _ in rows)
+
+
 def toxic_rows(n=400, biased=True):
     rng = random.Random(8)
     rows = []

@@ -2,8 +2,8 @@
 
 Tasks first join their links into trees of depth one by union-find over bounded runs of rows, and so after each round,
 which shortens paths and leaves a node few parents. A round points nodes at the least node they have met, over the whole
-table: the number of rounds grows with the logarithm of the longest path. A node with many children costs one task a sort of its links, two
-numbers each, which spills. Every round is written to the shared folder; the last is the one in which no node moved.
+table: the number of rounds grows with the logarithm of the longest path. Every round is written to the shared folder;
+the last is the one in which no node moved.
 """
 
 from __future__ import annotations
@@ -68,8 +68,9 @@ def _round(links: DataFrame) -> DataFrame:
     """Large-star, then small-star; moved says whether a row's nodes have found lesser ones."""
     end = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     both = links.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("x")).select("x.u", "x.v")
-    # the first of a node's sorted neighbours is the least: one shuffle and sort, and no group is held in memory
-    near = both.select("u", "v", F.least("u", F.first("v").over(Window.partitionBy("u").orderBy("v"))).alias("m"))
+    # a node's least neighbour is added up where its links are and joined back, so a node with many is split between tasks
+    least = common.narrow(both.groupBy("u").agg(F.min("v").alias("first")))
+    near = both.join(least, "u").select("u", "v", F.least("u", "first").alias("m"))
     large = common.narrow(near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("u")).alias("moved")))
     own = Window.partitionBy("a").orderBy("b", F.desc("moved"))
     small = large.select("a", "b", "moved", F.first("b").over(own).alias("m"), F.row_number().over(own).alias("i"))

@@ -165,8 +165,9 @@ def quality(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 from ``at``), n_passages and
     top_passage (place of the passage with the most attention; null without passages).
 
-    A null, empty or blank text has no passages and scores as the share of label 1. Rows that repeat each get a row.
-    Ids are integers; other columns are ignored. An empty table gives an empty one.
+    A null, empty or blank text has no passages and scores by the trained bias alone, as all such texts do. Rows that
+    repeat each get a row and score alike, as do ties. A null id stays null, and so is its held_out. Texts of any length
+    are scored whole. Ids are integers; other columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     common.ship(spark)

@@ -57,16 +57,18 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, source: s
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, doc_id: str = "doc_id", source: str = "source", target_rows: int | None = None) -> DataFrame:
     """The columns of ``docs`` and n_copies, copy (from 1) and place, in random order.
 
-    Columns of ``docs`` with those names are replaced. Rows that repeat an id are repeated equally often; a null id is
-    an id like any other. A null text is replicated as it is. An empty table, or weights of 0 only, give an empty mix.
+    Columns of ``docs`` with those names are replaced; other names are free. Rows that repeat an id are repeated equally
+    often; a null id is an id like any other. A null text is replicated as it is. An empty table, or weights of 0 only,
+    give an empty mix.
     """
     found, _ = common.saved(rates(docs, weights, source=source, target_rows=target_rows), "mix-rates")
-    there = common.maybe_broadcast(found.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")), found.count(), 1000)
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: _uniform(F.lit(str(seed)), key, j.cast("string")))
-    count = F.when(F.col("_rate") <= 0, 0).otherwise(F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c < u))))
+    there = common.maybe_broadcast(found.select(F.col("source").alias("whose"), "rate", "parts", "cdf"), found.count(), 1000)
     own = [c for c in docs.columns if c not in ("n_copies", "copy", "place")]
-    counted = docs.join(there, F.col(source).eqNullSafe(F.col("_source"))).withColumn("n_copies", count.cast("long")).where("n_copies > 0")
-    copies = counted.select(*own, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
-    placed = copies.withColumn("place", F.md5(F.concat_ws("|", F.lit(f"{seed}|place"), key, F.col("copy").cast("string"))))
+    # the row is one column, so that no name of docs can clash with one of ours
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"), F.col(source).alias("source"))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: _uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
+    count = F.when(F.col("rate") <= 0, 0).otherwise(F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c < u))))
+    counted = packed.join(there, F.col("source").eqNullSafe(F.col("whose"))).select("row", "key", count.cast("long").alias("n_copies")).where("n_copies > 0")
+    copies = counted.select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
+    placed = copies.select("row.*", "n_copies", "copy", F.md5(F.concat_ws("|", F.lit(f"{seed}|place"), F.col("key"), F.col("copy").cast("string"))).alias("place"))
     return placed.repartition("place").sortWithinPartitions("place")

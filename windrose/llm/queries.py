@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, mil_quality, parity_join, poisson_mix, sorted_projection, surrogate, token_rollup, toxicity, warc_zstd, winnow
-from .common import shared_folder, table
+from .common import remove, saved, shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,19 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents under a name of their own, renames the version by a revision and takes back and puts in again
+    all rows; sends batches twice and compacts in between. What is left is each document once."""
     rollup = token_rollup.Rollup(spark, shared_folder(spark, "tokens"))
-    counts = token_rollup.counted(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")
-    rollup.apply("load", token_rollup.inserts(counts))
-    rollup.apply("load", token_rollup.inserts(counts))  # sent twice, counted once
+    counts, path = saved(token_rollup.counted(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k"), "token-counts")
+    first = counts.withColumn("tokenizer", F.lit("byte_bpe_50k-loading"))
+    rollup.apply("load", token_rollup.inserts(first))
+    rollup.apply("load", token_rollup.inserts(first))  # sent twice, counted once
+    rollup.apply("rename", token_rollup.revisions(first, counts))
+    rollup.apply("withdraw", token_rollup.deletes(counts))
+    rollup.compact()
+    rollup.apply("rename", token_rollup.revisions(first, counts))  # known to the compacted delta
+    rollup.apply("again", token_rollup.inserts(counts))
+    remove(spark, path)
     return rollup.totals()
 
 

@@ -24,8 +24,8 @@ from . import common
 from .components import components
 
 CODE_BITS = 62
-#: Members of a block: two blocks of 64 float32 numbers are half a MB, and their products 2 MB.
-BLOCK = 512
+#: Bytes of a block of vectors, and rows of it that are multiplied with all of another one at once.
+BLOCK_BYTES, STRIP = 2 << 20, 256
 #: Share of isolated pairs at a cosine of exactly ``least`` that the passes are to find, however many vectors there are.
 RECALL = 0.97
 LEAST_PASSES = 10
@@ -49,7 +49,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _codes(passes: int, seed: int):
-    """Of valid vectors: id, dimension, bytes and a code for each pass."""
+    """Of each row its id, and of a valid vector its dimension, bytes (null for others) and a code for each pass."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -83,7 +83,8 @@ def _codes(passes: int, seed: int):
                     ],
                     names=["id", "dim", "vector", "codes"],
                 )
-            assert n_rows == len(ids)
+            bad = np.flatnonzero(~valid)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(bad)), pa.array(np.zeros(len(bad), np.int32)), pa.nulls(len(bad), pa.binary()), pa.array([[]] * len(bad), pa.list_(pa.int64()))], names=["id", "dim", "vector", "codes"])
 
     return run
 
@@ -132,7 +133,7 @@ def _counts(least: float):
     """For a group of one or two blocks: each member's linked members in the other, with their copies."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
+        ids, roots = group["node"].to_numpy(), group["root"].to_numpy()
         copies, side = group["copies"].to_numpy(), group["side"].to_numpy()
         raw = group["vector"].to_pylist()
         size = np.array([len(r) for r in raw])
@@ -141,15 +142,15 @@ def _counts(least: float):
         for d in np.unique(size):
             own = np.flatnonzero(size == d)
             x = _unit(np.frombuffer(b"".join([raw[i] for i in own]), "<f8").reshape(len(own), -1))
-            for at in range(0, len(own), BLOCK):
-                part = own[at : at + BLOCK]
-                close = (x[at : at + BLOCK] @ x.T >= least) & (roots[part][:, None] == roots[own][None, :])
+            for at in range(0, len(own), STRIP):
+                part = own[at : at + STRIP]
+                close = (x[at : at + STRIP] @ x.T >= least) & (roots[part][:, None] == roots[own][None, :])
                 if across:
                     close &= side[part][:, None] != side[own][None, :]
                 else:
                     close &= ids[part][:, None] != ids[own][None, :]
                 found[part] += close @ copies[own]
-        return pa.table({"id": ids, "links": found})
+        return pa.table({"node": ids, "links": found})
 
     return run
 
@@ -159,9 +160,10 @@ def similar_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
 
     Vectors link when their cosine in double precision is at least ``least``. Those that are null, empty, zero, or hold a
     null or non-finite number link with nothing, nor do vectors of different lengths. Rows that repeat an id each get
-    a row. Ids are integers; other columns are ignored. An empty table gives an empty one. No link found is below
-    ``least``; a component that no pass joins stays apart (see the README for the recall measured). Without ``passes``,
-    their number follows from the counted rows (passes_for).
+    a row and link by their own vectors. Ids are integers; a row with a null id links like any other, and a component
+    without any id has a null component_id. Other columns are ignored. An empty table gives an empty one. No link found
+    is below ``least``; a component that no pass joins stays apart (see the README for the recall measured). Without
+    ``passes``, their number follows from the counted rows (passes_for). Equal vectors are told by 64-bit hashes.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -169,33 +171,43 @@ def similar_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     if passes is None:
         passes = passes_for(vectors.count(), least, width)
     coded, coded_path = common.saved(plain.mapInArrow(_codes(passes, seed), "id long, dim int, vector binary, codes array<long>"), "projection-codes")
-    classed = coded.withColumn("same", F.sha2("vector", 256))
-    classes, classes_path = common.saved(classed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "projection-classes")
-    members, members_path = common.saved(classed.join(classes.select("same", "rep", "copies"), "same").where("id = rep").dropDuplicates(["rep", "same"]).select("id", "dim", "vector", "codes", "copies", "same"), "projection-members")
-    done = [coded_path, classes_path, members_path]
+    rows = coded.withColumn("node", F.xxhash64("vector"))
+    first = [F.first(c).alias(c) for c in ("dim", "vector", "codes")]
+    members, members_path = common.saved(rows.where("vector IS NOT NULL").groupBy("node").agg(*first, F.min("id").alias("rep"), F.count("*").alias("copies")), "projection-members")
+    done = [coded_path, members_path]
     found = []
     for p in range(passes):
-        ordered = members.select("id", "vector", "dim", F.col("codes")[p].alias("code")).repartitionByRange("dim", "code").sortWithinPartitions("dim", "code").select("id", "vector")
+        ordered = members.select("node", "vector", "dim", F.col("codes")[p].alias("code")).repartitionByRange("dim", "code").sortWithinPartitions("dim", "code").select("node", "vector")
         _, path = common.saved(ordered.mapInArrow(_neighbours(width, least), "a long, b long"), "projection-links")
         found.append(path)
     done += found
     links = spark.read.schema("a long, b long").parquet(*found)
     roots, roots_path = components(links.distinct())
+    roots = roots.select("node", "root")
     done.append(roots_path)
-    grouped, path = common.saved(members.join(roots.select(F.col("node").alias("id"), "root"), "id").select("id", "root", "vector", "copies"), "projection-grouped")
+    grouped, path = common.saved(members.join(common.narrow(roots), "node").select("node", "rep", "root", "vector", "copies"), "projection-grouped")
     done.append(path)
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
-    bins = max(1, grouped.count() // BLOCK)
-    sized = grouped.join(sizes, "root")
-    small = sized.where(F.col("size") <= BLOCK).select(F.lit(-1).cast("long").alias("whole"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("i"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("j"), F.lit(0).alias("side"), "id", "root", "copies", "vector")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = sized.where(F.col("size") > BLOCK).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = dealt.select(F.col("root").alias("whole"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "root", "copies", "vector")
-    counted = small.unionByName(large).groupBy("whole", "i", "j").applyInArrow(_counts(least), "id long, links long")
-    totals = counted.groupBy("id").agg(F.sum("links").alias("links"))
-    per_class = classes.join(totals.withColumnRenamed("id", "rep"), "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = per_class.select("same", F.col("copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = classed.select("id", "same").join(named, "same").select("id", "n_links", "component_id")
-    result, _ = common.saved(plain.select("id").join(linked.dropDuplicates(["id", "n_links", "component_id"]), "id", "left").select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(vec_id) == F.col("component_id")), "projection-result")
+    totals = _compared(grouped, least).groupBy("node").agg(F.sum("links").alias("links"))
+    ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = common.narrow(grouped.select("node", "root", "copies").join(common.narrow(ids), "root").join(common.narrow(totals), "node"))
+    single = members.select("node", F.col("rep").alias("component_id"), (F.col("copies") - 1).alias("n_links")).join(linked.select("node"), "node", "left_anti")
+    named = linked.select("node", "component_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")).unionByName(single.select("node", "component_id", "n_links"))
+    alone = rows.where("vector IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = rows.where("vector IS NOT NULL").select("id", "node").join(common.narrow(named), "node").select("id", "n_links", "component_id").unionByName(alone)
+    result, _ = common.saved(out.select(F.col("id").alias(vec_id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "projection-result")
     common.remove(spark, *done)
     return result
+
+
+def _compared(grouped: DataFrame, least: float) -> DataFrame:
+    """(node, links) of the members of components: how many rows each links with in each pair of blocks."""
+    size_of = F.sum(F.octet_length("vector").cast("long"))
+    total = grouped.agg(size_of).first()[0] or 0
+    sized = grouped.join(common.narrow(grouped.groupBy("root").agg(size_of.alias("size"))), "root")
+    bin_of = F.pmod(F.xxhash64("root"), F.lit(max(1, total // BLOCK_BYTES)))
+    columns = ("node", "root", "copies", "vector")
+    small = sized.where(F.col("size") <= BLOCK_BYTES).select(F.lit(-1).cast("long").alias("whole"), bin_of.alias("i"), bin_of.alias("j"), F.lit(0).alias("side"), *columns)
+    blocks = F.ceil(F.col("size") / BLOCK_BYTES)
+    dealt = sized.where(F.col("size") > BLOCK_BYTES).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = dealt.select(F.col("root").alias("whole"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *columns)
+    return small.unionByName(large).groupBy("whole", "i", "j").applyInArrow(_counts(least), "node long, links long")

@@ -6,22 +6,31 @@ length, an e-mail address its shape under a reserved domain, and a titled name i
 parts. What is hashed is the entity's plain form (digits without punctuation, lower-case letters), so all spellings of
 one entity get the same surrogate in every document: a lost task or another run makes the same ones.
 
+A surname's surrogate is the same behind any title. A given name's has an ending for its gender: that of its titles in
+the whole corpus, if they agree, else a neutral one. Letters stay in their script where it is Latin, Cyrillic or Greek,
+and in e-mail addresses in eight more (SCRIPTS); others become Latin ones. A number of country code 1 is the same entity
+with and without the code. Hashes are HMAC-SHA-256; the key reaches the plan as a subquery's result, not as a literal.
+
 Distinct entities must stay distinct. The corpus's distinct entities are tabled, and those whose surrogate another
-entity has, or that is itself an entity of the corpus, take the next attempt of their hash until none collide. Only
-these exceptions travel back to the documents; all other surrogates are computed where the text stands, so texts are
-never shuffled unless exceptions are too many to broadcast. Only DataFrame operations are used.
+entity has, or that is itself an entity of the corpus, take the next attempt of their hash until none collide. An
+entity's surrogates have one plain form, whatever its spelling, so the test covers all spellings. Only these exceptions,
+and given names whose title leaves the gender open that others tell, travel back to the documents; all other surrogates
+are computed where the text stands, so texts are never shuffled unless exceptions are too many to broadcast. Documents
+are told apart by a hash of their text, so ids may be null or repeat. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 # Titles that say what stands behind them is a name.
-MALE_TITLES = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr\\.", "г-н", "господин"]
-FEMALE_TITLES = ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra\\.", "Señorita", "Srta\\.", "г-жа", "госпожа"]
+MALE_TITLES = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr\\.", "г-н", "господин", "Κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra\\.", "Señorita", "Srta\\.", "г-жа", "госпожа", "Κυρία"]
 OTHER_TITLES = ["Dr\\.", "Prof\\."]
 SECRET_WORDS = ["password", "passwd", "passwort", "pwd", "secret", "token", "api[_-]?key"]
 
@@ -38,16 +47,35 @@ PATTERNS = {
     "ip": r"(?=[0-9])(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[0-9])",
     "ssn": r"(?=[0-9])(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?=[0-9+(])(?:(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}]))",
-    "name": r"(?=[A-Zг])(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.?\s{1,3}" + _NAME + r"(?: " + _NAME + r")?",
+    "name": r"(?=[A-ZΚг])(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.?\s{1,3}" + _NAME + r"(?: " + _NAME + r")?",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: A quick test that all texts with entities pass.
 _GATE = "[0-9@=:]|" + PATTERNS["name"]
 
-_ONSETS = {"latin": "b d f g k l m n p r s t v z".split(), "cyrillic": "б д ф г к л м н п р с т в з".split()}
-_VOWELS = {"latin": "a e i o".split(), "cyrillic": "а е и о".split()}
-_ENDINGS = {("latin", "m"): "rtus", ("latin", "f"): "lina", ("latin", "x"): "ren", ("cyrillic", "m"): "слав", ("cyrillic", "f"): "лина", ("cyrillic", "x"): "рен"}
-_SURNAMES = {("latin", "m"): "sten", ("latin", "f"): "sten", ("latin", "x"): "sten", ("cyrillic", "m"): "нов", ("cyrillic", "f"): "нова", ("cyrillic", "x"): "енко"}
+_ONSETS = {"latin": "b d f g k l m n p r s t v z".split(), "cyrillic": "б д ф г к л м н п р с т в з".split(), "greek": "β γ δ ζ κ λ μ ν π ρ σ τ φ χ".split()}
+_VOWELS = {"latin": "a e i o".split(), "cyrillic": "а е и о".split(), "greek": "α ε ι ο".split()}
+_ENDINGS = {"latin": {"m": "rtus", "f": "lina", "x": "ren"}, "cyrillic": {"m": "слав", "f": "лина", "x": "рен"}, "greek": {"m": "ρος", "f": "νία", "x": "νι"}}
+_SURNAMES = {"latin": "sten", "cyrillic": "енко", "greek": "άκη"}
+
+
+def _range(first: int, last: int, *without: int) -> str:
+    return "".join(chr(c) for c in range(first, last + 1) if c not in without)
+
+
+#: Scripts of letters in e-mail addresses, with capitals and small letters that stand for theirs.
+SCRIPTS = {
+    "Cyrillic": (_range(0x410, 0x42F), _range(0x430, 0x44F)),
+    "Greek": (_range(0x391, 0x3A9, 0x3A2), _range(0x3B1, 0x3C9, 0x3C2)),
+    "Hebrew": (_range(0x5D0, 0x5EA),) * 2,
+    "Arabic": (_range(0x628, 0x63A),) * 2,
+    "Devanagari": (_range(0x915, 0x939),) * 2,
+    "Thai": (_range(0xE01, 0xE2E),) * 2,
+    "Hiragana": (_range(0x3042, 0x3062),) * 2,
+    "Katakana": (_range(0x30A2, 0x30C2),) * 2,
+    "Hangul": (_range(0xAC00, 0xAC40),) * 2,
+    "Han": (_range(0x4E00, 0x4E40),) * 2,
+}
 
 MAX_ATTEMPTS = 40
 
@@ -83,7 +111,8 @@ def _name_words(m: Column) -> Column:
 def _base(x: Column, kind: Column) -> Column:
     """The form in which entities are the same: what is hashed, and compared for collisions."""
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(x, "[^0-9]", ""))
+        F.when(kind == "phone", F.regexp_replace(F.regexp_replace(x, r"^\+1(?=(?:[^0-9]*[0-9]){10}$)", ""), "[^0-9]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(x, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(x, " ", ""))
         .when(kind.isin("email", "given", "surname"), F.lower(x))
         .otherwise(x)
@@ -100,18 +129,36 @@ def _form(m: Column, kind: Column) -> Column:
 
 
 def entities(m: Column, kind: Column) -> Column:
-    """Array of (kind, base, form) of a match of a kind: one, or of a name one for each of its words."""
-    one = lambda kind, base, form: F.struct(kind.alias("kind"), base.alias("base"), form.alias("form"))
-    words, gender = _name_words(m), _gender(m)
-    surname = one(F.lit("surname"), F.lower(F.element_at(words, -1)), F.concat(F.element_at(words, -1), F.lit("|"), gender))
-    given = one(F.lit("given"), F.lower(words[0]), F.concat(words[0], F.lit("|"), gender))
-    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(_let(_form(m, kind), lambda form: one(kind, _base(form, kind), form))))
+    """Array of (kind, base, form, gender) of a match of a kind: one, or of a name one for each of its words."""
+    one = lambda kind, base, form, gender: F.struct(kind.alias("kind"), base.alias("base"), form.alias("form"), gender.alias("gender"))
+    words = _name_words(m)
+    surname = one(F.lit("surname"), F.lower(F.element_at(words, -1)), F.element_at(words, -1), F.lit(""))
+    given = one(F.lit("given"), F.lower(words[0]), words[0], _gender(m))
+    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(_let(_form(m, kind), lambda form: one(kind, _base(form, kind), form, F.lit("")))))
+
+
+class Key:
+    """The two blocks that HMAC-SHA-256 makes of a key, as a table of one row whose values no plan shows."""
+
+    def __init__(self, spark: SparkSession, key: str):
+        plain = key.encode()
+        block = (hashlib.sha256(plain).digest() if len(plain) > 64 else plain).ljust(64, b"\0")
+        pads = [bytearray(b ^ x for b in block) for x in (0x36, 0x5C)]
+        self.table = spark.createDataFrame([tuple(pads)], "inner_pad binary, outer_pad binary")
+
+    def beside(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: self.table.select(c).scalar() for c in ("inner_pad", "outer_pad")})
+
+
+def _mac(message: Column) -> Column:
+    """Hex digits of the HMAC, of rows that have a Key beside them."""
+    inner = F.unhex(F.sha2(F.concat(F.col("inner_pad"), F.encode(message, "utf-8")), 256))
+    return F.sha2(F.concat(F.col("outer_pad"), inner), 256)
 
 
-def _stream(key: str, kind: Column, base: Column, attempt: Column) -> Column:
-    """128 hex digits that depend on all four."""
-    seed = F.concat_ws("|", F.lit(key), kind, base, attempt.cast("string"))
-    return F.concat(F.sha2(seed, 256), F.sha2(F.concat(F.lit("+"), seed), 256))
+def _stream(kind: Column, base: Column, attempt: Column) -> Column:
+    """128 hex digits that depend on the key and all three."""
+    return _let(F.concat_ws("|", kind, base, attempt.cast("string")), lambda seed: F.concat(_mac(seed), _mac(F.concat(F.lit("+"), seed))))
 
 
 def _number(stream: Column, i: Column) -> Column:
@@ -128,20 +175,28 @@ def _is_digit(c: Column) -> Column:
 
 
 def _redigit(form: Column, stream: Column, keep: Column) -> Column:
-    """Digits after the first ``keep`` ones replaced, by their place among the digits."""
+    """Digits after the first ``keep`` ones replaced, by their place among those."""
     state = lambda n, made: F.struct(n.alias("n"), made.alias("made"))
-    digit = lambda acc: F.when(acc["n"] >= keep, F.pmod(_number(stream, acc["n"]), F.lit(10)).cast("string"))
+    digit = lambda acc: F.when(acc["n"] >= keep, F.pmod(_number(stream, acc["n"] - keep), F.lit(10)).cast("string"))
     step = lambda acc, c: F.when(_is_digit(c), state(acc["n"] + 1, F.concat(acc["made"], F.coalesce(digit(acc), c)))).otherwise(state(acc["n"], F.concat(acc["made"], c)))
     return F.aggregate(_chars(form), state(F.lit(0), F.lit("")), step, lambda acc: acc["made"])
 
 
-def _reshape(form: Column, stream: Column) -> Column:
-    """Every letter and digit replaced by one of its class and case."""
-    letter = lambda alphabet, i: F.substring(F.lit(alphabet), (F.pmod(_number(stream, i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
-    return F.array_join(
-        F.transform(_chars(form), lambda c, i: F.when(_is_digit(c), letter("0123456789", i)).when(c.rlike("\\p{Lu}"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).when(c.rlike("\\p{L}"), letter("abcdefghijklmnopqrstuvwxyz", i)).otherwise(c)),
-        "",
-    )
+def _letter(alphabet: str, stream: Column, i: Column) -> Column:
+    return F.substring(F.lit(alphabet), (F.pmod(_number(stream, i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+
+
+def _reshape(form: Column, stream: Column, scripts: dict | None = None) -> Column:
+    """Every letter and digit replaced by one of its class and case, and of its script among the given ones."""
+
+    def other(c: Column, i: Column) -> Column:
+        out = F.when(_is_digit(c), _letter("0123456789", stream, i))
+        for name, (upper, lower) in (scripts or {}).items():
+            here = c.rlike(f"\\p{{Is{name}}}") & c.rlike("\\p{L}")
+            out = out.when(here & c.rlike("\\p{Lu}"), _letter(upper, stream, i)).when(here, _letter(lower, stream, i))
+        return out.when(c.rlike("\\p{Lu}"), _letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", stream, i)).when(c.rlike("\\p{L}"), _letter("abcdefghijklmnopqrstuvwxyz", stream, i)).otherwise(c)
+
+    return F.array_join(F.transform(_chars(form), other), "")
 
 
 def _rehex(form: Column, stream: Column) -> Column:
@@ -190,32 +245,45 @@ def _ip(form: Column, stream: Column) -> Column:
 
 def _email(form: Column, stream: Column) -> Column:
     host = F.array_join(F.transform(F.sequence(F.lit(40), F.lit(47)), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(_number(stream, i), F.lit(26)) + 1).cast("int"), F.lit(1))), "")
-    return F.concat(_reshape(F.substring_index(form, "@", 1), stream), F.lit("@"), host, F.lit(".example"))
-
-
-def _spelled(form: Column, stream: Column, attempt: Column, endings: dict) -> Column:
-    """A name of syllables in the form's script with an ending for its gender; each attempt adds a syllable."""
-    gender = F.substring_index(form, "|", -1)
-    out = F.lit("")
-    for script in ("latin", "cyrillic"):
-        onsets, vowels = F.array(*map(F.lit, _ONSETS[script])), F.array(*map(F.lit, _VOWELS[script]))
-        stem = F.array_join(F.transform(F.sequence(F.lit(0), F.least(2 + attempt, F.lit(20))), lambda i: F.concat(F.element_at(onsets, (F.pmod(_number(stream, 2 * i), F.lit(14)) + 1).cast("int")), F.element_at(vowels, (F.pmod(_number(stream, 2 * i + 1), F.lit(4)) + 1).cast("int")))), "")
-        ending = F.when(gender == "m", endings[script, "m"]).when(gender == "f", endings[script, "f"]).otherwise(endings[script, "x"])
-        out = F.when(form.rlike("\\p{IsCyrillic}") if script == "cyrillic" else F.lit(True), F.initcap(F.concat(stem, ending))).otherwise(out)
+    local = F.substring_index(form, "@", 1)
+    return F.concat(F.when(local.rlike("[^\\x00-\\x7F]"), _reshape(local, stream, SCRIPTS)).otherwise(_reshape(local, stream)), F.lit("@"), host, F.lit(".example"))
+
+
+def _syllable(script: str, stream: Column):
+    onsets, vowels = F.array(*map(F.lit, _ONSETS[script])), F.array(*map(F.lit, _VOWELS[script]))
+    at = lambda xs, n, count: F.element_at(xs, (F.pmod(n, F.lit(count)) + 1).cast("int"))
+    return lambda i: F.concat(at(onsets, _number(stream, 2 * i), 14), at(vowels, _number(stream, 2 * i + 1), 4))
+
+
+def _spelled(form: Column, stream: Column, attempt: Column, ending) -> Column:
+    """A name of syllables in the form's script with the ending of that script; each attempt adds a syllable."""
+    out = None
+    for script in ("latin", "greek", "cyrillic"):
+        stem = F.array_join(F.transform(F.sequence(F.lit(0), F.least(2 + attempt, F.lit(20))), _syllable(script, stream)), "")
+        name = F.initcap(F.concat(stem, ending(script)))
+        out = name if out is None else F.when(form.rlike(f"\\p{{Is{script.capitalize()}}}"), name).otherwise(out)
     return out
 
 
+def _given(form: Column, stream: Column, attempt: Column, gender: Column) -> Column:
+    return _spelled(form, stream, attempt, lambda script: F.when(gender == "m", _ENDINGS[script]["m"]).when(gender == "f", _ENDINGS[script]["f"]).otherwise(_ENDINGS[script]["x"]))
+
+
+def _surname(form: Column, stream: Column, attempt: Column) -> Column:
+    return _spelled(form, stream, attempt, lambda script: F.lit(_SURNAMES[script]))
+
+
 def _country(form: Column) -> Column:
     """Digits of a leading country code."""
     return F.when(form.startswith("+"), F.length(F.regexp_extract(form, "^\\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{4})", 1))).otherwise(F.lit(0))
 
 
-def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    """What stands for an entity (kind, base, form)."""
-    return _let(_stream(key, e["kind"], e["base"], attempt), lambda stream: _from_stream(e["kind"], e["form"], attempt, stream))
+def surrogate(e: Column, attempt: Column, gender: Column) -> Column:
+    """What stands for an entity (kind, base, form), of rows that have a Key beside them."""
+    return _let(_stream(e["kind"], e["base"], attempt), lambda stream: _from_stream(e["kind"], e["form"], attempt, gender, stream))
 
 
-def _from_stream(kind: Column, form: Column, attempt: Column, stream: Column) -> Column:
+def _from_stream(kind: Column, form: Column, attempt: Column, gender: Column, stream: Column) -> Column:
     return (
         F.when(kind == "email", _email(form, stream))
         .when(kind == "card", _card(form, stream))
@@ -223,21 +291,24 @@ def _from_stream(kind: Column, form: Column, attempt: Column, stream: Column) ->
         .when(kind == "phone", _redigit(form, stream, _country(form)))
         .when(kind == "ssn", _redigit(form, stream, F.lit(0)))
         .when(kind == "iban", _iban(form, stream))
-        .when(kind == "given", _spelled(form, stream, attempt, _ENDINGS))
-        .when(kind == "surname", _spelled(form, stream, attempt, _SURNAMES))
+        .when(kind == "given", _given(form, stream, attempt, gender))
+        .when(kind == "surname", _surname(form, stream, attempt))
         .when(form.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), _rehex(form, stream))
         .otherwise(_reshape(form, stream))
     )
 
 
-def exceptions(found: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
-    """(kind, base, attempt) of the entities (kind, base, form) whose first surrogate collides; folders to remove."""
+def exceptions(found: DataFrame, key: Key) -> tuple[DataFrame, list[str]]:
+    """(kind, base, attempt, gender) of the entities (kind, base, form, gender) whose first surrogate collides or whose
+    forms differ in gender; folders to remove."""
     spark = found.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    made = lambda attempt: _base(surrogate(F.struct("kind", "base", "form"), attempt, key), F.col("kind"))
+    made = lambda attempt: _base(surrogate(F.struct("kind", "base", "form"), attempt, F.col("gender")), F.col("kind"))
     # the table is small in bytes but dear to compute: dealt to all cores, and each surrogate is made once
-    real = found.groupBy("kind", "base").agg(F.min("form").alias("form")).repartition(parts, "kind", "base")
-    now, path = common.saved(real.select("kind", "base", "form", F.lit(0).alias("attempt"), made(F.lit(0)).alias("made")), "pii-entities")
+    said = lambda g: F.max(F.col("gender") == g)
+    gender = F.when(said("m") & ~said("f"), "m").when(said("f") & ~said("m"), "f").otherwise(F.when(F.max("gender") == "", "").otherwise("x"))
+    real = found.groupBy("kind", "base").agg(F.min("form").alias("form"), gender.alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")).repartition(parts, "kind", "base")
+    now, path = common.saved(key.beside(real).select("kind", "base", "form", "gender", "mixed", F.lit(0).alias("attempt"), made(F.lit(0)).alias("made")), "pii-entities")
     done = [path]
     for _ in range(MAX_ATTEMPTS):
         firsts = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "base")).alias("first"), F.count("*").alias("n"))
@@ -246,45 +317,53 @@ def exceptions(found: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
         losers, path = common.saved(now.join(clash, ["kind", "made"]).where("winner IS NULL OR winner <> base").select("kind", "base", F.lit(1).alias("again")), "pii-clashes")
         done.append(path)
         if losers.isEmpty():
-            return now.where("attempt > 0").select("kind", "base", "attempt"), done
-        both = now.join(losers, ["kind", "base"], "left")
-        now, path = common.saved(both.select("kind", "base", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), F.when(F.col("again").isNull(), F.col("made")).otherwise(made(F.col("attempt") + 1)).alias("made")), "pii-entities")
+            return now.where("attempt > 0 OR mixed").select("kind", "base", "attempt", "gender"), done
+        both = key.beside(now.join(losers, ["kind", "base"], "left"))
+        tried = F.when(F.col("again").isNull(), F.col("made")).otherwise(made(F.col("attempt") + 1))
+        now, path = common.saved(both.select("kind", "base", "form", "gender", "mixed", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), tried.alias("made")), "pii-entities")
         done.append(path)
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def with_surrogates(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     """The columns of ``docs`` with entities of ``text`` replaced, and n_entities.
 
-    A null text stays null with 0 entities; an empty one stays empty. Rows that repeat are treated alike. Surrogates
-    depend on ``key``, which must be kept secret, and on the entity alone but for collisions, which depend on the corpus.
-    A column named n_entities is replaced. An empty table gives an empty one.
+    A null text stays null with 0 entities; an empty one stays empty. Rows that repeat are treated alike; ids play no
+    part and may be null. Surrogates depend on ``key``, which must be kept secret, and on the entity alone but for
+    collisions and the gender of given names, which depend on the corpus. A column named n_entities is replaced; other
+    names are free. An empty table gives an empty one.
     """
-    own = [c for c in docs.columns if c not in ("n_entities", "_matches", "_attempts")]
-    t = F.col(text)
+    spark, secret = docs.sparkSession, Key(docs.sparkSession, key)
+    own = [c for c in docs.columns if c != "n_entities"]
+    # a row's other columns are one, so that no name of docs can clash with one of ours
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own if c != text]).alias("row")
+    t = F.col("t")
     matches = F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
     # explode_outer, as a filter of empty arrays would be pushed down and match everything twice
-    hits = docs.where(t.rlike(_GATE)).select(F.col(doc_id).alias("doc"), F.explode_outer(matches).alias("m")).where("m IS NOT NULL")
+    hits = docs.select(F.col(text).alias("t")).where(t.rlike(_GATE)).select(F.xxhash64("t").alias("doc"), F.explode_outer(matches).alias("m")).where("m IS NOT NULL")
     split = _let(kind_of(F.col("m")), lambda kind: entities(F.col("m"), kind))
     found, path = common.saved(hits.select("doc", F.explode_outer(split).alias("e")).select("doc", "e.*").distinct(), "pii-found")
-    matched = docs.select(*own).withColumn("_matches", F.when(t.rlike(_GATE), matches))
-    again, done = exceptions(found.select("kind", "base", "form"), key)
-    own_again, again_path = common.saved(found.select("doc", "kind", "base").join(again, ["kind", "base"]).groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "base"), "attempt"))).alias("_attempts")), "pii-exceptions")
-    common.remove(docs.sparkSession, path, *done)
-    rows = own_again.count()
+    again, done = exceptions(found.select("kind", "base", "form", "gender"), secret)
+    again = again.withColumnRenamed("gender", "known")
+    odd = found.select("doc", "kind", "base", "gender").join(again, ["kind", "base"]).where("attempt > 0 OR gender <> known")
+    named = F.struct(F.concat_ws(":", "kind", "base"), F.struct("attempt", F.col("known").alias("gender")))
+    by_text, _ = common.saved(odd.groupBy("doc").agg(F.map_from_entries(F.collect_set(named)).alias("exceptions")), "pii-exceptions")
+    common.remove(spark, path, *done)
+    joined = secret.beside(docs.select(others, F.col(text).alias("t")).withColumn("found", F.when(t.rlike(_GATE), matches)))
+    rows = by_text.count()
     if rows:
-        there = common.maybe_broadcast(own_again.withColumnRenamed("doc", "_doc"), rows, 500)
-        joined = matched.join(there, F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
-        attempts = lambda e: F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws(":", e["kind"], e["base"])), F.lit(0))
+        there = common.maybe_broadcast(by_text, rows, 500)
+        joined = joined.join(there, F.when(F.size("found") > 0, F.xxhash64("t")) == F.col("doc"), "left")
+        known = lambda e: F.try_element_at(F.col("exceptions"), F.concat_ws(":", e["kind"], e["base"]))
+        stand_in = lambda e: _let(known(e), lambda x: surrogate(e, F.coalesce(x["attempt"], F.lit(0)), F.coalesce(x["gender"], e["gender"])))
     else:
-        joined = matched
-        attempts = lambda e: F.lit(0)
+        stand_in = lambda e: surrogate(e, F.lit(0), e["gender"])
 
     def one(m: Column, kind: Column) -> Column:
-        made = F.transform(entities(m, kind), lambda e: surrogate(e, attempts(e), key))
-        return F.concat(_head(m, kind), F.array_join(made, " "))
+        return F.concat(_head(m, kind), F.array_join(F.transform(entities(m, kind), stand_in), " "))
 
     pieces = F.split(t, ENTITY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("_matches", lambda m: _let(kind_of(m), lambda kind: one(m, kind))), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    new = {text: F.when(F.size("_matches") > 0, whole).otherwise(t), "n_entities": F.when(F.col("_matches").isNotNull(), F.size("_matches")).otherwise(0).cast("long")}
-    return joined.withColumns(new).select(*own, "n_entities")
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("found", lambda m: _let(kind_of(m), lambda kind: one(m, kind))), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    new = F.when(F.size("found") > 0, whole).otherwise(t)
+    count = F.when(F.col("found").isNotNull(), F.size("found")).otherwise(0).cast("long")
+    return joined.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], count.alias("n_entities"))

@@ -30,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: An archive is closed after this many bytes of records, so a task holds that much at most, or one record.
 ARCHIVE_BYTES = 8 << 20
+#: What a reading task holds at most before it gives rows out, but for a single larger record.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: The dictionary's size, and the bytes of records that it is trained on.
 DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 10, 512 << 10
 LEVEL = 3
@@ -215,14 +217,16 @@ def _reader(folder: str, payloads: bool):
         system, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held, count = [], 0
+                held, count, size = [], 0, 0
                 with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for record in frames(stream):
-                        held.append(parse(record))
+                        found = parse(record)
+                        held.append({n: found[n] for n in names})
                         count += 1
-                        if len(held) == 512:
+                        size += len(record) if payloads else 0
+                        if len(held) == BATCH_ROWS or size >= BATCH_BYTES:
                             yield _batch(held, names)
-                            held = []
+                            held, size = [], 0
                 if held:
                     yield _batch(held, names)
                 if count != wanted:

@@ -21,8 +21,6 @@ from .textvec import U64, WORD_BYTES, Words, grams, mix, words
 
 #: Bits of the bitmap of item fingerprints that the scan of the documents tests: 2 MB, however large the benchmark.
 FILTER_BITS = 1 << 24
-#: Fingerprints gathered on the driver to fill that bitmap; a benchmark with more is joined without it.
-FILTER_ROWS = 1 << 20
 
 _PRINT = "key_id long, key_hash long, n_words int, hash long, at int, span int, around array<long>"
 
@@ -55,6 +53,21 @@ def _around(w: Words, at: np.ndarray, size: np.ndarray, reach: int, total: int)
     return np.where(good, values | U64(1), U64(0))
 
 
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """One bit for each fingerprint, gathered as words of 64 bits."""
+    bit = F.col("item_hash").bitwiseAND(FILTER_BITS - 1)
+    filled = prints.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(item_hash & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in filled:
+        out[r["word"]] = r["bits"]
+    return out.view(U64)
+
+
+def _set_bits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which fingerprints have their bit in the bitmap."""
+    return (table[((h & U64(64 * len(table) - 1)) >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) > 0
+
+
 def _scan(window: int, k: int, lengths: list[int], bitmap, filler: bool):
     """Rows of fingerprints. For documents (filler) also one row each that matches nothing, so that none is lost."""
     width, reach = window - k + 1, window - 1
@@ -74,7 +87,7 @@ def _scan(window: int, k: int, lengths: list[int], bitmap, filler: bool):
                     found.append((at, mix(h ^ U64(n)), n))
                 if bitmap is not None:
                     table = bitmap.value
-                    found = [(at[hit], h[hit], n) for at, h, n in found for hit in [table[(h & U64(FILTER_BITS - 1)).astype(np.int64)]]]
+                    found = [(at[hit], h[hit], n) for at, h, n in found for hit in [_set_bits(table, h)]]
                 at = np.concatenate([x[0] for x in found])
                 h = np.concatenate([x[1] for x in found])
                 span = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])
@@ -116,7 +129,7 @@ def _extend(window: int):
         for batch in batches:
             span = batch.column(3).to_numpy(zero_copy_only=False)
             item = batch.column(5)
-            met = (span > 0) & item.is_valid().to_numpy(zero_copy_only=False)
+            met = (span > 0) & batch.column(6).is_valid().to_numpy(zero_copy_only=False)
             out = {n: [] for n in ("row", "start", "end")}
             rows = np.flatnonzero(met)
             if len(rows):
@@ -147,7 +160,7 @@ def _extend(window: int):
                     batch.column(1).take(take),
                     pa.array(np.concatenate([nothing, *out["start"]]).astype(np.int32), mask=blank),
                     pa.array(np.concatenate([nothing, *out["end"]]).astype(np.int32), mask=blank),
-                    pa.array(item.take(take).to_numpy(zero_copy_only=False), pa.int64(), mask=blank),
+                    item.take(take),
                 ],
                 names=["key_id", "key_hash", "n_words", "start", "end", "item"],
             )
@@ -161,13 +174,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     A window is ``window`` consecutive words of an item; an item with fewer, but not none, is one window. A word of a
     document inside any occurrence of a window is hit. Ids are integers. Columns other than the named ones are ignored.
     A null or empty text has no words and no hits; an empty benchmark hits nothing; equal items are all reported. Rows
-    that repeat id and text give one row; an id with two texts gives a row for each. Rows with a null id are treated alike.
+    that repeat id and text, or whose id is null, each get a row; an item with a null id counts for n_hit, but not in items.
     """
-    return _contamination(docs, benchmark, doc_id, text, item_id, item_text, window, k).drop("key_hash")
+    found = _contamination(docs, benchmark, doc_id, text, item_id, item_text, window, k)
+    return found.select(*[c for c in found.columns if c not in ("key_hash", "rows")], F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row")).drop("_row")
 
 
 def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, k: int = 7) -> DataFrame:
-    """The rows of contamination with key_hash, the xxhash64 of the text."""
+    """For each id and text: the columns of contamination, key_hash (xxhash64 of the text) and rows, how many there are."""
     spark = docs.sparkSession
     common.ship(spark)
     side = lambda df, i, t: df.select(F.col(i).cast("long").alias("i"), F.col(t).alias("t"), F.xxhash64(t).alias("h"))
@@ -176,11 +190,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     prints, path = common.saved(items.mapInArrow(_scan(window, k, all_lengths, None, False), _PRINT).select(F.col("key_id").alias("item"), F.col("hash").alias("item_hash"), F.col("span").alias("item_span"), F.col("around").alias("item_around")), "winnow-items")
     lengths = sorted(r[0] for r in prints.where(F.col("item_span") < window).select("item_span").distinct().collect())
     rows = prints.count()
-    bitmap = None
-    if rows <= FILTER_ROWS:
-        bits = np.zeros(FILTER_BITS, bool)
-        bits[[r[0] for r in prints.select((F.col("item_hash").bitwiseAND(FILTER_BITS - 1)).alias("b")).distinct().collect()]] = True
-        bitmap = spark.sparkContext.broadcast(bits)
+    bitmap = spark.sparkContext.broadcast(_bitmap(prints))
     scanned = side(docs, doc_id, text).mapInArrow(_scan(window, k, lengths, bitmap, True), _PRINT)
     there = common.maybe_broadcast(prints, rows, 400)
     joined = scanned.join(there, (F.col("hash") == F.col("item_hash")) & (F.col("span") == F.col("item_span")), "left").select("key_id", "n_words", "at", "span", "around", "item", "item_around", "key_hash")
@@ -195,10 +205,11 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         runs.groupBy("key_id", "key_hash")
         .agg(
             F.max("n_words").cast("long").alias("n_words"),
+            F.count_if(F.col("start").isNull()).alias("rows"),
             F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("hits"),
             F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
         )
-        .select(F.col("key_id").alias(doc_id), "key_hash", "n_words", covered.alias("n_hit"), "items", F.array_sort("hits").alias("hits"))
+        .select(F.col("key_id").alias(doc_id), "key_hash", "n_words", covered.alias("n_hit"), "items", F.array_sort("hits").alias("hits"), "rows")
     )
 
 

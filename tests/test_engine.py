@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,8 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from windrose.functions import geo, physics, text, when
-from windrose.operators import attribution, classify, detect, grid, joins, learn, metrics, systems, tracks
-from windrose.sources import grid_source, readers, writers
+from windrose.operators import attribution, classify, compositions, detect, grid, joins, learn, metrics, ordered, systems, tracks
+from windrose.sources import checks, grid_source, readers, writers
 from windrose.streaming import cycles
 
 
@@ -219,7 +220,13 @@ def test_grid_source(spark, tmp_path):
     spark.createDataFrame([("tmpprs", 850.0, 1.0, 2.0, 3.0), ("tmpprs", 500.0, 1.0, 2.0, 4.0), ("rhprs", 850.0, 1.0, 2.0, 5.0)], "variable string, lev double, lat double, lon double, value double").coalesce(1).write.parquet(path)
     grid_source.register(spark)
     got = spark.read.format("grid").option("paths", path).load().where("variable = 'tmpprs' AND lev = 850.0").collect()
-    assert [r["value"] for r in got] == [3.0]
+    assert [(r["value"], r["error"]) for r in got] == [(3.0, None)]
+    broken = str(tmp_path / "b.parquet")
+    (tmp_path / "b.parquet").write_text("no parquet")
+    both = spark.read.format("grid").option("paths", f"{path},{broken}").option("mode", "PERMISSIVE").load().collect()
+    assert sorted((r["value"] or 0.0, r["error"] is None) for r in both) == [(0.0, False), (3.0, True), (4.0, True), (5.0, True)]
+    with pytest.raises(Exception, match="(?i)parquet"):
+        spark.read.format("grid").option("paths", broken).load().collect()
 
 
 def test_streams(spark, tmp_path):
@@ -234,3 +241,145 @@ def test_streams(spark, tmp_path):
     q = cycles.newest_per_storm(stream, storm="storm", ts="ts", values=["v"]).writeStream.format("memory").queryName("newest").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["storm"], r["v"]) for r in spark.table("newest").collect()) == [("A", 2.0), ("B", 3.0)]
+
+
+# --- order without a single task ---------------------------------------------------------------------------------------
+
+
+def test_running_and_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(40))) for _ in range(500)] + [("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    for by in ([], ["g"]):
+        groups = {}
+        for g, v in rows:
+            groups.setdefault(g if by else "", []).append(v)
+        got = {(r["g"] if by else ""): r for r in ordered.quantiles(df, "v", {"low": 0.1, "mid": 0.5, "top": 1.0}, by=by).collect()}
+        assert set(got) == set(groups)
+        for g, values in groups.items():
+            values.sort()
+            for name, q in (("low", 0.1), ("mid", 0.5), ("top", 1.0)):
+                at = q * (len(values) - 1)
+                want = values[math.floor(at)] + (at - math.floor(at)) * (values[math.ceil(at)] - values[math.floor(at)])
+                assert got[g][name] == pytest.approx(want)
+    ranks = ordered.running(spark.range(100).repartition(5), [F.desc("id")], {"n": F.lit(1)}).collect()
+    assert all(r["n"] == 100 - r["id"] and r["all_n"] == 100 for r in ranks)
+    assert ordered.quantiles(df.limit(0), "v", {"mid": 0.5}).first()["mid"] is None
+    whole = metrics.distribution(df, "v").first()
+    assert whole["min"] == 0.0 and whole["median"] == pytest.approx(sorted(v for _, v in rows)[250])
+
+
+def test_large_groups_in_rounds(spark, monkeypatch):
+    """What folds keep, rounds keep."""
+    rng = random.Random(2)
+    points = [(i % 2, i, rng.uniform(-60, 60), rng.uniform(-180, 180), float(rng.randrange(30))) for i in range(160)]
+    df = spark.createDataFrame(points, "g int, key long, lat double, lon double, conf double")
+    options = {"by": ["g"], "lat": "lat", "lon": "lon", "confidence": "conf", "key": "key"}
+    folded = sorted(map(tuple, detect.suppress(df, 2000.0, **options).collect()))
+    pairs = joins.distance_join(df.where("key % 3 = 0").select("g", F.col("key").alias("p"), "lat", "lon"), df.where("key % 3 = 1").select("g", F.col("key").alias("e"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), 6000.0, left_at=("lat", "lon"), right_at=("lat2", "lon2"), on=["g"])
+    matched = sorted(map(tuple, joins.greedy_match(pairs, group=["g"], left="p", right="e", distance="distance_km").collect()))
+    monkeypatch.setattr(detect, "FOLD_ROWS", 5)
+    monkeypatch.setattr(joins, "FOLD_ROWS", 5)
+    assert sorted(map(tuple, detect.suppress(df, 2000.0, **options).collect())) == folded and len(folded) > 20
+    assert sorted(map(tuple, joins.greedy_match(pairs, group=["g"], left="p", right="e", distance="distance_km").collect())) == matched and len(matched) > 20
+    start = dt.datetime(2024, 1, 1)
+    left = df.select("key", "lat", "lon", F.lit(start).cast("timestamp_ntz").alias("t"))
+    sys = df.select((F.col("key") + 500).alias("skey"), F.col("lat").alias("sl"), (F.col("lon") / 2).alias("so"), when.plus_hours(F.lit(start).cast("timestamp_ntz"), (F.col("key") % 30).cast("int")).alias("st"))
+    find = lambda most: sorted((r["key"], r["skey"], r["distance_km"]) for r in joins.nearest_with_age(left, sys, left_at=("lat", "lon"), left_time="t", key="skey", system_at=("sl", "so"), system_time="st", most=most).collect())
+    assert find(2000) == find(7)
+
+
+def test_boxes_by_cells(spark):
+    rng = random.Random(3)
+    p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]
+    f = [(i % 3, rng.uniform(-89, 89), rng.choice([179.9, -179.9, rng.uniform(-180, 180)])) for i in range(25)]
+    for half in (0.4, 7.0, 20.0, 200.0):
+        got = {r["k"] for r in joins.box_exclusion(spark.createDataFrame(p, "k int, t int, lat double, lon double"), spark.createDataFrame(f, "ft int, lat double, lon double"), time="t", fix_time="ft", lat="lat", lon="lon", half=half).collect()}
+        off = lambda a, b: abs((a - b + 180) % 360 - 180)
+        assert got == {k for k, t, la, lo in p if not any(t == u and abs(la - a) <= half and off(o, lo) <= half for u, a, o in f)}
+
+
+# --- whole runs --------------------------------------------------------------------------------------------------------
+
+
+def test_stored_inputs(spark, tmp_path):
+    names = checks.channel_names()
+    checks.channel_list(names)
+    assert len(names) == 137
+    for bad, said in ((names[1:], "index 0"), (names[:-1], "136 channels"), ({}, "not a list")):
+        with pytest.raises(ValueError, match=said):
+            checks.channel_list(bad)
+    good = {"dataset": "fnl", "num_channels": 137, "patch_size": 21}
+    assert checks.training_metadata(good, patch=21) and not checks.training_metadata({**good, "dataset": "x"}, patch=21, allow_other=True)
+    for bad in ({**good, "dataset": "x"}, {**good, "patch_size": 3}, []):
+        with pytest.raises(ValueError):
+            checks.training_metadata(bad, patch=21)
+    (tmp_path / "a").write_text("x")
+    assert checks.inputs_there(spark, [str(tmp_path / "a")], [str(tmp_path / "b")]) == [str(tmp_path / "b")]
+    with pytest.raises(FileNotFoundError):
+        checks.inputs_there(spark, [str(tmp_path / "c")], [])
+
+
+def test_enrichment(spark):
+    rows = spark.createDataFrame([("f", 1), ("f", 2), ("g", 1)], "file string, cell int")
+    cache = spark.createDataFrame([("f", 1, 0.5, None)], "file string, cell int, xai_mean_rhprs double, midlevel_rh_percent double")
+    cells = spark.createDataFrame([("f", 2, "rhprs", 600.0, 40.0, False), ("f", 2, "rhprs", 500.0, 60.0, True), ("f", 1, "rhprs", 600.0, 1.0, True)], "file string, cell int, variable string, lev double, value double, is_center boolean")
+    seen = spark.createDataFrame([("f", 2, "rhprs", -3.0), ("f", 2, "hgtprs", 1.0)], "file string, cell int, variable string, value double")
+    got = sorted(tuple(r) for r in compositions.enriched(rows, cache, cells, seen, keys=["file", "cell"]).select("file", "cell", "xai_mean_rhprs", "midlevel_rh_percent").collect())
+    assert got == [("f", 1, 0.5, None), ("f", 2, 0.75, 50.0), ("g", 1, None, None)]
+
+
+def test_reports_and_training(spark, tmp_path):
+    rows = spark.createDataFrame([(i, int(i >= 60), i / 100) for i in range(100)], "key long, y int, p double")
+    metrics.prediction_sanity(rows, "y", "p")
+    with pytest.raises(ValueError):
+        metrics.prediction_sanity(rows.where("y = 1"), "y", "p")
+    path = f"file://{tmp_path}/thresholds.json"
+    assert compositions.threshold_report(spark, rows, path, "f1", label=F.col("y"), score=F.col("p"))["f1"]["threshold"] == 0.6
+    assert set(compositions.threshold_report(spark, rows, path, "recall", label=F.col("y"), score=F.col("p"), least_recall=0.5)) == {"f1", "recall"}
+    shape, top = compositions.raw_sweep(rows, score="p", key="key", top=3)
+    assert (shape.first()["high"], shape.first()["constant"]) == (49, False) and [r["key"] for r in top.collect()] == [99, 98, 97]
+    curve = metrics.pr_curve(rows, F.col("y"), F.col("p")).orderBy("score").collect()
+    assert len(curve) == 100 and curve[60]["precision"] == curve[60]["recall"] == 1.0 and curve[0]["precision"] == 0.4
+    make = lambda epoch: [(r["key"], r["label"], r["batch"]) for r in compositions.training_epoch(rows.where("y = 1").select("key"), rows.where("y = 0").select("key"), key="key", ratio=3, epoch=epoch, batch=32).orderBy("batch", "label", "key").collect()]
+    a = make(1)
+    assert len(a) == 160 and sum(y for _, y, _ in a) == 40 and make(1) == a != make(2)
+    assert [sum(b == n for *_, b in a) for n in range(5)] == [32] * 5
+
+
+def test_augmentation(spark):
+    patches = spark.range(400).select("id", F.array(*[F.lit(1.0)] * 8).alias("p"))
+    draw = lambda seed: {r["id"]: r["x"] for r in patches.select("id", compositions.augmented(F.col("p"), F.col("id"), channels=4, last=3, seed=seed).alias("x")).collect()}
+    got = draw(1)
+    assert got == draw(1) != draw(2) and all(x[3] == x[7] == 1.0 for x in got.values())
+    same = sum(x == [1.0] * 8 for x in got.values())
+    assert 80 < same < 200 and all(abs(v - 1) < 0.1 or v == 0 for x in got.values() for v in x)
+
+
+def test_small_helpers(spark, tmp_path):
+    (tmp_path / "1999_storms.txt").write_text("01 32.5 10.0 350.0\nbad line\n")
+    r = readers.yearly_storm_text(spark, str(tmp_path / "1999_storms.txt")).first()
+    assert (r["sid"], r["lat"], r["lon"]) == ("1999-01", 10.0, 350.0) and r["date"].month == 2
+    for d in ("x", "x/y"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "a_predictions.csv").write_text("k\n1\n")
+    assert readers.prediction_csvs(spark, str(tmp_path / "x"), str(tmp_path / "x"), schema="k int").count() == 2
+    listed = spark.createDataFrame([(json.dumps([{"name": "unnamed", "storm_id": "W1", "latitude": "10", "longitude": "370", "time": "2024-01-01T00:00:00Z"}, {"name": "x"}]),)], "json string")
+    assert [(r["name"], r["status"]) for r in systems.listed_systems(listed).collect()] == [("W1", "UNKNOWN")]
+    levels = spark.createDataFrame([("a", "tmpprs", float(x)) for x in grid.LEVELS] + [("b", "tmpprs", 850.0)], "cycle string, variable string, lev double")
+    assert [r["cycle"] for r in grid.complete_levels(levels).collect()] == ["a"]
+    z = one(spark, grid.normalised_patch(F.array(F.lit(3.0), F.lit(float("nan")), F.lit(9.0)), F.array(*map(F.lit, [1.0, 0.0, 0.0])), F.array(*map(F.lit, [2.0, 1.0, 1.0])), last=2))
+    assert z == [1.0, 0.0, 9.0]
+    assert [one(spark, learn.hit_label(F.lit(x))) for x in (" hit", "False  Alarm", "?")] == [1, 0, None]
+    found = one(spark, attribution.by_prefix(F.create_map(F.lit("xai_a"), F.lit(0.2), F.lit("xai_b"), F.lit(0.7), F.lit("c"), F.lit(9.0)), "xai_"))
+    assert [tuple(x) for x in found] == [("b", 0.7), ("a", 0.2)]
+    ts = F.lit("2024-03-01 06:00:00").cast("timestamp_ntz")
+    assert one(spark, when.iso_z(ts)) == "2024-03-01T06:00:00Z" and one(spark, when.archive_url(ts, "http://h/")).startswith("http://h/2024/202403/")
+    assert one(spark, text.pipe_key(F.lit("a"), F.lit(None), F.lit(3))) == "a||3"
+    moved = spark.range(300).select(*[c.alias(n) for c, n in zip(tracks.jittered(F.lit(10.0), F.lit(359.0), F.col("id")), "ab", strict=True)]).collect()
+    assert {r["a"] for r in moved} == {8.0, 9.0, 10.0, 11.0, 12.0} and {r["b"] for r in moved} == {357.0, 358.0, 359.0, 0.0, 1.0}
+    now = dt.datetime(2024, 1, 4)
+    ages = spark.createDataFrame([(now - dt.timedelta(hours=h),) for h in (-3, -1, 5, 71, 80)], "ts timestamp")
+    assert cycles.fresh(ages, ts="ts", now=now).count() == 3
+    six = cycles.six_hour_counts(ages, ts="ts").collect()
+    assert sum(r["n"] for r in six) == 5

@@ -73,7 +73,8 @@ def top_drivers(df: DataFrame, attributions: str, k: int = 7) -> DataFrame:
     some = df.where(F.size(attributions) > 0)
     n = some.agg(F.count("*").alias("rows"))
     summed = some.select(F.explode(attributions).alias("name", "value")).groupBy("name").agg(F.sum("value").alias("total"))
-    return summed.join(F.broadcast(n)).select("name", (F.col("total") / F.col("rows")).alias("mean")).orderBy(F.desc("mean"), "name").limit(k)
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  the count is a single row
+    return one(summed).join(F.broadcast(one(n)), "_one").select("name", (F.col("total") / F.col("rows")).alias("mean")).orderBy(F.desc("mean"), "name").limit(k)
 
 
 def second_derivative_extremes(df: DataFrame, *, by: list[str], at: str, value: str) -> DataFrame:

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, physics
+from . import ordered
 from .lineage import cut
 
+#: Detections of a group that one fold may hold; larger groups are decided in rounds.
+FOLD_ROWS = 2000
+
 
 def score_gate(ensemble: Column, cnn: Column, vit: Column, at: float, least_expert: float) -> Column:
     """Ensemble at its threshold and both experts at theirs."""
@@ -24,14 +28,33 @@ def available_gate(ensemble: Column, cnn: Column, vit: Column, at: float, least_
 
 def suppress(df: DataFrame, km: float, *, by: list[str], lat: str, lon: str, confidence: str, key: str, top: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression by group: by falling confidence (ties: least key), a row stays if it is farther
-    than ``km`` from all that stay. At most ``top`` stay. A group is one analysis cycle's detections."""
+    than ``km`` from all that stay. At most ``top`` stay. Groups of FOLD_ROWS rows at most are folded as one array; larger
+    ones are decided in rounds over pairs within reach (ordered.first_kept), with the same result."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD_ROWS)
+    plain = df.select(*by, key, lat, lon, confidence)
+    if sizes.isEmpty():
+        kept = _folded(plain, km, by, lat, lon, confidence, key)
+    else:
+        large = cut(sizes.select(*by))
+        rows = cut(plain.join(large, by, "left_semi"))
+        met = _pairs(rows, km, by, key, lat, lon).where(F.col(key) != F.col("_key"))
+        order = rows.select(*by, key, (-F.col(confidence)).alias("_c"))
+        other = order.withColumnsRenamed({key: "_key", "_c": "_d"})
+        conflicts = met.join(order, [*by, key]).join(other, [*by, "_key"]).where(F.struct("_c", key) < F.struct(F.col("_d").alias("_c"), F.col("_key").alias(key)))
+        conflicts = conflicts.select(*by, key, *[F.col(c).alias(f"_after_{c}") for c in by], F.col("_key").alias(f"_after_{key}"))
+        won = rows.join(ordered.first_kept(rows, conflicts, [*by, key]), [*by, key], "left_semi")
+        kept = _folded(plain.join(large, by, "left_anti"), km, by, lat, lon, confidence, key).unionByName(won.select(*by, key, lat, lon, confidence))
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(confidence), key)))
+    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select(*by, "rank", key, lat, lon, confidence)
+
+
+def _folded(df: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str) -> DataFrame:
     row = F.struct((-F.col(confidence)).alias("c"), F.col(key).alias("k"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
     kind = df.select(row.alias("x")).schema["x"].dataType.simpleString()
     far = lambda acc, x: F.forall(acc, lambda m: geo.haversine_km(m["lat"], m["lon"], x["lat"], x["lon"]) > km)
     step = lambda acc, x: F.when(far(acc, x), F.array_append(acc, x)).otherwise(acc)
-    kept = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(f"array<{kind}>"), step).alias("kept"))
-    kept = kept.select(*by, F.posexplode(kept["kept"] if top is None else F.slice("kept", 1, top)).alias("rank", "m"))
-    return kept.select(*by, (F.col("rank") + 1).alias("rank"), F.col("m.k").alias(key), F.col("m.lat").alias(lat), F.col("m.lon").alias(lon), (-F.col("m.c")).alias(confidence))
+    kept = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(f"array<{kind}>"), step).alias("kept")).select(*by, F.explode("kept").alias("m"))
+    return kept.select(*by, F.col("m.k").alias(key), F.col("m.lat").alias(lat), F.col("m.lon").alias(lon), (-F.col("m.c")).alias(confidence))
 
 
 def _pairs(points: DataFrame, km: float, on: list[str], key: str, lat: str, lon: str) -> DataFrame:
@@ -41,16 +64,16 @@ def _pairs(points: DataFrame, km: float, on: list[str], key: str, lat: str, lon:
     return distance_join(points.select(*on, key, lat, lon), other, km, left_at=(lat, lon), right_at=("_lat", "_lon"), on=on).select(*on, key, "_key")
 
 
-def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat: str, lon: str, on: list[str] | None = None, rounds: int = 60) -> DataFrame:
+def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat: str, lon: str, on: list[str] | None = None) -> DataFrame:
     """(on, key, cluster): points with ``least`` points (themselves counted) within ``km`` are cores; cores within reach
     share a cluster, named by its least core; other points near a core join the least cluster near them; the rest is
-    left out. Labels travel a doubling distance per round, each checkpointed."""
+    left out. Labels travel a doubling distance per round, each checkpointed, until none moves."""
     on = on or []
     near = cut(_pairs(points, km, on, key, lat, lon))
     cores = near.groupBy(*on, key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*on, key)
     links = cut(near.join(cores, [*on, key]).join(cores.withColumnRenamed(key, "_key"), [*on, "_key"]))
     label = cut(cores.withColumn("cluster", F.col(key)))
-    for _ in range(rounds):
+    while True:
         around = links.join(label.withColumnRenamed(key, "_key"), [*on, "_key"]).groupBy(*on, key).agg(F.min("cluster").alias("cluster"))
         jump = around.join(label.select(*on, F.col(key).alias("cluster"), F.col("cluster").alias("_next")), [*on, "cluster"], "left")
         new = cut(jump.select(*on, key, F.least("cluster", "_next").alias("cluster")))

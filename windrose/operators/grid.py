@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ordered
+
 # The channel order, variable by variable, of the 19 levels and the surface fields.
 PRESSURE_VARIABLES = ["ugrdprs", "vgrdprs", "vvelprs", "tmpprs", "rhprs", "hgtprs", "absvprs"]
 SURFACE_VARIABLES = ["pressfc", "capesfc", "tmpsfc", "landmask"]
@@ -105,13 +107,13 @@ def sampled_stats(df: DataFrame, *, files: str, by: list[str], value: str, wante
     """Statistics by variable over every n-th file, about ``wanted`` of them; the variance is held at ``floor`` at least."""
     names = df.select(files).distinct()
     stride = max(1, names.count() // wanted)
-    chosen = names.withColumn("_n", F.row_number().over(Window.orderBy(files))).where((F.col("_n") - 1) % stride == 0).select(files)
+    chosen = ordered.running(names, [F.col(files)], {"_n": F.lit(1)}).where((F.col("_n") - 1) % stride == 0).select(files)
     return df.join(chosen, files, "left_semi").groupBy(*by).agg(F.avg(value).alias("mean"), F.sqrt(F.greatest(F.var_pop(value), F.lit(floor))).alias("std"))
 
 
 def normalised(df: DataFrame, stats: DataFrame, *, by: list[str], value: str) -> DataFrame:
-    """(value - mean) / std; the statistics are one row per channel."""
-    return df.join(F.broadcast(stats.select(*by, "mean", "std")), by).withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
+    """(value - mean) / std, by the statistics of its key; Spark broadcasts them if they are small, as one row per channel is."""
+    return df.join(stats.select(*by, "mean", "std"), by).withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def normalised_patch(patch: Column, mean: Column, std: Column, last: int = 136) -> Column:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, when
+from .lineage import cut
+
+#: Pairs of a group that one fold may hold; larger groups are matched in rounds.
+FOLD_ROWS = 2000
 
 KM_PER_DEGREE = math.pi * geo.EARTH_KM / 180
 
@@ -34,11 +38,14 @@ def _reached(df: DataFrame, lat: str, lon: str, km: float, size: float) -> DataF
     return df.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(columns))
 
 
-def distance_join(left: DataFrame, right: DataFrame, km: float, *, left_at: tuple[str, str], right_at: tuple[str, str], on: list[str] | None = None, strict: bool = False, how: str = "inner", cell: float = 5.0) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, km: float, *, left_at: tuple[str, str], right_at: tuple[str, str], on: list[str] | None = None, strict: bool = False, how: str = "inner", cell: float | None = None) -> DataFrame:
     """Pairs within ``km`` (under it, if ``strict``), with distance_km; or, for semi and anti joins, rows of ``left``.
 
-    Column names of the two sides must differ but for those in ``on``. A null coordinate is near nothing.
+    Column names of the two sides must differ but for those in ``on``. A null coordinate is near nothing. Cells are about
+    as wide as the radius, from 1 to 30 degrees, unless ``cell`` (a divisor of 360) says otherwise.
     """
+    if cell is None:
+        cell = next(c for c in (1.0, 1.5, 2.0, 3.0, 5.0, 7.5, 10.0, 15.0, 30.0) if c >= min(30.0, km / KM_PER_DEGREE))
     distance = geo.haversine_km(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     close = distance < km if strict else distance <= km
     r = _reached(right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull()), *right_at, km, cell)
@@ -83,27 +90,46 @@ def exclusion(left: DataFrame, right: DataFrame, km: float, **options) -> DataFr
 
 
 def box_exclusion(patches: DataFrame, fixes: DataFrame, *, time: str, fix_time: str, lat: str, lon: str, half: float) -> DataFrame:
-    """Patches without a fix at their time inside their box; the box may cross the date line."""
-    f = fixes.select(F.col(fix_time).alias("_t"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    """Patches without a fix at their time inside their box; the box may cross the date line. A fix is copied into the
+    cells that boxes around it reach, so a patch meets the fixes of its time nearby only."""
+    size = 360.0 / max(1, int(360 // max(half, 1.0)))
+    ring = int(round(360 / size))
+    f = fixes.select(F.col(fix_time).alias("_t"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL")
+    rows = F.sequence(geo.lat_cell(F.col("_lat") - half, size), geo.lat_cell(F.col("_lat") + half, size))
+    first, last = F.floor((geo.lon_360(F.col("_lon")) - half) / size) - 1, F.floor((geo.lon_360(F.col("_lon")) + half) / size) + 1
+    columns = F.array_distinct(F.transform(F.sequence(first, F.least(last, first + ring - 1)), lambda c: F.pmod(c, F.lit(ring))))
+    f = f.withColumn("_fr", F.explode(rows)).withColumn("_fc", F.explode(columns))
+    p = patches.withColumns({"_row": geo.lat_cell(F.col(lat), size), "_col": F.pmod(geo.lon_cell(F.col(lon), size), F.lit(ring))})
     off = F.abs(geo.lon_180(F.col("_lon") - F.col(lon)))
-    return patches.join(f, (F.col(time) == F.col("_t")) & (F.abs(F.col("_lat") - F.col(lat)) <= half) & (off <= half), "left_anti")
+    met = (F.col(time) == F.col("_t")) & (F.col("_row") == F.col("_fr")) & (F.col("_col") == F.col("_fc"))
+    return p.join(f, met & (F.abs(F.col("_lat") - F.col(lat)) <= half) & (off <= half), "left_anti").drop("_row", "_col")
 
 
-def nearest_with_age(left: DataFrame, systems: DataFrame, *, left_at: tuple[str, str], left_time: str, key: str, system_at: tuple[str, str], system_time: str, km_per_hour: float = 5.0, on: list[str] | None = None, most: int = 20_000) -> DataFrame:
+def nearest_with_age(left: DataFrame, systems: DataFrame, *, left_at: tuple[str, str], left_time: str, key: str, system_at: tuple[str, str], system_time: str, km_per_hour: float = 5.0, on: list[str] | None = None, most: int = 2000) -> DataFrame:
     """Left rows with the system that is least in distance + ``km_per_hour`` * age (ties: least ``key``): its key,
     distance_km and age_hours, null without systems.
 
-    All systems (of the same ``on``) count for a row, so they travel as one array: a cycle's active storms are a few
-    dozen. ValueError where they are over ``most`` in one array.
+    All systems (of the same ``on``) count for a row, so they travel as arrays of about ``most`` at most: a cycle's active
+    storms are a few dozen, which is one array; of more, a row meets each array and keeps the best.
     """
+    on = on or []
     item = F.struct(F.col(key).alias("key"), F.col(system_at[0]).alias("lat"), F.col(system_at[1]).alias("lon"), F.col(system_time).alias("time"))
-    arrays = systems.groupBy(*(on or [F.lit(0).alias("_all")])).agg(F.count("*").alias("_n"), F.collect_list(item).alias("_systems"))
-    largest = systems.groupBy(*(on or [])).count().agg(F.max("count")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"{largest} systems in one group; {most} at most")
-    met = left.join(arrays, on, "left") if on else left.withColumn("_all", F.lit(0)).join(F.broadcast(arrays), "_all", "left").drop("_all")
+    keyed = systems if on else systems.withColumn("_all", F.lit(0))
+    names = on or ["_all"]
+    sizes = keyed.groupBy(*names).agg(F.ceil(F.count("*") / most).alias("_chunks"))
+    several = sizes.where("_chunks > 1")
+    rows = left if on else left.withColumn("_all", F.lit(0))
     rated = F.transform("_systems", lambda s: F.struct(*_rating(s, left_at, left_time, km_per_hour)))
-    return met.withColumn("_b", F.array_min(rated)).withColumns({key: F.col("_b.key"), "distance_km": F.col("_b.km"), "age_hours": F.col("_b.hours")}).drop("_n", "_systems", "_b")
+    chosen = {key: F.col("_b.key"), "distance_km": F.col("_b.km"), "age_hours": F.col("_b.hours")}
+    if several.isEmpty():
+        arrays = keyed.groupBy(*names).agg(F.collect_list(item).alias("_systems"))
+        best = rows.join(arrays, names, "left").withColumn("_b", F.array_min(rated))
+    else:
+        arrays = keyed.join(sizes, names).groupBy(*names, F.pmod(F.xxhash64(key), F.col("_chunks")).alias("_chunk")).agg(F.collect_list(item).alias("_systems"))
+        held = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+        met = held.select("_id", *names, *dict.fromkeys([*left_at, left_time])).join(arrays, names).groupBy("_id").agg(F.min(F.array_min(rated)).alias("_b"))
+        best = held.join(met, "_id", "left").drop("_id")
+    return best.withColumns(chosen).drop("_systems", "_b", "_all")
 
 
 def _rating(s: Column, left_at: tuple[str, str], left_time: str, km_per_hour: float) -> list[Column]:
@@ -113,16 +139,32 @@ def _rating(s: Column, left_at: tuple[str, str], left_time: str, km_per_hour: fl
 
 
 def greedy_match(pairs: DataFrame, *, group: list[str], left: str, right: str, distance: str) -> DataFrame:
-    """One-to-one matches by ascending (distance, left, right), within each group: a fold over its sorted pairs.
+    """One-to-one matches by ascending (distance, left, right), within each group.
 
-    The pairs of a group are those of one analysis cycle within the match distance: a handful.
+    Groups of FOLD_ROWS pairs at most are folded as one array. In larger ones, a pair that comes first for both its ends
+    is a match; its ends' other pairs go, and so on until no pair is left: the same matches, in few rounds.
     """
-    p = F.array_sort(F.collect_list(F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))))
-    grouped = pairs.groupBy(*group).agg(p.alias("p"))
-    kind = pairs.select(F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r")).alias("x")).schema["x"].dataType.simpleString()
+    plain = pairs.select(*group, left, right, distance)
+    large = plain.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD_ROWS).select(*group)
+    if large.isEmpty():
+        return _folded_match(plain, group, left, right, distance)
+    large = cut(large)
+    out, rest = _folded_match(plain.join(large, group, "left_anti"), group, left, right, distance), cut(plain.join(large, group, "left_semi"))
+    row = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
+    while not rest.isEmpty():
+        firsts = lambda end: rest.groupBy(*group, end).agg(F.min(row).alias("m")).select(*group, "m.*")
+        found = cut(firsts(left).join(firsts(right), [*group, "d", "l", "r"]).select(*group, F.col("l").alias(left), F.col("r").alias(right), F.col("d").alias(distance)))
+        out = out.unionByName(found)
+        rest = cut(rest.join(found.select(*group, left), [*group, left], "left_anti").join(found.select(*group, right), [*group, right], "left_anti").select(*group, left, right, distance))
+    return out
+
+
+def _folded_match(pairs: DataFrame, group: list[str], left: str, right: str, distance: str) -> DataFrame:
+    row = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
+    kind = pairs.select(row.alias("x")).schema["x"].dataType.simpleString()
     step = lambda acc, x: F.when(F.exists(acc, lambda m: (m["l"] == x["l"]) | (m["r"] == x["r"])), acc).otherwise(F.array_append(acc, x))
-    matched = F.aggregate("p", F.array().cast(f"array<{kind}>"), step)
-    return grouped.select(*group, F.explode(matched).alias("m")).select(*group, F.col("m.l").alias(left), F.col("m.r").alias(right), F.col("m.d").alias(distance))
+    matched = F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(f"array<{kind}>"), step)
+    return pairs.groupBy(*group).agg(matched.alias("p")).select(*group, F.explode("p").alias("m")).select(*group, F.col("m.l").alias(left), F.col("m.r").alias(right), F.col("m.d").alias(distance))
 
 
 def match_status(predictions: DataFrame, events: DataFrame, matches: DataFrame, *, prediction: str, event: str) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table, checkpointed to the folder in spark.checkpoint.dir, or to one of our own where that is unset (local tests)."""
+    """The table, checkpointed to the folder in spark.checkpoint.dir, or to one of our own where that is unset in a local session."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="windrose-checkpoint-"))
     return df.checkpoint()

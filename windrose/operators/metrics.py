@@ -1,7 +1,7 @@
 """Verification, ranking and calibration metrics as aggregates.
 
-Rankings are computed from one row per distinct score, so the single ordered window over them is as long as the number
-of distinct scores; ``buckets`` coarsens scores where that would be too many.
+Rankings are computed from one row per distinct score, added up over range partitions (ordered.running): exact, and no
+task holds all scores.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ordered
+
 
 def _n(condition: Column) -> Column:
     return F.count_if(condition).cast("double")
@@ -23,9 +25,12 @@ def contingency(hits: Column, misses: Column, false_alarms: Column) -> dict[str,
 def event_metrics(predictions: DataFrame, events: DataFrame) -> DataFrame:
     """One row from rows marked by verification_status (predictions also with distance_km and event_name)."""
     hit = F.col("verification_status") == "HIT"
-    p = predictions.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("false_alarms"), F.avg(F.when(hit, F.col("distance_km"))).alias("mean_km"), F.median(F.when(hit, F.col("distance_km"))).alias("median_km"), F.array_join(F.sort_array(F.collect_set(F.when(hit, F.col("event_name")))), "; ").alias("hit_names"))
+    p = predictions.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("false_alarms"), F.avg(F.when(hit, F.col("distance_km"))).alias("mean_km"), F.array_join(F.sort_array(F.collect_set(F.when(hit, F.col("event_name")))), "; ").alias("hit_names"))
     e = events.agg(F.count_if(F.col("verification_status") == "MISS").alias("misses"))
-    return p.join(F.broadcast(e)).withColumns(contingency(F.col("hits"), F.col("misses"), F.col("false_alarms")))
+    q = ordered.quantiles(predictions.where(hit), "distance_km", {"median_km": 0.5})
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  each is a single row
+    joined = one(p).join(one(e), "_one").join(one(q), "_one", "left").drop("_one")
+    return joined.withColumns(contingency(F.col("hits"), F.col("misses"), F.col("false_alarms")))
 
 
 def unique_storms(events: DataFrame, *, storm: str = "sid") -> DataFrame:
@@ -58,15 +63,11 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
     return rows.unionByName(macro).unionByName(weighted)
 
 
-def score_table(df: DataFrame, label: Column, score: Column, *, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def score_table(df: DataFrame, label: Column, score: Column, *, by: list[str] | None = None) -> DataFrame:
     """Positives and negatives at each distinct score, and running counts from the highest score down."""
-    s = score.cast("double") if buckets is None else F.round(score.cast("double") * buckets) / buckets
-    t = df.select(*(by or []), label.cast("int").alias("y"), s.alias("score")).where("y IN (0, 1) AND score IS NOT NULL AND NOT isnan(score)")
+    t = df.select(*(by or []), label.cast("int").alias("y"), score.cast("double").alias("score")).where("y IN (0, 1) AND score IS NOT NULL AND NOT isnan(score)")
     g = t.groupBy(*(by or []), "score").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    down = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(*(by or [F.lit(0)]))
-    return g.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "P": F.sum("pos").over(all_rows), "N": F.sum("neg").over(all_rows)})
+    return ordered.running(g, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, by=by).withColumnsRenamed({"all_tp": "P", "all_fp": "N"})
 
 
 def roc_auc(df: DataFrame, label: Column, score: Column, *, by: list[str] | None = None) -> DataFrame:
@@ -76,9 +77,10 @@ def roc_auc(df: DataFrame, label: Column, score: Column, *, by: list[str] | None
 
 
 def _curve(df: DataFrame, label: Column, score: Column, by: list[str] | None) -> DataFrame:
-    t = score_table(df, label, score, by=by).withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "P")})
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"))
-    return t.withColumns({"last_recall": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "last_precision": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    """Precision and recall at each score, and at the next higher one (1 and 0 above the highest)."""
+    t = score_table(df, label, score, by=by)
+    before, wrong = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    return t.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "P"), "last_recall": F.coalesce(F.try_divide(before, F.col("P")), F.lit(0.0)), "last_precision": F.coalesce(F.try_divide(before, before + wrong), F.lit(1.0))})
 
 
 def pr_curve(df: DataFrame, label: Column, score: Column, *, by: list[str] | None = None) -> DataFrame:
@@ -139,8 +141,17 @@ def sweep(df: DataFrame, label: Column, score: Column, *, low: float = 0.2, high
 
 def distribution(df: DataFrame, value: str, *, by: list[str] | None = None) -> DataFrame:
     """min, mean, median, p95, p99 and max, exact."""
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(*(by or [])).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), q(0.5).alias("median"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(value).alias("max"))
+    by = by or []
+    ends = df.groupBy(*by).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    q = ordered.quantiles(df, value, {"median": 0.5, "p95": 0.95, "p99": 0.99}, by=by)
+    names = ("min", "mean", "median", "p95", "p99", "max")
+    if not by:
+        return ends.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one", "left").select(*names)
+    q = q.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return ends.join(q, same, "left").select(*by, *names)
 
 
 def outcome(label: Column, predicted: Column) -> Column:

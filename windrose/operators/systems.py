@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, when
+from . import joins, ordered
 from .joins import keep_last
+from .lineage import cut
 
 # Dvorak T-numbers from which a status holds.
 DVORAK = [(5.0, "TY"), (3.5, "TS"), (2.0, "TD"), (0.0, "DB")]
@@ -90,15 +92,18 @@ def listed_systems(documents: DataFrame, *, column: str = "json") -> DataFrame:
 
 
 def deduplicated(systems: DataFrame, *, hours: float = 12.0, km: float = 150.0) -> DataFrame:
-    """Newest fix of each id, then newest first: a system is left out when one that stays is within ``hours`` and ``km``.
+    """Newest fix of each id, then newest first (ties: least id, then position): a system is left out when one that stays
+    is within ``hours`` and ``km``. Ids that say nothing count as different systems.
 
-    Ids that say nothing count as different systems. All systems active at once are a few dozen rows: one fold.
+    Near systems are found by time buckets and cells, and decided in rounds (ordered.first_kept).
     """
     generic = F.col("storm_id").isNull() | F.upper(F.trim(F.coalesce("storm_id", F.lit("")))).isin("", "UNKNOWN")
     known = keep_last(systems.where(~generic), ["storm_id"], [F.col("time"), F.col("latitude"), F.col("longitude")])
-    rows = known.unionByName(systems.where(generic))
-    item = F.struct((-F.unix_micros(F.col("time").cast("timestamp"))).alias("t"), F.coalesce("storm_id", F.lit("")).alias("id"), F.struct(*systems.columns).alias("row"))
-    kind = rows.select(item.alias("x")).schema["x"].dataType.simpleString()
-    near = lambda a, b: (F.abs(a["t"] - b["t"]) <= hours * 3.6e9) & (geo.haversine_km(a["row"]["latitude"], a["row"]["longitude"], b["row"]["latitude"], b["row"]["longitude"]) <= km)
-    fold = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(F.exists(acc, lambda m: near(m, x)), acc).otherwise(F.array_append(acc, x)))
-    return rows.agg(fold.alias("kept")).select(F.explode("kept").alias("x")).select("x.row.*")
+    place = F.struct((-F.unix_micros(F.col("time").cast("timestamp"))).alias("t"), F.coalesce("storm_id", F.lit("")).alias("id"), F.struct(*systems.columns).alias("row"))
+    rows = cut(known.unionByName(systems.where(generic)).withColumns({"_place": place, "_key": F.monotonically_increasing_id()}))
+    bucket = F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / (hours * 3600)).cast("long")
+    side = lambda x, b: rows.select(F.col("_key").alias(f"_key{x}"), F.col("_place").alias(f"_place{x}"), F.col("time").alias(f"_time{x}"), F.col("latitude").alias(f"_lat{x}"), F.col("longitude").alias(f"_lon{x}"), b.alias("_b"))
+    near = joins.distance_join(side("1", bucket), side("2", F.explode(F.array(bucket - 1, bucket, bucket + 1))), km, left_at=("_lat1", "_lon1"), right_at=("_lat2", "_lon2"), on=["_b"])
+    near = near.where((F.abs(when.hours_between(F.col("_time1"), F.col("_time2"))) <= hours) & (F.struct("_place1", "_key1") < F.struct(F.col("_place2").alias("_place1"), F.col("_key2").alias("_key1"))))
+    kept = ordered.first_kept(rows, near.select(F.col("_key1").alias("_key"), F.col("_key2").alias("_after__key")), ["_key"])
+    return rows.join(kept, "_key", "left_semi").select(*systems.columns)

@@ -51,7 +51,7 @@ ORACLES: dict[str, str] = {
     "active_at_time": f"WITH e AS (SELECT DISTINCT {_CYCLE} AS cycle, user_id FROM events), g AS (SELECT cycle, count(*) n, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) l FROM e GROUP BY cycle), f AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL 6 HOUR * i AS file_ts FROM range(124) x(i)) SELECT file_ts, n IS NOT NULL AS is_active, coalesce(n,0) AS n, l AS storms FROM f LEFT JOIN g ON file_ts=cycle",
     "box_exclusion": f"WITH {_CUST}, {_SUPP} SELECT key FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE skey%10=key%10 AND abs(slat-lat)<=20 AND least(((slon-lon)%360+360)%360, 360-((slon-lon)%360+360)%360)<=20)",
     "greedy_match": f"WITH RECURSIVE {_GREEDY} SELECT nation, key, skey, km FROM matches",
-    "match_metrics": f"WITH RECURSIVE {_GREEDY}, ev AS (SELECT s.skey, k.key FROM s LEFT JOIN (SELECT * FROM matches WHERE key%10=0) k USING (skey)), pr AS (SELECT c.key, k.skey, k.km FROM (SELECT * FROM c WHERE key%10=0) c LEFT JOIN (SELECT * FROM matches WHERE key%10=0) k USING (key)), a AS (SELECT count(skey) h, count(*)-count(skey) f, avg(km) mk, median(km) md FROM pr), b AS (SELECT count(*)-count(key) m FROM ev) SELECT h AS hits, m AS misses, f AS false_alarms, round(h/(h+m),9) AS pod, round(h/(h+f),9) AS precision, round(f/(h+f),9) AS far, round(h/(h+m+f),9) AS csi, round(mk,9) AS mean_km, round(md,9) AS median_km FROM a, b",
+    "match_metrics": f"WITH RECURSIVE {_GREEDY}, ev AS (SELECT s.skey, k.key FROM s LEFT JOIN matches k USING (skey)), pr AS (SELECT c.key, k.skey, k.km FROM c LEFT JOIN matches k USING (key)), a AS (SELECT count(skey) h, count(*)-count(skey) f, avg(km) mk, median(km) md FROM pr), b AS (SELECT count(*)-count(key) m FROM ev) SELECT h AS hits, m AS misses, f AS false_alarms, round(h/(h+m),9) AS pod, round(h/(h+f),9) AS precision, round(f/(h+f),9) AS far, round(h/(h+m+f),9) AS csi, round(mk,9) AS mean_km, round(md,9) AS median_km FROM a, b",
     "cache_reuse": f"WITH {_CUST}, h AS (SELECT key, CASE WHEN key%2=0 THEN conf END v1, CASE WHEN key%5=0 THEN lat END v2 FROM c WHERE key%3=0), j AS (SELECT o_custkey k, coalesce(v1,v2) v FROM orders LEFT JOIN h ON o_custkey=key) SELECT CASE WHEN v IS NULL THEN 'pending' ELSE 'reused' END AS kind, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM j GROUP BY 1",
     "genesis_first_event": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events) WHERE n=1",
     "genesis_first_values": "SELECT user_id, arg_min(value, ts) FILTER (WHERE event_type='purchase') AS bought, arg_min(event_type, ts) AS event_type FROM events GROUP BY user_id",
@@ -81,7 +81,7 @@ ORACLES: dict[str, str] = {
     "clipped_box_mean": _box(2, True),
     "gradient": "WITH t AS (SELECT event_type, hour(ts) h, count(*)::DOUBLE n FROM events GROUP BY 1,2) SELECT event_type, CAST(h AS INT) AS h, n, round((coalesce(lead(n) OVER w,n)-coalesce(lag(n) OVER w,n))/(coalesce(lead(h) OVER w,h)-coalesce(lag(h) OVER w,h)),9) AS slope FROM t WINDOW w AS (PARTITION BY event_type ORDER BY h)",
     "divergence": f"WITH {_LATT}, t AS (SELECT (r-20)::DOUBLE la, c::DOUBLE lo, v u, o w FROM g), x AS (SELECT *, (coalesce(lead(u) OVER a,u)-coalesce(lag(u) OVER a,u))/(radians(coalesce(lead(lo) OVER a,lo))-radians(coalesce(lag(lo) OVER a,lo))) du, (coalesce(lead(w) OVER b,w)-coalesce(lag(w) OVER b,w))/(radians(coalesce(lead(la) OVER b,la))-radians(coalesce(lag(la) OVER b,la))) dv FROM t WINDOW a AS (PARTITION BY la ORDER BY lo), b AS (PARTITION BY lo ORDER BY la)) SELECT la AS lat, lo AS lon, round((du/(6371008.8*greatest(cos(radians(la)),0.1))+dv/6371008.8)*1e6,6) AS divergence FROM x",
-    "bilinear": f"WITH {_LATT}, p AS (SELECT r, c FROM g WHERE r<30 AND c<45) SELECT r*50+c AS k, CASE WHEN count(v)=4 THEN round(sum(w*v),6) END AS value FROM (SELECT p.r, p.c, (CASE WHEN i=1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END)*0.5::DOUBLE w, g.v FROM p CROSS JOIN (VALUES (0),(1)) a(i) CROSS JOIN (VALUES (0),(1)) b(j) LEFT JOIN g ON g.r=p.r+i AND g.c=p.c+j) GROUP BY r, c",
+    "bilinear": f"WITH {_LATT}, p AS (SELECT r, c FROM g) SELECT r*50+c AS k, CASE WHEN count(v)=4 THEN round(sum(w*v),6) END AS value FROM (SELECT p.r, p.c, (CASE WHEN i=1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END)*0.5::DOUBLE w, g.v FROM p CROSS JOIN (VALUES (0),(1)) a(i) CROSS JOIN (VALUES (0),(1)) b(j) LEFT JOIN g ON g.r=p.r+i AND g.c=p.c+j) GROUP BY r, c",
     "channel_stats": f"WITH {_MEAS} SELECT variable, count(*) AS n, round(avg(value),6) AS mean, round(stddev_pop(value)+1e-6,6) AS std FROM m GROUP BY 1",
     "zscore_project": f"WITH {_MEAS}, s AS (SELECT variable, avg(value) a, stddev_pop(value)+1e-6 d FROM m GROUP BY 1) SELECT variable, round(min((value-a)/d),6) AS low, round(max((value-a)/d),6) AS high, round(avg(abs((value-a)/d)),6) AS mean_abs FROM m JOIN s USING (variable) GROUP BY 1",
     "sampled_stats": "WITH t AS (SELECT l_orderkey%1000 f, l_returnflag variable, l_quantity value FROM lineitem), n AS (SELECT f, row_number() OVER (ORDER BY f) i, count(*) OVER () k FROM (SELECT DISTINCT f FROM t)) SELECT variable, round(avg(value),6) AS mean, round(sqrt(greatest(var_pop(value),1e-8)),6) AS std FROM t WHERE f IN (SELECT f FROM n WHERE (i-1)%greatest(1,k//100)=0) GROUP BY 1",
@@ -120,13 +120,35 @@ WHEN land<=0.15::DOUBLE AND rh>=50 AND v>=4e-6 THEN {{'c':'UNVERIFIED_TROPICAL_D
 SELECT r.c AS system_class, count(*) AS n, round(sum(r.x),4) AS confidence FROM r GROUP BY 1""",
     "text_fields": f"WITH {_CUST} SELECT key, lat, CASE WHEN (key%16)/2.0>=5 THEN 'TY' WHEN (key%16)/2.0>=3.5 THEN 'TS' WHEN (key%16)/2.0>=2 THEN 'TD' ELSE 'DB' END AS status, CASE key%4 WHEN 0 THEN 'Western Pacific' WHEN 1 THEN 'North Indian Ocean' WHEN 3 THEN 'North Atlantic' END AS basin, CASE WHEN key%3=1 THEN 'A' || key ELSE 'UNNAMED' END AS name, CASE WHEN key%2=1 THEN CAST(key AS DOUBLE) END AS number FROM c",
     "name_times": "SELECT event_id, CASE WHEN event_id%3<2 THEN date_trunc('hour',ts)::TIMESTAMP END AS t, strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01'), 'fnl_%Y%m%d_%H_00.grib2') AS archive FROM events",
-    "bulletin_times": "SELECT event_id, date_trunc('minute', ts + INTERVAL 1 HOUR * (event_id%80-40))::TIMESTAMP AS t FROM events WHERE event_id<1000",
+    "bulletin_times": "SELECT event_id, date_trunc('minute', ts + INTERVAL 1 HOUR * (event_id%80-40))::TIMESTAMP AS t FROM events",
     "physics_scalars": "WITH t AS (SELECT l_linenumber, l_quantity q, l_discount x, greatest(1e-6,least(1-1e-6,l_discount*10)) c FROM lineitem) SELECT l_linenumber, round(sum(ln(c/(1-c))),4) AS logit, round(sum(sqrt(pow(10-q,2)+pow(2-x,2))),4) AS shear, round(sum(CASE WHEN q>=25 THEN q ELSE -q END),4) AS cyclonic, round(sum(greatest(10.0,least(30.0,q))),4) AS clamped, round(sum(greatest(0.0,least(1.0,q/25-0.5))),4) AS clipped, round(sum(round(x*1000)),2) AS rounded FROM t GROUP BY 1",
     "attribution_share": "WITH t AS (SELECT l_orderkey%300 det, 'v' || l_linenumber variable, avg(abs(l_quantity-25)) m, sum(abs(l_quantity-25)) s FROM lineitem GROUP BY 1,2) SELECT det, variable, round(coalesce(m/nullif(sum(m) OVER (PARTITION BY det),0),0),9) AS mean_share, round(coalesce(s/nullif(sum(s) OVER (PARTITION BY det),0),0),9) AS column_share FROM t",
     "importance": "SELECT 'variable' AS kind, l_returnflag AS name, round(100*sum(l_quantity)/(SELECT sum(l_quantity) FROM lineitem),9) AS percent FROM lineitem GROUP BY 2 UNION ALL SELECT 'level', CAST(l_linenumber AS VARCHAR), round(100*sum(l_quantity)/(SELECT sum(l_quantity) FROM lineitem),9) FROM lineitem GROUP BY 2",
     "top_drivers": "WITH e AS (SELECT * FROM events WHERE event_id%2=0), n AS (SELECT count(*) k FROM e), u AS (SELECT event_type name, value v FROM e UNION ALL SELECT 'base', 1.0 FROM e) SELECT name, round(sum(v)/any_value(k),6) AS mean FROM u, n GROUP BY name ORDER BY mean DESC, name LIMIT 4",
     "bend_points": "WITH t AS (SELECT event_type, hour(ts) h, round(sum(value),2) v FROM events GROUP BY 1,2), a AS (SELECT *, (coalesce(lead(v) OVER w,v)-coalesce(lag(v) OVER w,v))/(coalesce(lead(h) OVER w,h)-coalesce(lag(h) OVER w,h)) d FROM t WINDOW w AS (PARTITION BY event_type ORDER BY h)), b AS (SELECT *, (coalesce(lead(d) OVER w,d)-coalesce(lag(d) OVER w,d))/(coalesce(lead(h) OVER w,h)-coalesce(lag(h) OVER w,h)) e, lead(h) OVER w IS NULL z FROM a WINDOW w AS (PARTITION BY event_type ORDER BY h)) SELECT event_type, CAST(arg_max(h,e) AS INT) AS steepest_at, CAST(arg_min(h,e) AS INT) AS flattest_at FROM b WHERE NOT z GROUP BY 1",
     "json_roundtrip": "SELECT event_type, count(k) AS n, sum(k) AS total FROM (SELECT event_type, CAST(props->>'$.k' AS DOUBLE) k FROM events) GROUP BY 1",
-    "six_hour_tumbling": f"SELECT {_CYCLE} AS start, count(*) AS n, round(sum(value),2) AS total FROM events GROUP BY 1",
+    "six_hour_tumbling": f"SELECT {_CYCLE} AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "operational_scan": f"""WITH RECURSIVE {_CUST}, {_SUPP}, g AS (SELECT *, (conf+1000)/11000::DOUBLE p FROM c WHERE (conf+1000)/11000::DOUBLE>=0.3::DOUBLE), o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY p DESC, key) rn FROM g),
+f AS (SELECT nation, CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(k BIGINT, p DOUBLE, la DOUBLE, lo DOUBLE)[]) kept FROM o GROUP BY nation UNION ALL SELECT f.nation, f.rn+1, CASE WHEN len(list_filter(f.kept, lambda x: {_hav('x.la', 'x.lo', 'o.lat', 'o.lon')}<=1500))=0 THEN list_append(f.kept, {{'k':o.key,'p':o.p,'la':o.lat,'lo':o.lon}}) ELSE f.kept END FROM f JOIN o ON o.nation=f.nation AND o.rn=f.rn+1),
+l AS (SELECT nation, unnest(arg_max(kept, rn)) x FROM f GROUP BY nation), k AS (SELECT nation, x.k AS key, x.p AS p, x.la AS lat, x.lo AS lon FROM l),
+e AS (SELECT k.*, skey, {_hav('k.lat', 'k.lon', 'slat', 'slon')} km, abs(24-skey%48)::DOUBLE h FROM k LEFT JOIN s ON k.nation=s.nation), n AS (SELECT *, row_number() OVER (PARTITION BY nation, key ORDER BY km+5*h, CAST(skey AS VARCHAR)) i FROM e),
+q AS (SELECT *, CASE skey%4 WHEN 0 THEN 'TS' WHEN 1 THEN 'DB' WHEN 2 THEN 'EX' WHEN 3 THEN 'INVEST' END st, CASE WHEN key%5<>0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END cn FROM n WHERE i=1),
+y AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.50*(({_soft('0.05::DOUBLE', '0.15', '0.08', False)}+{_soft('70.0::DOUBLE', '55', '10', True)}+{_soft('10.0::DOUBLE', '20', '5', False)}+{_soft('2e-5', '7.5e-6', '1.5e-5', True)}+{_soft('-100.0::DOUBLE', '0', '250', False)}+{_soft('301.0::DOUBLE', '299', '1.5', True)})/6)+0.30*(0.5*p+0.25*cn+0.25*0.8::DOUBLE)+0.12*0.75::DOUBLE+0.08*(1-abs(cn-0.8::DOUBLE)))) hy FROM q),
+v AS (SELECT *, CASE WHEN km<=600 AND h<=36 AND st='TS' THEN {{'c':'ACTIVE_CYCLONE','x':0.95::DOUBLE}} WHEN km<=400 AND h<=48 AND st='DB' THEN {{'c':'ACTIVE_DEPRESSION','x':0.90::DOUBLE}} WHEN km<=650 AND h<=48 AND st IN ('DB','INVEST') THEN {{'c':'NEW_GENESIS_CANDIDATE','x':greatest(0.55::DOUBLE,least(0.95::DOUBLE,hy))}} WHEN km<=500 AND h<=72 AND st='EX' THEN {{'c':'RECENT_DECAYING_SYSTEM','x':0.88::DOUBLE}} WHEN km<=500 AND h<=72 AND st='TS' THEN {{'c':'RECENT_TRACKED_CYCLONE','x':0.82::DOUBLE}} ELSE {{'c':'HIGH_PRIORITY_MODEL_GENESIS_CANDIDATE','x':greatest(0.70::DOUBLE,least(0.95::DOUBLE,hy))}} END r, CASE WHEN km<=3000 THEN skey END sys FROM y),
+w AS (SELECT *, row_number() OVER (PARTITION BY nation, sys ORDER BY p DESC, key) j FROM v), z AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY p DESC, key) rk FROM w WHERE sys IS NULL OR j=1)
+SELECT nation AS cycle, rk AS rank, key, CAST(skey AS VARCHAR) AS storm_id, round(km,6) AS distance_km, r.c AS system_class, round(r.x,9) AS class_confidence FROM z WHERE rk<=10""",
+    "cycle_verification": f"""WITH RECURSIVE {_CUST}, {_SUPP}, raw AS (SELECT *, (conf+1000)/11000::DOUBLE p FROM c WHERE (conf+1000)/11000::DOUBLE>=0.4::DOUBLE AND key%5<>0),
+e AS (SELECT a.nation, a.key a, b.key b FROM raw a JOIN raw b ON a.nation=b.nation AND {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=900), r AS (SELECT nation, a AS key, a AS x FROM e UNION SELECT r.nation, r.key, e.b FROM r JOIN e ON e.a=r.x), cl AS (SELECT nation, key, min(x) AS cluster FROM r GROUP BY nation, key),
+rep AS (SELECT nation, cluster, sum(p*lat)/sum(p) lat, degrees(atan2(sum(p*sin(radians(lon)))/sum(p),sum(p*cos(radians(lon)))/sum(p))) lo FROM cl JOIN raw USING (nation, key) GROUP BY nation, cluster), rp AS (SELECT nation, cluster, lat, CASE WHEN lo<=-180 THEN 180 ELSE lo END lon FROM rep),
+cyc AS (SELECT DISTINCT nation FROM c), due AS (SELECT cyc.nation, skey, slat, slon, 'E' || (skey%9) nm FROM cyc JOIN s ON skey%60-cyc.nation BETWEEN 18 AND 30),
+pr AS (SELECT rp.nation, cluster, skey, {_hav('lat', 'lon', 'slat', 'slon')} km FROM rp JOIN due ON due.nation=rp.nation AND {_hav('lat', 'lon', 'slat', 'slon')}<=1200), o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY km, cluster, skey) rn FROM pr),
+f AS (SELECT nation, CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(l BIGINT, r BIGINT)[]) kept FROM o GROUP BY nation UNION ALL SELECT f.nation, f.rn+1, CASE WHEN len(list_filter(f.kept, lambda x: x.l=o.cluster OR x.r=o.skey))=0 THEN list_append(f.kept, {{'l':o.cluster,'r':o.skey}}) ELSE f.kept END FROM f JOIN o ON o.nation=f.nation AND o.rn=f.rn+1),
+m AS (SELECT nation, x.l AS cluster, x.r AS skey FROM (SELECT nation, unnest(arg_max(kept, rn)) x FROM f GROUP BY nation)),
+a AS (SELECT nation, count(*) k FROM raw GROUP BY nation), bp AS (SELECT rp.nation, count(*) np, count(m.skey) h, coalesce(string_agg(DISTINCT 'E' || (m.skey%9), '; ' ORDER BY 'E' || (m.skey%9)), '') nh FROM rp LEFT JOIN m ON m.nation=rp.nation AND m.cluster=rp.cluster GROUP BY rp.nation),
+be AS (SELECT due.nation, count(*) ne, count(*)-count(m.skey) mi, string_agg(DISTINCT nm, '; ' ORDER BY nm) ns FROM due LEFT JOIN m ON m.nation=due.nation AND m.skey=due.skey GROUP BY due.nation)
+SELECT cyc.nation AS cycle, coalesce(k,0) AS raw_detections, coalesce(np,0) AS predictions, coalesce(ne,0) AS events, coalesce(h,0) AS hits, coalesce(mi,0) AS misses, coalesce(np-h,0) AS false_alarms, coalesce(ns,'') AS names, coalesce(nh,'') AS names_hit FROM cyc LEFT JOIN a USING (nation) LEFT JOIN bp USING (nation) LEFT JOIN be USING (nation)""",
+    "training_batches": "WITH n AS (SELECT count(*) FILTER (WHERE c_acctbal>=9000)*4 t, count(*) FILTER (WHERE c_acctbal<9000) k FROM customer) SELECT i AS batch, least(64, t-64*i) AS n FROM n, range(0, 1000000) r(i) WHERE k>0 AND 64*i<t",
+    "display_fields": f"WITH {_CUST}, t AS (SELECT key, CASE WHEN key%3=0 THEN key%100+0.5::DOUBLE WHEN key%2=0 THEN (key%50)/50.0::DOUBLE*100 ELSE 0.0::DOUBLE END sc FROM c) SELECT key, round(sc,6) AS score, round(greatest(8.0::DOUBLE,least(15.0::DOUBLE,7+(sc-70)*0.2::DOUBLE)),6) AS radius, CASE WHEN key%80>=60 THEN 'Early Environment Setup' WHEN key%80>=36 THEN 'Vortex Spin-up Phase' ELSE 'Core Inflow Collapse' END AS profile FROM t",
+    "system_dedup": f"WITH RECURSIVE {_SUPP}, t AS (SELECT 'S' || (skey%60) id, slat, slon, skey%30 h FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h DESC, slat DESC, slon DESC) n FROM t), o AS (SELECT *, row_number() OVER (ORDER BY h DESC, id) rn FROM k WHERE n=1), f AS (SELECT CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(id VARCHAR, la DOUBLE, lo DOUBLE, h BIGINT)[]) kept UNION ALL SELECT f.rn+1, CASE WHEN len(list_filter(f.kept, lambda x: abs(x.h-o.h)<=12 AND {_hav('x.la', 'x.lo', 'o.slat', 'o.slon')}<=1500))=0 THEN list_append(f.kept, {{'id':o.id,'la':o.slat,'lo':o.slon,'h':o.h}}) ELSE f.kept END FROM f JOIN o ON o.rn=f.rn+1) SELECT x.id AS storm_id, x.la AS latitude, x.lo AS longitude, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * x.h AS time FROM (SELECT unnest(arg_max(kept, rn)) x FROM f)",
     "median_impute_scale": "WITH t AS (SELECT l_linenumber, CASE WHEN l_quantity>5 THEN l_quantity END q, l_extendedprice x FROM lineitem), f AS (SELECT l_linenumber, coalesce(q,(SELECT median(q) FROM t)) q, x FROM t), s AS (SELECT avg(q) mq, stddev_pop(q) sq, avg(x) mx, stddev_pop(x) sx FROM f) SELECT l_linenumber, round(avg((q-mq)/sq),6) AS q, round(max((x-mx)/sx),6) AS x FROM f, s GROUP BY 1",
 }

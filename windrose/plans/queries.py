@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, physics, text, when
-from ..operators import attribution, classify, detect, grid, joins, learn, metrics, systems, tracks
+from ..operators import attribution, classify, compositions, detect, grid, joins, learn, metrics, systems, tracks
 from ..sources import writers
 from ..sources.readers import table
+from ..streaming import cycles
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -139,7 +140,7 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
 @query
 def match_metrics(spark: SparkSession, d: str) -> DataFrame:
     matches = joins.greedy_match(_close(spark, d), group=["nation"], left="key", right="skey", distance="km").select("key", "skey", F.col("km").alias("distance_km"))
-    p, e = joins.match_status(customers(spark, d).where("key % 10 = 0").select("key"), suppliers(spark, d).select("skey"), matches.where("key % 10 = 0"), prediction="key", event="skey")
+    p, e = joins.match_status(customers(spark, d).select("key"), suppliers(spark, d).select("skey"), matches, prediction="key", event="skey")
     m = metrics.event_metrics(p.withColumn("event_name", F.col("skey").cast("string")), e)
     return m.select("hits", "misses", "false_alarms", *[F.round(c, 9).alias(c) for c in ("pod", "precision", "far", "csi", "mean_km", "median_km")])
 
@@ -343,7 +344,7 @@ def divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bilinear(spark: SparkSession, d: str) -> DataFrame:
-    p = lattice(spark, d).where("row < 30 AND col < 45").select("cycle", (F.col("row") * 50 + F.col("col")).alias("k"), (F.col("row") + 0.25).alias("r"), (F.col("col") + 0.5).alias("c"))
+    p = lattice(spark, d).select("cycle", (F.col("row") * 50 + F.col("col")).alias("k"), (F.col("row") + 0.25).alias("r"), (F.col("col") + 0.5).alias("c"))
     return grid.bilinear(p, lattice(spark, d).select("cycle", "row", "col", "value"), by=["cycle"], row=F.col("r"), column=F.col("c"), key="k").select("k", F.round("value", 6).alias("value"))
 
 
@@ -555,7 +556,7 @@ def name_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bulletin_times(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("event_id < 1000")
+    e = events(spark, d)
     moved = when.plus_hours(F.col("ts"), F.lit(-40) + (F.col("event_id") % 80).cast("int"))
     return e.select("event_id", when.bulletin_time(F.dayofmonth(moved), F.date_format(moved, "HHmm"), F.col("ts")).alias("t"))
 
@@ -611,17 +612,62 @@ def geojson_feature(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def six_hour_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return e.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+    e = cycles.six_hour_counts(events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), ts="ts", by=["event_type"])
+    return e.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query
 def system_dedup(spark: SparkSession, d: str) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    s = suppliers(spark, d).where("skey < 400").select(F.concat(F.lit("S"), (F.col("skey") % 60).cast("string")).alias("storm_id"), F.col("slat").alias("latitude"), (F.col("slon")).alias("longitude"), when.plus_hours(start, (F.col("skey") % 30).cast("int")).alias("time"))
+    s = suppliers(spark, d).select(F.concat(F.lit("S"), (F.col("skey") % 60).cast("string")).alias("storm_id"), F.col("slat").alias("latitude"), (F.col("slon")).alias("longitude"), when.plus_hours(start, (F.col("skey") % 30).cast("int")).alias("time"))
     return systems.deduplicated(s, km=1500.0)
 
 
+# --- whole runs --------------------------------------------------------------------------------------------------------
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as detections of one cycle for each nation."""
+    score = (F.col("conf") + 1000) / 11000
+    fixed = {"land_fraction": 0.05, "midlevel_rh_percent": 70.0, "shear_200_850_ms": 10.0, "cyclonic_vorticity_850_s1": 2e-5, "pressure_anomaly_pa": -100.0, "surface_temperature_k": 301.0}
+    c = customers(spark, d).select(F.col("nation").alias("cycle"), "key", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), score.alias("confidence"), F.lit(0.8).alias("vit_confidence"), F.when(F.col("key") % 5 != 0, 0.9).alias("cnn_confidence"))
+    shares = F.create_map(F.lit("rhprs"), F.lit(0.3), F.lit("hgtprs"), F.lit(0.1))
+    return c.withColumns({**{k: F.lit(v) for k, v in fixed.items()}, "shares": shares, "learned": F.lit(None).cast("double"), "time": F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")})
+
+
+@query
+def operational_scan(spark: SparkSession, d: str) -> DataFrame:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    k = F.col("skey")
+    status = F.when(k % 4 == 0, "TS").when(k % 4 == 1, "DB").when(k % 4 == 2, "EX").otherwise("INVEST")
+    s = suppliers(spark, d).select(F.col("nation").alias("cycle"), k.cast("string").alias("storm_id"), status.alias("status"), F.col("slat").alias("system_latitude"), F.col("slon").alias("system_longitude"), when.plus_hours(start, (k % 48).cast("int")).alias("system_time"))
+    found = compositions.operational_scan(_candidates(spark, d), s, at=0.3, km=1500.0, match_km=3000.0, top=10)
+    return found.select("cycle", F.col("rank").cast("long").alias("rank"), "key", "storm_id", F.round("distance_km", 6).alias("distance_km"), "system_class", F.round("class_confidence", 9).alias("class_confidence"))
+
+
+@query
+def cycle_verification(spark: SparkSession, d: str) -> DataFrame:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    c = _candidates(spark, d).withColumn("analysis_time", when.plus_hours(start, F.col("cycle").cast("int")))
+    k = F.col("skey")
+    e = suppliers(spark, d).select(k.alias("event_id"), F.concat(F.lit("E"), (k % 9).cast("string")).alias("event_name"), when.plus_hours(start, (k % 60).cast("int")).alias("event_time"), F.col("slat").alias("event_latitude"), F.col("slon").alias("event_longitude"))
+    return compositions.verified_cycles(c, e, lead=24.0, tolerance=6.0, match_km=1200.0, at=0.4, least_expert=0.45, cluster_km=900.0)[2]
+
+
+@query
+def training_batches(spark: SparkSession, d: str) -> DataFrame:
+    c = customers(spark, d).select("key", "conf")
+    rows = compositions.training_epoch(c.where("conf >= 9000").select("key"), c.where("conf < 9000").select("key"), key="key", ratio=3, epoch=1, batch=64)
+    return rows.groupBy("batch").agg(F.count("*").alias("n")).select("batch", "n")
+
+
+@query
+def display_fields(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("key")
+    score = compositions.display_score(F.when(k % 3 == 0, k % 100 + 0.5), F.when(k % 3 == 1, F.lit(float("nan"))), F.when(k % 2 == 0, (k % 50) / 50.0))
+    return customers(spark, d).select("key", F.round(score, 6).alias("score"), F.round(compositions.marker_radius(score), 6).alias("radius"), compositions.impact_profile(-(k % 80)).alias("profile"))
+
+
 # --- fits --------------------------------------------------------------------------------------------------------------
 
 

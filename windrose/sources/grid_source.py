@@ -1,28 +1,32 @@
 """A batch data source of gridded analyses: one input partition per file, filters on variable and level pushed down.
 
-Files are decoded where tasks run, by a decoder named as ``module:function``: it takes a local path and the wanted
-(variables, levels) and yields (variable, level or None, lat, lon, value). The decoder in this module reads the long form
-from Parquet; ones for GRIB and NetCDF need libraries of their own and are given by the user.
+Files are decoded where tasks run, by a decoder named as ``module:function``: it takes a path and the wanted (variables,
+levels) and yields Arrow batches of variable, lev (null for the surface), lat, lon and value. The decoder in this module
+reads the long form from Parquet; ones for GRIB and NetCDF need libraries of their own and are given by the user.
+
+A file that can't be decoded to its end fails the query (FAILFAST) or, under PERMISSIVE, gives a single row of its path
+and the error and none of what was read of it.
 """
 
 from __future__ import annotations
 
 import importlib
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+FIELDS = {"variable": pa.string(), "lev": pa.float64(), "lat": pa.float64(), "lon": pa.float64(), "value": pa.float64()}
+
 
 def parquet_decoder(path: str, variables: set[str] | None, levels: set[float] | None):
     import pyarrow.dataset as ds
 
-    d = ds.dataset(path)
     keep = None
-    if variables:
-        keep = ds.field("variable").isin(sorted(variables))
-    for batch in d.to_batches(columns=["variable", "lev", "lat", "lon", "value"], filter=keep):
-        for v, lev, lat, lon, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if levels is None or lev in levels:
-                yield v, lev, lat, lon, x
+    for name, values in (("variable", variables), ("lev", levels)):
+        if values:
+            wanted = ds.field(name).isin(sorted(values))
+            keep = wanted if keep is None else keep & wanted
+    yield from ds.dataset(path).to_batches(columns=list(FIELDS), filter=keep)
 
 
 class _File(InputPartition):
@@ -52,12 +56,25 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         decode = getattr(importlib.import_module(self.module), self.name)
+        whole = (self._named(partition.path, b) for b in decode(partition.path, self.variables, self.levels))
+        if self.strict:
+            yield from whole
+            return
         try:
-            for row in decode(partition.path, self.variables, self.levels):
-                yield (partition.path, *row)
-        except Exception:
-            if self.strict:
-                raise
+            held = list(whole)  # of one file
+        except Exception as e:
+            held = [self._row(partition.path, str(e))]
+        yield from held
+
+    @staticmethod
+    def _named(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        columns = [batch.column(batch.schema.get_field_index(c)).cast(kind) for c, kind in FIELDS.items()]
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), *columns, pa.nulls(n, pa.string())], names=["path", *FIELDS, "error"])
+
+    @staticmethod
+    def _row(path: str, error: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path]), *[pa.nulls(1, kind) for kind in FIELDS.values()], pa.array([error])], names=["path", *FIELDS, "error"])
 
 
 class GridSource(DataSource):
@@ -66,7 +83,7 @@ class GridSource(DataSource):
         return "grid"
 
     def schema(self) -> str:
-        return "path string, variable string, lev double, lat double, lon double, value double"
+        return "path string, variable string, lev double, lat double, lon double, value double, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

@@ -35,18 +35,19 @@ def geojson(df: DataFrame, metadata: dict, *, order: list[str], lat: str = "lati
 
 
 def replace_text(spark: SparkSession, path: str, content: str) -> None:
-    """Writes a file under another name and renames it over the old one."""
+    """Writes a file under another name and renames it over the old one in one step: readers see either, and a crash
+    leaves the old one."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
     out = fs.create(staged, True)
     out.write(bytearray(content.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"can't replace {path}")
+    mode = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    mode[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), mode)
 
 
 def upsert_json(spark: SparkSession, path: str, key: str, value) -> dict:

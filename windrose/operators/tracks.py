@@ -80,7 +80,7 @@ def balanced_negatives(candidates: DataFrame, count: int, *, key: str, seed: int
         return candidates.withColumn("draw", F.lit(0).cast("long")).limit(0)
     rounds = -(-count // n)
     ordered = candidates.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
-    return ordered.orderBy("draw", F.xxhash64(F.lit(seed), F.col(key)), key).limit(count)
+    return ordered.orderBy("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(count)
 
 
 def jittered(lat: Column, lon: Column, key: Column, *, cells: int = 2, probability: float = 0.7, seed: int = 0) -> list[Column]:

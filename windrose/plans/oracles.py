@@ -44,7 +44,7 @@ _HYB = f"greatest(0.0,least(1.0,0.50*{_ENV}+0.30*(0.5*{_CLIP.format('l_discount*
 ORACLES: dict[str, str] = {
     "geo_pairs_within": f"WITH {_CUST} SELECT a.key AS key_a, b.key AS key_b, round({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')},6) AS distance_km FROM c a JOIN c b ON a.key<b.key WHERE {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 1000",
     "exclusion_anti": f"WITH {_CUST}, {_SUPP} SELECT key FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE {_hav('lat', 'lon', 'slat', 'slon')} < 550)",
-    "nearest_with_age": f"WITH {_CUST}, {_SUPP}, e AS (SELECT key, skey, {_hav('lat', 'lon', 'slat', 'slon')} km, abs(key%72-skey%48)::DOUBLE h FROM c LEFT JOIN s ON c.nation=s.nation), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km+5*h, skey) n FROM e) SELECT key, skey, round(km,6) AS distance_km, round(h,6) AS age_hours FROM r WHERE n=1",
+    "nearest_with_age": f"WITH {_CUST}, {_SUPP}, e AS (SELECT key, skey, CASE WHEN skey IS NOT NULL THEN {_hav('lat', 'lon', 'slat', 'slon')} END km, abs(key%72-skey%48)::DOUBLE h FROM c LEFT JOIN s ON c.nation=s.nation), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km+5*h, skey) n FROM e) SELECT key, skey, round(km,6) AS distance_km, round(h,6) AS age_hours FROM r WHERE n=1",
     "nearest_grid_cell": f"WITH {_CUST} SELECT key, CAST(round_even(lat+0.25+90,0) AS INT) AS row, CAST(round_even(((lon+0.3::DOUBLE)%360+360)%360,0) AS INT)%360 AS col FROM c",
     "lead_window_join": "WITH f AS (SELECT user_id, min(ts) t FROM events GROUP BY user_id) SELECT e.user_id, event_id, round((epoch_us(ts)-epoch_us(t))/3.6e9,6) AS lead_hours FROM events e JOIN f ON e.user_id=f.user_id WHERE (epoch_us(ts)-epoch_us(t))/3.6e9 BETWEEN 18 AND 30",
     "exact_lead_join": f"WITH c AS (SELECT DISTINCT {_CYCLE} AS cycle FROM events), f AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, min(ts), TIMESTAMP '2000-01-01') AS genesis FROM events GROUP BY user_id) SELECT cycle, count(user_id) AS n, count(user_id)>0 AS is_genesis FROM c LEFT JOIN f ON cycle + INTERVAL 24 HOUR = genesis GROUP BY cycle",
@@ -131,7 +131,7 @@ SELECT r.c AS system_class, count(*) AS n, round(sum(r.x),4) AS confidence FROM
     "operational_scan": f"""WITH RECURSIVE {_CUST}, {_SUPP}, g AS (SELECT *, (conf+1000)/11000::DOUBLE p FROM c WHERE (conf+1000)/11000::DOUBLE>=0.3::DOUBLE), o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY p DESC, key) rn FROM g),
 f AS (SELECT nation, CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(k BIGINT, p DOUBLE, la DOUBLE, lo DOUBLE)[]) kept FROM o GROUP BY nation UNION ALL SELECT f.nation, f.rn+1, CASE WHEN len(list_filter(f.kept, lambda x: {_hav('x.la', 'x.lo', 'o.lat', 'o.lon')}<=1500))=0 THEN list_append(f.kept, {{'k':o.key,'p':o.p,'la':o.lat,'lo':o.lon}}) ELSE f.kept END FROM f JOIN o ON o.nation=f.nation AND o.rn=f.rn+1),
 l AS (SELECT nation, unnest(arg_max(kept, rn)) x FROM f GROUP BY nation), k AS (SELECT nation, x.k AS key, x.p AS p, x.la AS lat, x.lo AS lon FROM l),
-e AS (SELECT k.*, skey, {_hav('k.lat', 'k.lon', 'slat', 'slon')} km, abs(24-skey%48)::DOUBLE h FROM k LEFT JOIN s ON k.nation=s.nation), n AS (SELECT *, row_number() OVER (PARTITION BY nation, key ORDER BY km+5*h, CAST(skey AS VARCHAR)) i FROM e),
+e AS (SELECT k.*, skey, CASE WHEN skey IS NOT NULL THEN {_hav('k.lat', 'k.lon', 'slat', 'slon')} END km, abs(24-skey%48)::DOUBLE h FROM k LEFT JOIN s ON k.nation=s.nation), n AS (SELECT *, row_number() OVER (PARTITION BY nation, key ORDER BY km+5*h, CAST(skey AS VARCHAR)) i FROM e),
 q AS (SELECT *, CASE skey%4 WHEN 0 THEN 'TS' WHEN 1 THEN 'DB' WHEN 2 THEN 'EX' WHEN 3 THEN 'INVEST' END st, CASE WHEN key%5<>0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END cn FROM n WHERE i=1),
 y AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.50*(({_soft('0.05::DOUBLE', '0.15', '0.08', False)}+{_soft('70.0::DOUBLE', '55', '10', True)}+{_soft('10.0::DOUBLE', '20', '5', False)}+{_soft('2e-5', '7.5e-6', '1.5e-5', True)}+{_soft('-100.0::DOUBLE', '0', '250', False)}+{_soft('301.0::DOUBLE', '299', '1.5', True)})/6)+0.30*(0.5*p+0.25*cn+0.25*0.8::DOUBLE)+0.12*0.75::DOUBLE+0.08*(1-abs(cn-0.8::DOUBLE)))) hy FROM q),
 v AS (SELECT *, CASE WHEN km<=600 AND h<=36 AND st='TS' THEN {{'c':'ACTIVE_CYCLONE','x':0.95::DOUBLE}} WHEN km<=400 AND h<=48 AND st='DB' THEN {{'c':'ACTIVE_DEPRESSION','x':0.90::DOUBLE}} WHEN km<=650 AND h<=48 AND st IN ('DB','INVEST') THEN {{'c':'NEW_GENESIS_CANDIDATE','x':greatest(0.55::DOUBLE,least(0.95::DOUBLE,hy))}} WHEN km<=500 AND h<=72 AND st='EX' THEN {{'c':'RECENT_DECAYING_SYSTEM','x':0.88::DOUBLE}} WHEN km<=500 AND h<=72 AND st='TS' THEN {{'c':'RECENT_TRACKED_CYCLONE','x':0.82::DOUBLE}} ELSE {{'c':'HIGH_PRIORITY_MODEL_GENESIS_CANDIDATE','x':greatest(0.70::DOUBLE,least(0.95::DOUBLE,hy))}} END r, CASE WHEN km<=3000 THEN skey END sys FROM y),
@@ -149,6 +149,8 @@ be AS (SELECT due.nation, count(*) ne, count(*)-count(m.skey) mi, string_agg(DIS
 SELECT cyc.nation AS cycle, coalesce(k,0) AS raw_detections, coalesce(np,0) AS predictions, coalesce(ne,0) AS events, coalesce(h,0) AS hits, coalesce(mi,0) AS misses, coalesce(np-h,0) AS false_alarms, coalesce(ns,'') AS names, coalesce(nh,'') AS names_hit FROM cyc LEFT JOIN a USING (nation) LEFT JOIN bp USING (nation) LEFT JOIN be USING (nation)""",
     "training_batches": "WITH n AS (SELECT count(*) FILTER (WHERE c_acctbal>=9000)*4 t, count(*) FILTER (WHERE c_acctbal<9000) k FROM customer) SELECT i AS batch, least(64, t-64*i) AS n FROM n, range(0, 1000000) r(i) WHERE k>0 AND 64*i<t",
     "display_fields": f"WITH {_CUST}, t AS (SELECT key, CASE WHEN key%3=0 THEN key%100+0.5::DOUBLE WHEN key%2=0 THEN (key%50)/50.0::DOUBLE*100 ELSE 0.0::DOUBLE END sc FROM c) SELECT key, round(sc,6) AS score, round(greatest(8.0::DOUBLE,least(15.0::DOUBLE,7+(sc-70)*0.2::DOUBLE)),6) AS radius, CASE WHEN key%80>=60 THEN 'Early Environment Setup' WHEN key%80>=36 THEN 'Vortex Spin-up Phase' ELSE 'Core Inflow Collapse' END AS profile FROM t",
+    "balanced_negatives": f"WITH {_CUST}, n AS (SELECT key FROM c WHERE conf<0), k AS (SELECT count(*) m FROM n), d AS (SELECT key, CAST(i AS BIGINT) AS draw FROM n, range(0, 300) r(i), k WHERE i < (300+m-1)//m) SELECT key, draw FROM d ORDER BY draw, md5('0|' || key), key LIMIT 300",
+    "geojson_feature": f"""WITH {_CUST} SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"key":' || key || ',"nation":' || nation || '}}}}' AS value FROM c""",
     "system_dedup": f"WITH RECURSIVE {_SUPP}, t AS (SELECT 'S' || (skey%60) id, slat, slon, skey%30 h FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h DESC, slat DESC, slon DESC) n FROM t), o AS (SELECT *, row_number() OVER (ORDER BY h DESC, id) rn FROM k WHERE n=1), f AS (SELECT CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(id VARCHAR, la DOUBLE, lo DOUBLE, h BIGINT)[]) kept UNION ALL SELECT f.rn+1, CASE WHEN len(list_filter(f.kept, lambda x: abs(x.h-o.h)<=12 AND {_hav('x.la', 'x.lo', 'o.slat', 'o.slon')}<=1500))=0 THEN list_append(f.kept, {{'id':o.id,'la':o.slat,'lo':o.slon,'h':o.h}}) ELSE f.kept END FROM f JOIN o ON o.rn=f.rn+1) SELECT x.id AS storm_id, x.la AS latitude, x.lo AS longitude, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * x.h AS time FROM (SELECT unnest(arg_max(kept, rn)) x FROM f)",
     "median_impute_scale": "WITH t AS (SELECT l_linenumber, CASE WHEN l_quantity>5 THEN l_quantity END q, l_extendedprice x FROM lineitem), f AS (SELECT l_linenumber, coalesce(q,(SELECT median(q) FROM t)) q, x FROM t), s AS (SELECT avg(q) mq, stddev_pop(q) sq, avg(x) mx, stddev_pop(x) sx FROM f) SELECT l_linenumber, round(avg((q-mq)/sq),6) AS q, round(max((x-mx)/sx),6) AS x FROM f, s GROUP BY 1",
 }

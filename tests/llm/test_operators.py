@@ -288,6 +288,31 @@ def test_branches(spark):
     assert chat_tree.formatted_branches(df.limit(0)).count() == 0
 
 
+def test_branches_of_random_trees(spark):
+    """All root-to-leaf paths, their mean scores and ranks, by walking up in plain Python."""
+    rng = random.Random(51)
+    rows, want = [], {}
+    for tree in range(6):
+        parent, score, text = {0: None}, {0: 0.5}, {}
+        for n in range(1, rng.randrange(2, 40)):
+            parent[n], score[n] = rng.randrange(max(0, n - 6), n), rng.choice([0.0, 0.25, 0.5, 1.0])
+        for n in parent:
+            text[n] = f"t{tree} n{n}"
+            rows.append((tree, n, parent[n], ["user", "assistant"][n % 2], text[n], score[n]))
+        leaves = set(parent) - set(parent.values())
+        path = lambda n: (path(parent[n]) if parent[n] is not None else []) + [n]  # noqa: E731, B023
+        mean = {n: sum(score[m] for m in path(n)) / len(path(n)) for n in leaves}
+        for rank, n in enumerate(sorted(leaves, key=lambda n: (-round(mean[n], 9), n)), 1):  # noqa: B023
+            want[tree, n] = (round(mean[n], 9), rank, [text[m] for m in path(n)])
+    df = spark.createDataFrame(rows, MESSAGES)
+    out = chat_tree.formatted_branches(df, best=None).withColumn("turns", chat_tree.parsed(F.col("formatted"))).collect()
+    got = {(r["tree_id"], r["leaf_id"]): (round(r["branch_score"], 9), r["branch_rank"], [t["text"] for t in r["turns"]]) for r in out}
+    assert {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
+    for tree in range(6):  # equal scores may differ in the last bit
+        ranked = sorted((v[1], v[0]) for k, v in got.items() if k[0] == tree)
+        assert [r for r, _ in ranked] == list(range(1, len(ranked) + 1)) and [s for _, s in ranked] == sorted((s for _, s in ranked), reverse=True)
+
+
 def test_null_trees_and_nodes(spark):
     rows = [(i, 0, "user", f"q{i}") for i in (None, 1)] + [(i, 1, "assistant", f"a{i}") for i in (None, 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

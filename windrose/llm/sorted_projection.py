@@ -101,26 +101,32 @@ def _neighbours(width: int, least: float):
             ids, rows = np.concatenate([ids, new]), rows + raw
             fresh = len(ids) - len(new)
             size = np.array([len(r) for r in rows])
-            parent: dict[int, int] = {}
-
-            def find(i, parent=parent):
-                while (up := parent.get(i, i)) != i:
-                    parent[i] = up = parent.get(up, up)
-                    i = up
-                return i
-
             links = []
             for d in np.unique(size):
                 own = np.flatnonzero(size == d)
+                parent: dict[int, int] = {}
+
+                def find(i, parent=parent):
+                    while (up := parent.get(i, i)) != i:
+                        parent[i] = up = parent.get(up, up)
+                        i = up
+                    return i
+
                 x = _unit(np.frombuffer(b"".join([rows[i] for i in own]), "<f8").reshape(len(own), -1))
-                for o in range(1, min(width, len(own) - 1) + 1):
-                    later = own[o:]
-                    close = np.flatnonzero((np.einsum("ij,ij->i", x[o:], x[:-o]) >= least) & (later >= fresh))
+                if not width or len(own) < 2:
+                    continue
+                # runs of vectors close to the next one are one label from the start, so that few pairs are left to join
+                near = np.einsum("ij,ij->i", x[1:], x[:-1]) >= least
+                links.extend((own[i], own[i + 1]) for i in np.flatnonzero(near & (own[1:] >= fresh)))
+                label = int(own[0]) + np.concatenate([[0], np.cumsum(~near)])
+                for o in range(2, min(width, len(own) - 1) + 1):
+                    close = np.flatnonzero((label[o:] != label[:-o]) & (np.einsum("ij,ij->i", x[o:], x[:-o]) >= least))
                     for i in close:
-                        a, b = find(own[i]), find(own[i + o])
+                        a, b = find(int(label[i])), find(int(label[i + o]))
                         if a != b:
                             parent[b] = a
-                            links.append((own[i], own[i + o]))
+                            if own[i + o] >= fresh:  # what stood here before has been joined before
+                                links.append((own[i], own[i + o]))
             if links:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])

@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+import re
+
+from .chat_tree import CONTROL, END, SEPARATOR, START
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4 = rf"""
@@ -44,4 +48,38 @@ m AS (SELECT doc_id, CAST(sum(x) AS BIGINT) n_copies FROM (SELECT u.doc_id, u.j,
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5('17|place|' || doc_id || '|' || copy) place
 FROM (SELECT d.*, n_copies, CAST(unnest(range(1, n_copies + 1)) AS BIGINT) copy FROM documents d JOIN m USING (doc_id) WHERE n_copies > 0)"""
 
-ORACLES = {"op4_winnowing": OP4, "op6_warc_zstd": OP6, "op9_poisson_mix": OP9}
+# backslashes doubled, and one behind the first character of a control string
+_MARKS = "|".join(re.escape(c[1:]).replace("/", r"\/").replace("<", r"\<").replace(">", r"\>") for c in CONTROL)
+_ESCAPED = rf"regexp_replace(replace({{}}, '\', '\\'), '([<\[])({_MARKS})', '\1\\\2', 'g')"
+
+OP3 = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') t FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(i, r))
+SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) loss_sha256,
+  CAST(sum({len(START + SEPARATOR + END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("t")})) AS BIGINT) formatted_chars
+FROM c GROUP BY conv_id"""
+
+# least id reachable over links a, b
+_REACHED = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT a i, a x FROM e UNION SELECT r.i, e.b FROM r JOIN e ON e.a = r.x),
+root AS (SELECT i, min(x) root FROM r GROUP BY i)"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)), {_REACHED}
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) n_shingles, coalesce(root, d.doc_id) component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.i = d.doc_id"""
+
+OP7 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id a, y.vec_id b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9), {_REACHED},
+k AS (SELECT a i, count(*) n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) n_links, coalesce(root, vec_id) component_id, coalesce(root, vec_id) = vec_id kept
+FROM embeddings LEFT JOIN k ON k.i = vec_id LEFT JOIN root ON root.i = vec_id"""
+
+ORACLES = {"op3_chat_tree": OP3, "op7_sorted_projection": OP7, "op10_parity_join": OP10, "op4_winnowing": OP4, "op6_warc_zstd": OP6, "op9_poisson_mix": OP9}

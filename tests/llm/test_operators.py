@@ -91,7 +91,7 @@ def test_similar_groups(spark, k, percent):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k,percent,bucket,block", [(4, 85, 4, 3000), (5, 80, 6, 20000), (5, 80, 3, 500)])
+@pytest.mark.parametrize("k,percent,bucket,block", [(4, 85, 4, 3000), (5, 80, 3, 500)])
 def test_similar_groups_hot(spark, monkeypatch, k, percent, bucket, block):
     """Large buckets, clusters of many blocks, copies of one text in all tasks and a passage that most texts share."""
     monkeypatch.setattr(parity_join, "SMALL_BUCKET", bucket)

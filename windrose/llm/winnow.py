@@ -222,4 +222,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     """The documents that are not contaminated, with all their columns; rows are told apart by id and text, and ids may be null."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     found = _contamination(docs, benchmark, **options).where(is_contaminated()).select(F.col(doc_id).alias("_tainted"), F.col("key_hash").alias("_hash"))
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_tainted")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    found, _ = common.saved(found, "winnow-tainted")
+    return docs.join(common.maybe_broadcast(found, found.count(), 24), F.col(doc_id).cast("long").eqNullSafe(F.col("_tainted")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only when its counted rows times its row width stay under this.
@@ -74,6 +74,11 @@ def narrow(df: DataFrame) -> DataFrame:
     return df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hints a broadcast if the counted rows fit BROADCAST_BYTES; else Spark shuffles, and splits skew at run time."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

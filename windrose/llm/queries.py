@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, mil_quality, parity_join, poisson_mix, sorted_projection, surrogate, token_rollup, toxicity, warc_zstd, winnow
+from . import bit_planes, chat_tree, mil_quality, parity_join, periodic_runs, poisson_mix, redirects, sorted_projection, surrogate, token_rollup, toxicity, warc_zstd, winnow
 from .common import remove, saved, shared_folder, table
 
 
@@ -94,6 +94,40 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return bit_planes.hard_negatives(moved, F.col("vec_id") % 50 == 0)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts in which, for a tenth of the ids, the words from some place on repeat with a period of their own."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)})
+    placed = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    turned = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.repeats(with_planted_runs(table(spark, sf_dir, "documents")))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    longest = F.try_element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(1))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("x.l")
+    return told.select("doc_id", "n_runs", F.col("x.start").alias("start"), length.alias("length"), F.col("x.period").alias("period"), F.floor(length * 1000 / F.col("x.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: Rules of the query on pages.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return redirects.judged(pages, URL_RULES, redirects.links_of(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_rollup": op2_token_rollup,
@@ -105,4 +139,7 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_parity_join": op10_parity_join,
+    "op11_bit_planes": op11_bit_planes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_redirects": op13_redirects,
 }

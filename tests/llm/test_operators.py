@@ -43,7 +43,7 @@ def test_contamination(spark):
     want = brute.contamination(list(enumerate(texts)), list(enumerate(items)))
     for bits in (None, 64):
         old = winnow.FILTER_BITS
-        winnow.FILTER_BITS = old if bits is None else bits  # a bitmap that rules out much, and one that is full
+        winnow.FILTER_BITS = old if bits is None else (bits, bits)  # a bitmap that rules out much, and one that is full
         try:
             got = winnow.contamination(docs, bench).select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), winnow.is_contaminated().alias("contaminated")).collect()
         finally:
@@ -56,6 +56,20 @@ def test_contamination(spark):
     assert kept.columns == docs.columns and kept.count() == 2 * sum(not w["contaminated"] for w in want.values())
 
 
+def test_any_names(spark):
+    """Columns named like those within keep their values; items shared by many lists are listed all."""
+    rng = random.Random(71)
+    shared = words(rng, 20)
+    bench = spark.createDataFrame([(i, f"{shared} {words(rng, 5)}" if i % 2 else f"only{i}") for i in range(30)], "item_id long, text string")
+    texts = [words(rng, 40), shared + " " + words(rng, 10), "only4 only8", None, ""]
+    names = ["row", "id", "own", "tainted", "hash", "_hash", "_tainted", "_row", "key_id", "key_hash", "rows", "hits", "items", "n_words", "n_hit", "start", "end", "around", "span", "at", "filler", "ranges"]
+    docs = documents(spark, texts).withColumns({n: F.lit(n) for n in names})
+    kept = winnow.decontaminated(docs.unionByName(docs), bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 0, 3, 3, 4, 4] and all(r[n] == n for r in kept.collect() for n in names)
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in winnow.contamination(docs, bench).collect()}
+    assert got[1] == (20, sorted(str(i) for i in range(1, 30, 2))) and got[2] == (2, ["4", "8"]) and got[0] == got[3] == got[4] == (0, [])
+
+
 # --- 10: parity join ---------------------------------------------------------------------------------------------------
 
 
@@ -268,6 +282,33 @@ def test_passes_grow_with_the_table(spark):
     assert sum(got[3000 + i] == i for i in range(400)) >= 0.94 * 400
 
 
+def test_a_tight_group_is_split_between_tasks(spark, monkeypatch):
+    """Near copies with equal codes in most passes: ranges hold about as many rows, and all are linked."""
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal(32)
+    df = spark.createDataFrame(list(enumerate((base + 1e-4 * rng.standard_normal((5000, 32))).tolist())), "vec_id long, embedding array<double>")
+    sizes = []
+    ordered = sorted_projection._sorted
+
+    def counted(members, p):
+        out = ordered(members, p)
+        if p == 0:
+            sizes.extend(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(sorted_projection, "_sorted", counted)
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted_projection.similar_vectors(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
+    assert sum(sizes) == 5000 and max(sizes) <= 1250
+    assert all(r["n_links"] == 4999 and r["component_id"] == 0 for r in got)
+
+
 # --- 3: chats ----------------------------------------------------------------------------------------------------------
 
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double"
@@ -522,6 +563,17 @@ def test_mixing_edges(spark):
     assert {r["_rate"]: (r["_source"], r["key"], r["cdf"]) for r in out.collect()} == {i: ("x", "y", 0.5) for i in (1, 2, 3)}
 
 
+def test_rows_of_one_id_are_drawn_apart(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+    out = poisson_mix.mixed(rows, target_rows=10000).cache()
+    assert abs(out.count() - 10000) < 500 and out.select("place").distinct().count() == out.count()
+    assert 0.9 < out.where("copy = 1").agg(F.var_pop("n_copies")).first()[0] / 1.65 < 1.1  # of a Poisson number of mean 2 that isn't 0
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(parts) <= out.count() / max(1, len(parts) - 1)
+    one = spark.range(5000).select(F.lit(7).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("s").alias("source"))
+    assert len({r["n_copies"] for r in poisson_mix.mixed(one, target_rows=10000).collect()}) > 5
+
+
 def test_poisson_distribution(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
     for rate in (0.7, 40.0):

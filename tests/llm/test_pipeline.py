@@ -85,3 +85,15 @@ def test_null_and_shared_ids(spark, folder):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, folder).collect()]
     assert sorted(got, key=str) == sorted([(None, a), (None, None), (4, b), (6, c), (6, c)], key=str)
+
+
+def test_any_names(spark, folder):
+    """Columns named like those within keep their values in every stage, also where rows repeat."""
+    names = ["row", "id", "hash", "_hash", "_copy", "_copy_hash", "root", "component_id", "text_hash", "n_entities", "found", "t", "plain", "nth", "key", "again", "score", "held_out", "own", "tainted"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 OR doc_id > 205").withColumns({n: F.lit(n) for n in names})
+    docs = docs.unionByName(docs)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -151,27 +152,33 @@ def test_op8(spark, folder):
 
 
 def test_op9(spark, folder):
-    """The Poisson distribution inverted in plain Python at the same hashed numbers."""
+    """The Poisson distribution inverted in plain Python at the same hashed numbers; rows that repeat are drawn apart."""
     from math import exp
 
-    docs = rows_of(spark, folder, "documents", "doc_id", "source")
-    n = {s: sum(x == s for _, x in docs) for _, s in docs}
+    docs = rows_of(spark, folder, "documents", "doc_id", "source", "text")
+    sources = [s for _, s, _ in docs]
+    n = {s: sources.count(s) for s in sources}
+    key = lambda doc, text: f"{'' if doc is None else f'#{doc}'}|{hashlib.md5((text or '').encode()).hexdigest()}"
+    times = Counter(key(doc, text) for doc, _, text in docs)
     want = []
-    for doc, source in docs:
+    for doc, source, text in docs:
+        if times[key(doc, text)] > 1:
+            continue
         rate = len(docs) / len(n) / n[source]
         parts = max(1, -int(-rate // 16))
         copies = 0
         for j in range(1, parts + 1):
-            key = f"17|{'' if doc is None else doc}|{j}"
-            u, k, p = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52, 0, exp(-rate / parts)
+            u, k, p = (int(hashlib.md5(f"17|{key(doc, text)}|{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, 0, exp(-rate / parts)
             total = p
             while total < u and k < 88:
                 k += 1
                 p *= rate / parts / k
                 total += p
             copies += k + (total < u)
-        want += [(doc, copies, c) for c in range(1, copies + 1)]
-    assert ordered(map(tuple, queries.op9_poisson_mix(spark, folder).select("doc_id", "n_copies", "copy").collect())) == ordered(want)
+        want += [(doc, copies, c, hashlib.md5(f"17|place|{key(doc, text)}|{c}".encode()).hexdigest()) for c in range(1, copies + 1)]
+    got = queries.op9_poisson_mix(spark, folder).collect()
+    once = [(r["doc_id"], r["n_copies"], r["copy"], r["place"]) for r in got if times[key(r["doc_id"], r["text"])] == 1]
+    assert ordered(once) == ordered(want) and len({r["place"] for r in got}) == len(got) and max(times.values()) > 1
 
 
 def test_op10(spark, folder):

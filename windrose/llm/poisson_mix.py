@@ -2,9 +2,12 @@
 
 A source's rate is its share of the target size over the documents it has: the mean number of times that each of its
 documents is repeated. A document's count is the Poisson distribution with that rate, inverted at a uniform number
-hashed from a seed and its id; rates over 16 are split into equal parts, each with its own number, and added up. The
-document is exploded into that many copies, each of which is dealt to a place by a hash of seed, id and copy: counts and
-order depend on nothing else, so lost tasks repeat them. Only DataFrame operations are used.
+hashed from a seed, its id and its text; rates over 16 are split into equal parts, each with its own number, and added
+up. The document is exploded into that many copies, each of which is dealt to a place by a hash of seed, id, text and
+copy: counts and order depend on nothing else, so lost tasks repeat them. Rows that repeat an id and a text are told
+apart by their place in the input besides, so that they are drawn and dealt independently and no task gets them all; as
+such rows differ in other columns at most, give the operator a written table where they do. Only DataFrame operations
+are used.
 """
 
 from __future__ import annotations
@@ -54,18 +57,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, source: s
     return rated.select("source", "n", "rate", "parts", _cumulative(F.col("rate") / F.col("parts")).alias("cdf"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, doc_id: str = "doc_id", source: str = "source", target_rows: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", target_rows: int | None = None) -> DataFrame:
     """The columns of ``docs`` and n_copies, copy (from 1) and place, in random order.
 
-    Columns of ``docs`` with those names are replaced; other names are free. Rows that repeat an id are repeated equally
-    often; a null id is an id like any other. A null text is replicated as it is. An empty table, or weights of 0 only,
-    give an empty mix.
+    Columns of ``docs`` with those names are replaced; other names are free. Every row is drawn by itself, also those that
+    repeat an id, an id and a text, or have a null id. A null text is replicated as it is and counts as an empty one; texts
+    of any length are hashed whole; a table without that column is told by its ids. An empty table, or weights of 0 only, give an empty mix.
     """
     found, _ = common.saved(rates(docs, weights, source=source, target_rows=target_rows), "mix-rates")
     there = common.maybe_broadcast(found.select(F.col("source").alias("whose"), "rate", "parts", "cdf"), found.count(), 1000)
     own = [c for c in docs.columns if c not in ("n_copies", "copy", "place")]
     # the row is one column, so that no name of docs can clash with one of ours
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"), F.col(source).alias("source"))
+    said = F.col(text).cast("string") if text in docs.columns else F.lit("")
+    plain = F.concat(F.coalesce(F.concat(F.lit("#"), F.col(doc_id).cast("string")), F.lit("")), F.lit("|"), F.md5(F.coalesce(said, F.lit("")).cast("binary")))
+    again, _ = common.saved(docs.groupBy(F.xxhash64(plain).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "mix-repeats")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), plain.alias("plain"), F.monotonically_increasing_id().alias("nth"), F.col(source).alias("source"))
+    told = packed.join(common.maybe_broadcast(again, again.count(), 16), F.xxhash64("plain") == F.col("again"), "left")
+    packed = told.select("row", "source", F.concat(F.col("plain"), F.when(F.col("again").isNull(), "").otherwise(F.concat(F.lit("|"), F.col("nth")))).alias("key"))
     drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: _uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
     count = F.when(F.col("rate") <= 0, 0).otherwise(F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c < u))))
     counted = packed.join(there, F.col("source").eqNullSafe(F.col("whose"))).select("row", "key", count.cast("long").alias("n_copies")).where("n_copies > 0")

@@ -72,8 +72,8 @@ def _fitted(urls: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     wide = urls.select("host", "path").distinct().withColumn("own", F.explode(suffixes))
     met = wide.join(common.maybe_broadcast(known, size, 1), "own").where(F.col("path").startswith(F.col("below")))
-    rank = F.struct(F.length("rule").alias("n"), (F.col("verdict") == ALLOW).alias("allows"), F.col("rule"), F.col("verdict"))
-    return met.groupBy("host", "path").agg(F.max(rank).alias("x")).select("host", "path", F.struct("x.rule", "x.verdict").alias("fit"))
+    rank = F.struct((-F.length("rule")).alias("n"), (F.col("verdict") != ALLOW).alias("forbids"), F.col("rule"), F.col("verdict"))
+    return met.groupBy("host", "path").agg(F.min(rank).alias("x")).select("host", "path", F.struct("x.rule", "x.verdict").alias("fit"))
 
 
 def _attribute(tag: Column, name: str) -> Column:

@@ -2,6 +2,7 @@
 
 In each pass vectors get a code of random hyperplane signs, are range-partitioned and sorted by it, and are compared
 with a bounded number of neighbours in that order; like vectors share a long prefix of their codes and so stand close.
+Equal codes are ordered by node, so that a group of near copies with one code is split between tasks like any other.
 Verified pairs of all passes are united into components.
 
 A window bounds what a pass compares, so a dense group's links are only partly seen in the passes. They are counted
@@ -135,6 +136,12 @@ def _neighbours(width: int, least: float):
     return run
 
 
+def _sorted(members: DataFrame, p: int) -> DataFrame:
+    """(node, vector) in the order of pass ``p``."""
+    order = ("dim", "code", "node")
+    return members.select("node", "vector", "dim", F.col("codes")[p].alias("code")).repartitionByRange(*order).sortWithinPartitions(*order).select("node", "vector")
+
+
 def _counts(least: float):
     """For a group of one or two blocks: each member's linked members in the other, with their copies."""
 
@@ -183,8 +190,7 @@ def similar_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     done = [coded_path, members_path]
     found = []
     for p in range(passes):
-        ordered = members.select("node", "vector", "dim", F.col("codes")[p].alias("code")).repartitionByRange("dim", "code").sortWithinPartitions("dim", "code").select("node", "vector")
-        _, path = common.saved(ordered.mapInArrow(_neighbours(width, least), "a long, b long"), "projection-links")
+        _, path = common.saved(_sorted(members, p).mapInArrow(_neighbours(width, least), "a long, b long"), "projection-links")
         found.append(path)
     done += found
     links = spark.read.schema("a long, b long").parquet(*found)

@@ -5,8 +5,10 @@ Both sides are cut into k-grams of words; of each window of consecutive k-grams
 kept fingerprints finds every shared run; each match is then extended word by word and only runs of ``window`` equal
 words count. Items shorter than the window are one run of their own length and are looked up whole.
 
-The scan of the documents drops fingerprints that no item has by a bitmap of fixed size, and what is left carries the
-word hashes around it, so texts are never shuffled. The one shuffle gathers the matches of each document.
+The scan of the documents drops fingerprints that no item has by a bitmap, and what is left carries the word hashes around
+it, so texts are never shuffled; items shorter than the window are known by the hash of all their words and carry nothing.
+Fingerprints that items share are one row with the list of these items. Matches are extended by array functions, so a
+task runs one Python process, that of the scan. The one shuffle gathers the matches of each document.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from . import common
 from .textvec import U64, WORD_BYTES, Words, grams, mix, words
 
-#: Bits of the bitmap of item fingerprints that the scan of the documents tests: 2 MB, however large the benchmark.
-FILTER_BITS = 1 << 24
+#: Bits of the bitmap of item fingerprints that the scan of the documents tests: sixteen for each fingerprint, from 2 MB
+#: to 16 MB; what a full bitmap lets through, the join drops.
+FILTER_BITS, FILTER_SHARE = (1 << 24, 1 << 27), 16
 
 _PRINT = "key_id long, key_hash long, n_words int, hash long, at int, span int, around array<long>"
 
@@ -53,13 +56,13 @@ def _around(w: Words, at: np.ndarray, size: np.ndarray, reach: int, total: int)
     return np.where(good, values | U64(1), U64(0))
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
+def _bitmap(prints: DataFrame, rows: int) -> np.ndarray:
     """One bit for each fingerprint, gathered as words of 64 bits."""
-    bit = F.col("item_hash").bitwiseAND(FILTER_BITS - 1)
-    filled = prints.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(item_hash & 63 AS INT))")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in filled:
-        out[r["word"]] = r["bits"]
+    size = min(max(FILTER_BITS[0], 1 << (FILTER_SHARE * rows).bit_length()), FILTER_BITS[1])
+    bit = F.col("item_hash").bitwiseAND(size - 1)
+    filled = prints.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(item_hash & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[filled["word"].to_numpy()] = filled["bits"].to_numpy()
     return out.view(U64)
 
 
@@ -69,7 +72,8 @@ def _set_bits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _scan(window: int, k: int, lengths: list[int], bitmap, filler: bool):
-    """Rows of fingerprints. For documents (filler) also one row each that matches nothing, so that none is lost."""
+    """Rows of fingerprints; what stands around them, for those of windows. For documents (filler) also one row each that
+    matches nothing, so that none is lost."""
     width, reach = window - k + 1, window - 1
     total = 2 * reach + window
 
@@ -91,19 +95,19 @@ def _scan(window: int, k: int, lengths: list[int], bitmap, filler: bool):
                 at = np.concatenate([x[0] for x in found])
                 h = np.concatenate([x[1] for x in found])
                 span = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])
-                around = _around(w, at, np.where(span == window, k, span), reach, total)
+                long = span == window
+                around = _around(w, at[long], np.full(np.count_nonzero(long), k), reach, total)
                 row, place = w.row[at], at - w.first[w.row[at]]
                 if filler:
                     rows = np.arange(w.n_rows)
                     key = mix(np.arange(w.n_rows, dtype=U64) + U64(w.row0) * U64(7919) + w.hash.sum(dtype=U64))
                     row, place, h = np.concatenate([row, rows]), np.concatenate([place, np.zeros(w.n_rows, int)]), np.concatenate([h, key])
                     span = np.concatenate([span, np.zeros(w.n_rows, np.int32)])
-                    around = np.concatenate([around, np.zeros((w.n_rows, total), U64)])
                 if not len(row):
                     continue
                 take = pa.array(row + w.row0)
                 lists = around.view(np.int64)
-                used = np.where(span > 0, total, 0)
+                used = np.where(span == window, total, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(take),
@@ -112,7 +116,7 @@ def _scan(window: int, k: int, lengths: list[int], bitmap, filler: bool):
                         pa.array(h.view(np.int64)),
                         pa.array(place.astype(np.int32)),
                         pa.array(span),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.array(lists[span > 0].ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.array(lists.ravel())),
                     ],
                     names=["key_id", "key_hash", "n_words", "hash", "at", "span", "around"],
                 )
@@ -120,52 +124,14 @@ def _scan(window: int, k: int, lengths: list[int], bitmap, filler: bool):
     return run
 
 
-def _extend(window: int):
-    """From joined fingerprints to the runs of words that really are equal."""
+def _ranges(window: int) -> Column:
+    """Word ranges of a joined row that really are equal: of a window's fingerprint the runs of equal words around it."""
     reach = window - 1
-    total = 2 * reach + window
-
-    def run(batches):
-        for batch in batches:
-            span = batch.column(3).to_numpy(zero_copy_only=False)
-            item = batch.column(5)
-            met = (span > 0) & batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            out = {n: [] for n in ("row", "start", "end")}
-            rows = np.flatnonzero(met)
-            if len(rows):
-                pick = pa.array(rows)
-                ours = batch.column(4).take(pick).flatten().to_numpy().reshape(-1, total)
-                theirs = batch.column(6).take(pick).flatten().to_numpy().reshape(-1, total)
-                place = batch.column(2).to_numpy(zero_copy_only=False)[rows]
-                same = (ours == theirs) & (ours != 0)
-                sums = np.concatenate([np.zeros((len(rows), 1), int), np.cumsum(same, 1)], 1)
-                for n in np.unique(span[rows]):
-                    own = span[rows] == n
-                    starts = range(total - window + 1) if n == window else [reach]
-                    for j in starts:
-                        hit = own & (sums[:, j + n] - sums[:, j] == n)
-                        out["row"].append(rows[hit])
-                        out["start"].append(place[hit] + j - reach)
-                        out["end"].append(place[hit] + j - reach + n)
-            fillers = np.flatnonzero(span == 0)
-            row = np.concatenate([fillers, *out["row"]]).astype(np.int64)
-            blank = np.zeros(len(row), bool)
-            blank[: len(fillers)] = True
-            nothing = np.zeros(len(fillers), np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(7).take(take),
-                    batch.column(1).take(take),
-                    pa.array(np.concatenate([nothing, *out["start"]]).astype(np.int32), mask=blank),
-                    pa.array(np.concatenate([nothing, *out["end"]]).astype(np.int32), mask=blank),
-                    item.take(take),
-                ],
-                names=["key_id", "key_hash", "n_words", "start", "end", "item"],
-            )
-
-    return run
+    whole = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("span")).alias("end"))
+    same = F.zip_with("around", "item_around", lambda x, y: (x == y) & (x != 0))
+    begins = lambda equal: F.filter(F.sequence(F.lit(0), F.lit(2 * reach)), lambda j: F.forall(F.slice(equal, j + 1, window), lambda e: e))
+    placed = F.transform(common.let(same, begins), lambda j: F.struct((F.col("at") + j - reach).alias("start"), (F.col("at") + j - reach + window).alias("end")))
+    return F.when(F.col("items").isNotNull(), F.when(F.col("span") == window, placed).otherwise(F.array(whole)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, k: int = 7) -> DataFrame:
@@ -175,6 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     document inside any occurrence of a window is hit. Ids are integers. Columns other than the named ones are ignored.
     A null or empty text has no words and no hits; an empty benchmark hits nothing; equal items are all reported. Rows
     that repeat id and text, or whose id is null, each get a row; an item with a null id counts for n_hit, but not in items.
+    Texts of any length are taken whole, in slices of bounded size.
     """
     found = _contamination(docs, benchmark, doc_id, text, item_id, item_text, window, k)
     return found.select(*[c for c in found.columns if c not in ("key_hash", "rows")], F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row")).drop("_row")
@@ -187,16 +154,16 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     side = lambda df, i, t: df.select(F.col(i).cast("long").alias("i"), F.col(t).alias("t"), F.xxhash64(t).alias("h"))
     items = side(benchmark, item_id, item_text)
     all_lengths = list(range(1, window))
-    prints, path = common.saved(items.mapInArrow(_scan(window, k, all_lengths, None, False), _PRINT).select(F.col("key_id").alias("item"), F.col("hash").alias("item_hash"), F.col("span").alias("item_span"), F.col("around").alias("item_around")), "winnow-items")
+    cut = items.mapInArrow(_scan(window, k, all_lengths, None, False), _PRINT).select(F.col("key_id").alias("item"), F.col("hash").alias("item_hash"), F.col("span").alias("item_span"), F.col("around").alias("item_around"))
+    prints, _ = common.saved(cut.groupBy("item_hash", "item_span", "item_around").agg(F.collect_set(F.col("item").cast("string")).alias("items")), "winnow-items")
     lengths = sorted(r[0] for r in prints.where(F.col("item_span") < window).select("item_span").distinct().collect())
-    rows = prints.count()
-    bitmap = spark.sparkContext.broadcast(_bitmap(prints))
+    rows, size = prints.agg(F.count("*"), F.sum(48 + 8 * F.size("item_around") + 24 * F.size("items"))).first()
+    bitmap = spark.sparkContext.broadcast(_bitmap(prints, rows))
     scanned = side(docs, doc_id, text).mapInArrow(_scan(window, k, lengths, bitmap, True), _PRINT)
-    there = common.maybe_broadcast(prints, rows, 400)
-    joined = scanned.join(there, (F.col("hash") == F.col("item_hash")) & (F.col("span") == F.col("item_span")), "left").select("key_id", "n_words", "at", "span", "around", "item", "item_around", "key_hash")
-    runs = joined.mapInArrow(_extend(window), "key_id long, key_hash long, n_words int, start int, end int, item long")
+    joined = scanned.join(common.maybe_broadcast(prints, size or 0, 1), (F.col("hash") == F.col("item_hash")) & (F.col("span") == F.col("item_span")), "left")
+    runs = joined.select("key_id", "key_hash", "n_words", (F.col("span") == 0).alias("filler"), _ranges(window).alias("ranges"), "items").where(F.col("filler") | (F.size("ranges") > 0))
     covered = F.aggregate(
-        F.array_sort("hits"),
+        F.col("hits"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("upto")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["upto"]))).cast("long").alias("n"), F.greatest(acc["upto"], x["end"]).alias("upto")),
         lambda acc: acc["n"],
@@ -205,11 +172,11 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         runs.groupBy("key_id", "key_hash")
         .agg(
             F.max("n_words").cast("long").alias("n_words"),
-            F.count_if(F.col("start").isNull()).alias("rows"),
-            F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("hits"),
-            F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
+            F.count_if("filler").alias("rows"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("ranges")))).alias("hits"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
-        .select(F.col("key_id").alias(doc_id), "key_hash", "n_words", covered.alias("n_hit"), "items", F.array_sort("hits").alias("hits"), "rows")
+        .select(F.col("key_id").alias(doc_id), "key_hash", "n_words", covered.alias("n_hit"), "items", "hits", "rows")
     )
 
 
@@ -219,8 +186,11 @@ def is_contaminated(share: int = 20) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns; rows are told apart by id and text, and ids may be null."""
+    """The documents that are not contaminated, with all their columns, of any names; rows are told apart by id and text,
+    and ids may be null."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    found = _contamination(docs, benchmark, **options).where(is_contaminated()).select(F.col(doc_id).alias("_tainted"), F.col("key_hash").alias("_hash"))
+    found = _contamination(docs, benchmark, **options).where(is_contaminated()).select(F.col(doc_id).alias("tainted"), F.col("key_hash").alias("hash"))
     found, _ = common.saved(found, "winnow-tainted")
-    return docs.join(common.maybe_broadcast(found, found.count(), 24), F.col(doc_id).cast("long").eqNullSafe(F.col("_tainted")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    # the row is one column, so that no name of docs can clash with one of ours
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("own"))
+    return packed.join(common.maybe_broadcast(found, found.count(), 24), F.col("id").eqNullSafe(F.col("tainted")) & (F.col("own") == F.col("hash")), "left_anti").select("row.*")

@@ -35,12 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     shared = least.groupBy("root", "doc_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first <> last")
     others = least.join(shared, ["root", "doc_id"]).where("text_hash <> first")
     copies = rows.where("doc_id <> component_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
-    copies = copies.select(F.col("doc_id").alias("_copy"), F.col("text_hash").alias("_copy_hash"))
-    left = docs.join(common.maybe_broadcast(copies, copies.count(), 24), (F.col("doc_id").cast("long") == F.col("_copy")) & (F.xxhash64("text") == F.col("_copy_hash")), "left_anti")
-    if rows.where("rows > 1 AND doc_id = component_id").isEmpty():
-        return left
-    once = left.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return once.unionByName(left.where("doc_id IS NULL"))
+    copies = copies.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    # the row is one column, so that no name of docs can clash with one of ours
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    left = packed.join(common.maybe_broadcast(copies, copies.count(), 24), ["id", "hash"], "left_anti")
+    repeated, _ = common.saved(rows.where("rows > 1 AND doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "repeated-rows")
+    if not (many := repeated.count()):
+        return left.select("row.*")
+    twice = common.maybe_broadcast(repeated, many, 24)
+    once = left.join(twice, ["id", "hash"], "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return left.join(twice, ["id", "hash"], "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates and counts characters anew."""
-    done = surrogate.with_surrogates(docs, spark.conf.get(KEY_SETTING, TEST_KEY))
-    return done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    done = surrogate.with_surrogates(packed, spark.conf.get(KEY_SETTING, TEST_KEY))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..sources import writers
-from . import attribution, classify, detect, joins, metrics, ordered, tracks
+from . import attribution, classify, detect, joins, metrics, ordered, tiles, tracks
+from .lineage import cut
 
 CONDITIONS = [c for c, *_ in classify.CONDITIONS.values()]
 
@@ -34,6 +37,44 @@ def operational_scan(candidates: DataFrame, systems: DataFrame, *, at: float = 0
     return detect.top_k(single, top, by=["cycle"], order=[F.desc("confidence"), F.col("key")])
 
 
+def field_scan(
+    cells: DataFrame,
+    systems: DataFrame,
+    scorer: Callable,
+    *,
+    channel: dict[str, int | list[int]],
+    variables: list[str],
+    columns: int,
+    radius: int,
+    latitude: Callable[[Column], Column],
+    longitude: Callable[[Column], Column],
+    time: Callable[[Column], Column],
+    learned: Callable[[dict[str, Column]], Column] | None = None,
+    at: float = 0.75,
+    least_expert: float = 0.45,
+    explain: Callable | None = None,
+    means: list[float] | None = None,
+    stds: list[float] | None = None,
+    **options,
+) -> DataFrame:
+    """From fields to ranked hotspots: windows of all candidate cells scored in tiles, and operational_scan of what passes.
+
+    ``cells``: cycle, row, col, stack, candidate. ``scorer`` gives confidence, cnn_confidence and vit_confidence (see
+    tiles.scan, which also tells of ``explain``, ``means`` and ``stds``). ``channel`` has the conditions' places in the
+    stack (tiles.environment), ``variables`` the variable of each channel; latitude, longitude and time are functions of
+    row, column and cycle. ``learned`` makes the gated probability from the detection's columns.
+    """
+    scores = ["confidence", "cnn_confidence", "vit_confidence"]
+    found = tiles.scan(cells, scorer, scores, radius=radius, columns=columns, at=at, least_expert=least_expert, explain=explain, means=means, stds=stds)
+    lat, lon = latitude(F.col("row")), longitude(F.col("col"))
+    place = {"key": (F.col("row") * columns + F.col("col")).cast("long"), "latitude": lat, "longitude": F.when(lon <= 180, lon).otherwise(lon - 360), "time": time(F.col("cycle"))}
+    rows = found.withColumns({**place, **tiles.environment(channel), "shares": tiles.shares(variables)}).drop("row", "col", "center", "mean", "attribution")
+    rows = cut(rows.withColumn("cyclonic_vorticity_850_s1", physics.cyclonic(F.col("latitude"), F.col("vorticity_850_s1"))))
+    nothing = F.lit(None).cast("double")
+    rows = rows.withColumn("learned", nothing if learned is None else learned({c: F.col(c) for c in rows.columns}))
+    return operational_scan(rows, systems, at=at, least_expert=least_expert, **options)
+
+
 def verified_cycles(detections: DataFrame, events: DataFrame, *, lead: float, tolerance: float, match_km: float, at: float, least_expert: float, cluster_km: float, least: int = 1, top: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Annotated predictions, annotated events, and a summary by cycle.
 

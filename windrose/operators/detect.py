@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, physics
 from . import ordered
+from .components import components
 from .lineage import cut
 
 #: Detections of a group that one fold may hold; larger groups are decided in rounds.
@@ -64,24 +65,71 @@ def _pairs(points: DataFrame, km: float, on: list[str], key: str, lat: str, lon:
     return distance_join(points.select(*on, key, lat, lon), other, km, left_at=(lat, lon), right_at=("_lat", "_lon"), on=on).select(*on, key, "_key")
 
 
+def _celled(df: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
+    """Adds the cell (_i, _j) of a position and the cell's centre; any two positions of a cell are within ``km``."""
+    tall = math.degrees(math.sqrt(2.0) * math.sin(min(km / (2 * geo.EARTH_KM), 1.0)))
+    i = F.floor(F.col(lat) / tall)
+    edge = F.least(F.abs(i * tall), F.abs((i + 1) * tall))  # the latitude of a band that lies nearest to the equator
+    widest = F.when(i * tall * (i + 1) * tall <= 0, 1.0).otherwise(F.cos(F.radians(F.least(edge, F.lit(90.0)))))
+    around = F.greatest(F.lit(1), F.ceil(360.0 * widest / tall))
+    wide = 360.0 / around
+    j = F.floor(geo.lon_360(F.col(lon)) / wide)
+    center = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (i + 0.5) * tall))
+    return df.withColumns({"_i": i, "_j": j, "_clat": center, "_clon": geo.lon_180((j + 0.5) * wide)})
+
+
 def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat: str, lon: str, on: list[str] | None = None) -> DataFrame:
     """(on, key, cluster): points with ``least`` points (themselves counted) within ``km`` are cores; cores within reach
     share a cluster, named by its least core; other points near a core join the least cluster near them; the rest is
-    left out. Labels travel a doubling distance per round, each checkpointed, until none moves."""
+    left out, as are points without a position.
+
+    Points at one position are one row with their number. A cell is so small that its points are all within reach: one
+    with ``least`` of them is core as a whole and one unit. Only the positions of other cells, fewer than ``least`` in each,
+    are paired with what is around them. Units of two cells are linked if the members nearest to each other's centre are
+    within reach; what then still lies in different clusters side by side is compared member by member.
+    """
     on = on or []
-    near = cut(_pairs(points, km, on, key, lat, lon))
-    cores = near.groupBy(*on, key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*on, key)
-    links = cut(near.join(cores, [*on, key]).join(cores.withColumnRenamed(key, "_key"), [*on, "_key"]))
-    label = cut(cores.withColumn("cluster", F.col(key)))
-    while True:
-        around = links.join(label.withColumnRenamed(key, "_key"), [*on, "_key"]).groupBy(*on, key).agg(F.min("cluster").alias("cluster"))
-        jump = around.join(label.select(*on, F.col(key).alias("cluster"), F.col("cluster").alias("_next")), [*on, "cluster"], "left")
-        new = cut(jump.select(*on, key, F.least("cluster", "_next").alias("cluster")))
-        changed = new.join(label.withColumnRenamed("cluster", "_old"), [*on, key]).where("cluster <> _old").isEmpty()
-        label = new
-        if changed:
-            break
-    return near.join(label.withColumnRenamed(key, "_key"), [*on, "_key"]).groupBy(*on, key).agg(F.min("cluster").alias("any"), F.min(F.when(F.col(key) == F.col("_key"), F.col("cluster"))).alias("own")).select(*on, key, F.coalesce("own", "any").alias("cluster"))
+    spot = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*on, lat, lon).agg(F.min(key).alias("_k"), F.count("*").alias("_n"))
+    spot = _celled(spot, km, lat, lon)
+    cell = [*on, "_i", "_j"]
+    full = spot.groupBy(*cell).agg(F.sum("_n").alias("_m"), F.min("_k").alias("_unit")).where(F.col("_m") >= least).drop("_m")
+    spot = cut(spot.join(full, cell, "left"))
+    other = spot.select(*on, F.col("_k").alias("_k2"), F.col("_n").alias("_n2"), F.col("_unit").alias("_unit2"), F.col(lat).alias("_lat2"), F.col(lon).alias("_lon2"))
+    from .joins import distance_join
+
+    alone = spot.where("_unit IS NULL").select(*on, "_k", lat, lon)
+    near = cut(distance_join(alone, other, km, left_at=(lat, lon), right_at=("_lat2", "_lon2"), on=on).select(*on, "_k", "_k2", "_n2", "_unit2"))
+    cores = cut(near.groupBy(*on, "_k").agg(F.sum("_n2").alias("n")).where(F.col("n") >= least).select(*on, "_k"))
+    core2 = cores.withColumnRenamed("_k", "_k2").withColumn("_core2", F.lit(True))
+    around = cut(near.join(core2, [*on, "_k2"], "left").select(*on, "_k", F.coalesce("_unit2", F.when(F.col("_core2"), F.col("_k2"))).alias("_unit2")).where("_unit2 IS NOT NULL"))
+    end = lambda unit: F.struct(*on, F.col(unit).alias("unit"))
+    links = around.join(cores, [*on, "_k"], "left_semi").select(end("_k").alias("a"), end("_unit2").alias("b"))
+    dense = spot.where("_unit IS NOT NULL")
+    hub = dense.groupBy(*on, "_unit").agg(F.first("_clat").alias("_clat"), F.first("_clon").alias("_clon"))
+    second = hub.withColumnsRenamed({"_unit": "_unit2", "_clat": "_clat2", "_clon": "_clon2"})
+    # members of a cell are within half of km of its centre
+    beside = cut(distance_join(hub, second, 2.0 * km + 1e-6, left_at=("_clat", "_clon"), right_at=("_clat2", "_clon2"), on=on).where("_unit <> _unit2").drop("distance_km"))
+    away = geo.haversine_km(F.col(lat), F.col(lon), F.col("_clat2"), F.col("_clon2"))
+    member = dense.select(*on, "_unit", lat, lon)
+    probe = beside.select(*on, "_unit", "_unit2", "_clat2", "_clon2").join(member, [*on, "_unit"]).groupBy(*on, "_unit", "_unit2").agg(F.min(F.struct(away.alias("d"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))).alias("p"))
+    facing = probe.select(*on, F.col("_unit").alias("_unit2"), F.col("_unit2").alias("_unit"), F.col("p").alias("q"))
+    tested = probe.join(facing, [*on, "_unit", "_unit2"]).where("_unit < _unit2").where(geo.haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon")) <= km)
+    links = cut(links.unionByName(tested.select(end("_unit").alias("a"), end("_unit2").alias("b"))))
+    roots = components(links)
+    named = lambda df, unit, name: df.join(roots.select(*[F.col(f"node.{c}").alias(c) for c in on], F.col("node.unit").alias(unit), F.col("root.unit").alias(f"_r{name}")), [*on, unit], "left").withColumn(name, F.coalesce(f"_r{name}", unit)).drop(f"_r{name}")
+    open_pairs = cut(named(named(beside.where("_unit < _unit2"), "_unit", "_a"), "_unit2", "_b").where("_a <> _b"))
+    if not open_pairs.isEmpty():
+        first = open_pairs.join(member, [*on, "_unit"]).where(away <= 1.5 * km + 1e-6).select(*on, "_unit", "_unit2", F.col(lat).alias("_lat1"), F.col(lon).alias("_lon1"))
+        last = member.withColumnRenamed("_unit", "_unit2")
+        met = first.join(last, [*on, "_unit2"]).where(geo.haversine_km(F.col("_lat1"), F.col("_lon1"), F.col(lat), F.col(lon)) <= km)
+        more = cut(met.select(*on, "_unit", "_unit2").distinct().select(end("_unit").alias("a"), end("_unit2").alias("b")))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
+    whole = named(dense.select(*on, "_k", "_unit"), "_unit", "cluster").select(*on, "_k", "cluster")
+    single = named(cores.withColumn("_unit", F.col("_k")), "_unit", "cluster").select(*on, "_k", "cluster")
+    edge = named(around.join(cores, [*on, "_k"], "left_anti"), "_unit2", "cluster").groupBy(*on, "_k").agg(F.min("cluster").alias("cluster"))
+    placed = spot.select(*on, lat, lon, "_k").join(whole.unionByName(single).unionByName(edge), [*on, "_k"])
+    return points.join(placed.select(*on, lat, lon, "cluster"), [*on, lat, lon]).select(*on, key, "cluster")
 
 
 def rank_score(support: Column, d: dict[str, Column]) -> Column:

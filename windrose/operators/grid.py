@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,41 +148,33 @@ def environment(df: DataFrame, *, by: list[str]) -> DataFrame:
 
 def patches(cells: DataFrame, radius: int, columns: int) -> DataFrame:
     """Arrays (row by row) of the ``stack`` of the cells around each candidate cell of a cycle, columns around the date
-    line; candidates without all rows are left out. One task holds one cycle's grid, as one analysis is one message."""
-    import numpy as np
-    import pandas as pd
-
-    side = 2 * radius + 1
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = int(frame["row"].max()) + 1
-        depth = len(frame["stack"].iloc[0])
-        field = np.full((rows, columns, depth), np.nan, np.float32)
-        field[frame["row"], frame["col"]] = np.stack(frame["stack"].to_numpy())
-        field = np.concatenate([field[:, -radius:], field, field[:, :radius]], 1) if radius else field
-        wanted = frame[frame["candidate"] & (frame["row"] >= radius) & (frame["row"] < rows - radius)]
-        out = [field[r - radius : r + radius + 1, c : c + side].ravel() for r, c in zip(wanted["row"], wanted["col"], strict=True)]
-        return pd.DataFrame({"cycle": wanted["cycle"], "row": wanted["row"], "col": wanted["col"], "patch": out})
+    line; candidates with a missing cell around them are left out. A task holds a tile with its halo (tiles.patches)."""
+    from . import tiles
 
-    kind = cells.schema["cycle"].dataType.simpleString()
-    return cells.groupBy("cycle").applyInPandas(run, f"cycle {kind}, row int, col int, patch array<float>")
+    return tiles.patches(cells, radius, columns)
 
 
-def scored(patch: DataFrame, scorer, columns: list[str], batch: int = 256) -> DataFrame:
-    """Patches with a score column for each of ``columns``: ``scorer`` maps an array (n, ...) to (n, len(columns))."""
+def scored(patch: DataFrame, scorer: Callable, columns: list[str], batch: int = 256) -> DataFrame:
+    """Patches with a score column for each of ``columns``: ``scorer`` maps an array (n, ...) to (n, len(columns)). It
+    travels to the workers once, as a broadcast; patches are views of Arrow's own values, all of one length."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, StructType
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                got = np.asarray(scorer(np.stack(part["patch"].to_numpy())), float).reshape(len(part), len(columns))
-                yield part.assign(**{c: got[:, i] for i, c in enumerate(columns)})
+    from .held import Held
 
-    from pyspark.sql.types import DoubleType, StructType
+    held = Held(patch.sparkSession, scorer)
+    names, at = patch.columns, patch.columns.index("patch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                part = whole.slice(start, batch)
+                x = part.column(at).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                got = np.asarray(held.value(x), float).reshape(part.num_rows, len(columns))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(got[:, i]) for i in range(len(columns))]], names=[*names, *columns])
 
     schema = StructType(list(patch.schema.fields))
     for c in columns:
         schema = schema.add(c, DoubleType())
-    return patch.mapInPandas(run, schema)
+    return patch.mapInArrow(run, schema)

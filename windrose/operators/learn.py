@@ -31,8 +31,10 @@ def usable_features(df: DataFrame, required: list[str], optional: list[str], lea
 def imputed_scaled(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """Columns with medians for what is missing, less the mean, over the population deviation (1 where it is 0)."""
     clean = df.withColumns({c: physics.finite(F.col(c)) for c in columns})
-    found = {c: ordered.quantiles(clean, c, {"m": 0.5}).first() for c in columns}
-    medians = {c: float(r["m"]) if r and r["m"] is not None else 0.0 for c, r in found.items()}
+    # all columns are ranked at once, by column and value
+    long = clean.select(*columns).unpivot([], columns, "_column", "_value")
+    found = {r["_column"]: r["m"] for r in ordered.quantiles(long, "_value", {"m": 0.5}, by=["_column"]).collect()}
+    medians = {c: float(found[c]) if found.get(c) is not None else 0.0 for c in columns}
     filled = clean.na.fill(medians)
     r = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     means, scales = {c: r[f"m_{c}"] or 0.0 for c in columns}, {c: r[f"s_{c}"] or 1.0 for c in columns}

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, checkpointed to the folder in spark.checkpoint.dir, or to one of our own where that is unset in a local session."""
-    sc = df.sparkSession.sparkContext
+def _ready(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or one of our own where that is unset in a local session."""
+    sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="windrose-checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, checkpointed to the shared folder."""
+    _ready(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared one."""
+    return f"{_ready(spark).rstrip('/')}/windrose/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text, when
+from . import ordered
 
 # Natures that count as tropical where the caller names none.
 TROPICAL = ("TS", "SS", "ET", "MX", "NR", "DS")
@@ -74,13 +75,17 @@ def chronological_split(ts: Column, train: tuple[int, int], validation: tuple[in
 
 
 def balanced_negatives(candidates: DataFrame, count: int, *, key: str, seed: int = 0) -> DataFrame:
-    """``count`` rows, candidates in a seeded order and again from the start where there are too few; adds draw."""
-    n = candidates.count()
-    if not n or count <= 0:
-        return candidates.withColumn("draw", F.lit(0).cast("long")).limit(0)
-    rounds = -(-count // n)
-    ordered = candidates.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
-    return ordered.orderBy("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(count)
+    """``count`` rows, candidates in a seeded order and again from the start where there are too few; adds draw.
+
+    Candidates get ranks over range partitions (ordered.running), and each is copied as often as it is drawn: the table
+    isn't sorted as a whole, and what is kept never meets in one task.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = ordered.running(candidates.withColumn("_o", order), [F.col("_o"), F.col(key)], {"_n": F.lit(1)})
+    every, rest = F.floor(F.lit(max(0, count)) / F.col("all__n")), F.pmod(F.lit(max(0, count)), F.col("all__n"))
+    times = (every + (F.col("_n") <= rest).cast("int")).cast("long")
+    draws = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))
+    return ranked.withColumn("draw", F.explode(draws)).drop("_o", "_n", "all__n")
 
 
 def jittered(lat: Column, lon: Column, key: Column, *, cells: int = 2, probability: float = 0.7, seed: int = 0) -> list[Column]:
@@ -97,10 +102,11 @@ def patch_center(lat: Column, lon: Column, half: float, box: tuple[float, float,
 
 
 def negative_centers(points: DataFrame, *, key: str, distances: list[float], box: tuple[float, float, float, float]) -> DataFrame:
-    """For each point the first of eight directions, farthest distance first, whose shifted centre lies strictly inside."""
+    """For each point the first of eight directions (angle: from east, against the clock), farthest distance first, whose
+    shifted centre, its longitude in [0, 360), lies strictly inside."""
     d = F.explode(F.array(*[F.lit(float(x)) for x in sorted(distances, reverse=True)])).alias("shift")
-    tries = points.select("*", d).select("*", F.explode(F.sequence(F.lit(0), F.lit(315), F.lit(45))).alias("bearing"))
-    moved = tries.withColumns({"new_lat": F.col("lat") + F.col("shift") * F.cos(F.radians(F.col("bearing"))), "new_lon": F.col("lon") + F.col("shift") * F.sin(F.radians(F.col("bearing")))})
+    tries = points.select("*", d).select("*", F.explode(F.sequence(F.lit(0), F.lit(315), F.lit(45))).alias("angle"))
+    moved = tries.withColumns({"new_lat": F.col("lat") + F.col("shift") * F.sin(F.radians(F.col("angle"))), "new_lon": F.pmod(F.col("lon") + F.col("shift") * F.cos(F.radians(F.col("angle"))), F.lit(360.0))})
     south, north, west, east = box
     inside = moved.where((F.col("new_lat") > south) & (F.col("new_lat") < north) & (F.col("new_lon") > west) & (F.col("new_lon") < east))
-    return inside.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("shift"), "bearing"))).where("_n = 1").drop("_n")
+    return inside.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("shift"), "angle"))).where("_n = 1").drop("_n")

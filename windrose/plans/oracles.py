@@ -48,7 +48,7 @@ ORACLES: dict[str, str] = {
     "nearest_grid_cell": f"WITH {_CUST} SELECT key, CAST(round_even(lat+0.25+90,0) AS INT) AS row, CAST(round_even(((lon+0.3::DOUBLE)%360+360)%360,0) AS INT)%360 AS col FROM c",
     "lead_window_join": "WITH f AS (SELECT user_id, min(ts) t FROM events GROUP BY user_id) SELECT e.user_id, event_id, round((epoch_us(ts)-epoch_us(t))/3.6e9,6) AS lead_hours FROM events e JOIN f ON e.user_id=f.user_id WHERE (epoch_us(ts)-epoch_us(t))/3.6e9 BETWEEN 18 AND 30",
     "exact_lead_join": f"WITH c AS (SELECT DISTINCT {_CYCLE} AS cycle FROM events), f AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, min(ts), TIMESTAMP '2000-01-01') AS genesis FROM events GROUP BY user_id) SELECT cycle, count(user_id) AS n, count(user_id)>0 AS is_genesis FROM c LEFT JOIN f ON cycle + INTERVAL 24 HOUR = genesis GROUP BY cycle",
-    "active_at_time": f"WITH e AS (SELECT DISTINCT {_CYCLE} AS cycle, user_id FROM events), g AS (SELECT cycle, count(*) n, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) l FROM e GROUP BY cycle), f AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL 6 HOUR * i AS file_ts FROM range(124) x(i)) SELECT file_ts, n IS NOT NULL AS is_active, coalesce(n,0) AS n, l AS storms FROM f LEFT JOIN g ON file_ts=cycle",
+    "active_at_time": f"WITH e AS (SELECT DISTINCT {_CYCLE} AS cycle, user_id FROM events), g AS (SELECT cycle, count(*) n, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) l FROM e GROUP BY cycle), f AS (SELECT unnest(generate_series(CAST(date_trunc('month', min(cycle)) AS TIMESTAMP), max(cycle), INTERVAL 6 HOUR)) AS file_ts FROM e) SELECT file_ts, n IS NOT NULL AS is_active, coalesce(n,0) AS n, l AS storms FROM f LEFT JOIN g ON file_ts=cycle",
     "box_exclusion": f"WITH {_CUST}, {_SUPP} SELECT key FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE skey%10=key%10 AND abs(slat-lat)<=20 AND least(((slon-lon)%360+360)%360, 360-((slon-lon)%360+360)%360)<=20)",
     "greedy_match": f"WITH RECURSIVE {_GREEDY} SELECT nation, key, skey, km FROM matches",
     "match_metrics": f"WITH RECURSIVE {_GREEDY}, ev AS (SELECT s.skey, k.key FROM s LEFT JOIN matches k USING (skey)), pr AS (SELECT c.key, k.skey, k.km FROM c LEFT JOIN matches k USING (key)), a AS (SELECT count(skey) h, count(*)-count(skey) f, avg(km) mk, median(km) md FROM pr), b AS (SELECT count(*)-count(key) m FROM ev) SELECT h AS hits, m AS misses, f AS false_alarms, round(h/(h+m),9) AS pod, round(h/(h+f),9) AS precision, round(f/(h+f),9) AS far, round(h/(h+m+f),9) AS csi, round(mk,9) AS mean_km, round(md,9) AS median_km FROM a, b",
@@ -59,7 +59,7 @@ ORACLES: dict[str, str] = {
     "label_table": f"WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) sid, {_CYCLE} t FROM events), f AS (SELECT sid, min(t) g FROM e GROUP BY sid), x AS (SELECT DISTINCT t FROM e), g AS (SELECT g, count(*) n, string_agg(sid, ',' ORDER BY sid) l FROM f GROUP BY g), a AS (SELECT t, count(*) n FROM e GROUP BY t) SELECT strftime(x.t,'%Y%m%d%H') AS path, g.n IS NOT NULL AS is_genesis, coalesce(g.n,0) AS genesis_count, true AS is_active, coalesce(l,'') AS genesis_sids, a.n AS n_active FROM x LEFT JOIN g ON g.g = x.t + INTERVAL 24 HOUR JOIN a ON a.t=x.t",
     "chrono_split": "SELECT CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1998 THEN 'train' WHEN year(o_orderdate)=1999 THEN 'val' WHEN year(o_orderdate) BETWEEN 2000 AND 2001 THEN 'test' END AS split, count(*) AS n, round(sum(o_totalprice),2) AS total FROM orders GROUP BY 1",
     "synoptic_filter": f"SELECT {_CYCLE} AS cycle, count(*) AS n FROM events WHERE hour(ts)%6=0 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1",
-    "negative_centers": f"WITH {_CUST}, t AS (SELECT key, s AS shift, b AS bearing, lat+s*cos(radians(b)) nl, lon+s*sin(radians(b)) no FROM c, (VALUES (8.0::DOUBLE),(12.0),(16.0)) v(s), range(0,360,45) w(b)), i AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shift DESC, bearing) n FROM t WHERE nl>-30 AND nl<30 AND no>-170 AND no<170) SELECT key, shift, bearing, round(nl,6) AS new_lat, round(no,6) AS new_lon FROM i WHERE n=1",
+    "negative_centers": f"WITH {_CUST}, t AS (SELECT key, s AS shift, CAST(b AS INT) AS angle, lat+s*sin(radians(b)) nl, lon+s*cos(radians(b)) no FROM c, (VALUES (8.0::DOUBLE),(12.0),(16.0)) v(s), range(0,360,45) w(b)), m AS (SELECT key, shift, angle, nl, no-360*floor(no/360) no FROM t), i AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shift DESC, angle) n FROM m WHERE nl>-30 AND nl<30 AND no>10 AND no<350) SELECT key, shift, angle, round(nl,6) AS new_lat, round(no,6) AS new_lon FROM i WHERE n=1",
     "patch_centers": f"WITH {_CUST} SELECT key, greatest(-25.0::DOUBLE,least(25.0::DOUBLE,lat)) AS center_lat, greatest(-170.0::DOUBLE,least(170.0::DOUBLE,lon)) AS center_lon FROM c",
     "dedupe_keep_last": "SELECT user_id, event_type, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) n FROM events) WHERE n=1",
     "newest_per_key": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) n FROM events) WHERE n=1",

@@ -116,7 +116,9 @@ def exact_lead_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def active_at_time(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(when.floor_cycle(F.col("ts")).alias("cycle"), "user_id", _lat(F.col("user_id")).alias("lat"), _lon(F.col("user_id")).alias("lon")).distinct()
-    files = spark.range(124).select((F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") * 6).cast("int"))).alias("file_ts"))
+    # the first hour of a month's cycle table to the last of its fixes, every six hours
+    ends = e.agg(F.date_trunc("month", F.min("cycle")).cast("timestamp_ntz").alias("low"), F.max("cycle").alias("high"))
+    files = ends.select(F.explode(F.sequence("low", "high", F.expr("INTERVAL 6 HOURS"))).alias("file_ts"))
     found = joins.active_at(files, e, file_time="file_ts", fix_time="cycle", lat="lat", lon="lon", storm="user_id")
     return found.select("file_ts", "is_active", F.when(F.col("active").isNull(), 0).otherwise(F.size("active")).cast("long").alias("n"), F.array_join(F.transform("active", lambda x: x["storm"].cast("string")), ",").alias("storms"))
 
@@ -196,8 +198,8 @@ def synoptic_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def negative_centers(spark: SparkSession, d: str) -> DataFrame:
-    found = tracks.negative_centers(customers(spark, d).select("key", "lat", "lon"), key="key", distances=[8.0, 12.0, 16.0], box=(-30.0, 30.0, -170.0, 170.0))
-    return found.select("key", "shift", "bearing", F.round("new_lat", 6).alias("new_lat"), F.round("new_lon", 6).alias("new_lon"))
+    found = tracks.negative_centers(customers(spark, d).select("key", "lat", "lon"), key="key", distances=[8.0, 12.0, 16.0], box=(-30.0, 30.0, 10.0, 350.0))
+    return found.select("key", "shift", "angle", F.round("new_lat", 6).alias("new_lat"), F.round("new_lon", 6).alias("new_lon"))
 
 
 @query

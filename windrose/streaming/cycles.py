@@ -18,8 +18,11 @@ def six_hour_counts(stream: DataFrame, *, ts: str, late: str = "72 hours", hours
     return stream.withWatermark(ts, late).groupBy(F.window(ts, f"{hours} hours").alias("w"), *(by or [])).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *(by or []), "n")
 
 
-def fresh(df: DataFrame, *, ts: str, now, hours: float = 72.0, future: float = 2.0) -> DataFrame:
-    age = (F.lit(now).cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double")) / 3600
+def fresh(df: DataFrame, *, ts: str, now=None, hours: float = 72.0, future: float = 2.0) -> DataFrame:
+    """Rows no older than ``hours`` and no more than ``future`` hours ahead, by the time of the batch (of the query, if it
+    isn't a stream), or by ``now`` where a run is about a time of its own."""
+    clock = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    age = (clock.cast("double") - F.col(ts).cast("timestamp").cast("double")) / 3600
     return df.where(age.between(-future, hours))
 
 

@@ -536,6 +536,46 @@ def test_hmac_blocks(spark):
         assert row[0] == hmac.new(key.encode(), "message é".encode(), hashlib.sha256).hexdigest()
 
 
+#: Planted entities, each with what of it must be gone (plain Python looks for these parts) and a pattern of what must stand there.
+PLANTED = [
+    ("Mr. O'Brien-Jones", ["Brien", "Jones"], r"Mr\. [A-Z][a-z]+"),
+    ("Mme Dupont-Aignan", ["Dupont", "Aignan"], r"Mme [A-Z][a-z]+"),
+    ("Dr Smithson", ["Smithson"], r"Dr [A-Z][a-z]+"),
+    ("Prof McAllister's", ["McAllister", "Allister"], r"Prof [A-Z][a-z]+'s"),
+    ("Господин Кузнецов", ["Кузнецов"], "Господин [А-Я][а-я]+"),
+    ("Sr Ibáñez", ["Ibáñez"], "Sr [A-Z][a-z]+"),
+    ("Mr J. Abernathy", ["Abernathy", "J."], r"Mr [A-Z][a-z]+ [A-Z][a-z]+"),
+    ("password: hunter2!x9", ["hunter2", "x9"], r"password: [a-z]{6}[0-9]![a-z][0-9]"),
+    ("api_key = 'a?b8c+d/e=f,9'", ["a?b8", "c+d", "f,9"], r"api_key = '[a-z]\?[a-z][0-9][a-z]\+[a-z]/[a-z]=[a-z],[0-9]'"),
+    ("AKIA" + "QX7R2P9TLM4VWZ3K", ["QX7R2P9T"], r"AKIA[0-9A-Z]{16}"),
+    ("ghp_" + "a8Bq" * 9, ["a8Bq"], r"ghp_[A-Za-z0-9]{36}"),
+    ("172.16.0.5", ["172.16.0.5"], r"172\.16(\.\d{1,3}){2}"),
+    ("127.0.0.1", ["127.0.0.1"], r"127(\.\d{1,3}){3}"),
+    ("192.168.7.9", ["192.168.7.9"], r"192\.168(\.\d{1,3}){2}"),
+    ("172.32.0.5", ["172.32"], r"\d{2}(\.\d{1,3}){3}"),
+    ("2001:db8::8a2e:370:7334", ["2001:db8", "8a2e"], r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}"),
+    ("fe80::1ff:fe23", ["1ff:fe23"], r"fe80::[0-9a-f]{3}:[0-9a-f]{4}"),
+    ("2001:0DB8:0000:0042:0000:8A2E:0370:7334", ["0DB8", "8A2E"], r"([0-9A-F]{4}:){7}[0-9A-F]{4}"),
+    ("030 1234567", ["1234567"], r"0\d\d \d{7}"),
+    ("06 12 34 56 78", ["12 34 56"], r"0\d \d\d \d\d \d\d \d\d"),
+    ("0171/9876543", ["9876543"], r"0\d{3}/\d{7}"),
+]
+
+
+def test_nothing_of_an_entity_stays(spark):
+    left = ["on 05-11-2023 at 10:20:30, std::vector, a::b, ratio 0.5 of 12 345 678", "Sr, Dr. and Prof. met", "secret: why", "version 1.2.3.4.5 and 00:1A:2B:3C:4D:5E"]
+    docs = documents(spark, [f"before {x} after" for x, _, _ in PLANTED] + left + ["Mr John Kowalski came. Later John Kowalski left, and Kowalski's dog; Kowalskis stay, johnkowalski too."])
+    got = [r["text"] for r in surrogate.with_surrogates(docs, "k").orderBy("doc_id").collect()]
+    for (planted, parts, shape), text in zip(PLANTED, got, strict=False):
+        inside = text.removeprefix("before ").removesuffix(" after")
+        assert re.fullmatch(shape, inside), (planted, inside)
+        assert not any(p in inside for p in parts), (planted, inside)
+    assert got[len(PLANTED) : -1] == left
+    given, surname = got[-1].split()[1:3]
+    surname = surname.rstrip(".")
+    assert got[-1] == f"Mr {given} {surname}. came. Later {given} {surname} left, and {surname}'s dog; Kowalskis stay, johnkowalski too.".replace(". came", " came", 1) and "John" not in got[-1]
+
+
 # --- 9: mixing ---------------------------------------------------------------------------------------------------------
 
 

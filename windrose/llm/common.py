@@ -18,8 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between executors and Python workers, where the session leaves Spark's default of 64 MB: texts
+#: are long, and a batch is held on both sides, with room to grow, for every core.
+BATCH_BYTES, _BATCH_SETTING, _BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where PYTHONPATH doesn't name the repository (a local session)."""
+    """Lets Python workers import this package where PYTHONPATH doesn't name the repository (a local session), and bounds
+    their batches by BATCH_BYTES unless the session bounds them itself."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT[0]) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

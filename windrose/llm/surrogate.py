@@ -2,8 +2,9 @@
 
 Detected entities are replaced by keyed hashes spelled out in their own form: a phone number keeps its punctuation and
 country code, a card number and an IBAN their check digits, an address its four octets, a secret its alphabet and
-length, an e-mail address its shape under a reserved domain, and a titled name its title, gender, script and number of
-parts. What is hashed is the entity's plain form (digits without punctuation, lower-case letters), so all spellings of
+length and the prefix that tells its issuer, an e-mail address its shape under a reserved domain, and a titled name its
+title, gender, script and number of parts; where a text names it again without a title, by its full name or its surname,
+it is replaced there too. What is hashed is the entity's plain form (digits without punctuation, lower-case letters), so all spellings of
 one entity get the same surrogate in every document: a lost task or another run makes the same ones.
 
 A surname's surrogate is the same behind any title. A given name's has an ending for its gender: that of its titles in
@@ -29,25 +30,32 @@ from pyspark.sql import functions as F
 from . import common
 
 # Titles that say what stands behind them is a name.
-MALE_TITLES = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr\\.", "г-н", "господин", "Κύριος"]
-FEMALE_TITLES = ["Mrs", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra\\.", "Señorita", "Srta\\.", "г-жа", "госпожа", "Κυρία"]
-OTHER_TITLES = ["Dr\\.", "Prof\\."]
+MALE_TITLES = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "г-н", "Г-н", "господин", "Господин", "Κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Srta", "г-жа", "Г-жа", "госпожа", "Госпожа", "Κυρία"]
+OTHER_TITLES = ["Dr", "Dra", "Prof"]
 SECRET_WORDS = ["password", "passwd", "passwort", "pwd", "secret", "token", "api[_-]?key"]
+# How keys of well-known issuers begin, and what follows.
+SECRET_PREFIXES = {"(?:AKIA|ASIA)": "[0-9A-Z]{16}", "gh[pousr]_": "[A-Za-z0-9]{20,}", "github_pat_": "[A-Za-z0-9_]{20,}", "glpat-": "[A-Za-z0-9_-]{20,}", "xox[abprs]-": "[A-Za-z0-9-]{10,}", "sk-": "[A-Za-z0-9_-]{20,}", "AIza": "[A-Za-z0-9_-]{35}"}
 
-_NAME = r"\p{Lu}[\p{Ll}'’-]+"
+#: A word of a name: inner capitals, apostrophes and hyphens belong to it, an English possessive doesn't.
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’-](?!s(?!\p{L}))(?=\p{L}))*+(?<!(?<!\p{L})\p{Lu})"
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _SECRET_HEAD = r"(?=[APSTapst])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_ISSUED = r"(?=[Agsx])(?<![A-Za-z0-9])(?:" + "|".join(head + rest for head, rest in SECRET_PREFIXES.items()) + r")(?![A-Za-z0-9])"
+_SECRET_START = "^(?:" + _SECRET_HEAD + "|" + "|".join(SECRET_PREFIXES) + ")"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: In this order where two could begin at the same place. Looking ahead for what a match begins with changes no match, but
 #: spares most places of a text the rest of the pattern.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}(?![\p{L}\p{N}])",
-    "secret": _SECRET_HEAD + r"[A-Za-z0-9+/_-]{6,}|(?=[0-9A-Fa-f]{32})(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "secret": _SECRET_HEAD + r"[^\s\"'«»“”]{6,}|" + _ISSUED + r"|(?=[0-9A-Fa-f]{32})(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z]{2}[0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?=[0-9A-Fa-f:])(?<![\p{L}\p{N}:])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\p{L}\p{N}:])",
     "card": r"(?=[0-9])(?:(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}]))",
     "ip": r"(?=[0-9])(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[0-9])",
     "ssn": r"(?=[0-9])(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?=[0-9+(])(?:(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}]))",
-    "name": r"(?=[A-ZΚг])(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.?\s{1,3}" + _NAME + r"(?: " + _NAME + r")?",
+    "phone": r"(?=[0-9+(])(?:(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])|(?=0)(?<![\p{L}\p{N}.,/-])(?=(?:[0-9][ /-]?){8,13}(?![0-9]))(?![0-9]{1,2}[ /-][0-9]{1,2}[ /-][0-9]{4}(?![ /-]?[0-9]))0[0-9]{1,4}(?:[ /-][0-9]{2,8}){1,5}(?![\p{L}\p{N}]))",
+    "name": r"(?=[A-ZΚгГ])(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.?\s{1,3}(?:\p{Lu}\.? )?" + _NAME + r"(?: " + _NAME + r")?",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: A quick test that all texts with entities pass.
@@ -93,9 +101,10 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike("^(?:" + PATTERNS["iban"] + ")$"), "iban")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+        .when(m.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f]*:[0-9A-Fa-f:]*$"), "ip6")
         .when(m.rlike("^(?:[0-9]{4}[ -]){3}[0-9]{1,7}$|^[0-9]{13,19}$"), "card")
         .when(m.rlike(r"^(?:" + _TITLES + r")\.?\s"), "name")
-        .when(m.rlike("^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "phone")
+        .when(m.rlike("^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$|^0[0-9]+[ /-]"), "phone")
         .otherwise("secret")
     )
 
@@ -105,7 +114,9 @@ def _gender(m: Column) -> Column:
 
 
 def _name_words(m: Column) -> Column:
-    return F.split(F.regexp_replace(m, r"^\S+\s+", ""), " ")
+    """The given name, or an initial, and the surname; or the surname alone."""
+    words = F.split(F.regexp_replace(m, r"^\S+\s+", ""), " ")
+    return F.when(F.size(words) > 2, F.array(F.array_join(F.slice(words, 1, F.size(words) - 1), " "), F.element_at(words, -1))).otherwise(words)
 
 
 def _base(x: Column, kind: Column) -> Column:
@@ -114,18 +125,18 @@ def _base(x: Column, kind: Column) -> Column:
         F.when(kind == "phone", F.regexp_replace(F.regexp_replace(x, r"^\+1(?=(?:[^0-9]*[0-9]){10}$)", ""), "[^0-9]", ""))
         .when(kind.isin("card", "ssn"), F.regexp_replace(x, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(x, " ", ""))
-        .when(kind.isin("email", "given", "surname"), F.lower(x))
+        .when(kind.isin("email", "given", "surname", "ip6"), F.lower(x))
         .otherwise(x)
     )
 
 
 def _head(m: Column, kind: Column) -> Column:
     """What stands before the entity in a match and stays: a title, or the word that names a secret."""
-    return F.when(kind == "name", F.regexp_extract(m, r"^\S+\s+", 0)).when(kind == "secret", F.regexp_extract(m, "^(?:" + _SECRET_HEAD + ")?", 0)).otherwise("")
+    return F.when(kind == "name", F.regexp_extract(m, r"^\S+\s+", 0)).when(kind == "secret", F.regexp_extract(m, _SECRET_START + "?", 0)).otherwise("")
 
 
 def _form(m: Column, kind: Column) -> Column:
-    return F.when(kind == "secret", F.regexp_replace(m, "^" + _SECRET_HEAD, "")).otherwise(m)
+    return F.when(kind == "secret", F.regexp_replace(m, _SECRET_START, "")).otherwise(m)
 
 
 def entities(m: Column, kind: Column) -> Column:
@@ -237,10 +248,20 @@ def _iban(form: Column, stream: Column) -> Column:
 
 
 def _ip(form: Column, stream: Column) -> Column:
-    """Private ranges stay private; other addresses get an ordinary public first octet."""
+    """Private, loopback and link-local ranges stay what they are; other addresses get an ordinary public first octet."""
     octets = F.transform(F.split(form, "\\."), lambda c, i: (1 + F.pmod(_number(stream, i), F.lit(254))).cast("string"))
-    first = F.array_join(F.slice(octets, 2, 3), ".")
-    return F.when(form.startswith("10."), F.concat(F.lit("10."), first)).when(form.startswith("192.168."), F.concat(F.lit("192.168."), F.array_join(F.slice(octets, 3, 2), "."))).otherwise(F.concat((11 + F.pmod(_number(stream, F.lit(0)), F.lit(88))).cast("string"), F.lit("."), first))
+    kept = lambda n: F.concat(F.substring_index(form, ".", n), F.lit("."), F.array_join(F.slice(octets, n + 1, 4 - n), "."))
+    first = F.concat((11 + F.pmod(_number(stream, F.lit(0)), F.lit(88))).cast("string"), F.lit("."), F.array_join(F.slice(octets, 2, 3), "."))
+    return F.when(form.rlike(r"^(?:10|127)\."), kept(1)).when(form.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."), kept(2)).otherwise(first)
+
+
+def _ip6(form: Column, stream: Column) -> Column:
+    """Groups keep their length and case, unique local and link-local addresses their first group; the address doesn't
+    begin with a zero that wasn't there."""
+    keep = F.when(form.rlike("(?i)^(?:f[cd][0-9a-f]{2}|fe80):"), 4).otherwise(0)
+    pick = lambda alphabet, i: F.substring(F.lit(alphabet), (F.pmod(_number(stream, i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+    one = lambda c, i: F.when((i < keep) | (c == ":"), c).when(form.rlike("[A-F]"), pick("123456789ABCDEF", i)).otherwise(pick("123456789abcdef", i))
+    return F.array_join(F.transform(_chars(form), one), "")
 
 
 def _email(form: Column, stream: Column) -> Column:
@@ -274,8 +295,8 @@ def _surname(form: Column, stream: Column, attempt: Column) -> Column:
 
 
 def _country(form: Column) -> Column:
-    """Digits of a leading country code."""
-    return F.when(form.startswith("+"), F.length(F.regexp_extract(form, "^\\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{4})", 1))).otherwise(F.lit(0))
+    """Digits of a leading country code, or the zero of a number within a country."""
+    return F.when(form.startswith("+"), F.length(F.regexp_extract(form, "^\\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{4})", 1))).when(form.startswith("0"), 1).otherwise(F.lit(0))
 
 
 def surrogate(e: Column, attempt: Column, gender: Column) -> Column:
@@ -288,6 +309,7 @@ def _from_stream(kind: Column, form: Column, attempt: Column, gender: Column, st
         F.when(kind == "email", _email(form, stream))
         .when(kind == "card", _card(form, stream))
         .when(kind == "ip", _ip(form, stream))
+        .when(kind == "ip6", _ip6(form, stream))
         .when(kind == "phone", _redigit(form, stream, _country(form)))
         .when(kind == "ssn", _redigit(form, stream, F.lit(0)))
         .when(kind == "iban", _iban(form, stream))
@@ -326,7 +348,8 @@ def exceptions(found: DataFrame, key: Key) -> tuple[DataFrame, list[str]]:
 
 
 def with_surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with entities of ``text`` replaced, and n_entities.
+    """The columns of ``docs`` with entities of ``text`` replaced, and n_entities (a titled name's later mentions without
+    the title aren't counted).
 
     A null text stays null with 0 entities; an empty one stays empty. Rows that repeat are treated alike; ids play no
     part and may be null. Surrogates depend on ``key``, which must be kept secret, and on the entity alone but for
@@ -364,6 +387,14 @@ def with_surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFra
 
     pieces = F.split(t, ENTITY, -1)
     whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("found", lambda m: _let(kind_of(m), lambda kind: one(m, kind))), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    new = F.when(F.size("found") > 0, whole).otherwise(t)
+    # a titled name's later mentions: its words together first, then the surname
+    names = F.filter("found", lambda m: m.rlike(r"^(?:" + _TITLES + r")\.?\s"))
+    told = F.transform(names, lambda m: _let(entities(m, F.lit("name")), lambda es: F.struct(F.transform(es, lambda e: e["form"]).alias("old"), F.transform(es, stand_in).alias("new"))))
+    pair = lambda n: F.struct(F.array_join(n["old"], " ").alias("old"), F.array_join(n["new"], " ").alias("new"))
+    last = lambda n: F.struct(F.element_at(n["old"], -1).alias("old"), F.element_at(n["new"], -1).alias("new"))
+    mentions = _let(told, lambda ns: F.concat(F.transform(F.filter(ns, lambda n: F.size(n["old"]) > 1), pair), F.transform(F.filter(ns, lambda n: F.length(F.element_at(n["old"], -1)) > 2), last)))
+    mention = lambda acc, n: F.when(acc.contains(n["old"]), F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}'’-])"), n["old"], F.lit(r"(?![\p{L}\p{N}])")), n["new"])).otherwise(acc)
+    again = F.when(F.size(names) > 0, F.aggregate(F.array_distinct(mentions), whole, mention)).otherwise(whole)
+    new = F.when(F.size("found") > 0, again).otherwise(t)
     count = F.when(F.col("found").isNotNull(), F.size("found")).otherwise(0).cast("long")
     return joined.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], count.alias("n_entities"))

@@ -13,8 +13,8 @@ from windrose.llm import common, parity_join, poisson_mix, surrogate, toxicity,
 
 #: Word shingles and similarity, in percent, at which documents are near duplicates.
 SHINGLE, SIMILAR = 5, 80
-#: The Spark setting that holds the secret key of surrogates; the default is for tests.
-KEY_SETTING, TEST_KEY = "spark.windrose.surrogateKey", "not a secret"
+#: The Spark setting that holds the key of surrogates, under a name that Spark redacts; the default is for local sessions.
+KEY_SETTING, TEST_KEY = "spark.windrose.surrogateSecret", "not a secret"
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates and counts characters anew."""
+    """Replaces personal data by surrogates and counts characters anew; on a cluster the key must be set."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY_SETTING} to the key of surrogates")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    done = surrogate.with_surrogates(packed, spark.conf.get(KEY_SETTING, TEST_KEY))
+    done = surrogate.with_surrogates(packed, TEST_KEY if key is None else key)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))}
     return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 

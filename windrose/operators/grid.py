@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +38,45 @@ def validate_grid(df: DataFrame, *, variables: list[str] | None = None) -> None:
         raise ValueError(f"missing variables {missing}; bad lat {r['lat']}, lon {r['lon']}, value {r['value']}")
 
 
+def observed(df: DataFrame, *, levels: list[int] = LEVELS, name: str = "grid") -> tuple[DataFrame, Observation]:
+    """The table, and what a run over it sees: counts of what is wrong and the variables there are, without a scan of its
+    own. ``lev_i``, the place of a level in its file, is compared with ``levels`` where the table has it."""
+    bad = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
+    order = F.count_if(F.lit(False))
+    if "lev_i" in df.columns:
+        wanted = F.get(F.array(*[F.lit(float(x)) for x in levels]), F.col("lev_i").cast("int"))
+        order = F.count_if(F.col("lev").isNotNull() & ~F.coalesce(wanted == F.col("lev"), F.lit(False)))
+    seen = Observation(name)
+    checks = [
+        F.count(F.lit(1)).alias("rows"),
+        F.collect_set("variable").alias("variables"),
+        bad(F.col("lat").between(-90, 90)).alias("lat"),
+        bad((F.col("lon") >= 0) & (F.col("lon") < 360)).alias("lon"),
+        bad(~F.isnan("value") & (F.abs("value") < float("inf"))).alias("value"),
+        order.alias("level_order"),
+    ]
+    return df.observe(seen, *checks), seen
+
+
+def passed(seen: Observation, variables: list[str] | None = None) -> dict:
+    """What an action on an observed() table has seen; ValueError if anything is wrong or a variable is missing."""
+    got = seen.get
+    missing = sorted(set(variables or PRESSURE_VARIABLES + SURFACE_VARIABLES) - set(got["variables"] or []))
+    wrong = {k: got[k] for k in ("lat", "lon", "value", "level_order") if got[k]}
+    if missing or wrong:
+        raise ValueError(f"missing variables {missing}; wrong values {wrong}")
+    return got
+
+
+def axis_faults(df: DataFrame, *, by: list[str], index: str, at: str) -> DataFrame:
+    """(by, index, reason) where an axis doesn't strictly ascend with its index, or an index has several positions. What is
+    shuffled is a row for each position and task; an axis is as long as a grid is high or wide."""
+    axis = df.groupBy(*by, index).agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    before = F.lag("_high").over(Window.partitionBy(*by).orderBy(index))
+    reason = F.when(F.col("_low") != F.col("_high"), "several positions").when(F.col("_low") <= before, "not ascending").when(F.col("_low").isNull(), "no position")
+    return axis.withColumn("reason", reason).where("reason IS NOT NULL").select(*by, index, "reason")
+
+
 def complete_levels(df: DataFrame, levels: list[int] = LEVELS) -> DataFrame:
     """(cycle, variable) pairs whose levels are all there."""
     return df.groupBy("cycle", "variable").agg(F.collect_set("lev").alias("l")).where(F.size(F.array_except(F.array(*[F.lit(float(x)) for x in levels]), F.col("l"))) == 0).select("cycle", "variable")

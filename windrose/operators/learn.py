@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import physics
 from . import metrics, ordered
@@ -42,9 +41,11 @@ def imputed_scaled(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[s
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """Stratified fold numbers: a hash orders each label's rows within shards, which are dealt round."""
-    w = Window.partitionBy(label, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(256))).orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) + F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(256)), F.lit(k)).cast("int"))
+    """Stratified fold numbers: each label's rows are ranked by a hash of seed and key and dealt round, so that folds differ
+    by one row of a label at most. Ranks come from range partitions (ordered.running)."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = ordered.running(df.withColumn("_o", order), [F.col("_o"), F.col(key)], {"_n": F.lit(1)}, by=[label])
+    return ranked.withColumn("fold", F.pmod(F.col("_n") - 1, F.lit(k)).cast("int")).drop("_o", "_n", "all__n")
 
 
 def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,20 +74,117 @@ def probability(model, df: DataFrame, columns: list[str], name: str) -> DataFram
     return model.transform(_assembled(df, columns)).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(df: DataFrame, columns: list[str], label: str, key: str, *, k: int = 5, name: str = "oof", **options) -> DataFrame:
+class FoldFits:
+    """Logistic models of all folds at once, each fitted on the rows of the others.
+
+    A pass over the table adds up what every model needs of each row: numbers and means, deviations, and then of each
+    Newton step the loss, its gradient and X'WX, in one matrix for each task and model; the driver solves systems as large
+    as the features are many. Medians of all columns and models come from one ranking. The penalty is half the squared
+    coefficients against C times the weighted loss; the intercept isn't penalised.
+    """
+
+    def __init__(self, dealt: DataFrame, columns: list[str], label: str, *, k: int = 5, c: float = 0.35, balanced: bool = True, steps: int = 60, tol: float = 1e-10):
+        """``dealt`` has fold (from 0 to ``k`` - 1), columns and a label of 0 and 1; other labels take no part."""
+        import numpy as np
+
+        self.columns, self.k = columns, k
+        clean = dealt.where(F.col(label).isin(0, 1)).select("fold", F.col(label).cast("double").alias("_y"), *[physics.finite(F.col(x)).alias(x) for x in columns])
+        self.table = cut(clean)
+        long = self.table.select("fold", *columns).unpivot(["fold"], columns, "_column", "_value").where("_value IS NOT NULL")
+        long = long.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("_model <> fold")
+        self.medians = np.zeros((k, len(columns)))
+        place = {x: i for i, x in enumerate(columns)}
+        for r in ordered.quantiles(long, "_value", {"m": 0.5}, by=["_model", "_column"]).collect():  # one row for each model and column
+            self.medians[r["_model"], place[r["_column"]]] = r["m"]
+        d = len(columns)
+        counts = self._sums(lambda m, x, y: np.concatenate([[len(y), y.sum()], x.sum(0)]), 2 + d, self.medians)
+        n, ones = counts[:, 0], counts[:, 1]
+        self.means = counts[:, 2:] / np.maximum(n, 1)[:, None]
+        means = self.means
+        squares = self._sums(lambda m, x, y: ((x - means[m]) ** 2).sum(0), d, self.medians)
+        self.scales = np.sqrt(squares / np.maximum(n, 1)[:, None])
+        self.scales[self.scales == 0] = 1.0
+        weight = np.ones((k, 2))
+        if balanced:
+            weight = np.stack([n / np.maximum(2 * (n - ones), 1), n / np.maximum(2 * ones, 1)], 1)
+        self.weight, self.penalty = weight, np.append(np.full(d, 1 / c), 0.0)
+        self.coefficients = self._newton(steps, tol)
+
+    def _sums(self, f, size: int, medians):
+        """Sums of f(model, filled columns, label) over the rows of each model, (models, size)."""
+        import numpy as np
+        import pyarrow as pa
+
+        k, columns = self.k, self.columns
+
+        def run(batches):
+            total = np.zeros((k, size))
+            for batch in batches:
+                fold, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                x = np.stack([batch.column(2 + i).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], 1) if len(fold) else np.zeros((0, len(columns)))
+                for m in range(k):
+                    own = fold != m
+                    part = x[own]
+                    total[m] += f(m, np.where(np.isnan(part), medians[m], part), y[own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k, dtype=np.int32), size)), pa.array(np.tile(np.arange(size, dtype=np.int32), k)), pa.array(total.ravel())], names=["model", "at", "value"])
+
+        found = self.table.mapInArrow(run, "model int, at int, value double").groupBy("model", "at").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros((k, size))
+        out[found["model"].to_numpy(), found["at"].to_numpy()] = found["value"].to_numpy()
+        return out
+
+    def _newton(self, steps: int, tol: float):
+        import numpy as np
+
+        d = len(self.columns) + 1
+        means, scales, weight, penalty = self.means, self.scales, self.weight, self.penalty
+        best = now = np.zeros((self.k, d))
+        least = np.full(self.k, np.inf)
+        step = np.full((self.k, d), np.inf)
+        for _ in range(steps):
+            at = now
+
+            def one(m, x, y, at=at):
+                z = np.concatenate([(x - means[m]) / scales[m], np.ones((len(y), 1))], 1)
+                w, u = np.where(y == 1, weight[m, 1], weight[m, 0]), z @ at[m]
+                p = 1 / (1 + np.exp(-np.clip(u, -700, 700)))
+                loss = (w * (np.logaddexp(0, u) - y * u)).sum()
+                return np.concatenate([[loss], z.T @ (w * (p - y)), (z.T @ (z * (w * p * (1 - p))[:, None])).ravel()])
+
+            sums = self._sums(one, 1 + d + d * d, self.medians)
+            now = at.copy()
+            for m in range(self.k):
+                loss = sums[m, 0] + 0.5 * (penalty * at[m] ** 2).sum()
+                if loss > least[m] * (1 + 1e-12):  # too far: half the way back
+                    step[m] = step[m] / 2
+                    now[m] = best[m] + step[m]
+                    continue
+                hessian = sums[m, 1 + d :].reshape(d, d) + np.diag(penalty)
+                step[m] = -np.linalg.lstsq(hessian, sums[m, 1 : 1 + d] + penalty * at[m], rcond=None)[0]
+                best = best.copy()
+                best[m], least[m] = at[m], loss
+                now[m] = at[m] + step[m]
+            if np.abs(step).max() < tol:
+                break
+        return now
+
+    def probability(self, fold: Column) -> Column:
+        """Of a row with the columns, by the model that hasn't seen its fold."""
+        out = F.lit(None).cast("double")
+        for m in range(self.k):
+            b = self.coefficients[m]
+            score = F.lit(float(b[-1]))
+            for i, c in enumerate(self.columns):
+                score = score + float(b[i]) * (F.coalesce(physics.finite(F.col(c)), F.lit(float(self.medians[m, i]))) - float(self.means[m, i])) / float(self.scales[m, i])
+            out = F.when(fold == m, 1 / (1 + F.exp(-score))).otherwise(out)
+        return out
+
+
+def out_of_fold(df: DataFrame, columns: list[str], label: str, key: str, *, k: int = 5, name: str = "oof", c: float = 0.35, balanced: bool = True) -> DataFrame:
     """Each row with the probability of a model that hasn't seen its fold."""
     dealt = cut(folds(df, label, key, k))
-    parts = []
-    for i in range(k):
-        train = dealt.where(F.col("fold") != i)
-        ready, how = imputed_scaled(train, columns)
-        model = logistic(ready, columns, label, **options)
-        test = dealt.where(F.col("fold") == i).withColumns({c: (F.coalesce(physics.finite(F.col(c)), F.lit(how["imputation_medians"][c])) - how["means"][c]) / how["scales"][c] for c in columns})
-        parts.append(probability(model, test, columns, name).select(key, label, "fold", name))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fits = FoldFits(dealt, columns, label, k=k, c=c, balanced=balanced)
+    return dealt.select(key, label, "fold", fits.probability(F.col("fold")).alias(name))
 
 
 def post_classifier(df: DataFrame, columns: list[str], label: str, key: str, *, rules: Column, c: float = 0.35) -> dict:

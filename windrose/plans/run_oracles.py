@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _CUST, _SUPP, _hav, _soft
+from .oracles import _CUST, _SCORE, _SUPP, _hav, _soft
 
 _FIELD = """f AS (SELECT CAST(p_partkey//1000 AS INT) cyc, CAST((p_partkey%1000)//50 AS INT) r, CAST(p_partkey%50 AS INT) c, p_retailprice*60 pr, CAST(p_size%10=0 AS INT)::DOUBLE la, p_size+40.0::DOUBLE rh, (p_size%7)::DOUBLE u8, (p_size%5)::DOUBLE v8,
  (p_size%11)::DOUBLE u2, (p_size%13)::DOUBLE v2, (p_size-25)*1e-6::DOUBLE vo, 296+p_size/6::DOUBLE ts FROM part)"""
@@ -92,7 +92,15 @@ SELECT key, CAST(n AS INT) AS polygon FROM m WHERE k%2=1"""
 _VALUES = " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS value, l_orderkey%97 AS f FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 KEPT_STATISTICS = f"WITH m AS ({_VALUES}), r AS (SELECT variable, CASE WHEN f%10=3 THEN value*2+1 ELSE value END x FROM m WHERE f%10<>7) SELECT variable, count(*) AS n, round(avg(x),6) AS mean, round(stddev_pop(x)+1e-6,6) AS std FROM r GROUP BY variable"
 
+FOLD_NUMBERS = f"WITH {_SCORE} SELECT doc_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('3|' || doc_id), doc_id)-1)%5 AS INT) AS fold FROM z"
+
+AXIS_ORDER = """
+WITH a AS (SELECT p_brand, p_size, min(round(p_retailprice)) lo, max(round(p_retailprice)) hi FROM part GROUP BY ALL), b AS (SELECT *, lag(hi) OVER (PARTITION BY p_brand ORDER BY p_size) be FROM a)
+SELECT p_brand, p_size, CASE WHEN lo<>hi THEN 'several positions' ELSE 'not ascending' END AS reason FROM b WHERE lo<>hi OR lo<=be"""
+
 ORACLES = {
+    "fold_numbers": FOLD_NUMBERS,
+    "axis_order": AXIS_ORDER,
     "field_hotspots": FIELD_HOTSPOTS,
     "tried_negatives": TRIED_NEGATIVES,
     "weighted_negatives": WEIGHTED_NEGATIVES,

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import when
-from ..operators import compositions, moments, polygons, training
+from ..operators import compositions, grid, learn, moments, polygons, training
 from ..operators.lineage import shared_folder
 from ..sources.readers import table
 from ..streaming import ledger
-from .queries import customers, measures, suppliers
+from .queries import customers, measures, scores, suppliers
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -172,3 +172,17 @@ def kept_statistics(spark: SparkSession, d: str) -> DataFrame:
     left = moments.changed(kept, revised, m.where("file % 10 = 7").select("file").distinct())
     s = moments.merged(left, by=["variable"])
     return s.select("variable", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query
+def fold_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Stratified folds of the labelled documents."""
+    docs = scores(spark, d)
+    return learn.folds(docs, "y", "doc_id", 5, seed=3).select("doc_id", "y", "fold")
+
+
+@query
+def axis_order(spark: SparkSession, d: str) -> DataFrame:
+    """Where the mean price of the parts of a size doesn't ascend with the size, by brand."""
+    p = table(spark, d, "part").select("p_brand", "p_size", F.round("p_retailprice").alias("price"))
+    return grid.axis_faults(p, by=["p_brand"], index="p_size", at="price")

@@ -253,3 +253,45 @@ def test_folds_of_few_rows(spark):
     df = spark.createDataFrame([(0, 1, None), (1, 0, 2.0), (2, 1, 3.0), (3, 0, 1.0), (4, 1, 9.0)], "key long, y int, a double")
     p = [r["oof"] for r in learn.out_of_fold(df, ["a"], "y", "key", k=5).collect()]
     assert len(p) == 5 and all(0 < x < 1 for x in p)
+
+
+# a forecast run
+
+
+def test_forecast_publishes_every_lead_time(spark, tmp_path):
+    from windrose.operators import compositions
+    from windrose.plans import runs
+
+    rng = np.random.default_rng(8)
+    stack = lambda: [float(v) for v in rng.uniform(0.1, 1.0, 9)]
+    cells = spark.createDataFrame([("2024050106", r, c, stack(), True) for r in range(9) for c in range(12)], "cycle string, row int, col int, stack array<double>, candidate boolean")
+    none = spark.createDataFrame([], "cycle string, storm_id string, status string, system_latitude double, system_longitude double, system_time timestamp_ntz")
+    config = compositions.ScanConfig(lead_times=(24, 48), at=0.5, least_expert=0.1, km=2000.0, top=3, radius=1)
+    assert compositions.ScanConfig.of(config.text()) == config
+    scorer = lambda bias: lambda x: np.stack([1 / (1 + np.exp(-x.mean((1, 2, 3)) - bias)), np.full(len(x), 0.5), np.full(len(x), 0.6)], 1)
+    how = dict(channel=runs.PLACES, variables=[c[0] for c in runs.CHANNELS], columns=12, latitude=lambda r: (r - 4) * 5.0, longitude=lambda c: c * 30.0, time=lambda c: F.lit("2024-05-01 06:00:00").cast("timestamp_ntz"), explain=lambda x: x.mean((1, 2)))
+    made = compositions.forecast(cells, none, {24: scorer(0.0), 48: scorer(1.0)}, config, f"file://{tmp_path}", cycle="20240501_0600", metadata={"source_product": "x"}, **how)
+    assert made == {24: "genesis_forecast_24h_20240501_0600", 48: "genesis_forecast_48h_20240501_0600"}
+    for hours, name in made.items():
+        text = (tmp_path / f"{name}.geojson").read_text()
+        doc = json.loads(text)
+        assert text == (tmp_path / f"latest_{hours}h.geojson").read_text() and doc["metadata"]["lead_time_hrs"] == hours and doc["metadata"]["settings"]["top"] == 3
+        said = [f["properties"] for f in doc["features"]]
+        assert len(said) == 3 and [p["rank"] for p in said] == [1, 2, 3] and all(p["lead_time_hrs"] == hours and p["system_class"] for p in said)
+        assert sum(v for k, v in said[0].items() if k.startswith("xai_mean_")) == pytest.approx(1)
+    with pytest.raises(ValueError, match="48"):
+        compositions.forecast(cells, none, {24: scorer(0.0)}, config, f"file://{tmp_path}", cycle="x", **how)
+    for wrong in (dict(lead_times=()), dict(lead_times=(24, 24)), dict(at=1.5), dict(mode="x"), dict(band=(5.0, 5.0)), dict(top=0), dict(least_warmth=-1.0)):
+        with pytest.raises(ValueError):
+            compositions.ScanConfig(**{"lead_times": (24,), **wrong})
+    df = spark.createDataFrame([(-36.0, 0.0, 300.0), (0.0, 0.6, 300.0), (0.0, 0.5, 298.0), (35.0, 0.5, 299.0), (None, 0.0, 300.0)], "lat double, land double, warm double")
+    assert [r[0] for r in df.select(compositions.ScanConfig(lead_times=(24,), least_warmth=299.0).candidate(F.col("lat"), F.col("land"), F.col("warm"))).collect()] == [False, False, False, True, None]
+
+
+def test_candidates_of_fields(spark):
+    rows = [(1, "a2", 1.0), (1, "a1", 2.0), (1, "a1", 3.0), (2, "a2", 4.0), (2, "b1", 5.0), (3, "c", 6.0)]
+    df = spark.createDataFrame(rows, "cycle int, variable string, value double")
+    found = grid.first_available(df, {"a": ["a1", "a2"], "b": ["b1"]}, by=["cycle"])
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 2.0), (1, "a", 3.0), (2, "a", 4.0), (2, "b", 5.0)]
+    assert {tuple(r) for r in grid.lacking(found, ["a", "b"], by=["cycle"]).selectExpr("cycle", "array_join(missing, ',')").collect()} == {(1, "b")}
+    assert grid.first_available(df.limit(0), {"a": ["a1"]}, by=["cycle"]).count() == 0

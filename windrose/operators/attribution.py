@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import metrics
-from .lineage import cut
+from . import metrics, ordered
 
 
 def shares(df: DataFrame, *, by: list[str], variable: str, value: str) -> DataFrame:
@@ -30,23 +29,13 @@ def importance(df: DataFrame, *, variable: str, level: str, value: str) -> DataF
 
 
 def permuted(df: DataFrame, column: str, *, key: str, seed: int = 0) -> DataFrame:
-    """The column's values dealt to other rows in a seeded order, all rows kept. Ranks come from sorted partitions whose
-    sizes are counted first, so no task holds all rows."""
-    from pyspark.sql import types as T
-
-    def ranked(frame: DataFrame, order: Column, name: str) -> DataFrame:
-        part = cut(frame.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-        sizes = part.groupBy("_p").agg(F.count("*").alias("n")).collect()  # one row per partition
-        base, total = {}, 0
-        for r in sorted(sizes, key=lambda r: r["_p"]):
-            base[r["_p"]] = total
-            total += r["n"]
-        table = frame.sparkSession.createDataFrame(list(base.items()), T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_b", T.LongType())]))
-        return part.join(F.broadcast(table), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")
-
-    plain = ranked(df.drop(column), F.xxhash64(F.lit("own"), F.col(key)), "_at")
-    moved = ranked(df.select(key, column), F.xxhash64(F.lit(seed), F.col(key)), "_at").select("_at", column)
-    return plain.join(moved, "_at").drop("_at")
+    """The column's values dealt to other rows in a seeded order, all rows kept: rows and values are ranked by two hashes
+    of the key, over range partitions (ordered.running), and joined by rank."""
+    def ranked(frame: DataFrame, order: Column) -> DataFrame:
+        return ordered.running(frame.withColumn("_o", order), [F.col("_o"), F.col(key)], {"_at": F.lit(1)}).drop("_o", "all__at")
+
+    deal = lambda name: F.md5(F.concat_ws("|", F.lit(str(name)), F.col(key).cast("string")))
+    return ranked(df.drop(column), deal("own")).join(ranked(df.select(key, column), deal(seed)).drop(key), "_at").drop("_at")
 
 
 def permutation_importance(df: DataFrame, columns: list[str], label: str, score: Callable[[DataFrame], Column], *, key: str, seed: int = 0) -> dict[str, float]:

@@ -2,19 +2,76 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..sources import writers
+from ..sources import geojson_sink, writers
 from . import attribution, classify, detect, joins, metrics, ordered, tiles, tracks
 from .lineage import cut
 
 CONDITIONS = [c for c, *_ in classify.CONDITIONS.values()]
 
 
+@dataclass(frozen=True)
+class ScanConfig:
+    """What a forecast run is made with; checked when it is made, and the same from then on."""
+
+    lead_times: tuple[int, ...]
+    at: float = 0.75
+    least_expert: float = 0.45
+    km: float = 300.0
+    match_km: float = 600.0
+    top: int = 20
+    mode: str = "auto"
+    stale_km: float = 500.0
+    band: tuple[float, float] = (-35.0, 35.0)
+    most_land: float = 0.5
+    least_warmth: float | None = None
+    radius: int = 10
+
+    def __post_init__(self):
+        low, high = self.band
+        wrong = [
+            name
+            for name, fine in {
+                "lead_times": len(self.lead_times) > 0 and all(isinstance(h, int) and h > 0 for h in self.lead_times) and len(set(self.lead_times)) == len(self.lead_times),
+                "at": 0 < self.at < 1,
+                "least_expert": 0 <= self.least_expert <= 1,
+                "km": self.km > 0,
+                "match_km": self.match_km > 0,
+                "stale_km": self.stale_km > 0,
+                "top": self.top > 0,
+                "mode": self.mode in ("auto", "rules", "learned"),
+                "band": -90 <= low < high <= 90,
+                "most_land": 0 <= self.most_land <= 1,
+                "least_warmth": self.least_warmth is None or self.least_warmth > 0,
+                "radius": self.radius >= 0,
+            }.items()
+            if not fine
+        ]
+        if wrong:
+            raise ValueError(f"wrong settings: {wrong}")
+
+    def text(self) -> str:
+        """As JSON, for a run's metadata."""
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def of(cls, text: str) -> ScanConfig:
+        found = json.loads(text)
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
+
+    def candidate(self, latitude: Column, land: Column, warmth: Column) -> Column:
+        """Whether a cell is looked at; windows that aren't whole are left out by the scan."""
+        fine = latitude.between(*self.band) & (land <= self.most_land)
+        return fine if self.least_warmth is None else fine & (warmth >= self.least_warmth)
+
+
 def operational_scan(candidates: DataFrame, systems: DataFrame, *, at: float = 0.75, least_expert: float = 0.45, km: float = 300.0, match_km: float = 600.0, top: int = 20, generic: list[str] | None = None) -> DataFrame:
     """The retained detections of each cycle, classified and ranked.
 
@@ -75,6 +132,28 @@ def field_scan(
     return operational_scan(rows, systems, at=at, least_expert=least_expert, **options)
 
 
+def forecast(cells: DataFrame, systems: DataFrame, scorers: dict[int, Callable], config: ScanConfig, folder: str, *, cycle: str, metadata: dict | None = None, **scan) -> dict[int, str]:
+    """Scans one cycle's fields for every lead time of ``config`` and publishes each as GeoJSON, with ``latest_<hours>h``
+    moved last; the names of the documents. ``scorers``: lead time to scorer; ValueError, before anything runs, if one is
+    missing. ``cycle`` names the cycle; ``scan`` goes to field_scan. One document is written by one task: a cycle keeps
+    ``config.top`` detections.
+    """
+    missing = [h for h in config.lead_times if h not in scorers]
+    if missing:
+        raise ValueError(f"no scorer for lead times {missing}")
+    geojson_sink.register(cells.sparkSession)
+    made = {}
+    for hours in config.lead_times:
+        found = field_scan(cells, systems, scorers[hours], radius=config.radius, at=config.at, least_expert=config.least_expert, km=config.km, match_km=config.match_km, top=config.top, **scan)
+        shown = found.withColumns({"lead_time_hrs": F.lit(hours), "confidence_percent": F.round(F.col("confidence") * 100, 2), "xai_mean": F.col("shares")}).drop("shares", "_n")
+        name = f"genesis_forecast_{hours}h_{cycle}"
+        about = {**(metadata or {}), "lead_time_hrs": hours, "initialization_time_utc": cycle, "settings": json.loads(config.text())}
+        one = shown.repartition(1).sortWithinPartitions("cycle", "rank")  # at most ``top`` rows of a cycle
+        one.write.format("geojson").mode("append").options(path=folder, name=name, latest=f"{hours}h", flatten="xai_mean", metadata=json.dumps(about)).save()
+        made[hours] = name
+    return made
+
+
 def verified_cycles(detections: DataFrame, events: DataFrame, *, lead: float, tolerance: float, match_km: float, at: float, least_expert: float, cluster_km: float, least: int = 1, top: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Annotated predictions, annotated events, and a summary by cycle.
 

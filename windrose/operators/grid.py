@@ -38,6 +38,25 @@ def validate_grid(df: DataFrame, *, variables: list[str] | None = None) -> None:
         raise ValueError(f"missing variables {missing}; bad lat {r['lat']}, lon {r['lon']}, value {r['value']}")
 
 
+def first_available(df: DataFrame, wanted: dict[str, list[str]], *, by: list[str], variable: str = "variable") -> DataFrame:
+    """The rows of each field's first candidate that a group (a cycle or file) has, under the field's name.
+
+    ``wanted``: field to its candidates, best first. Rows of other variables are left out. What a group has is found from
+    its distinct variables, so each row is looked at once; groups that lack a field have no rows of it (lacking()).
+    """
+    kinds = [F.struct(F.lit(field).alias("_field"), F.lit(name).alias(variable), F.lit(i).alias("_rank")) for field, names in wanted.items() for i, name in enumerate(names)]
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*kinds)).alias("k")).select("k.*")  # of fixed size
+    there = df.select(*by, variable).distinct().join(F.broadcast(listed), variable)
+    best = there.groupBy(*by, "_field").agg(F.min(F.struct("_rank", variable)).alias("_best")).select(*by, "_field", F.col(f"_best.{variable}").alias(variable))
+    return df.join(best, [*by, variable]).withColumn(variable, F.col("_field")).drop("_field").select(*df.columns)
+
+
+def lacking(df: DataFrame, wanted: list[str], *, by: list[str], variable: str = "variable") -> DataFrame:
+    """(by, missing): groups that lack a variable, and which, sorted."""
+    names = F.array(*[F.lit(w) for w in sorted(wanted)])
+    return df.groupBy(*by).agg(F.array_except(names, F.collect_set(variable)).alias("missing")).where(F.size("missing") > 0)
+
+
 def observed(df: DataFrame, *, levels: list[int] = LEVELS, name: str = "grid") -> tuple[DataFrame, Observation]:
     """The table, and what a run over it sees: counts of what is wrong and the variables there are, without a scan of its
     own. ``lev_i``, the place of a level in its file, is compared with ``levels`` where the table has it."""

@@ -64,10 +64,13 @@ ORACLES: dict[str, str] = {
     "dedupe_keep_last": "SELECT user_id, event_type, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) n FROM events) WHERE n=1",
     "newest_per_key": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) n FROM events) WHERE n=1",
     "unique_any_hit": "SELECT count(*) AS storms, CAST(sum(h) AS BIGINT) AS storms_hit, round(avg(h),9) AS storm_pod FROM (SELECT user_id, max((value>100)::INT) h FROM events GROUP BY user_id)",
-    "file_summary": "SELECT date_trunc('day',ts)::TIMESTAMP AS day, count(*) FILTER (WHERE event_type='purchase') AS hits, count(*) FILTER (WHERE event_type='error') AS misses, coalesce(string_agg(DISTINCT CAST(user_id AS VARCHAR), '; ' ORDER BY CAST(user_id AS VARCHAR)) FILTER (WHERE event_type='purchase' AND value>20),'') AS names FROM events GROUP BY 1",
+    "file_summary": """WITH e AS (SELECT *, date_trunc('day', ts) AS day FROM events), p AS (SELECT day, count(*) n, count(*) FILTER (WHERE event_type='purchase') h, coalesce(string_agg(DISTINCT CAST(user_id AS VARCHAR), '; ' ORDER BY CAST(user_id AS VARCHAR)) FILTER (WHERE event_type='purchase' AND value>20), '') nh FROM e WHERE event_type IN ('purchase','click') GROUP BY day),
+o AS (SELECT day, count(*) n, count(*) FILTER (WHERE event_type='error') m, coalesce(string_agg(DISTINCT CAST(user_id AS VARCHAR), '; ' ORDER BY CAST(user_id AS VARCHAR)) FILTER (WHERE value>60), '') ns FROM e WHERE event_type IN ('purchase','error') GROUP BY day)
+SELECT CAST(coalesce(p.day,o.day) AS TIMESTAMP) AS day, coalesce(p.n,0) AS predictions, coalesce(h,0) AS hits, coalesce(p.n-h,0) AS false_alarms, coalesce(o.n,0) AS events, coalesce(m,0) AS misses, coalesce(ns,'') AS names, coalesce(nh,'') AS names_hit FROM p FULL JOIN o ON p.day=o.day""",
     "union_by_name": f"WITH {_CUST}, {_SUPP}, u AS (SELECT nation, lat, NULL wind FROM c UNION ALL SELECT nation, NULL, sconf FROM s) SELECT nation, count(*) AS n, count(lat) AS with_lat, round(sum(wind),2) AS wind FROM u GROUP BY nation",
-    "distinct_classes": "SELECT DISTINCT p_type FROM part",
-    "dashboard_counters": "SELECT count(*) AS visible, count(*) FILTER (WHERE c_acctbal>5000) AS genesis, count(*) FILTER (WHERE c_acctbal<=5000 AND c_nationkey<5) AS active, round(avg(c_acctbal),6) AS mean_score FROM customer WHERE c_acctbal>=0",
+    "distinct_classes": "SELECT DISTINCT p_type AS system_class FROM part WHERE p_type IS NOT NULL",
+    "dashboard_counters": f"WITH {_CUST}, v AS (SELECT nation, CASE WHEN conf>9000 THEN 'N' WHEN conf>5000 THEN 'M' WHEN nation<5 THEN 'A' ELSE 'U' END k, CASE WHEN key%11>0 THEN conf/100 END s FROM c) SELECT count(*) AS visible, count(*) FILTER (WHERE k='N') AS genesis, count(*) FILTER (WHERE k='A') AS active, round(avg(coalesce(s,0)),6) AS mean_score FROM v WHERE coalesce(s,0)>=0",
+    "dashboard_filter": f"WITH {_CUST}, v AS (SELECT nation, CASE WHEN conf>9000 THEN 'N' WHEN conf>5000 THEN 'M' WHEN nation<5 THEN 'A' ELSE 'U' END k, CASE WHEN key%11>0 THEN conf/100 END s FROM c) SELECT nation, count(*) AS visible, count(*) AS genesis, CAST(0 AS BIGINT) AS active, round(avg(s),6) AS mean_score FROM v WHERE k='N' AND s>=92.5 AND s/100>0.5 GROUP BY nation",
     "nms_top_k": f"WITH RECURSIVE {_CUST}, o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY conf DESC, key) rn FROM c), f AS (SELECT nation, CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(k BIGINT, cf DOUBLE, la DOUBLE, lo DOUBLE)[]) kept FROM o GROUP BY nation UNION ALL SELECT f.nation, f.rn+1, CASE WHEN len(list_filter(f.kept, lambda x: {_hav('x.la', 'x.lo', 'o.lat', 'o.lon')}<=2500))=0 THEN list_append(f.kept, {{'k':o.key,'cf':o.conf,'la':o.lat,'lo':o.lon}}) ELSE f.kept END FROM f JOIN o ON o.nation=f.nation AND o.rn=f.rn+1), l AS (SELECT nation, arg_max(kept, rn) kept FROM f GROUP BY nation), u AS (SELECT nation, kept, unnest(range(1, least(len(kept),5)+1)) i FROM l) SELECT nation, i AS rank, kept[i].k AS key, kept[i].cf AS conf FROM u",
     "dbscan_cluster": f"WITH RECURSIVE {_CUST}, e AS (SELECT a.key a, b.key b FROM c a JOIN c b ON a.key<>b.key AND abs(a.lat-b.lat)<=8.2 AND {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=900), r AS (SELECT a AS key, a AS x FROM e UNION SELECT r.key, e.b FROM r JOIN e ON e.a=r.x) SELECT key, min(x) AS cluster FROM r GROUP BY key",
     "dbscan_dense": f"WITH RECURSIVE {_CUST}, e AS (SELECT a.key a, b.key b FROM c a JOIN c b ON abs(a.lat-b.lat)<=8.2 AND {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=900), core AS (SELECT a AS key FROM e GROUP BY a HAVING count(*)>=4), ce AS (SELECT a, b FROM e WHERE a IN (SELECT key FROM core) AND b IN (SELECT key FROM core)), r AS (SELECT key, key AS x FROM core UNION SELECT r.key, ce.b FROM r JOIN ce ON ce.a=r.x), lab AS (SELECT key, min(x) cl FROM r GROUP BY key) SELECT e.a AS key, coalesce(max(CASE WHEN lab.key=e.a THEN cl END), min(cl)) AS cluster FROM e JOIN lab ON lab.key=e.b GROUP BY e.a",

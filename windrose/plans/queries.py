@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, physics, text, when
-from ..operators import attribution, classify, compositions, detect, grid, joins, learn, metrics, systems, tracks
+from ..operators import attribution, classify, compositions, detect, grid, joins, learn, metrics, summary, systems, tracks
 from ..sources import writers
 from ..sources.readers import table
 from ..streaming import cycles
@@ -231,9 +231,11 @@ def unique_any_hit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    hit = F.col("event_type") == "purchase"
-    return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count_if(hit).alias("hits"), F.count_if(F.col("event_type") == "error").alias("misses"), F.array_join(F.sort_array(F.collect_set(F.when(hit & (F.col("value") > 20), F.col("user_id").cast("string")))), "; ").alias("names"))
+    """Purchases and errors as the predictions and events of a day's file."""
+    e = events(spark, d).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    predictions = e.where("event_type IN ('purchase', 'click')").select("day", F.when(F.col("event_type") == "purchase", "HIT").otherwise("FALSE_ALARM").alias("verification_status"), F.when(F.col("value") > 20, F.col("user_id")).alias("matched_name"))
+    observed = e.where("event_type IN ('purchase', 'error')").select("day", F.when(F.col("event_type") == "error", "MISS").otherwise("HIT").alias("verification_status"), F.when(F.col("value") > 60, F.col("user_id")).alias("event_name"))
+    return summary.by_file(predictions, observed, file=["day"])
 
 
 @query
@@ -244,13 +246,28 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def distinct_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_type").distinct()
+    return summary.classes(table(spark, d, "part"), F.col("p_type"))
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as published detections."""
+    named = F.when(F.col("conf") > 9000, "NEW_GENESIS_CANDIDATE").when(F.col("conf") > 5000, "MODEL_GENESIS_CANDIDATE").when(F.col("nation") < 5, "ACTIVE_CYCLONE").otherwise("UNCLASSIFIED_DISTURBANCE")
+    return customers(spark, d).withColumns({"class": named, "score": F.when(F.col("key") % 11 > 0, F.col("conf") / 100)})
 
 
 @query
 def dashboard_counters(spark: SparkSession, d: str) -> DataFrame:
-    c = customers(spark, d).where("conf >= 0").withColumn("class", F.when(F.col("conf") > 9000, "NEW_GENESIS_CANDIDATE").when(F.col("conf") > 5000, "MODEL_GENESIS_CANDIDATE").when(F.col("nation") < 5, "ACTIVE_CYCLONE").otherwise("UNCLASSIFIED_DISTURBANCE"))
-    return c.agg(F.count("*").alias("visible"), F.count_if(F.col("class").endswith("GENESIS_CANDIDATE")).alias("genesis"), F.count_if(F.col("class").startswith("ACTIVE")).alias("active"), F.round(F.avg("conf"), 6).alias("mean_score"))
+    c = summary.visible(_shown(spark, d), system_class=F.col("class"), score=F.col("score"))
+    got = summary.counters(c, system_class=F.col("class"), score=F.col("score"))
+    return got.select("visible", "genesis", "active", F.round("mean_score", 6).alias("mean_score"))
+
+
+@query
+def dashboard_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Counters by nation of one class over a score, of those above a half."""
+    c = summary.visible(_shown(spark, d), system_class=F.col("class"), score=F.col("score"), chosen="NEW_GENESIS_CANDIDATE", least=92.5)
+    got = summary.counters(summary.confident(c, F.col("score") / 100), system_class=F.col("class"), score=F.col("score"), by=["nation"])
+    return got.select("nation", "visible", "genesis", "active", F.round("mean_score", 6).alias("mean_score"))
 
 
 # --- detection ---------------------------------------------------------------------------------------------------------
@@ -647,13 +664,17 @@ def operational_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cycle", F.col("rank").cast("long").alias("rank"), "key", "storm_id", F.round("distance_km", 6).alias("distance_km"), "system_class", F.round("class_confidence", 9).alias("class_confidence"))
 
 
-@query
-def cycle_verification(spark: SparkSession, d: str) -> DataFrame:
+def verification(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     c = _candidates(spark, d).withColumn("analysis_time", when.plus_hours(start, F.col("cycle").cast("int")))
     k = F.col("skey")
     e = suppliers(spark, d).select(k.alias("event_id"), F.concat(F.lit("E"), (k % 9).cast("string")).alias("event_name"), when.plus_hours(start, (k % 60).cast("int")).alias("event_time"), F.col("slat").alias("event_latitude"), F.col("slon").alias("event_longitude"))
-    return compositions.verified_cycles(c, e, lead=24.0, tolerance=6.0, match_km=1200.0, at=0.4, least_expert=0.45, cluster_km=900.0)[2]
+    return compositions.verified_cycles(c, e, lead=24.0, tolerance=6.0, match_km=1200.0, at=0.4, least_expert=0.45, cluster_km=900.0)
+
+
+@query
+def cycle_verification(spark: SparkSession, d: str) -> DataFrame:
+    return verification(spark, d)[2]
 
 
 @query
@@ -689,4 +710,4 @@ def platt_calibration(spark: SparkSession, d: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d).select("doc_id", "y", "p", (F.col("doc_id") % 10 / 10.0).alias("noise"))
     found = attribution.permutation_importance(s, ["p", "noise"], "y", lambda f: F.col("p") + 0.1 * F.col("noise"), key="doc_id")
-    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "feature string, importance double")
+    return spark.createDataFrame([(k, round(float(v), 9)) for k, v in found.items()], "feature string, importance double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .oracles import _CUST, _SCORE, _SUPP, _hav, _soft
+from .oracles import ORACLES as QUERY_ORACLES
 
 _FIELD = """f AS (SELECT CAST(p_partkey//1000 AS INT) cyc, CAST((p_partkey%1000)//50 AS INT) r, CAST(p_partkey%50 AS INT) c, p_retailprice*60 pr, CAST(p_size%10=0 AS INT)::DOUBLE la, p_size+40.0::DOUBLE rh, (p_size%7)::DOUBLE u8, (p_size%5)::DOUBLE v8,
  (p_size%11)::DOUBLE u2, (p_size%13)::DOUBLE v2, (p_size-25)*1e-6::DOUBLE vo, 296+p_size/6::DOUBLE ts FROM part)"""
@@ -98,7 +99,35 @@ AXIS_ORDER = """
 WITH a AS (SELECT p_brand, p_size, min(round(p_retailprice)) lo, max(round(p_retailprice)) hi FROM part GROUP BY ALL), b AS (SELECT *, lag(hi) OVER (PARTITION BY p_brand ORDER BY p_size) be FROM a)
 SELECT p_brand, p_size, CASE WHEN lo<>hi THEN 'several positions' ELSE 'not ascending' END AS reason FROM b WHERE lo<>hi OR lo<=be"""
 
+SURFACE_CANDIDATES = """
+WITH o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS cycle, o_orderstatus || '-' || substr(o_orderpriority,1,1) v, o_totalprice x FROM orders),
+k(f, v, i) AS (VALUES ('pressfc','P-1',0),('pressfc','P-2',1),('pressfc','O-1',2),('tmpsfc','F-1',0),('tmpsfc','F-2',1),('tmpsfc','F-3',2),('landmask','P-5',0)),
+b AS (SELECT cycle, f, arg_min(v, i) v FROM (SELECT DISTINCT cycle, v FROM o) JOIN k USING (v) GROUP BY cycle, f), g AS (SELECT cycle, f, count(*) n, round(sum(x),2) t FROM o JOIN b USING (cycle, v) GROUP BY cycle, f),
+m AS (SELECT cycle, string_agg(f, ',' ORDER BY f) l FROM (SELECT cycle, f FROM (SELECT DISTINCT cycle FROM g), (SELECT DISTINCT f FROM k) EXCEPT SELECT cycle, f FROM g) GROUP BY cycle)
+SELECT g.cycle, f AS variable, n, t AS total, l AS missing FROM g LEFT JOIN m USING (cycle)"""
+
+# the same tables as in the summary of the cycles
+_CYCLES = QUERY_ORACLES["cycle_verification"].partition("\na AS (SELECT nation, count(*) k FROM raw")[0].rstrip().rstrip(",")
+VERIFIED_SIDES = f"""{_CYCLES}, w AS (SELECT nation, cluster, count(*) cs, max(p) mp FROM cl JOIN raw USING (nation, key) GROUP BY nation, cluster)
+SELECT rp.nation AS cycle, 'prediction' AS side, rp.cluster AS id, m.skey AS other, CASE WHEN m.skey IS NULL THEN 'FALSE_ALARM' ELSE 'HIT' END AS verification_status, 'E' || (m.skey%9) AS name, cs AS cluster_support, round(mp,9) AS confidence FROM rp JOIN w USING (nation, cluster) LEFT JOIN m ON m.nation=rp.nation AND m.cluster=rp.cluster
+UNION ALL SELECT due.nation, 'event', due.skey, m.cluster, CASE WHEN m.skey IS NULL THEN 'MISS' ELSE 'HIT' END, nm, NULL, NULL FROM due LEFT JOIN m ON m.nation=due.nation AND m.skey=due.skey"""
+
+TRAINING_ROWS = f"""
+WITH {_CUST}, p AS (SELECT key FROM c WHERE conf>=9000), n AS (SELECT key, row_number() OVER (ORDER BY md5('1|' || key), key) r, count(*) OVER () m FROM c WHERE conf<9000), t AS (SELECT 3*count(*) w FROM p),
+d AS (SELECT key, CAST(unnest(range(0, w//m + CAST(r<=w%m AS INT))) AS BIGINT) draw FROM n, t), a AS (SELECT key, 1 AS label, CAST(0 AS BIGINT) AS draw FROM p UNION ALL SELECT key, 0, draw FROM d)
+SELECT key, label, draw, CAST(floor((row_number() OVER (ORDER BY md5('0|1|' || label || '|' || key || '|' || draw), key)-1)/64) AS BIGINT) AS batch FROM a"""
+
+_AUC = lambda s, y="y": f"(SELECT (sum(CASE WHEN {y}=1 THEN rk END)-sum({y})*(sum({y})+1)/2.0)/(sum({y})*sum(1-{y})) FROM (SELECT {y}, rank() OVER (ORDER BY {s})+(count(*) OVER (PARTITION BY {s})-1)/2.0 rk FROM %s))"
+_PERM = lambda c: f"SELECT a.doc_id, a.y, a.p, a.noise, b.v FROM (SELECT *, row_number() OVER (ORDER BY md5('own|' || doc_id), doc_id) i FROM s) a JOIN (SELECT {c} v, row_number() OVER (ORDER BY md5('0|' || doc_id), doc_id) i FROM s) b USING (i)"
+PERMUTATION_IMPORTANCE = f"""
+WITH {_SCORE}, s AS (SELECT doc_id, y, p, doc_id%10/10.0::DOUBLE noise FROM z), b AS (SELECT *, p+0.1::DOUBLE*noise sc FROM s), bp AS (SELECT y, v+0.1::DOUBLE*noise sc FROM ({_PERM('p')})), bn AS (SELECT y, p+0.1::DOUBLE*v sc FROM ({_PERM('noise')}))
+SELECT 'p' AS feature, round(greatest(0.0, {_AUC('sc') % 'b'}-{_AUC('sc') % 'bp'}),9) AS importance UNION ALL SELECT 'noise', round(greatest(0.0, {_AUC('sc') % 'b'}-{_AUC('sc') % 'bn'}),9)"""
+
 ORACLES = {
+    "surface_candidates": SURFACE_CANDIDATES,
+    "verified_sides": VERIFIED_SIDES,
+    "training_rows": TRAINING_ROWS,
+    "permutation_importance": PERMUTATION_IMPORTANCE,
     "fold_numbers": FOLD_NUMBERS,
     "axis_order": AXIS_ORDER,
     "field_hotspots": FIELD_HOTSPOTS,

@@ -16,7 +16,7 @@ from ..operators import compositions, grid, learn, moments, polygons, training
 from ..operators.lineage import shared_folder
 from ..sources.readers import table
 from ..streaming import ledger
-from .queries import customers, measures, scores, suppliers
+from .queries import customers, measures, scores, suppliers, verification
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -186,3 +186,30 @@ def axis_order(spark: SparkSession, d: str) -> DataFrame:
     """Where the mean price of the parts of a size doesn't ascend with the size, by brand."""
     p = table(spark, d, "part").select("p_brand", "p_size", F.round("p_retailprice").alias("price"))
     return grid.axis_faults(p, by=["p_brand"], index="p_size", at="price")
+
+
+@query
+def surface_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by month as fields of which the first candidate that a month has is taken."""
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("cycle"), F.concat_ws("-", "o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("variable"), F.col("o_totalprice").alias("value"))
+    wanted = {"pressfc": ["P-1", "P-2", "O-1"], "tmpsfc": ["F-1", "F-2", "F-3"], "landmask": ["P-5"]}
+    found = grid.first_available(o, wanted, by=["cycle"])
+    counts = found.groupBy("cycle", "variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    short = grid.lacking(found, list(wanted), by=["cycle"]).select("cycle", F.array_join("missing", ",").alias("missing"))
+    return counts.join(short, "cycle", "left")
+
+
+@query
+def verified_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Both annotated sides of the verification of cycles: predictions with what they hit, events with what hit them."""
+    p, e, _ = verification(spark, d)
+    left = p.select("cycle", F.lit("prediction").alias("side"), F.col("cluster").alias("id"), F.col("event_id").alias("other"), "verification_status", F.col("matched_name").alias("name"), "cluster_support", F.round("confidence", 9).alias("confidence"))
+    right = e.select("cycle", F.lit("event").alias("side"), F.col("event_id").alias("id"), F.col("cluster").alias("other"), "verification_status", F.col("event_name").alias("name"), F.lit(None).cast("long").alias("cluster_support"), F.lit(None).cast("double").alias("confidence"))
+    return left.unionByName(right)
+
+
+@query
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of an epoch: which candidates were drawn, how often, and in which batch."""
+    c = customers(spark, d).select("key", "conf")
+    return compositions.training_epoch(c.where("conf >= 9000").select("key"), c.where("conf < 9000").select("key"), key="key", ratio=3, epoch=1, batch=64).select("key", "label", "draw", "batch")

@@ -385,3 +385,23 @@ def test_longitude_of_runs(spark):
     want = {r * 8 + c: (float(r), c * 45.0 if c <= 4 else c * 45.0 - 360, None, None) for r in range(1, 6) for c in range(8) if (r * 7 + c * 3) % 4 > 0}
     assert got == want
     assert geo.EARTH_KM == 6371.0088
+
+
+def test_components(spark, monkeypatch):
+    """Long paths, a hub with most of the links, cycles, repeats and nulls; numbers, strings and structs."""
+    from windrose.operators import components
+
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(1000, 1400)] + [(7, 5000 + i) for i in range(3000)] + [(1, 2), (2, 3), (3, 1), (4, 4), (None, 1), (9, None)] * 2
+    rng.shuffle(edges)
+    want = {i: 1000 for i in range(1000, 1401)} | {5000 + i: 7 for i in range(3000)} | {7: 7, 1: 1, 2: 1, 3: 1}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for most in (components.RUN_ROWS, 50):
+        monkeypatch.setattr(components, "RUN_ROWS", most)
+        got = components.components(df)
+        assert {r["node"]: r["root"] for r in got.collect()} == want and got.count() == len(want)
+    text = df.selectExpr("lpad(a, 5, '0') AS a", "lpad(b, 5, '0') AS b")
+    assert {r["node"]: r["root"] for r in components.components(text).collect()} == {f"{k:05}": f"{v:05}" for k, v in want.items()}
+    pair = df.selectExpr("struct(a % 1 AS g, a AS k) AS a", "struct(b % 1 AS g, b AS k) AS b").where("a.k IS NOT NULL AND b.k IS NOT NULL")
+    assert {r["node"]["k"]: r["root"]["k"] for r in components.components(pair).collect()} == want
+    assert components.components(df.limit(0)).count() == 0

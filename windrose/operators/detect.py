@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, physics
 from . import ordered
 from .components import components
-from .lineage import cut
+from .lineage import cut, small
 
 #: Detections of a group that one fold may hold; larger groups are decided in rounds.
 FOLD_ROWS = 2000
@@ -100,12 +100,13 @@ def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat:
     alone = spot.where("_unit IS NULL").select(*on, "_k", lat, lon)
     near = cut(distance_join(alone, other, km, left_at=(lat, lon), right_at=("_lat2", "_lon2"), on=on).select(*on, "_k", "_k2", "_n2", "_unit2"))
     cores = cut(near.groupBy(*on, "_k").agg(F.sum("_n2").alias("n")).where(F.col("n") >= least).select(*on, "_k"))
+    cores = small(cores)
     core2 = cores.withColumnRenamed("_k", "_k2").withColumn("_core2", F.lit(True))
     around = cut(near.join(core2, [*on, "_k2"], "left").select(*on, "_k", F.coalesce("_unit2", F.when(F.col("_core2"), F.col("_k2"))).alias("_unit2")).where("_unit2 IS NOT NULL"))
     end = lambda unit: F.struct(*on, F.col(unit).alias("unit"))
     links = around.join(cores, [*on, "_k"], "left_semi").select(end("_k").alias("a"), end("_unit2").alias("b"))
     dense = spot.where("_unit IS NOT NULL")
-    hub = dense.groupBy(*on, "_unit").agg(F.first("_clat").alias("_clat"), F.first("_clon").alias("_clon"))
+    hub = small(cut(dense.groupBy(*on, "_unit").agg(F.first("_clat").alias("_clat"), F.first("_clon").alias("_clon"))))
     second = hub.withColumnsRenamed({"_unit": "_unit2", "_clat": "_clat2", "_clon": "_clon2"})
     # members of a cell are within half of km of its centre
     beside = cut(distance_join(hub, second, 2.0 * km + 1e-6, left_at=("_clat", "_clon"), right_at=("_clat2", "_clon2"), on=on).where("_unit <> _unit2").drop("distance_km"))
@@ -115,7 +116,7 @@ def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat:
     facing = probe.select(*on, F.col("_unit").alias("_unit2"), F.col("_unit2").alias("_unit"), F.col("p").alias("q"))
     tested = probe.join(facing, [*on, "_unit", "_unit2"]).where("_unit < _unit2").where(geo.haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon")) <= km)
     links = cut(links.unionByName(tested.select(end("_unit").alias("a"), end("_unit2").alias("b"))))
-    roots = components(links)
+    roots = small(components(links))
     named = lambda df, unit, name: df.join(roots.select(*[F.col(f"node.{c}").alias(c) for c in on], F.col("node.unit").alias(unit), F.col("root.unit").alias(f"_r{name}")), [*on, unit], "left").withColumn(name, F.coalesce(f"_r{name}", unit)).drop(f"_r{name}")
     open_pairs = cut(named(named(beside.where("_unit < _unit2"), "_unit", "_a"), "_unit2", "_b").where("_a <> _b"))
     if not open_pairs.isEmpty():
@@ -124,7 +125,7 @@ def density_clusters(points: DataFrame, km: float, least: int, *, key: str, lat:
         met = first.join(last, [*on, "_unit2"]).where(geo.haversine_km(F.col("_lat1"), F.col("_lon1"), F.col(lat), F.col(lon)) <= km)
         more = cut(met.select(*on, "_unit", "_unit2").distinct().select(end("_unit").alias("a"), end("_unit2").alias("b")))
         if not more.isEmpty():
-            roots = components(links.unionByName(more))
+            roots = small(components(links.unionByName(more)))
     whole = named(dense.select(*on, "_k", "_unit"), "_unit", "cluster").select(*on, "_k", "cluster")
     single = named(cores.withColumn("_unit", F.col("_k")), "_unit", "cluster").select(*on, "_k", "cluster")
     edge = named(around.join(cores, [*on, "_k"], "left_anti"), "_unit2", "cluster").groupBy(*on, "_k").agg(F.min("cluster").alias("cluster"))

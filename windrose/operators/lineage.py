@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _ready(spark: SparkSession) -> str:
@@ -27,3 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path within the shared one."""
     return f"{_ready(spark).rstrip('/')}/windrose/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows up to which a counted side of a join is hinted for broadcast, where a row is a few numbers.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, hinted for broadcast if it has SMALL_ROWS rows at most; it should be cut off, as it is counted first."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

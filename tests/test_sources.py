@@ -112,6 +112,21 @@ def test_gridded_files_land_once_across_restarts(spark, tmp_path):
     assert seen() == sorted(want + of("2023123118") + of("2024010400"))
 
 
+def test_a_folder_of_files(spark, tmp_path):
+    from windrose.sources import grid_source
+
+    grid_source.register(spark)
+    (tmp_path / "in").mkdir()
+    for c in ("20240102_00", "20240101_00"):
+        land(tmp_path / "in", c, [("t", 850.0, 1.0), ("u", 500.0, 2.0)], 1000)
+    (tmp_path / "in" / ".hidden").write_text("x")
+    read = lambda **o: sorted((os.path.basename(r["path"]), r["variable"], r["value"]) for r in spark.read.format("grid").options(**o).load().where("variable = 't'").collect())
+    both = [("fnl_20240101_00.parquet", "t", 1.0), ("fnl_20240102_00.parquet", "t", 1.0)]
+    one, two = (f"{tmp_path}/in/fnl_2024010{i}_00.parquet" for i in (1, 2))
+    assert read(path=f"file://{tmp_path}/in") == read(path=f"{tmp_path}/in") == read(paths=json.dumps([one, two])) == read(paths=f"{one},file://{two}") == both
+    assert read(path=one) == both[:1]
+
+
 def test_offsets(tmp_path):
     for i, c in enumerate(("20240101_00", "20240102_00", "20240103_00")):
         land(tmp_path, c, [("t", 1.0, 1.0)], 1000 + i)

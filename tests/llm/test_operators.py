@@ -625,6 +625,25 @@ def test_poisson_distribution(spark):
 # --- 2: token counts ---------------------------------------------------------------------------------------------------
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark, monkeypatch):
+    r = token_rollup.Rollup(spark, common.shared_folder(spark, "rollup-race"))
+    row = spark.createDataFrame([("s", "en", "v", 1, 10, 100)], token_rollup.SCHEMA)
+    for batch in ("a", "b"):
+        assert r.apply(batch, row)
+    summed = token_rollup.Rollup._summed
+
+    def meanwhile(self, names):
+        monkeypatch.setattr(token_rollup.Rollup, "_summed", summed)
+        assert self.apply("late", row)
+        return summed(self, names)
+
+    monkeypatch.setattr(token_rollup.Rollup, "_summed", meanwhile)
+    r.compact()
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 3, 30, 300)] and r.committed() == {"a", "b", "late"}
+    r.compact()
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 3, 30, 300)] and not r.apply("late", row)
+
+
 def test_rollup(spark):
     docs = documents(spark, ["one two", "three four five", "", None, "<|endoftext|> é"])
     counts = token_rollup.counted(docs, "/opt/tokenizers/byte_bpe_50k.tiktoken", "v1")

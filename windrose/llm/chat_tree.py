@@ -117,7 +117,8 @@ def formatted_branches(messages: DataFrame, *, best: int | None = 1, loss_roles:
 
     A null text or role is empty, a null score 0. Of rows that repeat tree and node, the least (parent, role, text) stays.
     A parent that is missing makes a root, and so does the least node of a cycle. Messages with a null tree_id are one tree;
-    one with a null node_id is a leaf of its own, as nothing can answer it. Empty tables give empty ones.
+    one with a null node_id is a leaf of its own, as nothing can answer it. Texts of any length are formatted whole; a branch
+    is one row. Empty tables give empty ones.
     """
     spark = messages.sparkSession
     message = F.struct("parent_id", "role", "text", "score")

@@ -238,7 +238,8 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     sequence if it has fewer. Texts link when 100 * intersection >= percent * union. Null, empty and blank texts have an
     empty set, link with nothing and are their own component. Rows that repeat an id each get a row. Ids are integers;
     a row with a null id links like any other, and a component without any id has a null component_id; other columns are
-    ignored. An empty table gives an empty one. Sets are told apart by 64-bit hashes.
+    ignored. An empty table gives an empty one. Sets are told apart by 64-bit hashes. Texts of any length are taken whole; a
+    set is one row, and one of more shingles than a block holds is a block of its own.
     """
     return grouped_rows(docs, doc_id=doc_id, text=text, k=k, percent=percent).select(doc_id, "n_shingles", "component_id")
 

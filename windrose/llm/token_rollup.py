@@ -40,7 +40,8 @@ def counted(docs: DataFrame, vocabulary: str, version: str, *, doc_id: str = "do
     """doc_id, source, lang, tokenizer (``version``), tokens and chars of each row, under a byte-pair vocabulary file.
 
     The file is opened where tasks run: it must be at ``vocabulary`` on every executor. Null and empty texts have no
-    tokens; strings that look like special tokens are ordinary text. Texts are encoded whole.
+    tokens; strings that look like special tokens are ordinary text. Texts of any length are encoded whole. Rows that
+    repeat and rows with null ids are counted like any other; other columns are ignored. An empty table gives an empty one.
     """
     common.ship(docs.sparkSession)
 
@@ -78,10 +79,10 @@ class Rollup:
         fs, there = common.hadoop(self.spark, f"{self.folder}/deltas")
         return sorted(s.getPath().getName() for s in fs.listStatus(there)) if fs.exists(there) else []
 
-    def committed(self) -> set[str]:
-        """Ids of the batches that count."""
+    def committed(self, names: list[str] | None = None) -> set[str]:
+        """Ids of the batches that count, of all deltas or of those listed."""
         out: set[str] = set()
-        for name in self._deltas():
+        for name in self._deltas() if names is None else names:
             kind, _, rest = name.partition("=")
             if kind == "batch":
                 out.add(rest)
@@ -119,13 +120,14 @@ class Rollup:
         return True
 
     def compact(self) -> None:
-        """Replaces all deltas by their sum. One writer at a time; readers see the old deltas or the new one."""
+        """Replaces the deltas that are there by their sum; readers see the old deltas or the new one. A batch committed
+        meanwhile is neither summed nor removed, as all steps go by one list. One compaction runs at a time."""
         names = self._deltas()
         if len(names) < 2:
             return
         staged = f"{self.folder}/staging/compact-{common.uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(b,) for b in sorted(self.committed())], "batch string").coalesce(1).write.parquet(f"{staged}/batches")
+        self._summed(names).coalesce(1).write.parquet(f"{staged}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(self.committed(names))], "batch string").coalesce(1).write.parquet(f"{staged}/batches")
         # a reader that lists while the old deltas go finds the marker and skips them
         self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{staged}/replaces")
         self._place(staged, f"compacted={common.uuid.uuid4().hex}")
@@ -133,7 +135,9 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """Totals by source, lang and tokenizer; keys whose documents, tokens and chars are all 0 are left out."""
-        names = self._deltas()
+        return self._summed(self._deltas())
+
+    def _summed(self, names: list[str]) -> DataFrame:
         gone: set[str] = set()
         for n in names:
             if n.startswith("compacted="):

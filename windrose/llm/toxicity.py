@@ -197,8 +197,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id:
 def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", at: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (1 from ``at``).
 
-    A null or empty text scores as one without words. Rows that repeat each get a row. Ids are integers; other columns
-    are ignored. An empty table gives an empty one.
+    A null or empty text scores as one without words; texts of any length are scored whole. Rows that repeat each get a
+    row and score alike. Ids are integers; a null id stays null, and so is its held_out. Other columns are ignored. An empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -208,7 +209,8 @@ def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
 
 
 def without_toxic(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``at``, with all their columns, in one scan."""
+    """The rows of ``docs`` that score under ``at``, with all their columns, of any names, in one scan; null, empty and long
+    texts count as in toxicity(), ids play no part, rows that repeat stay or go together."""
     spark = docs.sparkSession
     common.ship(spark)
     sent = spark.sparkContext.broadcast(Model(model.bias, model.weights))

@@ -194,7 +194,8 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     Of rows with equal payloads of at least ``revisit_bytes`` bytes, those with the largest id are responses and the
     others revisits of it; all other rows are responses. A null html is an empty payload, a null url has no target URI.
     Ids are integers. A row with a null id is a response without a page number, which is read as null, and no revisit
-    refers to it. Rows that repeat an id each get a record. Other columns are ignored; an empty table writes no archive.
+    refers to it. Rows that repeat an id each get a record. Payloads of any length are written whole, one frame each. Other
+    columns are ignored; an empty table writes no archive.
     """
     spark = pages.sparkSession
     common.ship(spark)

@@ -83,14 +83,19 @@ def weighted_negatives(candidates: DataFrame, *, key: str, cell: list[str], weig
     able = w.isNotNull() & ~F.isnan(w) & (w > 0) & (w < float("inf"))
     wanted = F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.lit(0), lambda acc, i: acc + (draws.uniform(seed, F.lit("kind"), F.col(key), i) < share).cast("int"))
     first = Window.partitionBy(key).orderBy("_by", *cell)
-    rows = candidates.withColumns({"_wanted": wanted, "_even": draw("even")})
+    # a file's number of draws by weight is drawn once, not with each of its candidates
+    quota = candidates.select(key).distinct().select(F.col(key).alias("_file"), wanted.alias("_wanted"))
+    rows = candidates.join(quota, F.col(key).eqNullSafe(F.col("_file"))).drop("_file").withColumn("_even", draw("even"))
     heavy = rows.where(able & (F.col("_wanted") > 0)).withColumn("_by", -F.ln(draw("weight")) / w)
     ranked = heavy.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= count).where("rank <= _wanted")
     chosen = cut(ranked.withColumn("hard", F.lit(True)).drop("_by", "_even"))
-    taken = chosen.groupBy(key).agg(F.count("*").cast("int").alias("_taken"))
-    rest = rows.join(chosen.select(key, *cell), [key, *cell], "left_anti").withColumn("_by", F.col("_even"))
+    taken = chosen.groupBy(F.col(key).alias("_file")).agg(F.count("*").cast("int").alias("_taken"))
+    same = F.lit(True)
+    for c in (key, *cell):
+        same = same & F.col(c).eqNullSafe(F.col(f"_chosen_{c}"))
+    rest = rows.join(chosen.select(*[F.col(c).alias(f"_chosen_{c}") for c in (key, *cell)]), same, "left_anti").withColumn("_by", F.col("_even"))
     even = rest.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= count)
-    even = even.join(taken, key, "left").where(F.col("rank") <= count - F.col("_wanted")).withColumns({"rank": F.col("rank") + F.coalesce("_taken", F.lit(0)), "hard": F.lit(False)})
+    even = even.join(taken, F.col(key).eqNullSafe(F.col("_file")), "left").drop("_file").where(F.col("rank") <= count - F.col("_wanted")).withColumns({"rank": F.col("rank") + F.coalesce("_taken", F.lit(0)), "hard": F.lit(False)})
     return chosen.drop("_wanted").unionByName(even.drop("_by", "_even", "_wanted", "_taken"))
 
 

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import filesystem
 from . import common
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -165,7 +165,7 @@ def parse(record: bytes) -> dict:
 
 def _writer(folder: str, date: str):
     def run(batches):
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = filesystem(folder)
         kept: list[bytes] = []
         size = 0
 
@@ -215,7 +215,7 @@ def _reader(folder: str, payloads: bool):
     names = [x.split()[0] for x in RECORD.split(", ")][: 7 if payloads else 6]
 
     def run(batches):
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = filesystem(folder)
         for batch in batches:
             for name, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held, count, size = [], 0, 0

@@ -310,3 +310,58 @@ def test_candidates_of_fields(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "a", 2.0), (1, "a", 3.0), (2, "a", 4.0), (2, "b", 5.0)]
     assert {tuple(r) for r in grid.lacking(found, ["a", "b"], by=["cycle"]).selectExpr("cycle", "array_join(missing, ',')").collect()} == {(1, "b")}
     assert grid.first_available(df.limit(0), {"a": ["a1"]}, by=["cycle"]).count() == 0
+
+
+# classic NetCDF
+
+#: The one-variable file that the format's published description prints: short vx(dim) = 3, 1, 4, 1, 5.
+TINY = bytes.fromhex("434446 01 00000000 0000000a 00000001 00000003 64696d00 00000005 0000000000000000 0000000b 00000001 00000002 76780000 00000001 00000000 0000000000000000 00000003 0000000c 00000050 0003 0001 0004 0001 0005 8001".replace(" ", ""))
+
+
+def test_the_published_file():
+    from windrose.sources import netcdf
+
+    file = netcdf.Classic(lambda at, n: TINY[at : at + n])
+    assert file.dims == [("dim", 5)] and file.values("vx").tolist() == [3, 1, 4, 1, 5] and file.values("vx", 2).tolist() == 4
+    for bad in (b"HDF" + TINY[3:], TINY[:40], TINY[:-6]):
+        with pytest.raises(ValueError):
+            netcdf.Classic(lambda at, n, bad=bad: bad[at : at + n]).values("vx")
+
+
+def test_records_fill_and_scale():
+    from windrose.sources import netcdf
+
+    data = netcdf.packed({"x": 3}, {"v": (["x"], np.array([1, -9, 3], np.int32), {"_FillValue": -9.0, "scale_factor": 0.5, "add_offset": 10.0, "dtype": "float32"})}, {"title": "é"})
+    file = netcdf.Classic(lambda at, n: data[at : at + n])
+    assert file.attributes == {"title": "é"}
+    assert file.values("v").tolist()[::2] == [10.5, 11.5] and math.isnan(file.values("v")[1])
+    # two variables over records, the first of an odd width
+    head = bytes.fromhex("43444601 00000002 0000000a 00000001 00000001 74000000 00000000 0000000000000000 0000000b 00000002".replace(" ", ""))
+    var = lambda name, kind, size, begin: bytes.fromhex(f"00000001 {name}000000 00000001 00000000 0000000000000000 {kind:08x} {size:08x} {begin:08x}".replace(" ", ""))
+    begin = len(head) + 2 * len(var("61", 3, 4, 0))
+    whole = head + var("61", 3, 4, begin) + var("62", 4, 4, begin + 4) + bytes.fromhex("0007 0000 00000001 0008 0000 00000002".replace(" ", ""))
+    file = netcdf.Classic(lambda at, n: whole[at : at + n])
+    assert file.values("a").tolist() == [7, 8] and file.values("b").tolist() == [1, 2] and file.values("b", 1).tolist() == 2
+
+
+def test_patches_as_files_and_back(spark, tmp_path):
+    from windrose.sources import grid_source, netcdf
+
+    rng = random.Random(3)
+    cells = [(f"f/{p}", v, lev, float(y), float(x), rng.random()) for p in range(3) for v, levs in (("tmpprs", (850.0, 500.0)), ("tmpsfc", (None,))) for lev in levs for y in range(4) for x in range(5) if (p, v, y, x) != (1, "tmpsfc", 0, 0)]
+    rng.shuffle(cells)
+    df = spark.createDataFrame(cells, "path string, variable string, lev double, lat double, lon double, value double")
+    made = netcdf.patch_files(df, f"file://{tmp_path}/nc", keys=["path"]).collect()
+    assert sorted(r["path"] for r in made) == ["f/0", "f/1", "f/2"] and all(os.path.getsize(tmp_path / "nc" / r["name"]) == r["bytes"] for r in made)
+    grid_source.register(spark)
+    for r in made:
+        read = spark.read.format("grid").options(path=f"file://{tmp_path}/nc/{r['name']}", decoder="windrose.sources.netcdf:decoder").load()
+        got = {(x["variable"], x["lev"], x["lat"], x["lon"]): x["value"] for x in read.collect()}
+        want = {c[1:5]: c[5] for c in cells if c[0] == r["path"]}
+        gap = set(got) - set(want)
+        assert (gap == {("tmpsfc", None, 0.0, 0.0)}) == (r["path"] == "f/1") and all(math.isnan(got[g]) for g in gap)
+        assert {k: pytest.approx(v, abs=1e-6) for k, v in want.items()} == {k: v for k, v in got.items() if k not in gap}
+        some = read.where("variable = 'tmpprs' AND lev = 500.0")
+        assert some.count() == 20
+    x = netcdf.opened(f"{tmp_path}/nc/{made[0]['name']}")
+    assert x.values("lev").tolist() == [850.0, 500.0] and x.values("lat").tolist() == [0.0, 1.0, 2.0, 3.0]

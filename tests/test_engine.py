@@ -289,6 +289,21 @@ def test_large_groups_in_rounds(spark, monkeypatch):
     assert find(2000) == find(7)
 
 
+def test_dense_groups_in_turns(spark, monkeypatch):
+    """A large group where many are near each other needs no pairs; copies of a position, nulls and a limit change nothing."""
+    rng = random.Random(4)
+    points = [(None if i % 3 else 1, i, rng.randrange(-20, 20) / 2.0, rng.randrange(-20, 20) / 2.0, float(rng.randrange(50))) for i in range(600)]
+    points += [(1, 1000, None, 5.0, 60.0), (None, 1001, None, None, -1.0)]
+    df = spark.createDataFrame(points, "g int, key long, lat double, lon double, conf double")
+    options = {"by": ["g"], "lat": "lat", "lon": "lon", "confidence": "conf", "key": "key"}
+    ordered_rows = lambda **o: sorted(map(repr, detect.suppress(df, 400.0, **options, **o).collect()))
+    folded, three = ordered_rows(), ordered_rows(top=3)
+    assert len(folded) > 10 and len(three) == 6 and sum("lat=None" in r for r in folded) == 2
+    monkeypatch.setattr(detect, "FOLD_ROWS", 7)
+    monkeypatch.setattr(detect, "_by_pairs", lambda *a: pytest.fail("pairs of a dense group"))
+    assert ordered_rows() == folded and ordered_rows(top=3) == three
+
+
 def test_boxes_by_cells(spark):
     rng = random.Random(3)
     p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]

@@ -29,30 +29,71 @@ def available_gate(ensemble: Column, cnn: Column, vit: Column, at: float, least_
 
 def suppress(df: DataFrame, km: float, *, by: list[str], lat: str, lon: str, confidence: str, key: str, top: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression by group: by falling confidence (ties: least key), a row stays if it is farther
-    than ``km`` from all that stay. At most ``top`` stay. Groups of FOLD_ROWS rows at most are folded as one array; larger
-    ones are decided in rounds over pairs within reach (ordered.first_kept), with the same result."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD_ROWS)
+    than ``km`` from all that stay; rows without a position are near nothing. At most ``top`` stay.
+
+    Of rows at one position only the first can stay, so that the others go at once. Groups of FOLD_ROWS rows at most are
+    folded as one array; of larger ones the first FOLD_ROWS are, then what lies within ``km`` of those that stay goes, and
+    so on (_in_turns), with the same result."""
     plain = df.select(*by, key, lat, lon, confidence)
-    if sizes.isEmpty():
-        kept = _folded(plain, km, by, lat, lon, confidence, key)
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    first = plain.where(placed).groupBy(*by, lat, lon).agg(F.min(F.struct((-F.col(confidence)).alias("c"), F.col(key).alias("k"))).alias("x"))
+    rows = cut(first.select(*by, F.col("x.k").alias(key), lat, lon, (-F.col("x.c")).alias(confidence)).unionByName(plain.where(~placed)))
+    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > FOLD_ROWS).select(*by)
+    if large.isEmpty():
+        kept = _folded(rows, km, by, lat, lon, confidence, key)
     else:
-        large = cut(sizes.select(*by))
-        rows = cut(plain.join(large, by, "left_semi"))
-        met = _pairs(rows, km, by, key, lat, lon).where(F.col(key) != F.col("_key"))
-        order = rows.select(*by, key, (-F.col(confidence)).alias("_c"))
-        other = order.withColumnsRenamed({key: "_key", "_c": "_d"})
-        conflicts = met.join(order, [*by, key]).join(other, [*by, "_key"]).where(F.struct("_c", key) < F.struct(F.col("_d").alias("_c"), F.col("_key").alias(key)))
-        conflicts = conflicts.select(*by, key, *[F.col(c).alias(f"_after_{c}") for c in by], F.col("_key").alias(f"_after_{key}"))
-        won = rows.join(ordered.first_kept(rows, conflicts, [*by, key]), [*by, key], "left_semi")
-        kept = _folded(plain.join(large, by, "left_anti"), km, by, lat, lon, confidence, key).unionByName(won.select(*by, key, lat, lon, confidence))
+        large = cut(large)
+        kept = _folded(_without(rows, large, by), km, by, lat, lon, confidence, key).unionByName(_in_turns(_without(rows, large, by, "left_semi"), km, by, lat, lon, confidence, key, top))
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(confidence), key)))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select(*by, "rank", key, lat, lon, confidence)
 
 
+def _without(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left_anti") -> DataFrame:
+    """Rows of ``df`` whose keys, nulls among them, aren't (or, left_semi, are) in ``other``."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return df.join(other.select(*[F.col(c).alias(f"_o_{c}") for c in keys]), same, how)
+
+
+def _in_turns(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str, top: int | None) -> DataFrame:
+    """What suppression keeps of large groups. The first FOLD_ROWS rows of a group are decided as one array; then they and
+    the rows near those that stay go, and groups with ``top`` rows are done. Where a turn leaves more than half of the rows,
+    few of them are near each other: the rest is decided by pairs (ordered.first_kept)."""
+    from .joins import distance_join
+
+    order = Window.partitionBy(*by).orderBy(F.desc(confidence), key)
+    names, kept, rest = [*by, key], None, cut(rows)
+    left = rest.count()
+    while left:
+        head = cut(rest.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FOLD_ROWS).drop("_n"))
+        found = cut(_folded(head, km, by, lat, lon, confidence, key))
+        kept = found if kept is None else kept.unionByName(found)
+        rest = _without(rest, head, names)
+        if top is not None:
+            rest = _without(rest, kept.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= top), by)
+        group = F.struct(*by).alias("_g")  # equal for nulls too
+        stay = small(found.select(group, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")))
+        rest = cut(distance_join(rest.select("*", group), stay, km, left_at=(lat, lon), right_at=("_lat", "_lon"), on=["_g"], how="left_anti").drop("_g"))
+        before, left = left, rest.count()
+        if left > before / 2 and left > FOLD_ROWS:
+            return kept.unionByName(_by_pairs(rest, km, by, lat, lon, confidence, key))
+    return rows.limit(0) if kept is None else kept
+
+
+def _by_pairs(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str) -> DataFrame:
+    met = _pairs(rows, km, by, key, lat, lon).where(F.col(key) != F.col("_key"))
+    order = rows.select(*by, key, (-F.col(confidence)).alias("_c"))
+    other = order.withColumnsRenamed({key: "_key", "_c": "_d"})
+    conflicts = met.join(order, [*by, key]).join(other, [*by, "_key"]).where(F.struct("_c", key) < F.struct(F.col("_d").alias("_c"), F.col("_key").alias(key)))
+    conflicts = conflicts.select(*by, key, *[F.col(c).alias(f"_after_{c}") for c in by], F.col("_key").alias(f"_after_{key}"))
+    return rows.join(ordered.first_kept(rows, conflicts, [*by, key]), [*by, key], "left_semi").select(*rows.columns)
+
+
 def _folded(df: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str) -> DataFrame:
     row = F.struct((-F.col(confidence)).alias("c"), F.col(key).alias("k"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
     kind = df.select(row.alias("x")).schema["x"].dataType.simpleString()
-    far = lambda acc, x: F.forall(acc, lambda m: geo.haversine_km(m["lat"], m["lon"], x["lat"], x["lon"]) > km)
+    far = lambda acc, x: F.forall(acc, lambda m: F.coalesce(geo.haversine_km(m["lat"], m["lon"], x["lat"], x["lon"]) > km, F.lit(True)))
     step = lambda acc, x: F.when(far(acc, x), F.array_append(acc, x)).otherwise(acc)
     kept = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(f"array<{kind}>"), step).alias("kept")).select(*by, F.explode("kept").alias("m"))
     return kept.select(*by, F.col("m.k").alias(key), F.col("m.lat").alias(lat), F.col("m.lon").alias(lon), (-F.col("m.c")).alias(confidence))

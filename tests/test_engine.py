@@ -304,6 +304,25 @@ def test_dense_groups_in_turns(spark, monkeypatch):
     assert ordered_rows() == folded and ordered_rows(top=3) == three
 
 
+def test_nearest_by_rings(spark, monkeypatch):
+    """Many systems meet the rows around them only; far rows, copies, poles and nulls get what a full comparison gives."""
+    rng = random.Random(5)
+    place = lambda: (float(rng.randrange(-180, 181)) / 2, float(rng.randrange(-180, 180)))
+    left = [(i, i % 3, *place(), rng.randrange(40)) for i in range(150)] + [(900, 0, 89.9, 10.0, 3), (901, 0, None, 10.0, 3), (902, 7, 1.0, 1.0, 1)]
+    systems = [(i, 0, *place(), rng.randrange(40)) for i in range(300)] + [(1000 + i, 1, 10.0, 20.0, i % 5) for i in range(90)] + [(2000 + i, 2, *place(), 9) for i in range(5)] + [(2, 0, None, None, 1)]
+    start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    l = spark.createDataFrame(left, "key long, g int, lat double, lon double, h int").withColumn("t", when.plus_hours(start, F.col("h")))  # noqa: E741
+    s = spark.createDataFrame(systems, "skey long, g int, slat double, slon double, h int").select("skey", "g", "slat", "slon", when.plus_hours(start, F.col("h")).alias("st"))
+    seen = []
+    plain = joins.distance_join
+    monkeypatch.setattr(joins, "distance_join", lambda *a, **o: seen.append(a[2]) or plain(*a, **o))
+    find = lambda most: sorted((r["key"], r["skey"], r["distance_km"], r["age_hours"]) for r in joins.nearest_with_age(l, s, left_at=("lat", "lon"), left_time="t", key="skey", system_at=("slat", "slon"), system_time="st", on=["g"], most=most).collect())
+    whole = find(10_000)
+    assert not seen and find(50) == whole and min(seen) < 3000 and max(seen) > 9000
+    got = {k: rest for k, *rest in whole}
+    assert len(got) == 153 and got[901] == [None] * 3 and got[902] == [None] * 3 and got[900][0] is not None
+
+
 def test_boxes_by_cells(spark):
     rng = random.Random(3)
     p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]

@@ -105,33 +105,62 @@ def box_exclusion(patches: DataFrame, fixes: DataFrame, *, time: str, fix_time:
     return p.join(f, met & (F.abs(F.col("_lat") - F.col(lat)) <= half) & (off <= half), "left_anti").drop("_row", "_col")
 
 
-def nearest_with_age(left: DataFrame, systems: DataFrame, *, left_at: tuple[str, str], left_time: str, key: str, system_at: tuple[str, str], system_time: str, km_per_hour: float = 5.0, on: list[str] | None = None, most: int = 2000) -> DataFrame:
+def nearest_with_age(left: DataFrame, systems: DataFrame, *, left_at: tuple[str, str], left_time: str, key: str, system_at: tuple[str, str], system_time: str, km_per_hour: float = 5.0, on: list[str] | None = None, most: int = 64) -> DataFrame:
     """Left rows with the system that is least in distance + ``km_per_hour`` * age (ties: least ``key``): its key,
-    distance_km and age_hours, null without systems.
+    distance_km and age_hours, null without systems. A row or a system without a position or a time has none.
 
-    All systems (of the same ``on``) count for a row, so they travel as arrays of about ``most`` at most: a cycle's active
-    storms are a few dozen, which is one array; of more, a row meets each array and keeps the best.
+    All systems (of the same ``on``) count for a row. Groups of ``most`` systems at most travel as an array: a cycle's
+    active storms are a few dozen. Of more, a row meets those within a radius first. Who has a system that isn't worse than
+    the radius is done, as all others are farther away; the rest looks on with the radius doubled.
     """
     on = on or []
     item = F.struct(F.col(key).alias("key"), F.col(system_at[0]).alias("lat"), F.col(system_at[1]).alias("lon"), F.col(system_time).alias("time"))
-    keyed = systems if on else systems.withColumn("_all", F.lit(0))
+    known = lambda at, time: F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull() & F.col(time).isNotNull()
+    keyed = systems.where(known(system_at, system_time))
+    keyed = keyed if on else keyed.withColumn("_all", F.lit(0))
     names = on or ["_all"]
-    sizes = keyed.groupBy(*names).agg(F.ceil(F.count("*") / most).alias("_chunks"))
-    several = sizes.where("_chunks > 1")
+    sizes = keyed.groupBy(*names).agg(F.count("*").alias("_many"))
+    large = cut(sizes.where(F.col("_many") > most))
     rows = left if on else left.withColumn("_all", F.lit(0))
-    rated = F.transform("_systems", lambda s: F.struct(*_rating(s, left_at, left_time, km_per_hour)))
+    rated = F.when(known(left_at, left_time), F.array_min(F.transform("_systems", lambda s: F.struct(*_rating(s, left_at, left_time, km_per_hour)))))
     chosen = {key: F.col("_b.key"), "distance_km": F.col("_b.km"), "age_hours": F.col("_b.hours")}
-    if several.isEmpty():
-        arrays = keyed.groupBy(*names).agg(F.collect_list(item).alias("_systems"))
-        best = rows.join(arrays, names, "left").withColumn("_b", F.array_min(rated))
+    few = keyed.join(large, names, "left_anti").groupBy(*names).agg(F.collect_list(item).alias("_systems"))
+    if large.isEmpty():
+        best = rows.join(few, names, "left").withColumn("_b", rated)
     else:
-        arrays = keyed.join(sizes, names).groupBy(*names, F.pmod(F.xxhash64(key), F.col("_chunks")).alias("_chunk")).agg(F.collect_list(item).alias("_systems"))
         held = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
-        met = held.select("_id", *names, *dict.fromkeys([*left_at, left_time])).join(arrays, names).groupBy("_id").agg(F.min(F.array_min(rated)).alias("_b"))
-        best = held.join(met, "_id", "left").drop("_id")
+        densest = large.agg(F.max("_many")).first()[0]
+        place = [F.col(c).alias(f"_l_{c}") for c in dict.fromkeys([*left_at, left_time])]
+        wanted = held.where(known(left_at, left_time)).join(large, names, "left_semi").select("_id", *names, *place)
+        met = _nearest_by_rings(wanted, keyed.join(large, names, "left_semi").select(*names, item.alias("_s")), tuple(f"_l_{c}" for c in left_at), f"_l_{left_time}", km_per_hour, names, densest)
+        best = held.join(met, "_id", "left").join(few, names, "left").withColumn("_b", F.coalesce("_b", rated)).drop("_id")
     return best.withColumns(chosen).drop("_systems", "_b", "_all")
 
 
+#: Systems that the first radius around a row should hold, were they even over the globe.
+RING_ROWS = 8
+
+
+def _nearest_by_rings(rows: DataFrame, systems: DataFrame, left_at: tuple[str, str], left_time: str, km_per_hour: float, on: list[str], densest: int) -> DataFrame:
+    """(_id, _b): the best system (_s) of each row. Rows whose best is within the radius are done."""
+    half_turn = math.pi * geo.EARTH_KM
+    km, out, left = min(half_turn, 2 * geo.EARTH_KM * math.sqrt(RING_ROWS / densest)), None, rows
+    flat = systems.select(*on, "_s", F.col("_s.lat").alias("_slat"), F.col("_s.lon").alias("_slon"))
+    while True:
+        last = km >= half_turn
+        reach = km * (1 + 1e-9) if last else km  # two ends of a diameter may be that little farther by rounding
+        near = distance_join(left, flat, reach, left_at=left_at, right_at=("_slat", "_slon"), on=on)
+        best = cut(near.groupBy("_id").agg(F.min(F.struct(*_rating(F.col("_s"), left_at, left_time, km_per_hour))).alias("_b")))
+        done = best if last else best.where(F.col("_b.score") <= km)
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        left = cut(left.join(done.select("_id"), "_id", "left_anti"))
+        if left.isEmpty():
+            return out
+        km = min(2 * km, half_turn)
+
+
 def _rating(s: Column, left_at: tuple[str, str], left_time: str, km_per_hour: float) -> list[Column]:
     km = geo.haversine_km(F.col(left_at[0]), F.col(left_at[1]), s["lat"], s["lon"])
     hours = F.abs(when.hours_between(F.col(left_time), s["time"]))

@@ -323,6 +323,22 @@ def test_nearest_by_rings(spark, monkeypatch):
     assert len(got) == 153 and got[901] == [None] * 3 and got[902] == [None] * 3 and got[900][0] is not None
 
 
+def test_pairs_by_position(spark, monkeypatch):
+    """Pairs of rows at few positions: each pair once, distances from pairs of positions, arrays of a bounded length."""
+    rng = random.Random(6)
+    points = [(i * 3 % 101, rng.choice([-30.0, 0.0, 0.0, 88.0]), rng.choice([179.5, -179.5, 0.0, 4.0])) for i in range(100)] + [(500, None, 1.0)]
+    df = spark.createDataFrame(points, "key long, lat double, lon double")
+    monkeypatch.setattr(joins, "ARRAY_KEYS", 3)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 100)
+    seen, plain = [], joins.distance_join
+    monkeypatch.setattr(joins, "distance_join", lambda l, *a, **o: seen.append(l.count()) or plain(l, *a, **o))  # noqa: E741
+    pairs = joins.pairs_within(df, 500.0, key="key", lat="lat", lon="lon", digits=6)
+    want = plain(df, df.select(F.col("key").alias("k2"), F.col("lat").alias("la2"), F.col("lon").alias("lo2")), 500.0, left_at=("lat", "lon"), right_at=("la2", "lo2")).where("key < k2").select("key", "k2", F.round("distance_km", 6))
+    got = sorted(map(tuple, pairs.collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 300 and seen[0] <= 12
+    assert joins.pairs_within(df.limit(0), 500.0, key="key", lat="lat", lon="lon").count() == 0
+
+
 def test_boxes_by_cells(spark):
     rng = random.Random(3)
     p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]

@@ -339,6 +339,22 @@ def test_pairs_by_position(spark, monkeypatch):
     assert joins.pairs_within(df.limit(0), 500.0, key="key", lat="lat", lon="lon").count() == 0
 
 
+def test_matches_band_by_band(spark, monkeypatch):
+    """Bands of distances match what all pairs do, and make fewer of them."""
+    rng = random.Random(7)
+    place = lambda: (float(rng.randrange(-40, 40)), float(rng.randrange(-180, 180, 2)))
+    l = spark.createDataFrame([(i % 2, i, *place()) for i in range(300)] + [(0, 999, None, 1.0)], "g int, p long, lat double, lon double")  # noqa: E741
+    r = spark.createDataFrame([(i % 2, i, *place()) for i in range(40)] + [(1, 40 + i, 5.0, 6.0) for i in range(4)], "g int, e long, la2 double, lo2 double")
+    pairs = joins.distance_join(l, r, 4000.0, left_at=("lat", "lon"), right_at=("la2", "lo2"), on=["g"]).select("g", "p", "e", F.round("distance_km", 6).alias("distance_km"))
+    want = sorted(map(tuple, joins.greedy_match(pairs, group=["g"], left="p", right="e", distance="distance_km").collect()))
+    made, plain = [], joins.greedy_match
+    monkeypatch.setattr(joins, "greedy_match", lambda df, **o: made.append(df.count()) or plain(df, **o))
+    monkeypatch.setattr(joins, "BAND_PAIRS", 1)
+    got = joins.match_within(l, r, 4000.0, group=["g"], left_key="p", right_key="e", left_at=("lat", "lon"), right_at=("la2", "lo2"))
+    assert sorted(map(tuple, got.select("g", "p", "e", "distance_km").collect())) == want and len(want) == 44
+    assert len(made) > 1 and 2 * sum(made) < pairs.count()
+
+
 def test_boxes_by_cells(spark):
     rng = random.Random(3)
     p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]

@@ -217,6 +217,37 @@ def greedy_match(pairs: DataFrame, *, group: list[str], left: str, right: str, d
     return out
 
 
+#: Pairs that one band of distances should hold, for each row of the two sides, were positions even over the globe.
+BAND_PAIRS = 4
+
+
+def match_within(left: DataFrame, right: DataFrame, km: float, *, group: list[str], left_key: str, right_key: str, left_at: tuple[str, str], right_at: tuple[str, str], digits: int = 6) -> DataFrame:
+    """What greedy_match makes of all pairs within ``km``, without these: (group, left_key, right_key, distance_km).
+
+    Pairs come band by band, the nearest first, of what is still without a match; a longer pair can't take an end that a
+    shorter one wants. Distances are compared as rounded to ``digits``. A band's radius follows from the numbers of rows
+    that are left, so that it holds a few pairs for each row, and the last is ``km``.
+    """
+    at = lambda df, key, place: cut(df.where(F.col(place[0]).isNotNull() & F.col(place[1]).isNotNull()).select(*group, key, *place))
+    l, r = at(left, left_key, left_at), at(right, right_key, right_at)  # noqa: E741
+    number = lambda df, name: df.groupBy(*group).agg(F.count("*").alias(name))
+    rows, out, near = l.count() + r.count(), None, 0.0
+    while True:
+        possible = number(l, "_l").join(number(r, "_r"), group).agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0.0
+        fits = 2 * geo.EARTH_KM * math.sqrt(BAND_PAIRS * rows / possible) if possible else km
+        near = min(km, max(2 * near, fits, 1.0))
+        pairs = distance_join(l, r, min(km, near + 10.0**-digits), left_at=left_at, right_at=right_at, on=group)
+        pairs = pairs.select(*group, left_key, right_key, F.round("distance_km", digits).alias("distance_km"))
+        if near < km:
+            pairs = pairs.where(F.col("distance_km") <= near)
+        found = cut(greedy_match(cut(pairs), group=group, left=left_key, right=right_key, distance="distance_km"))
+        out = found if out is None else out.unionByName(found)
+        if near >= km or not possible:
+            return out
+        l = cut(l.join(found.select(*group, left_key), [*group, left_key], "left_anti"))  # noqa: E741
+        r = cut(r.join(found.select(*group, right_key), [*group, right_key], "left_anti"))
+
+
 def _folded_match(pairs: DataFrame, group: list[str], left: str, right: str, distance: str) -> DataFrame:
     row = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
     kind = pairs.select(row.alias("x")).schema["x"].dataType.simpleString()

@@ -127,18 +127,18 @@ def box_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return joins.box_exclusion(c, s, time="t", fix_time="st", lat="lat", lon="lon", half=20.0).select("key")
 
 
-def _close(spark: SparkSession, d: str) -> DataFrame:
-    return joins.distance_join(customers(spark, d).select("nation", "key", "lat", "lon"), suppliers(spark, d), 2500.0, left_at=("lat", "lon"), right_at=("slat", "slon"), on=["nation"]).select("nation", "key", "skey", F.round("distance_km", 6).alias("km"))
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return joins.match_within(customers(spark, d), suppliers(spark, d), 2500.0, group=["nation"], left_key="key", right_key="skey", left_at=("lat", "lon"), right_at=("slat", "slon"))
 
 
 @query
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    return joins.greedy_match(_close(spark, d), group=["nation"], left="key", right="skey", distance="km")
+    return _matches(spark, d).withColumnRenamed("distance_km", "km")
 
 
 @query
 def match_metrics(spark: SparkSession, d: str) -> DataFrame:
-    matches = joins.greedy_match(_close(spark, d), group=["nation"], left="key", right="skey", distance="km").select("key", "skey", F.col("km").alias("distance_km"))
+    matches = _matches(spark, d).select("key", "skey", "distance_km")
     p, e = joins.match_status(customers(spark, d).select("key"), suppliers(spark, d).select("skey"), matches, prediction="key", event="skey")
     m = metrics.event_metrics(p.withColumn("event_name", F.col("skey").cast("string")), e)
     return m.select("hits", "misses", "false_alarms", *[F.round(c, 9).alias(c) for c in ("pod", "precision", "far", "csi", "mean_km", "median_km")])

@@ -349,7 +349,7 @@ def test_matches_band_by_band(spark, monkeypatch):
     want = sorted(map(tuple, joins.greedy_match(pairs, group=["g"], left="p", right="e", distance="distance_km").collect()))
     made, plain = [], joins.greedy_match
     monkeypatch.setattr(joins, "greedy_match", lambda df, **o: made.append(df.count()) or plain(df, **o))
-    monkeypatch.setattr(joins, "BAND_PAIRS", 1)
+    monkeypatch.setattr(joins, "BAND_PAIRS", 0.1)
     got = joins.match_within(l, r, 4000.0, group=["g"], left_key="p", right_key="e", left_at=("lat", "lon"), right_at=("la2", "lo2"))
     assert sorted(map(tuple, got.select("g", "p", "e", "distance_km").collect())) == want and len(want) == 44
     assert len(made) > 1 and 2 * sum(made) < pairs.count()

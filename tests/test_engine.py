@@ -367,6 +367,19 @@ def test_negative_centers_stay_in_their_row(spark):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_values_are_not_shuffled_by_channel(spark):
+    """Statistics are few: values meet them where they are, also where Spark by itself would broadcast nothing."""
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 5.5)], "variable string, value double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        z = grid.normalised(df, grid.channel_stats(df, by=["variable"], value="value", epsilon=0.0), by=["variable"], value="value")
+        plan = z._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and sorted(map(tuple, z.collect())) == [("a", 1.0, -1.0), ("a", 3.0, 1.0), ("b", 5.0, -1.0), ("b", 5.5, 1.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_boxes_by_cells(spark):
     rng = random.Random(3)
     p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import ordered
+from .lineage import cut, small
 
 # The channel order, variable by variable, of the 19 levels and the surface fields.
 PRESSURE_VARIABLES = ["ugrdprs", "vgrdprs", "vvelprs", "tmpprs", "rhprs", "hgtprs", "absvprs"]
@@ -170,8 +171,9 @@ def sampled_stats(df: DataFrame, *, files: str, by: list[str], value: str, wante
 
 
 def normalised(df: DataFrame, stats: DataFrame, *, by: list[str], value: str) -> DataFrame:
-    """(value - mean) / std, by the statistics of its key; Spark broadcasts them if they are small, as one row per channel is."""
-    return df.join(stats.select(*by, "mean", "std"), by).withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
+    """(value - mean) / std, by the statistics of its key; these are counted and broadcast if they are few, as one row per
+    channel is, so that the values aren't shuffled by channel."""
+    return df.join(small(cut(stats.select(*by, "mean", "std"))), by).withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def normalised_patch(patch: Column, mean: Column, std: Column, last: int = 136) -> Column:

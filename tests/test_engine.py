@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from windrose.functions import geo, physics, text, when
-from windrose.operators import attribution, classify, compositions, detect, grid, joins, learn, metrics, ordered, systems, tracks
+from windrose.operators import attribution, classify, compositions, detect, grid, joins, learn, metrics, ordered, polygons, systems, tracks
 from windrose.sources import checks, grid_source, readers, writers
 from windrose.streaming import cycles
 
@@ -380,6 +380,16 @@ def test_values_are_not_shuffled_by_channel(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_points_are_not_grouped(spark):
+    """Crossings are counted where a point meets a polygon's edges: no aggregate or shuffle after the join."""
+    ring = spark.createDataFrame([(1, 0, n, *v) for n, v in enumerate([(0.0, 350.0), (0.0, 10.0), (10.0, 10.0), (10.0, 350.0)])] + [(1, 1, n, *v) for n, v in enumerate([(4.0, 1.0), (6.0, 1.0), (6.0, 3.0), (4.0, 3.0)])], "polygon int, ring int, nth int, latitude double, longitude double")
+    points = spark.createDataFrame([(1, 5.0, 355.0), (2, 5.0, 2.0), (3, 5.0, 5.0), (4, 5.0, 20.0), (5, None, 1.0)], "key long, lat double, lon double")
+    found = polygons.inside(points, polygons.edges(ring, band=5.0), key=["key"], latitude="lat", longitude="lon", band=5.0)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (3, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" not in plan
+
+
 def test_boxes_by_cells(spark):
     rng = random.Random(3)
     p = [(i, i % 3, rng.uniform(-89, 89), rng.choice([-179.5, 179.5, rng.uniform(-180, 360)])) for i in range(80)]

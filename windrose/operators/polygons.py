@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import SMALL_ROWS, cut
+
 
 def edges(vertices: DataFrame, *, band: float = 1.0) -> DataFrame:
     """(polygon, band, y1, x1, y2, x2) of the edges of rings, each in every band it reaches and on every turn of the globe
@@ -34,9 +36,9 @@ def edges(vertices: DataFrame, *, band: float = 1.0) -> DataFrame:
     return turned.select("polygon", bands.alias("band"), "y1", "x1", "y2", "x2")
 
 
-def crosses(latitude: Column, longitude: Column) -> Column:
+def crosses(latitude: Column, longitude: Column, edge: Column) -> Column:
     """Whether the way east from a point meets an edge; an edge holds its lower end, not its upper one."""
-    y1, x1, y2, x2 = (F.col(c) for c in ("y1", "x1", "y2", "x2"))
+    y1, x1, y2, x2 = (edge[c] for c in ("y1", "x1", "y2", "x2"))
     return ((y1 > latitude) != (y2 > latitude)) & (longitude < x1 + (latitude - y1) * (x2 - x1) / (y2 - y1))
 
 
@@ -44,12 +46,16 @@ def inside(points: DataFrame, sides: DataFrame, *, key: list[str], latitude: str
     """(key, polygon) of the points in each polygon: an odd number of edges stands east of them. ``sides`` are of edges()
     with the same ``band``. Points without a position are in none; points on an edge count as the rule of crosses() has it.
 
-    Crossings are summed up where the join makes them, so that what is shuffled is a row for each point, polygon and task.
+    A polygon's edges in a band are one array, and crossings are counted where a point meets it: points aren't grouped.
     """
     x, y = "_longitude", "_latitude"
     place = points.where(F.col(latitude).isNotNull() & F.col(longitude).isNotNull()).select(*key, F.col(latitude).cast("double").alias(y), F.pmod(F.col(longitude).cast("double"), F.lit(360.0)).alias(x))
-    met = place.withColumn("band", F.floor(F.col(y) / F.lit(float(band)))).join(sides, "band").where(crosses(F.col(y), F.col(x)))
-    return met.groupBy(*key, "polygon").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).select(*key, "polygon")
+    held = cut(sides.select("polygon", "band", "y1", "x1", "y2", "x2"))
+    arrays = held.groupBy("polygon", "band").agg(F.collect_list(F.struct("y1", "x1", "y2", "x2")).alias("_edges"))
+    if held.count() <= SMALL_ROWS:
+        arrays = F.broadcast(arrays)
+    crossed = F.size(F.filter("_edges", lambda e: crosses(F.col(y), F.col(x), e)))
+    return place.withColumn("band", F.floor(F.col(y) / F.lit(float(band)))).join(arrays, "band").where(crossed % 2 == 1).select(*key, "polygon")
 
 
 def on_ocean(points: DataFrame, sides: DataFrame, *, key: list[str], band: float = 1.0, land: bool = False, **at) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -387,6 +388,23 @@ def test_longitude_of_runs(spark):
     assert geo.EARTH_KM == 6371.0088
 
 
+def test_doubled_cells_and_storms(spark):
+    """Windows with a cell that is given twice are left out, as those with a missing one; a storm given twice counts once."""
+    from windrose.plans import runs
+
+    _, cells = fields(spark, 1, 7, 8, 9, "double")
+    cells = cells.withColumn("candidate", F.lit(True))
+    twice = cells.unionByName(cells.where("row = 3 AND col = 0").withColumn("stack", F.transform("stack", lambda x: x + 1)))
+    at = lambda df: {(r["row"], r["col"]) for r in tiles.scan(df, lambda x: np.full((len(x), 3), 0.9), ["a", "b", "c"], radius=1, columns=8).collect()}
+    left_out = {(r, c) for r in (2, 3, 4) for c in (7, 0, 1)}
+    assert at(cells) - at(twice) == left_out and at(twice) < at(cells)
+    assert {(r["row"], r["col"]) for r in tiles.patches(twice, 1, 8).collect()} == at(twice)
+    systems = spark.createDataFrame([(0, "s", "TS", 80.0, 0.0, datetime(2024, 1, 1))] * 2, "cycle int, storm_id string, status string, system_latitude double, system_longitude double, system_time timestamp_ntz")
+    out = compositions.field_scan(cells, systems, lambda x: np.full((len(x), 3), 0.9), channel=runs.PLACES, variables=[c[0] for c in runs.CHANNELS], columns=8, radius=1, latitude=lambda r: r * 1.0, longitude=lambda c: c * 45.0, time=lambda c: F.lit("2024-01-01").cast("timestamp_ntz"), at=0.5, km=1.0, match_km=1.0, top=1000)
+    keys = [r["key"] for r in out.collect()]
+    assert len(keys) == len(set(keys)) == 40 and {r["storm_id"] for r in out.collect()} == {"s"}
+
+
 def test_components(spark, monkeypatch):
     """Long paths, a hub with most of the links, cycles, repeats and nulls; numbers, strings and structs."""
     from windrose.operators import components

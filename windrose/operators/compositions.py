@@ -78,13 +78,15 @@ def operational_scan(candidates: DataFrame, systems: DataFrame, *, at: float = 0
     ``candidates``: cycle, key, latitude, longitude, time, confidence, cnn_confidence, vit_confidence, the six CONDITIONS,
     shares (map of attributions) and learned (gated probability or null); ``systems``: cycle, storm_id, status,
     system_latitude, system_longitude, system_time. Score gate, suppression within ``km``, nearest system by distance and
-    age, hybrid support, rule cascade, one detection of each matched system, and the ``top`` best of a cycle.
+    age, hybrid support, rule cascade, one detection of each matched system, and the ``top`` best of a cycle. A storm that
+    a cycle has twice under one id counts once, with its least status.
     """
     gated = candidates.where(detect.available_gate(F.col("confidence"), F.col("cnn_confidence"), F.col("vit_confidence"), at, least_expert))
     kept = detect.suppress(gated, km, by=["cycle"], lat="latitude", lon="longitude", confidence="confidence", key="key")
     rows = gated.join(kept.select("cycle", "key"), ["cycle", "key"])
     near = joins.nearest_with_age(rows, systems, left_at=("latitude", "longitude"), left_time="time", key="storm_id", system_at=("system_latitude", "system_longitude"), system_time="system_time", on=["cycle"])
-    near = near.join(systems.select("cycle", "storm_id", "status"), ["cycle", "storm_id"], "left")
+    # one row for each storm, so that one given twice doesn't double its detections
+    near = near.join(systems.groupBy("cycle", "storm_id").agg(F.min("status").alias("status")), ["cycle", "storm_id"], "left")
     c = {n: F.col(n) for n in CONDITIONS}
     support = classify.hybrid_support(classify.environment_support(c), classify.attribution_support(F.col("shares")), F.col("confidence"), F.col("cnn_confidence"), F.col("vit_confidence"))
     verdict = classify.cascade(distance=F.col("distance_km"), age=F.col("age_hours"), status=F.col("status"), land=F.col("land_fraction"), rh=F.col("midlevel_rh_percent"), shear=F.col("shear_200_850_ms"), vorticity=F.col("cyclonic_vorticity_850_s1"), checks=classify.favourable_count(c), hybrid=F.col("hybrid_support"), learned=F.col("learned"))

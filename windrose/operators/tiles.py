@@ -47,17 +47,18 @@ def _stacked(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _windows(group: pa.Table, radius: int, tile: tuple[int, int]):
-    """(row, col) of the candidates of a tile whose windows are whole, and a function from places among them to windows
-    (n, side, side, depth)."""
+    """(row, col) of the candidates of a tile whose windows are whole, each cell there once, and a function from places
+    among them to windows (n, side, side, depth)."""
     tall, wide = tile
     side = 2 * radius + 1
     top, left = group["tile_row"][0].as_py() * tall - radius, group["tile_col"][0].as_py() * wide - radius
     row, col, at = (group[c].to_numpy() for c in ("row", "col", "at_col"))
     stack = _stacked(group["stack"])
     field = np.zeros((tall + 2 * radius, wide + 2 * radius, stack.shape[1]), stack.dtype)
-    there = np.zeros(field.shape[:2], np.int32)
+    times = np.zeros(field.shape[:2], np.int32)
     field[row - top, at - left] = stack
-    there[row - top, at - left] = 1
+    np.add.at(times, (row - top, at - left), 1)
+    there = times == 1  # a cell given twice has no one value
     sums = np.zeros((there.shape[0] + 1, there.shape[1] + 1), np.int64)
     sums[1:, 1:] = there.cumsum(0).cumsum(1)
     whole = sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side] == side * side
@@ -85,7 +86,7 @@ def patches(cells: DataFrame, radius: int, columns: int, *, tile: tuple[int, int
     """(cycle, row, col, patch): for each candidate cell the stacks of the cells around it, row by row, in one array.
 
     ``cells``: cycle, row, col, stack, candidate. Candidates with a missing cell in their window (as at the first and last
-    rows) are left out. For a look at some patches; a run over all of them uses scan(), which doesn't copy them.
+    rows) or one that is given twice are left out. For a look at some patches; a run over all of them uses scan(), which doesn't copy them.
     """
     kinds = {f.name: f.dataType for f in cells.schema.fields}
 
@@ -120,7 +121,7 @@ def scan(
     null here. The first score must be ``at`` or more, the least of the others that are there ``least_expert`` or more.
     ``explain`` maps the windows that pass to attributions (n, channels); without it they are empty. ``center`` and
     ``mean`` are the raw values at the centre and their means over the window that are numbers. Candidates with a
-    missing cell in their window are left out. Functions and statistics travel to the workers once, as a broadcast.
+    missing cell in their window, or one that is given twice, are left out. Functions and statistics travel to the workers once, as a broadcast.
     """
     held = Held(cells.sparkSession, (scorer, explain, None if means is None else np.asarray(means, float), None if stds is None else np.asarray(stds, float)))
     kind = {f.name: f.dataType for f in cells.schema.fields}["cycle"].simpleString()

@@ -173,6 +173,33 @@ def test_pair_plan(spark):
         assert r["kind"] == "positive" or len(inside) >= 25
 
 
+def test_patch_cells_are_counted(spark, monkeypatch):
+    """Copies of patches and of cells, cells on the bounds and unplaced ones, tiles in one and in many parts; no patch meets
+    its cells one by one."""
+    rng = random.Random(4)
+    half = lambda low, high: rng.randrange(2 * low, 2 * high) / 2
+    cells = [(rng.choice(["f", "g"]), half(-35, 35), half(0, 360)) for _ in range(3000)] * 2
+    odd = [("f", None, 1.0), ("f", float("nan"), 1.0), (None, 1.0, 1.0), ("f", 1.0, float("inf"))]
+    at = [(rng.choice(["f", "g", "h", None]), half(-35, 20), half(0, 340)) for _ in range(300)] * 2
+    plan = [(p, i, s, s + 15.0, w, w + rng.choice([0.0, 20.0])) for i, (p, s, w) in enumerate(at)]
+    want = {(p, i): n for p, i, s, no, w, e in plan if (n := sum(c[0] == p and s <= c[1] <= no and w <= c[2] <= e for c in cells))}
+    boxes = spark.createDataFrame(plan, "path string, sid long, south double, north double, west double, east double")
+    df = spark.createDataFrame(cells + odd, "path string, latitude double, longitude double")
+    monkeypatch.setattr(training, "in_patches", None)
+    for most in (training.TILE_PATCHES, 7):
+        monkeypatch.setattr(training, "TILE_PATCHES", most)
+        monkeypatch.setattr(training, "TILE_POSITIONS", most)
+        got = training.patch_cells(boxes, df, size=15.0, keys=["path", "sid"]).collect()
+        assert {(r["path"], r["sid"]): r["cells"] for r in got} == want and len(got) == len(want) > 150
+
+
+def test_moved_patch_holds_its_far_side(spark):
+    """A patch moved to the domain's southern edge is as tall as the others: its northern bound isn't short by rounding."""
+    df = spark.createDataFrame([(-21.0 - k / 997,) for k in range(1, 900)], "y double")
+    box = training.patch_box(F.col("y"), F.lit(100.0), 30.0, (-35.0, 35.0, 5.0, 355.0))
+    assert {(r["south"], r["north"]) for r in df.select(box["south"].alias("south"), box["north"].alias("north")).collect()} == {(-35.0, -5.0)}
+
+
 def test_balanced_negatives(spark):
     df = spark.range(7).withColumnRenamed("id", "key").withColumn("x", F.col("key") * 2)
     for count in (0, 1, 7, 17, 21):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,7 +107,8 @@ def patch_box(latitude: Column, longitude: Column, size: float, domain: tuple[fl
     def moved(at: Column, low: float, high: float) -> tuple[Column, Column]:
         first, last = at - size / 2, at + size / 2
         shift = F.when(first < low, low - first).when(last > high, high - last).otherwise(0.0)
-        return first + shift, last + shift
+        # the far side follows from the near one, so that a patch moved to the domain's edge holds the cells on its other side
+        return first + shift, first + shift + size
 
     south, north = moved(latitude, domain[0], domain[1])
     west, east = moved(longitude, domain[2], domain[3])
@@ -133,31 +136,33 @@ def pair_plan(
     (bounds included) and, where ``cells`` (path, latitude, longitude) are given, at least ``least_cells`` of them. A
     positive without such a centre stays alone.
 
-    Centres are rows; fixes meet them by time and by the cell of a lattice as wide as a patch, so that a time with many
-    storms doesn't pair all with all. Equal positives of a path and sid are one.
+    Rows of one path, time and position share their centres, so that these are made once for a position. Centres are rows;
+    fixes and cells in their patches are counted (patch_cells), not met one by one. Equal positives of a path and sid are
+    one.
     """
     south, north, west, east = domain
     lon = lambda c: F.when(c > 0, c).otherwise(c + 360.0)
     inside = (F.col("latitude") > south) & (F.col("latitude") < north) & (F.col("longitude") > west) & (F.col("longitude") < east)
     place = positives.select("path", "time", "sid", F.col("latitude").cast("double").alias("latitude"), lon(F.col("longitude").cast("double")).alias("longitude"))
     place = cut(place.where(inside).dropDuplicates(["path", "sid"]))
-    tries = place.select("path", "time", "sid", "latitude", "longitude", F.explode(F.array(*[F.struct(F.lit(i * len(DIRECTIONS) + j).alias("nth"), F.lit(float(d)).alias("shift"), F.lit(a).alias("angle")) for i, d in enumerate(sorted(distances, reverse=True)) for j, a in enumerate(DIRECTIONS)])).alias("t"))
+    here = F.struct("path", "time", "latitude", "longitude").alias("_at")  # equal for nulls too
+    spot = cut(place.select(here).distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    tries = spot.select("_spot", "_at.*", F.explode(F.array(*[F.struct(F.lit(i * len(DIRECTIONS) + j).alias("nth"), F.lit(float(d)).alias("shift"), F.lit(a).alias("angle")) for i, d in enumerate(sorted(distances, reverse=True)) for j, a in enumerate(DIRECTIONS)])).alias("t"))
     turn = F.radians(F.col("t.angle"))
-    shifted = tries.select("path", "time", "sid", "t.*", (F.col("latitude") + F.col("t.shift") * F.sin(turn)).alias("latitude"), F.pmod(F.col("longitude") + F.col("t.shift") * F.cos(turn), F.lit(360.0)).alias("longitude")).where(inside)
+    shifted = tries.select("path", "time", "_spot", "t.*", (F.col("latitude") + F.col("t.shift") * F.sin(turn)).alias("latitude"), F.pmod(F.col("longitude") + F.col("t.shift") * F.cos(turn), F.lit(360.0)).alias("longitude")).where(inside)
     if ocean is not None:
         shifted = ocean(shifted)
     boxed = cut(shifted.withColumns(patch_box(F.col("latitude"), F.col("longitude"), size, domain)))
-    number = lambda c: F.floor(c / F.lit(float(size)))
-    over = lambda low, high: F.explode(F.sequence(number(F.col(low)), number(F.col(high))))
-    reach = boxed.select("path", "sid", "nth", "time", "south", "north", "west", "east", over("south", "north").alias("i")).withColumn("j", over("west", "east"))
-    fix = fixes.select("time", F.col("latitude").alias("fix_lat"), geo.lon_360(F.col("longitude")).alias("fix_lon")).withColumns({"i": number(F.col("fix_lat")), "j": number(F.col("fix_lon"))})
-    held = reach.join(fix, ["time", "i", "j"]).where(F.col("fix_lat").between(F.col("south"), F.col("north")) & F.col("fix_lon").between(F.col("west"), F.col("east"))).select("path", "sid", "nth").distinct()
-    free = boxed.join(held, ["path", "sid", "nth"], "left_anti")
+    name, edges = ["_spot", "nth"], ["south", "north", "west", "east"]
+    fix = fixes.select(F.col("time").alias("path"), "latitude", geo.lon_360(F.col("longitude")).alias("longitude"))
+    held = patch_cells(boxed.select(F.col("time").alias("path"), *name, *edges), fix, size=size, keys=["path", *name])
+    free = boxed.join(held.select(*name), name, "left_anti")
     if cells is not None:
-        free = free.join(patch_cells(free, cells, size=size, keys=["path", "sid", "nth"]).where(F.col("cells") >= least_cells).select("path", "sid", "nth"), ["path", "sid", "nth"], "left_semi")
-    box = ["latitude", "longitude", "south", "north", "west", "east"]
-    best = free.groupBy("path", "sid").agg(F.min(F.struct("nth", "shift", "angle", *box)).alias("x"))
-    negative = best.select("path", "sid", F.lit("negative").alias("kind"), *[F.col(f"x.{c}").alias(c) for c in [*box, "shift", "angle"]])
+        free = cut(free)
+        free = free.join(patch_cells(free, cells, size=size, keys=["path", *name]).where(F.col("cells") >= least_cells).select(*name), name, "left_semi")
+    box = ["latitude", "longitude", *edges]
+    best = cut(free.groupBy("_spot").agg(F.min(F.struct("nth", "shift", "angle", *box)).alias("x")))
+    negative = place.select("path", "sid", here).join(spot.join(best, "_spot"), "_at").select("path", "sid", F.lit("negative").alias("kind"), *[F.col(f"x.{c}").alias(c) for c in [*box, "shift", "angle"]])
     nothing = {"shift": F.lit(None).cast("double"), "angle": F.lit(None).cast("int")}
     positive = place.withColumns(patch_box(F.col("latitude"), F.col("longitude"), size, domain)).select("path", "sid", F.lit("positive").alias("kind"), *box).withColumns(nothing)
     return positive.unionByName(negative)
@@ -177,6 +182,67 @@ def in_patches(plan: DataFrame, cells: DataFrame, *, size: float, keys: list[str
     return met.select(*[F.col(f"_box.{k}").alias(k) for k in rest], *cells.columns)
 
 
+#: Patches and positions of cells of a tile that one task counts at a time.
+TILE_PATCHES, TILE_POSITIONS = 200_000, 200_000
+
+
 def patch_cells(plan: DataFrame, cells: DataFrame, *, size: float, keys: list[str]) -> DataFrame:
-    """(keys, cells): how many cells each patch holds; patches without any are left out."""
-    return in_patches(plan, cells.select("path", "latitude", "longitude"), size=size, keys=keys).groupBy(*keys).agg(F.count("*").alias("cells"))
+    """(keys, cells): how many cells each patch holds (bounds included); patches without any are left out. ``keys`` have
+    path first.
+
+    Equal patches of a file are counted once, cells of a position are one with their number, and patches meet the
+    positions of their tiles in sorted arrays (_sums_within): a patch takes steps as the logarithm of a tile's positions,
+    however many it holds. Tiles with more than TILE_PATCHES or TILE_POSITIONS are cut into as many parts as it takes.
+    """
+    number = lambda c: F.floor(c / F.lit(float(size)))
+    over = lambda low, high: F.explode(F.sequence(number(F.col(low)), number(F.col(high))))
+    box, tile = ["path", "south", "north", "west", "east"], ["path", "_i", "_j"]
+    boxes = cut(plan.select(*box).distinct().withColumn("_box", F.monotonically_increasing_id()))
+    tiles = boxes.select("*", over("south", "north").alias("_i")).withColumn("_j", over("west", "east"))
+    place = [F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")]
+    there = cells.select("path", *place).where("path IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
+    spots = cut(there.groupBy("path", "latitude", "longitude").agg(F.count("*").alias("_n")).withColumns({"_i": number(F.col("latitude")), "_j": number(F.col("longitude"))}))
+    parts = lambda df, most, name: df.groupBy(*tile).agg(F.ceil(F.count("*") / most).alias(name))
+    sizes = cut(parts(tiles, TILE_PATCHES, "_ps").join(parts(spots, TILE_POSITIONS, "_qs"), tile))
+    part = lambda name, *of: F.pmod(F.xxhash64(*of), F.col(f"{name}s")).alias(name)
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{name}s") - 1)).alias(name)
+    left = tiles.join(sizes, tile).select(*tile, "_box", *box[1:], part("_p", "_box"), each("_q"))
+    right = spots.join(sizes, tile).select(*tile, "latitude", "longitude", "_n", each("_p"), part("_q", "latitude", "longitude"))
+    met = [*tile, "_p", "_q"]
+    counted = left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(_counted, "_box long, _n long")
+    sums = counted.groupBy("_box").agg(F.sum("_n").alias("cells")).where("cells > 0")
+    return plan.select(*keys, *box[1:]).join(boxes.join(sums, "_box"), box).select(*keys, "cells")
+
+
+def _counted(boxes: pa.Table, cells: pa.Table) -> pa.Table:
+    column = lambda table, names: (table[c].to_numpy() for c in names)
+    n = np.zeros(len(boxes), np.int64)
+    if len(boxes) and len(cells):
+        n = _sums_within(*column(cells, ("latitude", "longitude", "_n")), *column(boxes, ("south", "north", "west", "east")))
+    return pa.table({"_box": boxes["_box"].combine_chunks().filter(pa.array(n > 0)), "_n": n[n > 0]})
+
+
+def _sums_within(lat: np.ndarray, lon: np.ndarray, n: np.ndarray, south: np.ndarray, north: np.ndarray, west: np.ndarray, east: np.ndarray) -> np.ndarray:
+    """For each box the sum of ``n`` of the points in it, bounds included. Points are sorted by latitude, so that a box takes
+    a range of them; the ranks of their longitudes are then split bit by bit from the top, each split stable, and of the
+    range what is below the box's bounds is added up (a wavelet matrix)."""
+    order = np.argsort(lat, kind="stable")
+    lat, n = lat[order], n[order]
+    values, rank = np.unique(lon[order], return_inverse=True)
+    first, last = np.searchsorted(lat, south, "left"), np.searchsorted(lat, north, "right")
+    low, high = np.searchsorted(values, west, "left"), np.searchsorted(values, east, "right")
+    levels = []
+    for bit in reversed(range(len(values).bit_length())):
+        one = (rank >> bit & 1).astype(bool)
+        levels.append((bit, np.append(0, np.cumsum(~one)), np.append(0, np.cumsum(np.where(one, 0, n)))))
+        rank, n = np.concatenate([rank[~one], rank[one]]), np.concatenate([n[~one], n[one]])
+
+    def below(bound: np.ndarray) -> np.ndarray:
+        total, a, b = np.zeros(len(bound), np.int64), first, np.maximum(first, last)
+        for bit, zeros, sums in levels:
+            up = (bound >> bit & 1).astype(bool)
+            total += np.where(up, sums[b] - sums[a], 0)
+            a, b = (np.where(up, zeros[-1] + x - zeros[x], zeros[x]) for x in (a, b))
+        return total
+
+    return below(np.maximum(low, high)) - below(low)

@@ -432,6 +432,21 @@ def test_doubled_cells_and_storms(spark):
     assert len(keys) == len(set(keys)) == 40 and {r["storm_id"] for r in out.collect()} == {"s"}
 
 
+def test_scan_of_a_large_cycle(spark, monkeypatch):
+    """A cycle with many detections near each other is ranked as when it is folded whole, and makes no pairs of them."""
+    rng = random.Random(6)
+    rows = [(k % 2, k, rng.randrange(-20, 20) / 2.0, rng.randrange(-20, 20) / 2.0, rng.randrange(40, 90) / 100.0) for k in range(900)]
+    fixed = {"cnn_confidence": 0.9, "vit_confidence": 0.8, "land_fraction": 0.05, "midlevel_rh_percent": 70.0, "shear_200_850_ms": 10.0, "cyclonic_vorticity_850_s1": 2e-5, "pressure_anomaly_pa": -100.0, "surface_temperature_k": 301.0}
+    time = F.lit("2024-01-01").cast("timestamp_ntz")
+    df = spark.createDataFrame(rows, "cycle int, key long, latitude double, longitude double, confidence double").withColumns({**{c: F.lit(v) for c, v in fixed.items()}, "shares": F.create_map(F.lit("rhprs"), F.lit(0.3)), "learned": F.lit(None).cast("double"), "time": time})
+    systems = spark.range(150).select((F.col("id") % 2).cast("int").alias("cycle"), F.col("id").cast("string").alias("storm_id"), F.lit("TS").alias("status"), (F.col("id") % 40 - 20).cast("double").alias("system_latitude"), (F.col("id") % 37 - 18).cast("double").alias("system_longitude"), time.alias("system_time"))
+    found = lambda: sorted((r["cycle"], r["rank"], r["key"], r["storm_id"], r["system_class"], round(r["distance_km"], 6)) for r in compositions.operational_scan(df, systems, at=0.5, km=400.0, top=10).collect())
+    whole = found()
+    monkeypatch.setattr(detect, "FOLD_ROWS", 40)
+    monkeypatch.setattr(detect, "_by_pairs", None)
+    assert found() == whole and len(whole) == 20
+
+
 def test_components(spark, monkeypatch):
     """Long paths, a hub with most of the links, cycles, repeats and nulls; numbers, strings and structs."""
     from windrose.operators import components

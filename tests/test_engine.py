@@ -304,6 +304,36 @@ def test_dense_groups_in_turns(spark, monkeypatch):
     assert ordered_rows() == folded and ordered_rows(top=3) == three
 
 
+def test_groups_are_folded_in_many_tasks(spark):
+    """Groups are few bytes and much arithmetic; they aren't gathered in as few tasks as their bytes would fit in."""
+    df = spark.range(40_000).select((F.col("id") % 400).alias("g"), F.col("id").alias("key"), ((F.col("id") * 7919) % 141 - 70.0).alias("lat"), ((F.col("id") * 104729) % 360 - 180.0).alias("lon"), (F.col("id") % 97 / 97.0).alias("conf"))
+    kept = detect._folded(df, 1500.0, ["g"], "lat", "lon", "conf", "key")
+    assert kept.select(F.spark_partition_id()).distinct().count() > 12
+
+
+def test_dense_rows_after_scattered_ones(spark, monkeypatch):
+    """Where the first rows of a large group are far from a dense rest, this rest makes no pairs of its rows either."""
+    rng = random.Random(7)
+    points = [(g, i, -60.0 + 10 * (i // 12), -180.0 + 30 * (i % 12), 1000.0 - i) for g in (1, None) for i in range(60)]
+    points += [(g, i, rng.uniform(40, 50), rng.uniform(170, 190), float(rng.randrange(30))) for g in (1, None) for i in range(100, 500)]
+    points += [(1, 1000, None, 5.0, 0.0)]
+    df = spark.createDataFrame(points, "g int, key long, lat double, lon double, conf double")
+    run = lambda km: sorted(map(repr, detect.suppress(df, km, by=["g"], lat="lat", lon="lon", confidence="conf", key="key").collect()))
+    folded, apart = run(300.0), run(0.0)
+    assert len(folded) > 130 and len(apart) == len(points)
+    made, join = [], joins.distance_join
+
+    def counted(*args, **options):
+        out = join(*args, **options)
+        made.append(out.count() if options.get("how", "inner") == "inner" else 0)
+        return out
+
+    monkeypatch.setattr(joins, "distance_join", counted)
+    monkeypatch.setattr(detect, "FOLD_ROWS", 20)
+    assert run(300.0) == folded and 0 < max(made) < 5 * len(points)
+    assert run(0.0) == apart
+
+
 def test_nearest_by_rings(spark, monkeypatch):
     """Many systems meet the rows around them only; far rows, copies, poles and nulls get what a full comparison gives."""
     rng = random.Random(5)

@@ -447,6 +447,16 @@ def test_scan_of_a_large_cycle(spark, monkeypatch):
     assert found() == whole and len(whole) == 20
 
 
+def test_scan_rates_systems_once(spark):
+    """Suppression and the search for systems, most of a scan's work, aren't done again for each that reads their result."""
+    time = F.lit("2024-01-01").cast("timestamp_ntz")
+    fixed = {"cnn_confidence": 0.9, "vit_confidence": 0.8, "land_fraction": 0.05, "midlevel_rh_percent": 70.0, "shear_200_850_ms": 10.0, "cyclonic_vorticity_850_s1": 2e-5, "pressure_anomaly_pa": -100.0, "surface_temperature_k": 301.0}
+    rows = spark.range(200).select((F.col("id") % 4).cast("int").alias("cycle"), F.col("id").alias("key"), (F.col("id") % 40 - 20.0).alias("latitude"), (F.col("id") * 7 % 360 - 180.0).alias("longitude"), (F.col("id") % 97 / 97.0).alias("confidence"), time.alias("time"), *[F.lit(v).alias(c) for c, v in fixed.items()], F.create_map(F.lit("rhprs"), F.lit(0.3)).alias("shares"), F.lit(None).cast("double").alias("learned"))
+    systems = spark.range(20).select((F.col("id") % 4).cast("int").alias("cycle"), F.col("id").cast("string").alias("storm_id"), F.lit("TS").alias("status"), (F.col("id") - 10.0).alias("system_latitude"), (F.col("id") * 9 - 90.0).alias("system_longitude"), time.alias("system_time"))
+    plan = compositions.operational_scan(rows, systems, at=0.3, km=400.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") + plan.count("collect_list(") <= 2
+
+
 def test_components(spark, monkeypatch):
     """Long paths, a hub with most of the links, cycles, repeats and nulls; numbers, strings and structs."""
     from windrose.operators import components

@@ -72,6 +72,10 @@ class ScanConfig:
         return fine if self.least_warmth is None else fine & (warmth >= self.least_warmth)
 
 
+#: Retained detections that one task rates against the systems of their cycle.
+TASK_ROWS = 2000
+
+
 def operational_scan(candidates: DataFrame, systems: DataFrame, *, at: float = 0.75, least_expert: float = 0.45, km: float = 300.0, match_km: float = 600.0, top: int = 20, generic: list[str] | None = None) -> DataFrame:
     """The retained detections of each cycle, classified and ranked.
 
@@ -82,11 +86,13 @@ def operational_scan(candidates: DataFrame, systems: DataFrame, *, at: float = 0
     a cycle has twice under one id counts once, with its least status.
     """
     gated = candidates.where(detect.available_gate(F.col("confidence"), F.col("cnn_confidence"), F.col("vit_confidence"), at, least_expert))
-    kept = detect.suppress(gated, km, by=["cycle"], lat="latitude", lon="longitude", confidence="confidence", key="key")
-    rows = gated.join(kept.select("cycle", "key"), ["cycle", "key"])
+    kept = cut(detect.suppress(gated, km, by=["cycle"], lat="latitude", lon="longitude", confidence="confidence", key="key").select("cycle", "key"))
+    # rows are few bytes, but each is rated against its systems: dealt by number
+    rows = gated.join(kept, ["cycle", "key"]).repartition(int(max(1, min(20_000, -(-kept.count() // TASK_ROWS)))), "cycle", "key")
     near = joins.nearest_with_age(rows, systems, left_at=("latitude", "longitude"), left_time="time", key="storm_id", system_at=("system_latitude", "system_longitude"), system_time="system_time", on=["cycle"])
     # one row for each storm, so that one given twice doesn't double its detections
     near = near.join(systems.groupBy("cycle", "storm_id").agg(F.min("status").alias("status")), ["cycle", "storm_id"], "left")
+    near = cut(near)  # what follows reads it twice, and filters would rate the systems again
     c = {n: F.col(n) for n in CONDITIONS}
     support = classify.hybrid_support(classify.environment_support(c), classify.attribution_support(F.col("shares")), F.col("confidence"), F.col("cnn_confidence"), F.col("vit_confidence"))
     verdict = classify.cascade(distance=F.col("distance_km"), age=F.col("age_hours"), status=F.col("status"), land=F.col("land_fraction"), rh=F.col("midlevel_rh_percent"), shear=F.col("shear_200_850_ms"), vorticity=F.col("cyclonic_vorticity_850_s1"), checks=classify.favourable_count(c), hybrid=F.col("hybrid_support"), learned=F.col("learned"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, physics
-from . import ordered
 from .components import components
 from .lineage import cut, small
 
@@ -59,7 +58,7 @@ def _without(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left_
 def _in_turns(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str, top: int | None) -> DataFrame:
     """What suppression keeps of large groups. The first FOLD_ROWS rows of a group are decided as one array; then they and
     the rows near those that stay go, and groups with ``top`` rows are done. Where a turn leaves more than half of the rows,
-    few of them are near each other: the rest is decided by pairs (ordered.first_kept)."""
+    few are near the first ones: the rest is decided in cells (_by_pairs)."""
     from .joins import distance_join
 
     order = Window.partitionBy(*by).orderBy(F.desc(confidence), key)
@@ -82,30 +81,45 @@ def _in_turns(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, con
 
 
 def _by_pairs(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str) -> DataFrame:
-    met = _pairs(rows, km, by, key, lat, lon).where(F.col(key) != F.col("_key"))
-    order = rows.select(*by, key, (-F.col(confidence)).alias("_c"))
-    other = order.withColumnsRenamed({key: "_key", "_c": "_d"})
-    conflicts = met.join(order, [*by, key]).join(other, [*by, "_key"]).where(F.struct("_c", key) < F.struct(F.col("_d").alias("_c"), F.col("_key").alias(key)))
-    conflicts = conflicts.select(*by, key, *[F.col(c).alias(f"_after_{c}") for c in by], F.col("_key").alias(f"_after_{key}"))
-    return rows.join(ordered.first_kept(rows, conflicts, [*by, key]), [*by, key], "left_semi").select(*rows.columns)
+    """What suppression keeps, by pairs of the first rows of cells (_celled), a bounded number for each cell however dense.
+
+    All rows of a cell are within ``km`` of its first row. So that one stays if no earlier first row is within ``km`` of it,
+    nor within twice that if its cell has more rows; then what lies near those that stay goes, and so on until no group
+    has more than FOLD_ROWS rows."""
+    from .joins import distance_join
+
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    names, kept = rows.columns, rows.where(~placed)
+    rest = cut(_celled(rows.where(placed), max(km, 1e-6), lat, lon).select(*names, F.struct(*by).alias("_g"), "_i", "_j"))
+    while not rest.groupBy("_g").count().where(F.col("count") > FOLD_ROWS).isEmpty():
+        row = F.struct((-F.col(confidence)).alias("c"), F.col(key).alias("k"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+        first = cut(rest.groupBy("_g", "_i", "_j").agg(F.min(row).alias("_x"), F.count("*").alias("_n")).select("_g", "_x", F.col("_x.lat").alias("_lat"), F.col("_x.lon").alias("_lon"), "_n"))
+        other = first.select("_g", F.col("_x").alias("_x2"), F.col("_lat").alias("_lat2"), F.col("_lon").alias("_lon2"), F.col("_n").alias("_n2"))
+        met = distance_join(first, other, 2 * km * (1 + 1e-9), left_at=("_lat", "_lon"), right_at=("_lat2", "_lon2"), on=["_g"])
+        after = met.where((F.col("_x2") < F.col("_x")) & ((F.col("distance_km") <= km) | (F.col("_n2") > 1))).select("_g", "_x")
+        stay = small(cut(first.join(after, ["_g", "_x"], "left_anti").select("_g", "_x", "_lat", "_lon")))
+        kept = kept.unionByName(stay.select(*[F.col(f"_g.{c}").alias(c) for c in by], F.col("_x.k").alias(key), F.col("_lat").alias(lat), F.col("_lon").alias(lon), (-F.col("_x.c")).alias(confidence)))
+        rest = cut(distance_join(rest, stay, km, left_at=(lat, lon), right_at=("_lat", "_lon"), on=["_g"], how="left_anti"))
+    return kept.unionByName(_folded(rest.select(*names), km, by, lat, lon, confidence, key))
 
 
 def _folded(df: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str) -> DataFrame:
-    row = F.struct((-F.col(confidence)).alias("c"), F.col(key).alias("k"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    """What suppression keeps of groups that fit in an array. They are dealt to as many tasks as their rows ask for: their
+    bytes are few, so that Spark alone would fold all of them in one."""
+    dealt = df.repartition(int(max(1, min(20_000, -(-df.count() // FOLD_ROWS)))), *by)
+    p, q = F.radians(F.col(lat)), F.radians(F.col(lon))
+    place = [(F.cos(p) * F.cos(q)).alias("x"), (F.cos(p) * F.sin(q)).alias("y"), F.sin(p).alias("z")]
+    row = F.struct((-F.col(confidence)).alias("c"), F.col(key).alias("k"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), *place)
     kind = df.select(row.alias("x")).schema["x"].dataType.simpleString()
-    far = lambda acc, x: F.forall(acc, lambda m: F.coalesce(geo.haversine_km(m["lat"], m["lon"], x["lat"], x["lon"]) > km, F.lit(True)))
+    # most rows are that far by their unit vectors already, well beyond what these round
+    beyond = math.cos(min(km / geo.EARTH_KM, math.pi)) - 1e-9
+    surely = lambda m, x: m["x"] * x["x"] + m["y"] * x["y"] + m["z"] * x["z"] < beyond
+    far = lambda acc, x: F.forall(acc, lambda m: surely(m, x) | F.coalesce(geo.haversine_km(m["lat"], m["lon"], x["lat"], x["lon"]) > km, F.lit(True)))
     step = lambda acc, x: F.when(far(acc, x), F.array_append(acc, x)).otherwise(acc)
-    kept = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(f"array<{kind}>"), step).alias("kept")).select(*by, F.explode("kept").alias("m"))
+    kept = dealt.groupBy(*by).agg(F.aggregate(F.sort_array(F.collect_list(row)), F.array().cast(f"array<{kind}>"), step).alias("kept")).select(*by, F.explode("kept").alias("m"))
     return kept.select(*by, F.col("m.k").alias(key), F.col("m.lat").alias(lat), F.col("m.lon").alias(lon), (-F.col("m.c")).alias(confidence))
 
 
-def _pairs(points: DataFrame, km: float, on: list[str], key: str, lat: str, lon: str) -> DataFrame:
-    from .joins import distance_join
-
-    other = points.select(*on, F.col(key).alias("_key"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    return distance_join(points.select(*on, key, lat, lon), other, km, left_at=(lat, lon), right_at=("_lat", "_lon"), on=on).select(*on, key, "_key")
-
-
 def _celled(df: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
     """Adds the cell (_i, _j) of a position and the cell's centre; any two positions of a cell are within ``km``."""
     tall = math.degrees(math.sqrt(2.0) * math.sin(min(km / (2 * geo.EARTH_KM), 1.0)))

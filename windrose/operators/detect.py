@@ -58,13 +58,14 @@ def _without(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left_
 def _in_turns(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str, top: int | None) -> DataFrame:
     """What suppression keeps of large groups. The first FOLD_ROWS rows of a group are decided as one array; then they and
     the rows near those that stay go, and groups with ``top`` rows are done. Where a turn leaves more than half of the rows,
-    few are near the first ones: the rest is decided in cells (_by_pairs)."""
+    few are near the first ones: the rest is decided in cells (_by_pairs). What no longer fills an array is folded at once."""
     from .joins import distance_join
 
     order = Window.partitionBy(*by).orderBy(F.desc(confidence), key)
     names, kept, rest = [*by, key], None, cut(rows)
-    left = rest.count()
-    while left:
+    sizes = lambda: rest.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    left, most = sizes()
+    while most > FOLD_ROWS:
         head = cut(rest.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FOLD_ROWS).drop("_n"))
         found = cut(_folded(head, km, by, lat, lon, confidence, key))
         kept = found if kept is None else kept.unionByName(found)
@@ -74,10 +75,11 @@ def _in_turns(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, con
         group = F.struct(*by).alias("_g")  # equal for nulls too
         stay = small(found.select(group, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")))
         rest = cut(distance_join(rest.select("*", group), stay, km, left_at=(lat, lon), right_at=("_lat", "_lon"), on=["_g"], how="left_anti").drop("_g"))
-        before, left = left, rest.count()
-        if left > before / 2 and left > FOLD_ROWS:
+        before, (left, most) = left, sizes()
+        if left > before / 2 and most > FOLD_ROWS:
             return kept.unionByName(_by_pairs(rest, km, by, lat, lon, confidence, key))
-    return rows.limit(0) if kept is None else kept
+    last = _folded(rest, km, by, lat, lon, confidence, key)
+    return last if kept is None else kept.unionByName(last)
 
 
 def _by_pairs(rows: DataFrame, km: float, by: list[str], lat: str, lon: str, confidence: str, key: str) -> DataFrame:

@@ -193,6 +193,20 @@ def test_patch_cells_are_counted(spark, monkeypatch):
         assert {(r["path"], r["sid"]): r["cells"] for r in got} == want and len(got) == len(want) > 150
 
 
+def test_no_exploded_side_is_broadcast(spark, monkeypatch, tmp_path):
+    """Patches, centres and their counts are joined by shuffles, small as Spark takes them to be."""
+    plans, seen = [], lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(training, "cut", lambda df, cut=training.cut: cut(seen(df)))
+    monkeypatch.setattr(training, "small", lambda df: df.hint("merge"), raising=False)  # what is counted may be
+    stored = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}") or spark.read.parquet(f"{tmp_path}/{name}")
+    positives = stored("p", [("f", 1, i, i / 10, 100.0) for i in range(50)], "path string, time int, sid int, latitude double, longitude double")
+    fixes = stored("f", [(1, 10.0, 125.0)], "time int, latitude double, longitude double")
+    cells = stored("c", [("f", float(y), float(x)) for y in range(-30, 31, 10) for x in range(0, 360, 10)], "path string, latitude double, longitude double")
+    plan = training.pair_plan(positives, fixes, size=30.0, distances=[20.0], domain=(-35.0, 35.0, 5.0, 355.0), cells=cells, least_cells=2)
+    counts = seen(training.patch_cells(seen(plan), cells, size=30.0, keys=["path", "sid", "kind"]))
+    assert counts.count() == 100 and not [x for x in plans if "BroadcastHashJoin" in x] and sum(x.count("SortMergeJoin") for x in plans) >= 10
+
+
 def test_moved_patch_holds_its_far_side(spark):
     """A patch moved to the domain's southern edge is as tall as the others: its northern bound isn't short by rounding."""
     df = spark.createDataFrame([(-21.0 - k / 997,) for k in range(1, 900)], "y double")

@@ -35,5 +35,12 @@ SMALL_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table, hinted for broadcast if it has SMALL_ROWS rows at most; it should be cut off, as it is counted first."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """The table, hinted for broadcast if it has SMALL_ROWS rows at most, else against it (shuffled); it should be cut off,
+    as it is counted first."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table, hinted against a broadcast. Spark's estimate of a table doesn't tell how many rows an explode makes, and a
+    cut keeps it, so that Spark would gather on the driver what is many times as large as it takes it for."""
+    return df.hint("merge")

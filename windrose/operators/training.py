@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import draws, geo
-from .lineage import cut
+from .lineage import cut, shuffled, small
 
 # The directions in which negatives are looked for, in degrees counted from east against the clock.
 DIRECTIONS = list(range(0, 360, 45))
@@ -156,13 +156,14 @@ def pair_plan(
     name, edges = ["_spot", "nth"], ["south", "north", "west", "east"]
     fix = fixes.select(F.col("time").alias("path"), "latitude", geo.lon_360(F.col("longitude")).alias("longitude"))
     held = patch_cells(boxed.select(F.col("time").alias("path"), *name, *edges), fix, size=size, keys=["path", *name])
-    free = boxed.join(held.select(*name), name, "left_anti")
+    free = boxed.join(shuffled(held.select(*name)), name, "left_anti")
     if cells is not None:
         free = cut(free)
-        free = free.join(patch_cells(free, cells, size=size, keys=["path", *name]).where(F.col("cells") >= least_cells).select(*name), name, "left_semi")
+        enough = patch_cells(free, cells, size=size, keys=["path", *name]).where(F.col("cells") >= least_cells)
+        free = free.join(shuffled(enough.select(*name)), name, "left_semi")
     box = ["latitude", "longitude", *edges]
     best = cut(free.groupBy("_spot").agg(F.min(F.struct("nth", "shift", "angle", *box)).alias("x")))
-    negative = place.select("path", "sid", here).join(spot.join(best, "_spot"), "_at").select("path", "sid", F.lit("negative").alias("kind"), *[F.col(f"x.{c}").alias(c) for c in [*box, "shift", "angle"]])
+    negative = place.select("path", "sid", here).join(shuffled(spot.join(shuffled(best), "_spot")), "_at").select("path", "sid", F.lit("negative").alias("kind"), *[F.col(f"x.{c}").alias(c) for c in [*box, "shift", "angle"]])
     nothing = {"shift": F.lit(None).cast("double"), "angle": F.lit(None).cast("int")}
     positive = place.withColumns(patch_box(F.col("latitude"), F.col("longitude"), size, domain)).select("path", "sid", F.lit("positive").alias("kind"), *box).withColumns(nothing)
     return positive.unionByName(negative)
@@ -203,7 +204,7 @@ def patch_cells(plan: DataFrame, cells: DataFrame, *, size: float, keys: list[st
     there = cells.select("path", *place).where("path IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
     spots = cut(there.groupBy("path", "latitude", "longitude").agg(F.count("*").alias("_n")).withColumns({"_i": number(F.col("latitude")), "_j": number(F.col("longitude"))}))
     parts = lambda df, most, name: df.groupBy(*tile).agg(F.ceil(F.count("*") / most).alias(name))
-    sizes = cut(parts(tiles, TILE_PATCHES, "_ps").join(parts(spots, TILE_POSITIONS, "_qs"), tile))
+    sizes = small(cut(shuffled(parts(tiles, TILE_PATCHES, "_ps")).join(parts(spots, TILE_POSITIONS, "_qs"), tile)))
     part = lambda name, *of: F.pmod(F.xxhash64(*of), F.col(f"{name}s")).alias(name)
     each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{name}s") - 1)).alias(name)
     left = tiles.join(sizes, tile).select(*tile, "_box", *box[1:], part("_p", "_box"), each("_q"))
@@ -211,7 +212,7 @@ def patch_cells(plan: DataFrame, cells: DataFrame, *, size: float, keys: list[st
     met = [*tile, "_p", "_q"]
     counted = left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(_counted, "_box long, _n long")
     sums = counted.groupBy("_box").agg(F.sum("_n").alias("cells")).where("cells > 0")
-    return plan.select(*keys, *box[1:]).join(boxes.join(sums, "_box"), box).select(*keys, "cells")
+    return plan.select(*keys, *box[1:]).join(shuffled(boxes.join(shuffled(sums), "_box")), box).select(*keys, "cells")
 
 
 def _counted(boxes: pa.Table, cells: pa.Table) -> pa.Table:

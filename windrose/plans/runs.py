@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import when
 from ..operators import compositions, grid, learn, moments, polygons, training
-from ..operators.lineage import shared_folder
+from ..operators.lineage import shared_folder, shuffled
 from ..sources.readers import table
 from ..streaming import ledger
 from .queries import customers, measures, scores, suppliers, verification
@@ -135,7 +135,7 @@ def patch_pairs(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "part").select(path(k % 25).alias("path"), (((k * 7919) % 141 - 70).cast("double") / 2).alias("latitude"), ((k * 104729) % 360).cast("double").alias("longitude"))
     plan = training.pair_plan(positives, fixes, size=30.0, distances=[20.0, 30.0, 40.0], domain=(-35.0, 35.0, 5.0, 355.0), cells=cells, least_cells=2)
     counts = training.patch_cells(plan, cells, size=30.0, keys=["path", "sid", "kind"])
-    whole = plan.join(counts, ["path", "sid", "kind"], "left").withColumn("cells", F.coalesce("cells", F.lit(0).cast("long")))
+    whole = plan.join(shuffled(counts), ["path", "sid", "kind"], "left").withColumn("cells", F.coalesce("cells", F.lit(0).cast("long")))
     return whole.select("path", "sid", "kind", "shift", "angle", "cells", *[F.round(x, 6).alias(x) for x in ("latitude", "longitude", "south", "north", "west", "east")])
 
 

@@ -478,6 +478,18 @@ def test_collisions_are_resolved(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_forms_with_few_surrogates(spark):
+    """Secrets without a letter or digit, IPv6 addresses of one digit, short phone numbers that take most of their form's:
+    each gets a surrogate of its own, in a wider form where there is no other."""
+    said = ["password: ******", "token = '-_-_-_-_'", *[f"at ::{i} now" for i in range(1, 10)], *[f"call +5 1 {i:02} now" for i in range(100)], "call +49 30 1234567 now"]
+    said += [f"call +5 {i} {j:02} now" for i in range(2, 8) for j in range(100)]
+    got = [r["text"] for r in surrogate.with_surrogates(documents(spark, said), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(said) and not set(got) & set(said)
+    assert re.fullmatch("password: [a-z0-9]{12}", got[0]) and re.fullmatch("token = '[a-z0-9]{12}'", got[1])
+    assert all(re.fullmatch(r"at (::[1-9a-f]|([1-9a-f]{4}:){7}[1-9a-f]{4}) now", x) for x in got[2:11])
+    assert all(re.fullmatch(r"call \+5 \d \d\d( \d{8})? now", x) for x in [*got[11:111], *got[112:]]) and re.fullmatch(r"call \+49 \d\d \d{7} now", got[111])
+
+
 def test_one_surrogate_for_an_entity(spark):
     """Coreference, distinctness, script, gender and form over many entities, by plain bookkeeping."""
     rng = random.Random(41)

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from windrose.llm import toxicity
+from windrose.llm import common, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,17 @@ def test_stages(spark, folder, tmp_path):
     assert all(r["text"] == before[r["doc_id"]] for r in after) and 0.5 * len(before) < len(after) < 1.6 * len(before)
 
 
+def test_no_key_on_a_cluster(spark, folder, monkeypatch):
+    """Personal data are replaced where the master isn't local and no key is set, by surrogates that differ between runs."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("text LIKE '%@%'")
+    common.shared_root(spark)
+    known = corpus_pipeline.replace_personal_data(spark, docs, folder).first()["text"]
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.warns(UserWarning, match=corpus_pipeline.KEY_SETTING):
+        one, two = (corpus_pipeline.replace_personal_data(spark, docs, folder).first()["text"] for _ in range(2))
+    assert len({known, one, two, docs.first()["text"]}) == 4 and "mail.example.com" not in one + two
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 50 and {"n_copies", "copy", "place"} < set(out.columns)

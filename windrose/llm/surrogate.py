@@ -14,7 +14,9 @@ with and without the code. Hashes are HMAC-SHA-256; the key reaches the plan as
 
 Distinct entities must stay distinct. The corpus's distinct entities are tabled, and those whose surrogate another
 entity has, or that is itself an entity of the corpus, take the next attempt of their hash until none collide. An
-entity's surrogates have one plain form, whatever its spelling, so the test covers all spellings. Only these exceptions,
+entity's surrogates have one plain form, whatever its spelling, so the test covers all spellings. Some forms have few
+surrogates or none but themselves (a password of asterisks, ::1, addresses under 192.168): what still collides after
+WIDE attempts gets one of a wider form. Only these exceptions,
 and given names whose title leaves the gender open that others tell, travel back to the documents; all other surrogates
 are computed where the text stands, so texts are never shuffled unless exceptions are too many to broadcast. Documents
 are told apart by a hash of their text, so ids may be null or repeat. Only DataFrame operations are used.
@@ -86,6 +88,8 @@ SCRIPTS = {
 }
 
 MAX_ATTEMPTS = 40
+#: Attempts in an entity's own form; the later ones are of a wider form where its own has few surrogates.
+WIDE = 5
 
 
 def _let(value: Column, body) -> Column:
@@ -299,13 +303,33 @@ def _country(form: Column) -> Column:
     return F.when(form.startswith("+"), F.length(F.regexp_extract(form, "^\\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{4})", 1))).when(form.startswith("0"), 1).otherwise(F.lit(0))
 
 
+def _widened(kind: Column, form: Column, attempt: Column, stream: Column) -> Column:
+    """A surrogate of a wider form: a secret of letters and digits, an address in a larger private range and then a public
+    one, all groups of an IPv6 address, more digits of a short phone number. Null for kinds that have enough in their own."""
+    pick = lambda alphabet, i: F.substring(F.lit(alphabet), (F.pmod(_number(stream, i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+    row = lambda alphabet, first, last: F.array_join(F.transform(F.sequence(first, last), lambda i: pick(alphabet, i)), "")
+    octet = lambda i: (1 + F.pmod(_number(stream, F.lit(i)), F.lit(254))).cast("string")
+    small = (attempt < 2 * WIDE) & ~form.startswith("10.") & form.rlike(r"^(?:127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
+    first = F.when(small, "10").otherwise((11 + F.pmod(_number(stream, F.lit(0)), F.lit(88))).cast("string"))
+    local = form.rlike("(?i)^(?:f[cd][0-9a-f]{2}|fe80):")
+    groups = [F.when(local, F.substring(form, 1, 4)).otherwise(row("123456789abcdef", F.lit(0), F.lit(3))), *[row("123456789abcdef", F.lit(i), F.lit(i + 3)) for i in range(4, 32, 4)]]
+    ip6 = F.concat_ws(":", *groups)
+    short = F.length(F.regexp_replace(form, "[^0-9]", "")) < 9
+    return (
+        F.when(kind == "secret", row("abcdefghijklmnopqrstuvwxyz0123456789", F.lit(0), F.greatest(F.length(form), F.lit(12)) - 1))
+        .when(kind == "ip", F.concat_ws(".", first, octet(1), octet(2), octet(3)))
+        .when(kind == "ip6", F.when(form.rlike("[A-F]"), F.upper(ip6)).otherwise(ip6))
+        .when((kind == "phone") & short, F.concat(_redigit(form, stream, _country(form)), F.lit(" "), row("0123456789", F.lit(40), F.lit(47))))
+    )
+
+
 def surrogate(e: Column, attempt: Column, gender: Column) -> Column:
     """What stands for an entity (kind, base, form), of rows that have a Key beside them."""
     return _let(_stream(e["kind"], e["base"], attempt), lambda stream: _from_stream(e["kind"], e["form"], attempt, gender, stream))
 
 
 def _from_stream(kind: Column, form: Column, attempt: Column, gender: Column, stream: Column) -> Column:
-    return (
+    own = (
         F.when(kind == "email", _email(form, stream))
         .when(kind == "card", _card(form, stream))
         .when(kind == "ip", _ip(form, stream))
@@ -318,6 +342,7 @@ def _from_stream(kind: Column, form: Column, attempt: Column, gender: Column, st
         .when(form.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), _rehex(form, stream))
         .otherwise(_reshape(form, stream))
     )
+    return F.coalesce(F.when(attempt >= WIDE, _widened(kind, form, attempt, stream)), own)
 
 
 def exceptions(found: DataFrame, key: Key) -> tuple[DataFrame, list[str]]:
@@ -340,9 +365,10 @@ def exceptions(found: DataFrame, key: Key) -> tuple[DataFrame, list[str]]:
         done.append(path)
         if losers.isEmpty():
             return now.where("attempt > 0 OR mixed").select("kind", "base", "attempt", "gender"), done
-        both = key.beside(now.join(losers, ["kind", "base"], "left"))
-        tried = F.when(F.col("again").isNull(), F.col("made")).otherwise(made(F.col("attempt") + 1))
-        now, path = common.saved(both.select("kind", "base", "form", "gender", "mixed", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), tried.alias("made")), "pii-entities")
+        # a select of its own: within a lambda function Spark takes a name for the alias beside it, not for the input's column
+        turned = now.join(losers, ["kind", "base"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+        tried = F.when(F.col("again").isNull(), F.col("made")).otherwise(made(F.col("attempt")))
+        now, path = common.saved(key.beside(turned).select("kind", "base", "form", "gender", "mixed", "attempt", tried.alias("made")), "pii-entities")
         done.append(path)
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
@@ -397,4 +423,5 @@ def with_surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFra
     again = F.when(F.size(names) > 0, F.aggregate(F.array_distinct(mentions), whole, mention)).otherwise(whole)
     new = F.when(F.size("found") > 0, again).otherwise(t)
     count = F.when(F.col("found").isNotNull(), F.size("found")).otherwise(0).cast("long")
-    return joined.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], count.alias("n_entities"))
+    replaced = joined.select("row", new.alias("new"), count.alias("count"))
+    return replaced.select(*[F.col("new").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], F.col("count").alias("n_entities"))
